@@ -64,10 +64,6 @@ class Kept:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def size_of(spark: SparkSession, *paths: str) -> int:
-    """Bytes of input files, by the file system that holds them."""
-    total = 0
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return total
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's output; for a scan it follows the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
