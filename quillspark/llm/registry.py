@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "token_files")
+MODULES = ("decontamination", "bpe", "token_files")
 
 
 def collect() -> tuple[dict, dict]:
