@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "bpe", "token_files")
+MODULES = ("decontamination", "toxicity", "bpe", "token_files")
 
 
 def collect() -> tuple[dict, dict]:
