@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "toxicity", "bpe", "token_files")
+MODULES = ("decontamination", "toxicity", "bpe", "token_files", "quality", "pii")
 
 
 def collect() -> tuple[dict, dict]:
