@@ -66,4 +66,4 @@ class Kept:
 
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's output; for a scan it follows the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
