@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillspark.plans import documents, records, records_sql
+
+QUERIES: dict = records.QUERIES | documents.QUERIES
+ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES
