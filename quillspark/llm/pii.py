@@ -218,6 +218,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by <kind>; of spans that overlap, the first, and the longest that starts there."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
@@ -235,7 +239,7 @@ def masked(text: Column, spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = find_spans(docs, fit(vote_counts(docs)))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    n = [count_of(F.col("base"), name).alias(f"n_{name}") for name in KINDS]
     return out.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
