@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, kept: Kept, a: str = "a", b: str = "b
     Neighbourhood minima are partial aggregates, so a hub is never gathered in one task.
     Self loops and repeated edges are allowed; null ends are dropped; no edges, no rows.
     """
-    e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo is not null and hi is not null").distinct()
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
     isolated = kept.keep(e, "edges")
     e = isolated.where("lo < hi")
     last = None

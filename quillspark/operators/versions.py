@@ -64,7 +64,7 @@ def resolve_versions(docs: DataFrame, doc_id: str = "id", replaces: str = "repla
     known = docs.select(F.col(doc_id).alias("id"), F.col(replaces).alias("to"))
     at = known.select("id", F.coalesce("to", "id").alias("at"), F.col("to").isNotNull().cast("int").alias("steps"), F.col("to").isNull().alias("done"))
     span = 1
-    while span < hops:
+    while span <= hops:  # one round beyond, which tells that the last row reached is an end
         step = at.select(F.col("id").alias("__at"), F.col("at").alias("__next"), F.col("steps").alias("__more"), F.col("done").alias("__done"))
         at = at.join(step, F.col("at") == F.col("__at"), "left").select(
             "id",

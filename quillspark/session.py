@@ -49,10 +49,10 @@ class Kept:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_path = path
         return out
