@@ -1,0 +1,186 @@
+"""Decontamination, byte-level BPE, token files, HTML, personal data: against brute force and round trips."""
+
+import hashlib
+import html
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quillspark.llm import bpe, decontamination, html_text, pii, token_files
+from quillspark.llm.words import ALNUM, NONSPACE, hashes, shingles, utf8
+
+ODD = ["", " ", "a  b", "\t x\n\n  y \r\n", "x\x1c\x1d y", "日本語 テスト　x", "it's I'LL don't  ", "\n" * 50, " " * 30 + "x", "a" * 3000, "𝒳 😀😀 z", "<|endoftext|>", "end. End, a.b"]
+
+
+def words(x):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in x or ""))
+
+
+def brute_hits(text, items, window=10):
+    w, hit, found = words(text), set(), set()
+    for i, x in items:
+        p = words(x)
+        m = min(window, len(p))
+        for a in range(len(p) - m + 1 if m else 0):
+            for s in range(len(w) - m + 1):
+                if w[s : s + m] == p[a : a + m]:
+                    hit |= set(range(s, s + m))
+                    found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+def test_windows_against_brute_force(spark, make):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("a b c Dd é 9".split()) + rng.choice(["", ".", ","]) for _ in range(n))
+    items = [(k, text(rng.choice([1, 2, 5, 9, 10, 14, 30]))) for k in range(12)] + [(50, ""), (51, None), (52, "..."), (10, "a b")]
+    docs = [(k, text(rng.choice([0, 3, 40, 300, 700]))) for k in range(30)] + [(90, None), (91, ""), (92, items[2][1] + " x " + items[3][1]), (93, text(5000)), (3, "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 200):  # one block of items, and many
+        got = decontamination.find_items(make(docs), bench, block_bytes=size).collect()
+        have = sorted((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_runs"]), list(r["items"])) for r in got)
+        assert have == sorted((i, *brute_hits(x, items)) for i, x in docs)
+    none = decontamination.find_items(make(docs), bench.limit(0)).where("size(items) > 0")
+    assert none.count() == 0 and decontamination.find_items(make([]), bench).count() == 0
+
+
+def test_clashing_columns(spark, make):
+    docs = make([(1, "one two"), (2, None)]).withColumn("items", F.lit(1)).withColumn("token_ids", F.lit("x")).withColumn("spans", F.lit(2)).withColumn("extra", F.lit(3))
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert decontamination.find_items(docs, bench).columns[-1] == "items"
+    out = bpe.encode_decode(docs, P.path(bpe.DEFAULT))
+    assert out.schema["token_ids"].dataType.simpleString() == "array<int>" and out.where("extra = 3").count() == 2
+    assert pii.find_spans(docs, pii.fit([])).where("extra = 3 and size(spans) = 0").count() == 2
+
+
+def test_bpe_is_tiktoken(spark, make):
+    path = P.path(bpe.DEFAULT)
+    ranks = bpe.read_ranks(path)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choice(" \n\t.,'sté1é日AB\x1c ") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [None, "repeat me", "repeat me"]
+    for r in bpe.encode_decode(make(list(enumerate(texts))), path).collect():
+        x = texts[r["doc_id"]] or ""
+        assert list(r["token_ids"]) == want.encode_ordinary(x) and bytes(r["decoded"]) == x.encode()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=600), st.integers(0, 40))
+def test_blocks_round_trip(values, shift):
+    ids = np.array(values, np.uint64).astype("<u4") >> np.uint32(min(shift, 31))
+    payload = token_files.encode_blocks(ids)
+    assert (token_files.decode_blocks(payload) == ids).all()
+    lo, hi = len(ids) // 3, 2 * len(ids) // 3
+    assert (token_files.decode_blocks(payload, lo, hi) == ids[lo:hi]).all()
+
+
+def test_blocks_keep_outliers_apart():
+    ids = np.full(1280, 5, "<u4")
+    ids[::100] = 2**31
+    assert len(token_files.encode_blocks(ids)) < 400
+    with pytest.raises(ValueError):
+        token_files.decode_blocks(b"\0" * 16)
+
+
+def test_token_files(spark, make, tmp_path):
+    t = Tokenizer.from_file(P.path(token_files.DEFAULT))
+    t.encode_special_tokens = True
+    texts = ODD + ["two words", None, "two words"]
+    ids = list(range(len(texts)))
+    random.Random(2).shuffle(ids)
+    docs = make([(i, texts[i]) for i in ids] + [(0, texts[0])])
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(docs, path, P.path(token_files.DEFAULT))
+    got = token_files.read_token_files(spark, path).orderBy("doc_id", "start").collect()
+    at = 0
+    for r, i in zip(got, [0, *range(len(texts))], strict=True):
+        want = [*t.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, at, len(want)) and np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want
+        at += len(want)
+    token_files.write_token_files(make([]), str(tmp_path / "none"), P.path(token_files.DEFAULT))
+    assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body><header><p>Site</p></header>
+<nav><ul><li><a href="/a">{0}</a></li><li><a href="/b">menu</a></li></ul></nav><div class="cookie-notice"><p>We use cookies</p></div><div class="ad">Buy {0}</div>
+<article><h1>Title {0} &amp;amp; more</h1><p><b>First {0}<br><p>Second&nbsp;{0} &lt;x&gt;</p><ul><li>item {0}</ul><div class="share">Share this</div>{2}<p>Last</p></article>
+<section id="comments"><p>Reader says {0}</p></section><form><p>Name</p></form>{1}<footer>&copy; host</footer></body></html>"""
+
+
+def test_pages(spark):
+    rows = [(k, f"http://h.example/{k}", PAGE.format(f"w{k}", "<aside>side</aside>" * (k % 2), "<div>All rights kept</div>")) for k in range(6)]
+    rows += [(10, "http://one.example/", "<p>only &am</p><p>text <a href='"), (11, None, None), (12, "x", ""), (13, "http://h.example/13", "plain & simple"), (0, "http://h.example/0", rows[0][2])]
+    got = {(r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    for k in range(6):
+        assert (k, f"Title w{k} &amp; more\nFirst w{k}\nSecond w{k} <x>\nitem w{k}\nLast") in got  # 'All rights kept' is template
+    assert {(10, "only &am\ntext"), (11, ""), (12, ""), (13, "plain & simple")} <= got
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_simple_tree_matching():
+    a = ["r", 0, [["a", 0, []], ["b", 0, [["c", 0, []]]], ["d", 0, []]]]
+    b = ["r", 0, [["b", 0, [["c", 0, []]]], ["x", 0, []], ["d", 0, []]]]
+    assert html_text.simple_tree_matching(a, b) == {0: 0, 2: 1, 3: 2, 4: 4}
+    assert html.unescape("&am") == "&am"
+
+
+PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def brute_spans(x):
+    out = []
+    for k, (name, p) in enumerate(PLAIN):
+        for m in re.finditer(p, x):
+            d = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": all(int(q) <= 255 for q in m.group().split(".")) if name == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[name]
+            if good:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_against_plain_patterns(spark, make):
+    rng = random.Random(9)
+    bits = ["a@b.c", "x_@y.z.", "@", ".", " ", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (499) 555-6503", "+49", "é😀", "0", "-", "%", "call me at", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "1." * 500, "a" * 5000 + "@", "9" * 3000, "a@b" * 300]
+    weights = pii.fit([])
+    for r in pii.find_spans(make(list(enumerate(texts))), weights).collect():
+        want = brute_spans(texts[r["doc_id"]] or "")
+        assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == want
+        assert set(want) <= {(s["start"], s["kind"], s["end"]) for s in r["spans"]}
+
+
+def test_weak_supervision_and_masking(spark, make):
+    docs = make([(k, f"Please call {200 + k} 555 01{k:02d} or mail me{k}@example.com, order 123 456 789 01") for k in range(40)])
+    counts = pii.vote_counts(docs)
+    prior, like, post = pii.fit_votes(counts)
+    assert 0 < prior < 1 and all(abs(sum(c) - 1) < 1e-9 for lab in like for c in lab) and len(post) == len(counts)
+    out = pii.find_spans(docs, pii.fit(counts))
+    assert out.where(pii.listed(F.col("base")) == "").count() == 0
+    text = out.select(pii.masked(F.col("text"), F.col("spans")).alias("t")).head()["t"]
+    assert "<email>" in text and "@" not in text
+    got = out.select(pii.count_of(F.col("base"), "email").alias("e"), pii.count_of(F.col("base"), "ip").alias("i")).head()
+    assert (got["e"], got["i"]) == (1, 0)
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    texts = ["Ab ab\tAB", "", None, "é É x", "a b c a b c", "one"]
+    data, offs = utf8(pa.array(texts, pa.string()))
+    h, first = hashes(data, offs, NONSPACE)
+    assert first.tolist() == [0, 3, 3, 3, 6, 12, 13] and len(set(h[:3].tolist())) == 1 and h[3] != h[4]
+    sets, begins = shingles(h, first, 3)
+    assert np.diff(begins).tolist() == [1, 0, 0, 1, 3, 1]
+    assert hashes(data, offs, ALNUM)[1].tolist() == first.tolist()
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
