@@ -3,10 +3,10 @@ Set Similarity Join").
 
 Documents with equal shingle sets are one class. A class has SIGNATURE minwise tokens. In each of TREES independent trees
 a node chooses one or two of the tokens' places by a hash of its path, and a class goes on to one child for each place
-chosen, with the classes that have the same token there. Nodes of up to SMALL classes are compared exhaustively. Larger
-nodes branch again, and their classes are compared with two pivots, which joins a large group of near copies without its
-pairs. Candidates are confirmed on the full shingle sets. Nodes that are still large after some levels are followed
-further only where they hold more than one component; what is left at the last level is compared in blocks of bounded size.
+chosen, with the classes that have the same token there. Nodes of up to SMALL classes are compared exhaustively. The classes
+of larger nodes are compared with three pivots, which joins a large group of near copies without its pairs. Candidates are
+confirmed on the full shingle sets. A large node whose classes aren't all joined then branches again, or, where few are left
+over, compares those with all; what is left at the last level is compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from quillspark.session import Kept
 
 SIGNATURE = 64
 TREES = 12
-SMALL = 32
-#: Levels between two updates of the components, and at most.
+SMALL = 256
+#: Levels between two confirmations, and at most.
 LEVELS, MAX_LEVELS = 4, 16
-BLOCK_ROWS = 256
+#: A large node of which at most so many classes aren't joined with the others is finished by comparing those with all.
+FEW = 64
+BLOCK_ROWS = 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(42)
@@ -113,24 +115,35 @@ def full_sets(docs: DataFrame, k: int, doc_id: str, text: str, inside: np.ndarra
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("x")).mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))]))
 
 
-def compare_groups(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs (a, b) inside the groups of rows (node, rep, n, sig); every group is of bounded size.
+def compare_groups(rows: DataFrame, rule: Rule, forest: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of different labels inside the groups of rows (node, rep, n, sig, label), groups of bounded size.
 
-    Rows are sorted by node, so groups are runs of rows; the run at the end of a batch waits for the next batch.
+    With forest, only for each class the closest one of smaller number, and the first of its group: enough to join a group of
+    near copies. Rows are sorted by node, so groups are runs of rows; the run at the end of a batch waits for the next batch.
     """
 
-    def pairs(node: np.ndarray, rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    def pairs(node: np.ndarray, rep: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(starts, len(node)))
         found = []
         for s in np.unique(sizes[sizes > 1]).tolist():
             i, j = np.triu_indices(s, 1)
             at = starts[sizes == s]
-            step = max(1, (1 << 18) // len(i))
+            step = max(1, (1 << 16) // len(i))
             for lo in range(0, len(at), step):
                 a, b = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
+                other = label[a] != label[b]
+                a, b = a[other], b[other]
                 ok = rule.near(n, sig, a, b)
-                found.append(np.stack([rep[a[ok]], rep[b[ok]]], 1))
+                a, b = a[ok], b[ok]
+                if forest and len(a):
+                    order = np.lexsort((a, -(sig[a] == sig[b]).sum(1), b))
+                    a, b = a[order], b[order]
+                    best = np.append(True, b[1:] != b[:-1])
+                    order = np.lexsort((a, b))
+                    first = np.append(True, b[order][1:] != b[order][:-1])
+                    a, b = np.concatenate([a[best], a[order][first]]), np.concatenate([b[best], b[order][first]])
+                found.append(np.stack([rep[a], rep[b]], 1))
         x = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         x = np.unique(np.sort(x, 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
@@ -143,19 +156,19 @@ def compare_groups(rows: DataFrame, rule: Rule) -> DataFrame:
             held.append(batch)
             node = np.asarray(batch.column("node"))
             last = int(np.searchsorted(node, node[-1]))
-            if last == 0 and len(held) > 1 and held[-2].column("node")[-1].as_py() == node[-1] or last == 0 and len(held) == 1:
-                continue
+            if last == 0 and (len(held) == 1 or held[-2].column("node")[-1].as_py() == node[-1]):
+                continue  # one run so far
             yield cut(held[:-1] + [batch.slice(0, last)])
             held = [batch.slice(last)]
         if held:
             yield cut(held)
 
     def cut(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        return pairs(*(np.asarray(t.column(c)) for c in ("node", "rep", "n")), sig_matrix(t.column("sig"))) if t.num_rows else pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SIGNATURE), np.uint32))
+        t = pa.Table.from_batches([p for p in parts if p.num_rows])
+        return pairs(*(np.asarray(t.column(c)) for c in ("node", "rep", "n", "label")), sig_matrix(t.column("sig")))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("node", "rep", "n", "sig").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return rows.select("node", "rep", "n", "label", "sig").repartition(parts, "node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
 
 
 def compare_pairs(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -172,6 +185,30 @@ def compare_pairs(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """nodes (node, rep) with a label: classes of one label are known to be joined."""
+    if labels is None:
+        return nodes.withColumn("label", F.col("rep"))
+    return nodes.join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+
+
+def cross_blocks(rows: DataFrame) -> DataFrame:
+    """(node, rep, label) in blocks of bounded size such that each pair of different labels meets in one.
+
+    rows: (node, rep, label, size, top, main); main is the label that most of a node's classes have. Its classes are dealt to
+    blocks, and every other class is sent to all blocks; where the others are many, they are cut into blocks as well.
+    """
+    nb = F.ceil(F.col("top") / BLOCK_ROWS).cast("int")
+    nu = F.ceil((F.col("size") - F.col("top")) / BLOCK_ROWS).cast("int")
+    is_main = F.col("label") == F.col("main")
+    block = F.pmod(F.xxhash64("rep"), F.when(is_main, nb).otherwise(nu)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.when(is_main, F.transform(to(nu), lambda j: F.struct(F.lit(0).alias("kind"), block.alias("i"), j.alias("j")))).otherwise(F.transform(to(nb), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), block.alias("j"))))
+    among = F.when(~is_main & (nu > 1), F.transform(to(nu), lambda j: F.struct(F.lit(1).alias("kind"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))))
+    units = F.concat(with_main, F.coalesce(among, F.expr("cast(array() as array<struct<kind:int,i:int,j:int>>)")))
+    return rows.select("node", "rep", "label", F.explode(units).alias("u")).select(F.xxhash64("node", "u.kind", "u.i", "u.j").alias("node"), "rep", "label").distinct()
+
+
 def components(docs: DataFrame, kept: Kept, k: int, percent: int, doc_id: str, text: str, inside: np.ndarray) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
     rule = Rule(percent)
@@ -193,45 +230,43 @@ def components(docs: DataFrame, kept: Kept, k: int, percent: int, doc_id: str, t
 
     narrow = classes.select("rep", "n", "sig")
     nodes = narrow.select("rep", "sig").mapInArrow(roots, "node long, rep long")
-    links = None
-    found = []
+    labels, links, cand = None, None, []
     for level in range(1, MAX_LEVELS + 1):
-        nodes = kept.keep(nodes.distinct() if level > 1 else nodes, f"nodes{level}")
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("p"), F.max("rep").alias("q")).where("size > 1")
-        live = kept.keep(nodes.join(sizes, "node"), f"live{level}")
+        # a node all of whose classes are known to be joined has nothing more to give
+        nodes = kept.keep(nodes if level == 1 else nodes.distinct(), f"nodes{level}")
+        rows_of = labelled(nodes, labels)
+        sizes = rows_of.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), *[f(c).alias(k) for k, f, c in (("p", F.min, "rep"), ("q", F.max, "rep"))], F.min_by("rep", F.xxhash64("rep")).alias("r")).where("lo < hi").drop("lo", "hi")
+        live = kept.keep(rows_of.join(sizes, "node"), f"live{level}")
         kept.drop(nodes)
-        found.append(kept.keep(compare_groups(live.where(F.col("size") <= SMALL).join(narrow, "rep"), rule).distinct(), f"near{level}"))
-        large = live.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            nodes = None
-        else:
-            star = large.select(F.explode(F.array("p", "q")).alias("a"), F.col("rep").alias("b")).distinct()
-            found.append(kept.keep(compare_pairs(star, narrow, rule), f"star{level}"))
-            nodes = large.select("node", "rep").join(narrow.select("rep", "sig"), "rep").mapInArrow(deeper, "node long, rep long")
-        if nodes is not None and level % LEVELS:
-            continue
-        links = confirm(found, links, docs, kept, k, percent, doc_id, text, inside)
-        found = []
-        parts = kept.keep(connected_components(links, kept).withColumnRenamed("id", "cid"), "parts")
-        if nodes is None:
+        small, large = live.where(F.col("size") <= SMALL).select("node", "rep", "label"), live.where(F.col("size") > SMALL)
+        any_large = not large.isEmpty()
+        cand.append(kept.keep(compare_groups(small.join(narrow, "rep"), rule, forest=level == 1).distinct(), f"near{level}"))
+        if any_large:
+            star = large.select(F.explode(F.array("p", "q", "r")).alias("a"), F.col("rep").alias("b")).distinct()
+            cand.append(kept.keep(compare_pairs(star, narrow, rule), f"star{level}"))
+        if level % LEVELS == 1 or not any_large:
+            links = confirm(cand, links, docs, kept, k, percent, doc_id, text, inside)
+            cand = []
+            # who is linked with a common class is joined; one step of labels tells that of most
+            labels = kept.keep(links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), "a"), F.struct(F.col("b").alias("rep"), "a"))).alias("l")).groupBy("l.rep").agg(F.min("l.a").alias("label")), f"labels{level}")
+        if level == 1:
+            # what the forest left open in small nodes
+            left = labelled(small.select("node", "rep"), labels)
+            mixed = left.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("node")
+            cand.append(kept.keep(compare_groups(left.join(mixed, "node").join(narrow, "rep"), rule).distinct(), "rest"))
+        if not any_large:
             break
-        # a large node all of whose classes are joined already has nothing more to give
-        of = nodes.join(parts, F.col("rep") == F.col("cid"), "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-        of = kept.keep(of, f"left{level}")
-        mixed = of.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        nodes = of.join(mixed, "node")
-        if nodes.isEmpty():
+        left = labelled(large.select("node", "rep"), labels)
+        most = left.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("label", F.struct("c", "label")).alias("main")).where("top < size")
+        left = kept.keep(left.join(most, "node"), f"left{level}")
+        few = (F.col("size") - F.col("top") <= FEW) if level < MAX_LEVELS else F.lit(True)
+        cand.append(kept.keep(compare_groups(cross_blocks(left.where(few)).join(narrow, "rep"), rule).distinct(), f"cross{level}"))
+        deep = left.where(~few)
+        if deep.isEmpty():
             break
-        if level == MAX_LEVELS:
-            # whatever is left: pairs of blocks of each node
-            nb = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-            b = F.pmod(F.xxhash64("rep"), nb).cast("int")
-            units = nodes.select("node", "rep", b.alias("b"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("o"))
-            units = units.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "rep").distinct()
-            rest = kept.keep(compare_groups(units.join(narrow, "rep"), rule).distinct(), "rest")
-            links = confirm([rest], links, docs, kept, k, percent, doc_id, text, inside)
-            parts = kept.keep(connected_components(links, kept).withColumnRenamed("id", "cid"), "parts")
-        nodes = nodes.select("node", "rep")
+        nodes = deep.select("node", "rep").join(narrow.select("rep", "sig"), "rep").mapInArrow(deeper, "node long, rep long")
+    links = confirm(cand, links, docs, kept, k, percent, doc_id, text, inside)
+    parts = connected_components(links, kept).withColumnRenamed("id", "cid")
     by_class = classes.join(parts, F.col("rep") == F.col("cid"), "left").select("cls", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "cls").join(by_class, "cls", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
@@ -239,6 +274,8 @@ def components(docs: DataFrame, kept: Kept, k: int, percent: int, doc_id: str, t
 
 def confirm(found: list[DataFrame], links: DataFrame | None, docs: DataFrame, kept: Kept, k: int, percent: int, doc_id: str, text: str, inside: np.ndarray) -> DataFrame:
     """links and those of the found pairs whose full sets are similar enough: 100 * both >= percent * either."""
+    if not found:
+        return links
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
