@@ -14,6 +14,7 @@ document: it joins the corpus counts and the words' probabilities, which are wor
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,16 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import words as W
 from quillspark.llm.toxicity import remainder
 from quillspark.session import Kept
 
 DEFAULT = "piece_bpe_32k.model"
 #: A block is closed at so many distinct words (their numbers take 16 bits) or bytes of text.
-BLOCK_WORDS, BLOCK_BYTES = 48_000, 3 << 20
-EM_ROUNDS = 3
+BLOCK_WORDS, BLOCK_BYTES = 48_000, 8 << 20
+#: Words that the lattice takes at a time, so that those of one length are many.
+BATCH_WORDS = 1 << 16
+EM_ROUNDS = 1
 #: Added to each piece's expected count.
 SMOOTH = 0.05
 MAX_PIECES = 1 << 20
@@ -79,12 +83,13 @@ class Lattice:
         by_len: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_len.setdefault(len(p), []).append(i)
-        self.tables = {}
+        self.tables, self.maybe = {}, np.zeros(1 << 20, bool)
         for n, ids in by_len.items():
             x = np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(-1, n)
-            key = self._key(self._prefix(x), 0, n)
+            key = self._prefix(x)[:, n]
             order = np.argsort(key)
             self.tables[n] = (key[order], np.array(ids)[order])
+            self.maybe[W.mix(key) >> _U(44)] = True
 
     @staticmethod
     def _prefix(x: np.ndarray) -> np.ndarray:
@@ -96,25 +101,25 @@ class Lattice:
         np.cumsum(_BYTE[x] * np.multiply.accumulate(power), axis=1, out=total[:, 1:])
         return total
 
-    @staticmethod
-    def _key(prefix: np.ndarray, i: int, j: int) -> np.ndarray:
-        return (prefix[:, j] - prefix[:, i]) * _U(pow(_RI, i, 1 << 64))
-
     def arcs(self, x: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(i, j, rows, pieces) of the substrings of words of one length that are pieces."""
+        """(i, j, rows, pieces) of the substrings of words of one length that are pieces, by j."""
         prefix, n, out = self._prefix(x), x.shape[1], []
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                table = self.tables.get(j - i)
-                if table is None:
-                    continue
-                keys, ids = table
-                key = self._key(prefix, i, j)
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                rows = np.flatnonzero(keys[at] == key)
-                if len(rows):
-                    out.append((i, j, rows, ids[at[rows]]))
-        return out
+        back = np.full(n, _RI, np.uint64)
+        back[0] = 1
+        back = np.multiply.accumulate(back)
+        for size, (keys, ids) in self.tables.items():
+            if size > n:
+                continue
+            # all starts at once; most substrings are ruled out by one look into a table of bits
+            key = ((prefix[:, size:] - prefix[:, : n + 1 - size]) * back[: n + 1 - size]).T
+            start, rows = np.nonzero(self.maybe[W.mix(key) >> _U(44)])
+            key = key[start, rows]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            same = keys[at] == key
+            start, rows, found = start[same], rows[same], ids[at[same]]
+            cuts = np.searchsorted(start, np.arange(n + 2 - size))
+            out += [(i, i + size, rows[a:b], found[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        return sorted(out, key=lambda arc: (arc[1], arc[0]))
 
     @staticmethod
     def _add(total: np.ndarray, j: int, rows: np.ndarray, value: np.ndarray) -> None:
@@ -158,6 +163,19 @@ class Lattice:
         return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about BATCH_WORDS rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BATCH_WORDS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 _READY: dict[str, tuple] = {}
 
 
@@ -175,34 +193,41 @@ BLOCKS = "block long, doc_ids array<long>, held array<boolean>, words array<stri
 def pack(docs: DataFrame, doc_id: str, text: str, held_out) -> DataFrame:
     """Blocks of documents: their distinct words with counts over training texts, and each document's words and counts."""
 
-    def row(names: list, held: list, texts: list[list[bytes]], vocab: dict[bytes, int]) -> pa.RecordBatch:
+    def row(block: int, names: list, held: list, texts: list[np.ndarray], vocab: dict[bytes, int]) -> pa.RecordBatch:
         sizes = np.array([len(t) for t in texts])
-        ids = np.fromiter((i for t in texts for i in t), np.int64, int(sizes.sum()))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        pair, tf = np.unique(doc * (1 << 32) + ids, return_counts=True)
+        pair, tf = np.unique(np.repeat(np.arange(len(texts)) << 32, sizes) + np.concatenate(texts), return_counts=True)
         idx, doc = pair & (1 << 32) - 1, pair >> 32
         train = np.bincount(idx, tf * ~np.array(held)[doc], len(vocab)).astype(np.int64) if len(vocab) else np.zeros(0, np.int64)
         ends = np.searchsorted(doc, np.arange(1, len(texts) + 1)).astype("<i4")
-        words = pa.array([w.decode() for w in vocab], pa.string())
-        cells = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(words)], pa.array(train)), *[pa.array([x.tobytes()], pa.binary()) for x in (ends, idx.astype("<u4"), tf.astype("<u4"))]]
+        words = pa.array(list(vocab), pa.binary()).cast(pa.string())
+        short = "<u2" if len(vocab) < 1 << 16 else "<u4"
+        cells = [pa.array([block], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(words)], pa.array(train)), *[pa.array([x.tobytes()], pa.binary()) for x in (ends, idx.astype(short), tf.astype("<u4"))]]
         return pa.RecordBatch.from_arrays(cells, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, texts, vocab, size = [], [], [], {}, 0
+        from pyspark import TaskContext
+
+        def fresh() -> dict:
+            words: dict = defaultdict()
+            words.default_factory = words.__len__  # the next number
+            return words
+
+        block = TaskContext.get().partitionId() << 24  # numbers in a row are packed well
+        names, held, texts, vocab, size = [], [], [], fresh(), 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
                 for d, x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = (x or "").encode().translate(_LOWER).split()
-                    texts.append([vocab.setdefault(w, len(vocab)) for w in raw])
+                    texts.append(np.fromiter(map(vocab.__getitem__, raw), np.int32, len(raw)))
                     names.append(d)
                     held.append(h)
                     size += len(x or "")
                     if len(vocab) >= BLOCK_WORDS or size >= BLOCK_BYTES:
-                        yield row(names, held, texts, vocab)
-                        names, held, texts, vocab, size = [], [], [], {}, 0
+                        yield row(block, names, held, texts, vocab)
+                        names, held, texts, vocab, size, block = [], [], [], fresh(), 0, block + 1
         if names:
-            yield row(names, held, texts, vocab)
+            yield row(block, names, held, texts, vocab)
 
     return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x"), held_out.alias("h")).mapInArrow(run, BLOCKS)
 
@@ -216,7 +241,7 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     kept = Kept(spark, "lattice-lm")
-    blocks = kept.keep(pack(docs, doc_id, text, F.coalesce(held_out, F.lit(True))), "blocks")
+    blocks = kept.keep(pack(docs, doc_id, text, F.coalesce(held_out, F.lit(True))), "blocks", compression="zstd")
     seen = blocks.select("block", F.posexplode(F.arrays_zip("words", "train_tf")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.train_tf").alias("tf"))
     counts = kept.keep(seen.groupBy("word").agg(F.sum("tf").alias("c")), "counts")
     sums = counts.agg(F.sum("c").alias("n"), *[F.sum(x.cast("long")).alias(k) for k, x in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2))]).head()
@@ -233,7 +258,7 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             lattice, _ = _ready(shared.value)
             total = np.zeros(len(now.value))
-            for batch in batches:
+            for batch in gathered(batches):
                 for at, x in lattice.groups([w.encode() for w in batch.column(0).to_pylist()]):
                     lattice.expected(x, np.ones(len(at)), now.value, total)
             used = np.flatnonzero(total)
@@ -253,13 +278,13 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, _ = _ready(shared.value)
-        for batch in batches:
+        for batch in gathered(batches):
             lp = lattice.log10([w.encode() for w in batch.column(0).to_pylist()], final.value) * np.log(10) + back
             whole = np.maximum(np.asarray(batch.column(1), np.float64) - off, 0) / max(n, 1)
             lp = np.logaddexp(lp, np.log(np.maximum(whole, 1e-300))) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp.astype(np.float32))], names=["word", "c", "lp"])
 
-    priced = kept.keep(counts.mapInArrow(price, "word string, c long, lp double"), "priced")
+    priced = kept.keep(counts.mapInArrow(price, "word string, c long, lp float"), "priced")
     refs = seen.select("word", F.col("block").alias("of"), "pos").join(priced.hint("shuffle_merge"), "word").select("of", "pos", "c", "lp")
     bottom = float(n + v + 1)
     end_base, end_lp = float(np.log10((n_docs + 1) / bottom)), float(log_end / np.log(10))
@@ -273,7 +298,9 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
         base = np.log10((c + 1) / bottom)
         for k in range(left.num_rows):
             names, held = left.column("doc_ids")[k].as_py(), left.column("held")[k].as_py()
-            ends, idx, tf = (np.frombuffer(left.column(x)[k].as_py(), t) for x, t in (("ends", "<i4"), ("idx", "<u4"), ("tf", "<u4")))
+            ends, tf = (np.frombuffer(left.column(x)[k].as_py(), t) for x, t in (("ends", "<i4"), ("tf", "<u4")))
+            idx = left.column("idx")[k].as_py()
+            idx = np.frombuffer(idx, "<u2" if len(idx) == 2 * len(tf) else "<u4")
             doc, tf = np.repeat(np.arange(len(names)), np.diff(ends, prepend=0)), tf.astype(np.float64)
             total = lambda x: np.bincount(doc, x, len(names))
             out.append(pa.table({
