@@ -1,4 +1,4 @@
-"""Token ids of texts by a memo over runs of white space and what follows them."""
+"""Token ids of texts by a memo over the parts between blanks."""
 
 from __future__ import annotations
 
@@ -14,29 +14,60 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Memo:
-    """Encodes texts chunk by chunk; each distinct chunk is encoded once while it is remembered.
+    """Encodes texts part by part; each distinct part is encoded once while it is remembered.
 
     The pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`
-    never matches across the end of a run of non-space, and looks one character ahead at most,
-    which stays inside a chunk. So the ids of a text are those of its chunks, one after another.
-    The memo is emptied when it holds `limit` chunks: memory is bounded, results don't depend on it.
+    never matches across the end of a run of non-space, and looks one character ahead at most.
+    So the ids of a text are those of its chunks (CHUNK), one after another. Where single blanks part a text
+    (no part between blanks is empty or begins or ends with white space), the parts with the blank before are
+    such chunks or several of them, and splitting is cheap; other texts are cut by CHUNK.
+    encode takes chunks and returns each one's ids as bytes of little-endian 32-bit integers. Parts that end in
+    a full stop or comma after a letter share the ids of the part without it, since the sign is a token of its own.
+    The memo is emptied when it holds `limit` parts: memory is bounded, and results don't depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1 << 19, long: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1 << 19, long: int = 48):
         self.encode, self.limit, self.long, self.known = encode, limit, long, {}
+        self.signs = dict(zip(".,", encode([".", ","]), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids as 32-bit integers."""
         if any(c in text for c in _ODD):
             return np.frombuffer(self.encode([text])[0], "<i4")
-        chunks, known = CHUNK.findall(text), self.known
-        try:
-            return np.frombuffer(b"".join([known[c] for c in chunks]), "<i4")
-        except KeyError:
-            pass
+        head, *parts = text.split(" ")
+        raw = self._of_parts(parts)
+        if raw is None or head[-1:].isspace():
+            raw, head = b"".join(self.encode(CHUNK.findall(text))), ""
+        first = b"".join(self.encode(CHUNK.findall(head))) if head else b""
+        return np.frombuffer(first + raw, "<i4")
+
+    def _of_parts(self, parts: list[str]) -> bytes | None:
+        """Ids of the parts, each with a blank before; None if they aren't parted by single blanks."""
+        known = self.known
+        ids = list(map(known.get, parts))
+        if None not in ids:
+            return b"".join(ids)
+        new = {p for p, i in zip(parts, ids, strict=True) if i is None}
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            return None
         if len(known) > self.limit:
             known.clear()
-        new = list({c: None for c in chunks if c not in known})
-        found = dict(zip(new, self.encode(new), strict=True))
+        stems: dict[str, None] = {}
+        whole: dict[str, list[str]] = {}
+        for p in new:
+            if "\n" in p:
+                whole[p] = CHUNK.findall(" " + p)
+                continue
+            q = p[:-1] if p[-1] in ".," and p[-2:-1].isalpha() else p
+            if q not in known:
+                stems[q] = None
+        found = dict(zip(stems, self.encode([" " + q for q in stems]), strict=True))
+        for p, chunks in whole.items():
+            found[p] = b"".join(self.encode(chunks))
+        for p in new:
+            if p not in found:
+                q = p[:-1]
+                found[p] = (found.get(q) or known[q]) + self.signs[p[-1]]
+        out = b"".join([found[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
         known.update(x for x in found.items() if len(x[0]) <= self.long)
-        return np.frombuffer(b"".join([known.get(c) if c in known else found[c] for c in chunks]), "<i4")
+        return out

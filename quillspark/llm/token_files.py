@@ -31,6 +31,7 @@ PERCENTILE = 90
 ROW_IDS = 1 << 18
 #: Input bytes for each range of doc_id, so for each writing task.
 RANGE_BYTES = 16 << 20
+UNKNOWN_BYTES = 1 << 55
 MAX_MODEL_BYTES = 64 << 20
 DEFAULT = "byte_bpe_50k.json"
 END_ID = 2
@@ -115,6 +116,26 @@ def decode_blocks(payload: bytes, lo: int = 0, hi: int | None = None) -> np.ndar
     return out.reshape(-1)[lo - first * BLOCK : hi - first * BLOCK]
 
 
+class _Encoder:
+    """Ids of chunks. Chunks of one word each are encoded as the lines of one text: a newline before a blank is a token by itself."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        line = self._ids(["\n"])[0]
+        self.line = int(np.frombuffer(line, "<i4")[0]) if len(line) == 4 else None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        plain = self.line is not None and len(chunks) > 1 and all(c[0] == " " and c[1:2].strip() and "\n" not in c for c in chunks)
+        if not plain:
+            return self._ids(chunks)
+        raw = self._ids(["\n".join(chunks)])[0]
+        cuts = (np.flatnonzero(np.frombuffer(raw, "<i4") == self.line) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+
+
 def _memo(model: bytes) -> Memo:
     """One encoder in each Python worker."""
     key = hash(model)
@@ -124,7 +145,7 @@ def _memo(model: bytes) -> Memo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         t = Tokenizer.from_str(model.decode())
         t.encode_special_tokens = True
-        _READY[key] = Memo(lambda texts: [np.array(x.ids, "<i4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)])
+        _READY[key] = Memo(_Encoder(t), limit=1 << 20)
     return _READY[key]
 
 
@@ -152,7 +173,9 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int =
     if len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"the tokenizer has {len(model)} bytes, more than MAX_MODEL_BYTES")
     value = spark.sparkContext.broadcast(model)
-    ranges = max(-(-plan_bytes(docs) // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = plan_bytes(docs)
+    # of rows that come from no files Spark knows no size, and says the largest number
+    ranges = max(-(-size // RANGE_BYTES) if size < UNKNOWN_BYTES else 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
