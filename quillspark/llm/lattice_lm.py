@@ -29,8 +29,8 @@ from quillspark.llm.toxicity import remainder
 from quillspark.session import Kept
 
 DEFAULT = "piece_bpe_32k.model"
-#: A block is closed at so many distinct words (their numbers take 16 bits) or bytes of text.
-BLOCK_WORDS, BLOCK_BYTES = 48_000, 8 << 20
+#: A block is closed at so many distinct words or bytes of text. The larger, the fewer rows are shuffled for the same texts.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 17, 8 << 20
 #: Words that the lattice takes at a time, so that those of one length are many.
 BATCH_WORDS = 1 << 16
 EM_ROUNDS = 1
