@@ -28,8 +28,10 @@ from quillspark.session import Kept
 SIGNATURE = 64
 TREES = 12
 SMALL = 256
-#: Levels between two confirmations, and at most.
-LEVELS, MAX_LEVELS = 4, 16
+#: A large node branches so many times before its children are counted: texts that are alike but not near keep nodes large long.
+JUMP = 4
+#: Rounds of counting between two confirmations, and at most.
+LEVELS, MAX_LEVELS = 4, 6
 #: A large node of which at most so many classes aren't joined with the others is finished by comparing those with all.
 FEW = 64
 BLOCK_ROWS = 512
@@ -224,8 +226,11 @@ def components(docs: DataFrame, kept: Kept, k: int, percent: int, doc_id: str, t
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rep = np.asarray(b.column("rep"))
-            at, child = branch(np.asarray(b.column("node")).view(np.uint64), sig_matrix(b.column("sig")), rule.second)
+            rep, sig = np.asarray(b.column("rep")), sig_matrix(b.column("sig"))
+            at, child = np.arange(len(rep)), np.asarray(b.column("node")).view(np.uint64)
+            for _ in range(JUMP):
+                up, child = branch(child, sig[at], rule.second)
+                at = at[up]
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[at])], names=["node", "rep"])
 
     narrow = classes.select("rep", "n", "sig")

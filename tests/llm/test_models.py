@@ -104,7 +104,7 @@ def brute_components(docs, k, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small,few,levels", [(256, 64, 16), (4, 2, 16), (4, 2, 2)])
+@pytest.mark.parametrize("small,few,levels", [(256, 64, 6), (4, 2, 6), (4, 2, 1)])
 def test_near_duplicates(spark, make, monkeypatch, small, few, levels):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "FEW", few)
