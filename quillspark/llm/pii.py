@@ -173,7 +173,7 @@ def numbers(key: tuple[int, ...]) -> list[float]:
 def fit(counts: list[tuple[tuple[int, ...], int]], steps: int = 400) -> list[float]:
     """Weights of the span classifier. It doesn't see the strict rule's vote, so it can go beyond the base rules."""
     _, _, post = fit_votes(counts)
-    rows = [(numbers(key), min(n, 10_000), post[key]) for key, n in counts]
+    rows = [(numbers(key), n, post[key]) for key, n in counts]
     w = [0.0] * len(numbers((0,) * (2 + len(LABELERS))))
     total = sum(n for _, n, _ in rows) or 1
     for _ in range(steps):

@@ -173,6 +173,12 @@ def test_weak_supervision_and_masking(spark, make):
     assert (got["e"], got["i"]) == (1, 0)
 
 
+def test_span_classifier_does_not_change_with_input_size():
+    counts = [((0, 1, 1, 1, 1, 1), 9_000), ((3, 0, 1, 0, 1, 1), 4_000), ((3, 0, 0, -1, -1, 0), 300), ((3, 0, -1, 0, 1, 1), 2_000), ((2, 1, 1, 0, 1, 1), 900)]
+    once, many = pii.fit(counts), pii.fit([(key, 1000 * n) for key, n in counts])
+    assert np.allclose(once, many, atol=0.02)
+
+
 def test_word_hashes():
     import pyarrow as pa
 
