@@ -33,7 +33,7 @@ DEFAULT = "piece_bpe_32k.model"
 BLOCK_WORDS, BLOCK_BYTES = 1 << 17, 8 << 20
 #: Words that the lattice takes at a time, so that those of one length are many.
 BATCH_WORDS = 1 << 16
-EM_ROUNDS = 1
+EM_ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTH = 0.05
 MAX_PIECES = 1 << 20

@@ -83,6 +83,13 @@ def test_lattice_against_brute_force(spark, make, corpus):
     assert lattice_lm.score(docs.limit(0), P.path(lattice_lm.DEFAULT), F.lit(False)).count() == 0
 
 
+def test_lattice_weights_take_three_rounds(make, corpus):
+    docs, held = corpus[0].where("doc_id < 60").unionByName(make([(2000, "tanasoko mitilu reperu lumasoti kodunana")])), F.col("doc_id") == 2000
+    unseen = lambda **x: lattice_lm.score(docs, P.path(lattice_lm.DEFAULT), held, **x).where("held_out").head()["score"]
+    usual, three, one = unseen(), unseen(em_rounds=3), unseen(em_rounds=1)
+    assert abs(usual - three) < 1e-3 < 1e-2 < abs(usual - one), (usual, three, one)
+
+
 def brute_components(docs, k, percent):
     sets = {}
     for i, x in docs:
