@@ -15,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,77 +35,81 @@ NEVER = frozenset("script style noscript template head title iframe object svg c
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Names in class, id or role that mark what is no article text (our own list).
 NOISE = re.compile(r"^(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|comments?|commentlist|respond|disqus\w*|discussion|replies|reply|share\w*|sharing|social\w*|related|recommend\w*|widget\w*|toolbar|search\w*|login|pagination|pager|complementary|contentinfo|navigation|dialog)$")
-#: Nodes of one page's skeleton that are aligned at most one by one; larger levels fall back to equal positions.
+#: Children of a node that are aligned.
 MAX_CHILDREN = 400
+INLINE = frozenset("br wbr b i em strong a span u s small sub sup font code img".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "children", "parent")
+    __slots__ = ("tag", "noise", "children", "depth")
 
-    def __init__(self, tag: str, noise: bool, parent: Node | None):
-        self.tag, self.noise, self.parent, self.children = tag, noise, parent, []
+    def __init__(self, tag: str, noise: bool, depth: int):
+        self.tag, self.noise, self.depth, self.children = tag, noise, depth, []
 
 
 class Tree(HTMLParser):
-    """A DOM tree with the implied ends that matter for text. Children are nodes and strings."""
+    """A DOM tree with the implied ends that matter for text. Children are nodes and strings.
+
+    path holds the open nodes, open those of each tag and blocks the block elements of them, so no tag walks the ancestors.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", False, None)
+        self.root = Node("#root", False, 0)
+        self.path, self.open, self.blocks = [self.root], defaultdict(list), []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
-            self._close({"p"}, stop=frozenset(("table", "td", "th", "caption", "button", "object")))
+            self._close(("p",), stop=("table", "td", "th", "caption", "button", "object"))
         if tag == "li":
-            self._close({"li"}, stop=frozenset(("ul", "ol", "menu")))
+            self._close(("li",), stop=("ul", "ol", "menu"))
         elif tag in ("dt", "dd"):
-            self._close({"dt", "dd"}, stop=frozenset(("dl",)))
+            self._close(("dt", "dd"), stop=("dl",))
         elif tag in ("td", "th"):
-            self._close({"td", "th"}, stop=frozenset(("table", "tr")))
+            self._close(("td", "th"), stop=("table", "tr"))
         elif tag == "tr":
-            self._close({"tr"}, stop=frozenset(("table",)))
+            self._close(("tr",), stop=("table",))
         elif tag == "option":
-            self._close({"option"}, stop=frozenset(("select",)))
+            self._close(("option",), stop=("select",))
         words = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         noise = tag in NEVER or any(k == "hidden" for k, _ in attrs) or any(NOISE.match(p) for w in words.lower().split() for p in (w, *re.split(r"[-_]+", w)))
-        node = Node(tag, noise and tag not in ("html", "body", "article", "main"), self.at)
-        if tag == "header" and not self._inside(("article", "main")):
+        node = Node(tag, noise and tag not in ("html", "body", "article", "main"), len(self.path))
+        if tag == "header" and not self._deepest(("article", "main")):
             node.noise = True
-        self.at.children.append(node)
+        self.path[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.path.append(node)
+            self.open[tag].append(node)
+            if tag in BLOCK:
+                self.blocks.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        x = self.at
-        while x.parent is not None and x.tag != tag:
-            # an inline end tag doesn't close blocks
-            if x.tag in BLOCK and tag not in BLOCK:
-                return
-            x = x.parent
-        if x.parent is not None:
-            self.at = x.parent
+        at = self._deepest((tag,))
+        # an inline end tag doesn't close blocks
+        if at and (tag in BLOCK or not self.blocks or self.blocks[-1].depth < at):
+            self._leave(at)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
 
-    def _inside(self, tags: tuple) -> bool:
-        x = self.at
-        while x is not None:
-            if x.tag in tags:
-                return True
-            x = x.parent
-        return False
+    def _deepest(self, tags: tuple) -> int:
+        """Depth of the deepest open node with one of the tags, or 0."""
+        return max((self.open[t][-1].depth for t in tags if self.open.get(t)), default=0)
 
-    def _close(self, tags: set, stop: frozenset) -> None:
-        x = self.at
-        while x.parent is not None and x.tag not in stop:
-            if x.tag in tags:
-                self.at = x.parent
-                return
-            x = x.parent
+    def _leave(self, depth: int) -> None:
+        while len(self.path) > depth:
+            x = self.path.pop()
+            self.open[x.tag].pop()
+            if x.tag in BLOCK:
+                self.blocks.pop()
+
+    def _close(self, tags: tuple, stop: tuple) -> None:
+        at = self._deepest(tags)
+        if at > self._deepest(stop):
+            self._leave(at)
 
 
 def parse(page: str) -> Node:
@@ -116,109 +122,246 @@ def parse(page: str) -> Node:
 
 
 Skeleton = list  # [tag, noise, [children]]
+Numbered = list  # (tag, noise, children's numbers) of each node, in pre-order
 
 
-def skeleton(node: Node, slots: dict[int, int] | None = None, counter: list[int] | None = None) -> Skeleton:
+def skeleton(root: Node, slots: dict[int, int] | None = None) -> Numbered:
     """The tree of elements, siblings in a row with equal shapes merged. slots gets the number of each node, in pre-order;
     merged siblings share theirs."""
-    counter = [0] if counter is None else counter
-    mine = counter[0]
-    counter[0] += 1
-    if slots is not None:
-        slots[id(node)] = mine
-    out: list = [node.tag, int(node.noise), []]
-    last, first = None, 0
-    for c in node.children:
-        if isinstance(c, str) or c.tag in ("br", "wbr", "b", "i", "em", "strong", "a", "span", "u", "s", "small", "sub", "sup", "font", "code", "img") and not c.noise and not any(isinstance(g, Node) and g.tag in BLOCK for g in c.children):
-            continue  # inline elements are part of their block's text
-        at = counter[0]
-        own: dict[int, int] = {}
-        shape = skeleton(c, own, counter)
-        if shape == last:  # the same again: take back its numbers
-            own = {k: v - at + first for k, v in own.items()}
-            counter[0] = at
-        else:
-            out[2].append(shape)
-            last, first = shape, at
+    kids: dict[int, list[Node]] = {}
+    shape: dict[int, int] = {}
+    sizes: dict[int, int] = {}
+    known: dict[tuple, int] = {}
+    todo = [root]
+    while todo:
+        x = todo[-1]
+        if id(x) not in kids:  # inline elements are part of their block's text
+            kids[id(x)] = [c for c in x.children if not isinstance(c, str) and (c.noise or c.tag not in INLINE or any(isinstance(g, Node) and g.tag in BLOCK for g in c.children))]
+            todo += kids[id(x)]
+            continue
+        todo.pop()
+        own = [shape[id(c)] for c in kids[id(x)]]
+        own = tuple(s for k, s in enumerate(own) if not k or own[k - 1] != s)
+        shape[id(x)] = mine = known.setdefault((x.tag, x.noise, own), len(known))
+        sizes[mine] = 1 + sum(sizes[s] for s in own)
+    out: list = [None] * sizes[shape[id(root)]]
+    work = [(root, 0)]
+    while work:
+        x, k = work.pop()
         if slots is not None:
-            slots.update(own)
+            slots[id(x)] = k
+        numbers, last, at = [], None, k + 1
+        for c in kids[id(x)]:
+            s = shape[id(c)]
+            if s != last:
+                numbers.append(at)
+                last, at = s, at + sizes[s]
+            work.append((c, numbers[-1]))
+        out[k] = (x.tag, int(x.noise), numbers)
     return out
 
 
-def inline_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else " " if c.tag == "br" else inline_text(c) for c in node.children)
+def written(s: Numbered) -> str:
+    """A skeleton as text: tag, noise and number of children of each node, so that deep trees don't nest."""
+    return json.dumps([[t, z, len(c)] for t, z, c in s], separators=(",", ":"))
 
 
-def numbered(s: Skeleton) -> list[tuple[str, int, list[int]]]:
-    """(tag, noise, children's numbers) in pre-order."""
+def read(text: str) -> Numbered:
     out: list = []
+    above: list = []  # [children's numbers, how many are missing]
+    for k, (t, z, n) in enumerate(json.loads(text)):
+        while above and not above[-1][1]:
+            above.pop()
+        if above:
+            above[-1][0].append(k)
+            above[-1][1] -= 1
+        out.append((t, z, []))
+        above.append([out[k][2], n])
+    return out
 
-    def walk(x: Skeleton) -> int:
-        k = len(out)
-        out.append(None)
-        out[k] = (x[0], x[1], [walk(c) for c in x[2]])
-        return k
 
-    walk(s)
+def numbered(s: Skeleton) -> Numbered:
+    """The same of nested lists."""
+    out: list = []
+    todo = [(s, None)]
+    while todo:
+        x, up = todo.pop()
+        if up is not None:
+            up.append(len(out))
+        out.append((x[0], x[1], []))
+        todo += [(c, out[-1][2]) for c in reversed(x[2])]
     return out
 
 
-def simple_tree_matching(a: Skeleton, b: Skeleton) -> dict[int, int]:
-    """Numbers of a's nodes with those of b that they match in the largest matching that keeps order and ancestry."""
-    x, y = numbered(a), numbered(b)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(i: int, j: int) -> int:
-        if x[i][0] != y[j][0] or x[i][1] != y[j][1]:
-            return 0
-        if (i, j) in memo:
-            return memo[i, j][0]
-        p, q = x[i][2][:MAX_CHILDREN], y[j][2][:MAX_CHILDREN]
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for s in range(1, len(p) + 1):
-            for t in range(1, len(q) + 1):
-                best[s][t] = max(best[s - 1][t], best[s][t - 1], best[s - 1][t - 1] + match(p[s - 1], q[t - 1]))
-        pairs, s, t = [], len(p), len(q)
-        while s and t:
-            if best[s][t] == best[s - 1][t]:
-                s -= 1
-            elif best[s][t] == best[s][t - 1]:
-                t -= 1
-            else:
-                pairs.append((p[s - 1], q[t - 1]))
-                s, t = s - 1, t - 1
-        memo[i, j] = (best[-1][-1] + 1, pairs)
-        return memo[i, j][0]
-
-    out: dict[int, int] = {}
+def longest(rows, before) -> Iterator:
+    """Rows of the table of best sums, each from the one before; a row of weights for each of a's children."""
+    for w in rows:
+        if len(w) > 64:
+            before = np.maximum.accumulate(np.maximum(before, np.concatenate(([0], np.asarray(before)[:-1] + w))))
+        else:
+            now = [0]
+            for t, v in enumerate(w):
+                now.append(max(now[t], before[t + 1], before[t] + v))
+            before = now
+        yield before
+
+
+class Matching:
+    """Simple tree matching of two trees over all children: equal shapes match whole, equal ends of two lists are taken
+    off, and the rest is aligned row by row; rows in between are kept at every square root, so memory is not squared."""
+
+    def __init__(self, x: Numbered, y: Numbered):
+        known: dict[tuple, int] = {}
+        self.nodes: list[tuple] = []  # of each shape: (tag, noise), children's shapes
+        self.size: list[int] = []
+        self.of = tuple([0] * len(t) for t in (x, y))
+        self.trees, self.memo = (x, y), {}
+        for t, of in zip(self.trees, self.of, strict=True):
+            for k in range(len(t) - 1, -1, -1):
+                key = (t[k][:2], tuple([of[c] for c in t[k][2]]))
+                if key not in known:
+                    known[key] = len(known)
+                    self.nodes.append(key)
+                    self.size.append(1 + sum(self.size[c] for c in key[1]))
+                of[k] = known[key]
+        self.whole = self._solve(self.of[0][0], self.of[1][0])
+
+    def _ends(self, a: int, b: int) -> tuple[int, int, tuple, tuple]:
+        """(children that are equal at the beginning, at the end, what lies between on both sides)."""
+        p, q = self.nodes[a][1][:MAX_CHILDREN], self.nodes[b][1][:MAX_CHILDREN]
+        n, lo, hi = min(len(p), len(q)), 0, 0
+        while lo < n and p[lo] == q[lo]:
+            lo += 1
+        while hi < n - lo and p[len(p) - 1 - hi] == q[len(q) - 1 - hi]:
+            hi += 1
+        return lo, hi, p[lo : len(p) - hi], q[lo : len(q) - hi]
+
+    def _weight(self, a: int, b: int) -> int | None:
+        if a == b:
+            return self.size[a]
+        return 0 if self.nodes[a][0] != self.nodes[b][0] else self.memo.get((a, b))
+
+    def _rows(self, p: tuple, q: tuple) -> Iterator:
+        """Weights of each of p against all of q; one row for each shape."""
+        kinds = list(dict.fromkeys(q))
+        at = {b: k for k, b in enumerate(kinds)}
+        where = np.array([at[b] for b in q]) if len(q) > 64 else [at[b] for b in q]
+        rows: dict = {}
+        for a in p:
+            if a not in rows:
+                w = [self._weight(a, b) for b in kinds]
+                rows[a] = np.array(w)[where] if len(q) > 64 else [w[k] for k in where]
+            yield rows[a]
+
+    def _solve(self, a: int, b: int) -> int:
+        todo = [(a, b)] if self._weight(a, b) is None else []
+        while todo:
+            i, j = todo[-1]
+            if (i, j) in self.memo:
+                todo.pop()
+                continue
+            lo, hi, p, q = self._ends(i, j)
+            missing = [(s, t) for s in dict.fromkeys(p) for t in dict.fromkeys(q) if self._weight(s, t) is None]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            ends = self.nodes[i][1][:MAX_CHILDREN]
+            total = 1 + sum(self.size[s] for s in (*ends[:lo], *ends[len(ends) - hi :]))
+            if p and q:
+                for row in longest(self._rows(p, q), [0] * (len(q) + 1)):
+                    pass
+                total += int(row[-1])
+            self.memo[i, j] = total
+        return self._weight(a, b)
+
+    def _children(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Positions of the children that are matched."""
+        lo, hi, p, q = self._ends(a, b)
+        out = [(k, k) for k in range(lo)]
+        m, n = (len(self.nodes[z][1][:MAX_CHILDREN]) for z in (a, b))
+        out += [(m - 1 - k, n - 1 - k) for k in range(hi)]
+        if not (p and q):
+            return out
+        step = int(len(p) ** 0.5) + 1
+        marks = {0: [0] * (len(q) + 1)}
+        for s, row in enumerate(longest(self._rows(p, q), marks[0]), 1):
+            if s % step == 0:
+                marks[s] = row
+        t, first = len(q), (len(p) - 1) // step * step
+        for base in range(first, -1, -step):
+            s = min(len(p), base + step)
+            block = [marks[base], *longest(self._rows(p[base:s], q), marks[base])]
+            while s > base and t:
+                if block[s - base][t] == block[s - 1 - base][t]:
+                    s -= 1
+                elif block[s - base][t] == block[s - base][t - 1]:
+                    t -= 1
+                else:
+                    s, t = s - 1, t - 1
+                    out.append((lo + s, lo + t))
+        return out
+
+    def pairs(self) -> dict[int, int]:
+        out: dict[int, int] = {}
+        (x, y), todo = self.trees, [(0, 0)] if self.whole else []
+        cache: dict = {}
+        while todo:
+            i, j = todo.pop()
+            a, b = self.of[0][i], self.of[1][j]
+            if a == b:
+                out |= {i + k: j + k for k in range(self.size[a])}
+                continue
+            out[i] = j
+            if (a, b) not in cache:
+                cache[a, b] = self._children(a, b)
+            todo += [(x[i][2][s], y[j][2][t]) for s, t in cache[a, b]]
+        return out
 
-    def follow(i: int, j: int) -> None:
-        out[i] = j
-        for p, q in memo[i, j][1]:
-            follow(p, q)
 
-    if match(0, 0):
-        follow(0, 0)
-    return out
+def simple_tree_matching(a: Skeleton, b: Skeleton) -> dict[int, int]:
+    """Numbers of a's nodes with those of b that they match in the largest matching that keeps order and ancestry."""
+    return Matching(numbered(a), numbered(b)).pairs()
+
+
+def inside(node: Node, enter) -> Iterator[tuple[int, Node | str]]:
+    """What lies below a node in the page's order: (0, string), (1, node) at its beginning and (2, node) at its end. Nodes that
+    enter refuses are left out with all below."""
+    todo: list = [iter(node.children)]
+    open_: list = [node]
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+            x = open_.pop()
+            if open_:
+                yield 2, x
+        elif isinstance(c, str):
+            yield 0, c
+        elif enter(c):
+            yield 1, c
+            todo.append(iter(c.children))
+            open_.append(c)
 
 
 def own_texts(node: Node, slots: dict[int, int], out: dict[int, list[str]]) -> None:
     """Text of each node of the skeleton, without that of deeper ones."""
-    mine: list[str] = []
-
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                mine.append(c)
-            elif id(c) in slots:
-                own_texts(c, slots, out)
-            else:
-                walk(c)
+    mine: list = [[]]
 
-    walk(node)
-    text = " ".join("".join(mine).split())
-    if text:
-        out.setdefault(slots[id(node)], []).append(text)
+    def end(x: Node) -> None:
+        text = " ".join("".join(mine.pop()).split())
+        if text:
+            out.setdefault(slots[id(x)], []).append(text)
+
+    for what, c in inside(node, lambda c: True):
+        if what == 0:
+            mine[-1].append(c)
+        elif id(c) in slots:
+            if what == 1:
+                mine.append([])
+            else:
+                end(c)
+    end(node)
 
 
 def digest(text: str) -> int:
@@ -229,16 +372,16 @@ def regions(root: Node, test) -> list[Node]:
     """The topmost nodes that pass the test, outside of noise; without a test <article>, or else <main>."""
     tops: list[Node] = []
 
-    def find(x: Node, test) -> None:
-        for c in x.children:
-            if isinstance(c, Node) and not c.noise:
-                if test(c):
-                    tops.append(c)
-                else:
-                    find(c, test)
-
     for t in (test,) if test else (lambda c: c.tag == "article", lambda c: c.tag == "main"):
-        find(root, t)
+
+        def enter(c: Node, t=t) -> bool:
+            if not c.noise and t(c):
+                tops.append(c)
+                return False
+            return not c.noise
+
+        for _ in inside(root, enter):
+            pass
         if tops:
             break
     return tops
@@ -260,22 +403,14 @@ def content(page: str, template: frozenset[int] = frozenset(), region: int | Non
         if text:
             blocks.append(text)
 
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
+    for top in tops or [root]:
+        for what, c in inside(top, lambda c: c.tag == "br" or not c.noise and slots.get(id(c)) not in template):
+            if what == 0:
                 run.append(c)
             elif c.tag == "br":
-                run.append(" ")
-            elif not c.noise and slots.get(id(c)) not in template:
-                if c.tag in BLOCK:
-                    end()
-                    walk(c)
-                    end()
-                else:
-                    walk(c)
-
-    for top in tops or [root]:
-        walk(top)
+                run.append(" " * (what == 1))
+            elif c.tag in BLOCK:
+                end()
         end()
     return "\n".join(blocks)
 
@@ -298,7 +433,7 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
                 for x in b.column(0).to_pylist():
                     root, slots, texts = parse(x or ""), {}, {}
                     mains.append(bool(regions(root, None)))
-                    s = json.dumps(skeleton(root, slots), separators=(",", ":"))
+                    s = written(skeleton(root, slots))
                     own_texts(root, slots, texts)
                     shapes.append((digest(s), s))
                     nodes.append([{"node": k, "text": digest("\n".join(v)), "size": sum(map(len, v))} for k, v in sorted(texts.items())])
@@ -322,9 +457,8 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
                 if key not in memo:
                     if len(memo) > 4096:
                         memo.clear()
-                    a = json.loads(own)
-                    m = simple_tree_matching(a, json.loads(ref))
-                    flat, above = numbered(a), {}
+                    flat, above = read(own), {}
+                    m = Matching(flat, read(ref)).pairs()
                     for k, (_, _, children) in enumerate(flat):
                         above |= dict.fromkeys(children, k)
                     memo[key] = [{"own": k, "ref": m.get(k, -1 - k), "up": above.get(k, -1), "tag": t, "noise": bool(z)} for k, (t, z, _) in enumerate(flat)]

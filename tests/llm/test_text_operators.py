@@ -131,6 +131,13 @@ def test_simple_tree_matching():
     assert html.unescape("&am") == "&am"
 
 
+def test_deep_pages(spark):
+    deep = "<div>" * 6000 + "<p>deep end" + "<b>" * 3000 + " here"
+    rows = [(k, "http://deep.example/", deep + str(k) + "<div>" * k) for k in range(3)]
+    got = {(r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(k, f"deep end here{k}") for k in range(3)}
+
+
 PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
