@@ -35,8 +35,6 @@ NEVER = frozenset("script style noscript template head title iframe object svg c
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Names in class, id or role that mark what is no article text (our own list).
 NOISE = re.compile(r"^(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|comments?|commentlist|respond|disqus\w*|discussion|replies|reply|share\w*|sharing|social\w*|related|recommend\w*|widget\w*|toolbar|search\w*|login|pagination|pager|complementary|contentinfo|navigation|dialog)$")
-#: Children of a node that are aligned.
-MAX_CHILDREN = 400
 INLINE = frozenset("br wbr b i em strong a span u s small sub sup font code img".split())
 
 
@@ -228,7 +226,7 @@ class Matching:
 
     def _ends(self, a: int, b: int) -> tuple[int, int, tuple, tuple]:
         """(children that are equal at the beginning, at the end, what lies between on both sides)."""
-        p, q = self.nodes[a][1][:MAX_CHILDREN], self.nodes[b][1][:MAX_CHILDREN]
+        p, q = self.nodes[a][1], self.nodes[b][1]
         n, lo, hi = min(len(p), len(q)), 0, 0
         while lo < n and p[lo] == q[lo]:
             lo += 1
@@ -266,7 +264,7 @@ class Matching:
                 todo += missing
                 continue
             todo.pop()
-            ends = self.nodes[i][1][:MAX_CHILDREN]
+            ends = self.nodes[i][1]
             total = 1 + sum(self.size[s] for s in (*ends[:lo], *ends[len(ends) - hi :]))
             if p and q:
                 for row in longest(self._rows(p, q), [0] * (len(q) + 1)):
@@ -279,7 +277,7 @@ class Matching:
         """Positions of the children that are matched."""
         lo, hi, p, q = self._ends(a, b)
         out = [(k, k) for k in range(lo)]
-        m, n = (len(self.nodes[z][1][:MAX_CHILDREN]) for z in (a, b))
+        m, n = len(self.nodes[a][1]), len(self.nodes[b][1])
         out += [(m - 1 - k, n - 1 - k) for k in range(hi)]
         if not (p and q):
             return out

@@ -131,6 +131,31 @@ def test_simple_tree_matching():
     assert html.unescape("&am") == "&am"
 
 
+def brute_matching(a, b):
+    if a[:2] != b[:2]:
+        return 0
+    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for s, x in enumerate(a[2], 1):
+        for t, y in enumerate(b[2], 1):
+            best[s][t] = max(best[s - 1][t], best[s][t - 1], best[s - 1][t - 1] + brute_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_takes_all_children():
+    rng = random.Random(12)
+    tree = lambda depth, n: [rng.choice("pqd"), 0, [tree(depth - 1, 4) for _ in range(rng.randint(0, n))] if depth else []]
+    for k in range(60):
+        a, b = (["r", 0, [tree(2, 4) for _ in range(rng.randint(0, 90 if k % 9 == 0 else 8))]] for _ in range(2))
+        got = html_text.simple_tree_matching(a, b)
+        x, y = html_text.numbered(a), html_text.numbered(b)
+        assert len(got) == brute_matching(a, b) and list(dict(sorted(got.items())).values()) == sorted(got.values())
+        assert all(x[i][:2] == y[j][:2] for i, j in got.items())
+        up = lambda z: {c: k for k, n in enumerate(z) for c in n[2]}
+        assert all(got[up(x)[i]] == up(y)[j] for i, j in got.items() if i)
+    runs = [["p", 0, []], ["h2", 0, []]] * 700
+    assert len(html_text.simple_tree_matching(["r", 0, [["x", 0, []], *runs, ["y", 0, []]]], ["r", 0, [["z", 0, []], *runs[:-1], ["q", 0, []]]])) == 1400
+
+
 def test_deep_pages(spark):
     deep = "<div>" * 6000 + "<p>deep end" + "<b>" * 3000 + " here"
     rows = [(k, "http://deep.example/", deep + str(k) + "<div>" * k) for k in range(3)]
