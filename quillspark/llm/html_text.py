@@ -2,9 +2,9 @@
 
 Every page becomes a skeleton: its DOM tree without texts, where siblings of one shape in a row are one repeated node.
 Pages of a host that have a skeleton in common are counted; each skeleton of the host is aligned with the host's most
-frequent one by simple tree matching (Yang, "Identifying Syntactic Differences Between Two Programs"), so that nodes in
-the same role share a number. Over all pages of the host a node whose text never differs is template, one whose text
-varies is a slot. Content is the article's region: what lies in <article> or <main>, else the smallest subtree that holds
+frequent ones of each template (at most 15, found in four rounds) by simple tree matching (Yang, "Identifying Syntactic
+Differences Between Two Programs"), and with the best match nodes in the same role share a number. Over all pages of the
+host a node whose text never differs is template, one whose text varies is a slot. Content is the article's region: what lies in <article> or <main>, else the smallest subtree that holds
 most of the text in varying slots. Menus, page headers, footers, asides, forms, scripts, adverts, notices and reader
 comments, known by element, role or class, are left out, and so are template nodes outside headings and paragraphs
 where other nodes of the region vary.
@@ -21,7 +21,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 #: Names in class, id or role that mark what is no article text (our own list).
 NOISE = re.compile(r"^(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|comments?|commentlist|respond|disqus\w*|discussion|replies|reply|share\w*|sharing|social\w*|related|recommend\w*|widget\w*|toolbar|search\w*|login|pagination|pager|complementary|contentinfo|navigation|dialog)$")
 INLINE = frozenset("br wbr b i em strong a span u s small sub sup font code img".split())
+#: New lead skeletons of a host in each round, at most; a skeleton whose places match one by this share needs no further one.
+LEADS, LEAD_SHARE = (1, 2, 4, 8), 0.75
 
 
 class Node:
@@ -300,6 +302,19 @@ class Matching:
                     out.append((lo + s, lo + t))
         return out
 
+    def share(self) -> float:
+        """Matched nodes of all nodes on both sides."""
+        return 2 * self.whole / (len(self.of[0]) + len(self.of[1]))
+
+    def kinds(self) -> float:
+        """Share of the first tree's places (tags from the root) that have a match, however often they occur."""
+        known: dict[tuple, int] = {}
+        of = [known.setdefault((-1, self.trees[0][0][:2]), 0)] * len(self.of[0])
+        for k, (_, _, children) in enumerate(self.trees[0]):
+            for c in children:
+                of[c] = known.setdefault((of[k], self.trees[0][c][:2]), len(known))
+        return len({of[k] for k in self.pairs()}) / len(known)
+
     def pairs(self) -> dict[int, int]:
         out: dict[int, int] = {}
         (x, y), todo = self.trees, [(0, 0)] if self.whole else []
@@ -421,6 +436,65 @@ def page_key(page: F.Column) -> F.Column:
     return F.xxhash64(F.coalesce(page, F.lit("")))
 
 
+def best_lead(own: str, flat: Numbered, leads: list) -> tuple[int, Matching]:
+    """(shape, matching) of the lead that a skeleton matches best; the earlier one of equals."""
+    best = None
+    for r in sorted(leads, key=lambda r: r["skeleton"] != own):
+        if best is None or best[1].share() < 1:
+            m = Matching(flat, read(r["skeleton"]))
+            if best is None or m.share() > best[1].share():
+                best = (r["shape"], m)
+    return best
+
+
+def lead_skeletons(shapes: DataFrame, kept: Kept) -> DataFrame:
+    """(host, leads: array of (rank, shape, skeleton)): the most frequent skeleton of each host, and in further rounds the most
+    frequent ones of those whose places match no lead yet by LEAD_SHARE."""
+
+    def like(own: str, flat: Numbered, refs: list) -> bool:
+        return any(own == r["skeleton"] for r in refs) or any(Matching(flat, read(r["skeleton"])).kinds() >= LEAD_SHARE for r in refs)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for refs in b.column(1).to_pylist():
+                out.append([])
+                for r in refs:
+                    if not like(r["skeleton"], read(r["skeleton"]), out[-1]):
+                        out[-1].append(r)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, b.column(1).type)], names=["host", "leads"])
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple, bool] = {}
+        for b in batches:
+            keep = []
+            for own, refs in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                key = (own, *[r["shape"] for r in refs])
+                if key not in memo:
+                    if len(memo) > 4096:
+                        memo.clear()
+                    memo[key] = not like(own, read(own), refs)
+                keep.append(memo[key])
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+
+    rest, rounds = shapes, []
+    for k, n in enumerate(LEADS):
+        rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "shape"))
+        top = rest.withColumn("rank", rank).where(F.col("rank") <= n).select("host", F.struct((F.col("rank") + 100 * k).alias("rank"), "shape", "skeleton").alias("lead"))
+        now = top.groupBy("host").agg(F.array_sort(F.collect_list("lead")).alias("leads"))  # at most n rows of a host
+        now = kept.keep(now.mapInArrow(apart, now.schema), "leads")
+        rounds.append(now)
+        if k + 1 < len(LEADS):
+            rest = rest.join(now, "host").select("host", "shape", "pages", "skeleton", "leads").mapInArrow(unlike, "host string, shape long, pages long, skeleton string")
+            rest = kept.keep(rest, "unlike")
+            if rest.isEmpty():
+                break
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("leads"))).alias("leads"))  # at most sum(LEADS) rows of a host
+
+
 def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame, DataFrame]:
     """(pages with host and shape, wrappers by host and shape: numbers of template nodes and of the region)."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,34 +518,37 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
     flat = seen.select("host", "shape", F.explode("nodes").alias("n"))
     stats = kept.keep(flat.groupBy("host", "shape", "n.node").agg(F.count("*").alias("pages"), F.min("n.text").alias("lo"), F.max("n.text").alias("hi"), F.sum("n.size").alias("size")), "stats")
     shapes = kept.keep(seen.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.first("skeleton").alias("skeleton")), "shapes")
-    lead = shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("pages", "shape")).alias("lead"))
+    leads = lead_skeletons(shapes, kept)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str], list] = {}
+        memo: dict[tuple, tuple] = {}
         for b in batches:
-            out = []
-            for own, ref in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                key = (own, ref)
+            found = []
+            for own, refs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                key = (own, *[r["shape"] for r in refs])
                 if key not in memo:
                     if len(memo) > 4096:
                         memo.clear()
                     flat, above = read(own), {}
-                    m = Matching(flat, read(ref)).pairs()
+                    lead, m = best_lead(own, flat, refs)
+                    pairs = m.pairs()
                     for k, (_, _, children) in enumerate(flat):
                         above |= dict.fromkeys(children, k)
-                    memo[key] = [{"own": k, "ref": m.get(k, -1 - k), "up": above.get(k, -1), "tag": t, "noise": bool(z)} for k, (t, z, _) in enumerate(flat)]
-                out.append(memo[key])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, ALIGNED_ARROW)], names=["host", "shape", "map"])
+                    memo[key] = (lead, [{"own": k, "ref": pairs.get(k, -1 - k), "up": above.get(k, -1), "tag": t, "noise": bool(z)} for k, (t, z, _) in enumerate(flat)])
+                found.append(memo[key])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([m for _, m in found], ALIGNED_ARROW)], names=["host", "shape", "lead", "map"])
 
-    aligned = shapes.join(lead, "host").select("host", "shape", "skeleton", "lead").mapInArrow(align, "host string, shape long, map array<struct<own:int,ref:int,up:int,tag:string,noise:boolean>>")
-    aligned = kept.keep(aligned.select("host", "shape", F.explode("map").alias("m")).select("host", "shape", "m.*"), "aligned")
+    aligned = shapes.join(leads, "host").select("host", "shape", "skeleton", "leads").mapInArrow(align, "host string, shape long, lead long, map array<struct<own:int,ref:int,up:int,tag:string,noise:boolean>>")
+    aligned = kept.keep(aligned.select("host", "shape", "lead", F.explode("map").alias("m")).select("host", "shape", "lead", "m.*"), "aligned")
     known = aligned.join(stats.select("host", "shape", F.col("node").alias("own"), "pages", "lo", "hi", "size"), ["host", "shape", "own"], "left")
+    known = known.join(shapes.groupBy("host").agg((F.sum("pages") > 1).alias("several")), "host")
     # a node that no other skeleton matches stands for itself
     ref = F.when(F.col("ref") >= 0, F.col("ref").cast("long")).otherwise(F.xxhash64("shape", "own"))
     known = known.withColumn("ref", ref)
-    slot = known.groupBy("host", "ref").agg(F.sum("pages").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    known = known.join(slot.select("host", "ref", "n", (F.col("lo") == F.col("hi")).alias("same")), ["host", "ref"])
-    varies = F.coalesce(~F.col("same"), F.lit(False)) & ~F.col("noise")
+    slot = known.groupBy("host", "lead", "ref").agg(F.sum("pages").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = known.join(slot.select("host", "lead", "ref", "n", (F.col("lo") == F.col("hi")).alias("same")), ["host", "lead", "ref"])
+    # what a single page of a larger host holds tells no template, so it counts as varying
+    varies = F.coalesce(~F.col("same") | (F.col("several") & (F.col("n") == 1)), F.lit(False)) & ~F.col("noise")
     constant = F.coalesce(F.col("same") & (F.col("n") >= 3) & ~F.col("tag").isin(*HEADING), F.lit(False))
     node = F.struct("own", "up", F.when(varies, F.col("size")).otherwise(0).alias("size"), constant.alias("constant"), F.col("same").isNotNull().alias("texts"))
     trees = known.groupBy("host", "shape").agg(F.collect_list(node).alias("tree"))  # the nodes of one skeleton

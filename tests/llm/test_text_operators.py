@@ -163,6 +163,17 @@ def test_deep_pages(spark):
     assert got == {(k, f"deep end here{k}") for k in range(3)}
 
 
+def test_two_templates_of_a_host(spark):
+    list_page = "<html><body><div class='x'><ul><li>Home<li>About</ul></div><table><tr><td>{0}</table><dl><dt>price<dd>{0}0</dl></body></html>"
+    story = "<html><body><div><ul><li>Home<li>About</ul></div><section><h2>Head {0}</h2><p>Story {0} with many words on it.</p>{1}<div>Print this story</div><p>End {0} with about as many words.</p></section></body></html>"
+    more = lambda k: "".join(f"<h3>part {k} {i}</h3><p>more of {k} {i}</p>" for i in range(k))
+    rows = [(k, "http://two.example/", list_page.format(k)) for k in range(9)] + [(100 + k, "http://two.example/", story.format(k, more(k))) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        parts = [x for i in range(k) for x in (f"part {k} {i}", f"more of {k} {i}")]
+        assert got[100 + k].split("\n") == [f"Head {k}", f"Story {k} with many words on it.", *parts, f"End {k} with about as many words."]
+
+
 PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
