@@ -14,6 +14,8 @@ from quillspark.functions import vectors as V
 #: Rows of one group that the sequential algorithms take; larger groups are an error, not cut.
 MAX_GROUP = 5_000
 EPS = 1e-8
+#: About so many phrases or names meet in one block.
+NAME_BLOCK = 1_024
 
 
 def person_scores(samples: DataFrame, person: str, meeting: str, vector: str, sample_id: str) -> DataFrame:
@@ -206,11 +208,22 @@ def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
     return jaro + boost * prefix * (1 - jaro)
 
 
+def letters(names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name: how often characters of each of 64 classes occur, the first four, the length and the number of words."""
+    counts, heads = np.zeros((len(names), 64), np.int32), np.zeros((len(names), 4), np.int64)
+    for k, x in enumerate(names):
+        codes = np.array([ord(c) for c in x], np.int64)
+        counts[k] = np.bincount(codes % 64, minlength=64)
+        heads[k, : len(codes[:4])] = codes[:4]
+    return counts, heads, counts.sum(1), np.array([x.count(" ") + 1 for x in names])
+
+
 def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: str, floor: float = 0.85) -> DataFrame:
     """(phrase, name, score): the closest name for each phrase, of a token count that differs by one at most, not equal to it.
 
-    Names of several words compare by edit ratio; single words by the higher of that and Jaro-Winkler. Candidates share the first
-    or the last letter and a length class, so phrases meet few names.
+    Names of several words compare by edit ratio; single words by the higher of that and Jaro-Winkler. Blocks of phrases meet
+    blocks of names; from common characters and the common beginning both scores are bounded from above, and only pairs whose
+    bound is below the floor are left out before they are scored.
     """
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,11 +231,26 @@ def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: st
             jw = [jaro_winkler(a, b) if n == 1 else 0.0 for a, b, n in zip(pdf["p"], pdf["v"], pdf["n"], strict=True)]
             yield pdf.assign(score=np.maximum(pdf["ratio"], jw))[["p", "v", "score"]]
 
-    words = lambda c: F.size(F.split(F.col(c), " "))
-    keys = lambda c: F.array(F.concat(F.lit("^"), F.substring(c, 1, 1)), F.concat(F.lit("$"), F.right(c, F.lit(1))))
-    p = phrases.select(F.col(phrase).alias("p")).distinct().select("p", words("p").alias("np"), F.explode(keys("p")).alias("k"))
-    v = vocabulary.select(F.col(name).alias("v")).distinct().select("v", words("v").alias("nv"), F.explode(keys("v")).alias("k"))
-    size = F.greatest(F.char_length("p"), F.char_length("v"))
-    near = p.join(v, "k").where((F.abs(F.col("np") - F.col("nv")) <= 1) & (F.col("p") != F.col("v")) & (F.abs(F.char_length("p") - F.char_length("v")) <= size * (1 - floor) + 1)).select("p", "v", F.least("np", "nv").alias("n")).distinct()
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in zip(pdf["ps"], pdf["vs"], strict=True):
+                (ca, ha, la, wa), (cb, hb, lb, wb) = letters(a), letters(b)
+                for k, x in enumerate(a):
+                    both, size = np.minimum(ca[k], cb).sum(1), np.maximum(la[k], lb)
+                    n = np.minimum(wa[k], wb)
+                    prefix = np.cumprod((ha[k] == hb) & (hb > 0), axis=1).sum(1)
+                    jaro = (both / np.maximum(la[k], 1) + both / np.maximum(lb, 1) + 1) / 3 * (both > 0)
+                    bound = np.maximum(both / np.maximum(size, 1), np.where(n == 1, jaro + 0.1 * prefix * (1 - jaro), 0))
+                    at = np.flatnonzero((bound >= floor - 1e-9) & (np.abs(wa[k] - wb) <= 1))
+                    at = [t for t in at.tolist() if b[t] != x]
+                    if at:
+                        yield pd.DataFrame({"p": x, "v": [b[t] for t in at], "n": n[at].astype(np.int32)})
+
+    def blocks(df: DataFrame, column: str, name: str) -> DataFrame:
+        one = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull()).distinct()
+        count = one.count() // NAME_BLOCK + 1
+        return one.groupBy(F.pmod(F.xxhash64("x"), F.lit(count)).alias("k")).agg(F.collect_list("x").alias(name)).select(name)
+
+    near = blocks(phrases, phrase, "ps").crossJoin(blocks(vocabulary, name, "vs")).mapInPandas(candidates, "p string, v string, n int")
     scored = near.withColumn("ratio", 1 - F.levenshtein("p", "v") / F.greatest(F.char_length("p"), F.char_length("v"))).mapInPandas(similar, "p string, v string, score double")
     return scored.where(F.col("score") >= floor).groupBy(F.col("p").alias(phrase)).agg(F.max_by(F.struct("v", F.round("score", 6).alias("score")), F.struct("score", "v")).alias("b")).select(phrase, F.col("b.v").alias(name), F.col("b.score").alias("score"))

@@ -229,3 +229,28 @@ def test_readers(spark, tmp_path):
     assert [(f, float(v)) for f, v in rows(got, "fund", "v")] == [("A", -1200.0), ("B", 0.0)]
     (tmp_path / "t.md").write_text("# x")
     assert rows(tables.read_text_files(spark, str(tmp_path), "*.md"), "extension", "content") == [("md", "# x")]
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def score(a, b):
+        jw = linking.jaro_winkler(a, b) if min(a.count(" "), b.count(" ")) == 0 else 0
+        return max(1 - edits(a, b) / max(len(a), len(b)), jw)
+
+    phrases = ["kalderons", "jon", "abc", "new yrok", "ünal öz", "a b c", "smiht", "lavander", "xyz", "ro"]
+    names = ["calderon", "jonathan", "bca", "new york", "york", "unal oz", "a b", "smith", "lavender", "abc", "zyxw", "orr", "smith jones"]
+    want = {}
+    for p in phrases:
+        near = [(score(p, v), v) for v in names if v != p and abs(p.count(" ") - v.count(" ")) <= 1]
+        s, v = max(near)
+        if s >= 0.7:
+            want[p] = (v, round(s, 6))
+    got = linking.fuzzy_names(spark.createDataFrame([(p,) for p in phrases], "p string"), spark.createDataFrame([(v,) for v in names], "v string"), "p", "v", 0.7)
+    assert {r["p"]: (r["v"], r["score"]) for r in got.collect()} == want and want["kalderons"][0] == "calderon" and want["jon"][0] == "jonathan"
