@@ -46,9 +46,9 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids and n_tokens of each document."""
+    """doc_id, token_ids, n_tokens and the sha256 of the bytes that the ids decode to, of each document."""
     path = public_tokenizers.path(bpe.DEFAULT)
-    return bpe.encode_decode(docs.select("doc_id", "text"), path, decoded=None).select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    return bpe.encode_decode(docs.select("doc_id", "text"), path).select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 """The pipeline's stages by their effect, each against a plain version of its rule."""
 
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -38,3 +39,9 @@ def test_stages(spark, make, tmp_path):
     for r in now.collect():
         assert list(r["token_ids"]) == want.encode_ordinary(masked[r["doc_id"]]["text"] or "") and r["n_tokens"] == len(r["token_ids"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_last_stage_decodes(spark, make, tmp_path):
+    texts = {1: "two words é😀", 2: "", 3: None}
+    for r in corpus_pipeline.encoded(spark, make(list(texts.items())), str(tmp_path)).collect():
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
