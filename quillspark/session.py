@@ -17,6 +17,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillspark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,13 +29,12 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one the cluster names in spark.checkpoint.dir. Only where that is
-    unset, as in local tests, a temporary folder of this machine is chosen, once.
+    It is the one the cluster names in spark.checkpoint.dir. Raises ValueError where that is unset: a folder of one
+    machine would do in local mode alone, and local_session names one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return conf.rstrip("/")
 
 
