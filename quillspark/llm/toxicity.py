@@ -22,8 +22,6 @@ from quillspark.llm import words as W
 BITS = 20
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id.
 MAX_TRAIN_ROWS = 24_000
-#: Rows of one learner; the learners' weights are averaged.
-SHARD_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 #: Each row of label 1 counts so many times: they are few, and a bias learnt from the others hides single words.
@@ -66,12 +64,11 @@ class Ftrl:
 def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> list[tuple[int, float]]:
     """Weights that aren't zero, as (feature, weight). train has at most about MAX_TRAIN_ROWS rows.
 
-    Rows without a label are left out. Without rows the model is empty: all scores are 0.5.
+    Rows without a label are left out; null texts are empty ones; repeated rows count each time; ties of doc_id are learnt in
+    the order of their features. Without rows the model is empty: all scores are 0.5. The rows are bounded, so one task
+    learns from all of them in turn; only their distinct features get there.
     """
-    train = train.where(F.col(label).isNotNull())
-    n = train.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    rows = train.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("x"), F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("shard")), F.lit(shards)).alias("shard"))
+    rows = train.where(F.col(label).isNotNull()).select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("x"), F.col(label).cast("double").alias("y"))
 
     def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +80,10 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
                 idx = (key & (1 << BITS) - 1).astype("<i4")
                 cells = pa.array([idx[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), cells, part.column(2), part.column(3)], names=["d", "f", "y", "shard"])
+                yield pa.RecordBatch.from_arrays([part.column(0), cells, part.column(2)], names=["d", "f", "y"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("d")
+        group = group.sort_values(["d", "f", "y"])
         order = np.random.default_rng(7).permutation(len(group))
         rows, labels, learner = [np.frombuffer(b"\0\0\0\0" + x, "<i4") for x in group["f"]], group["y"].to_numpy(), Ftrl()
         for _ in range(EPOCHS):
@@ -96,16 +93,15 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
         w = learner.weights(idx)
         return pd.DataFrame({"feature": idx[w != 0], "weight": w[w != 0]})
 
-    sparse = rows.mapInArrow(as_features, "d string, f binary, y double, shard long")
-    learned = sparse.groupBy("shard").applyInPandas(learn, "feature long, weight double")
-    found = learned.groupBy("feature").agg((F.sum("weight") / shards).alias("w")).orderBy("feature").collect()  # 2 ** BITS at most
-    return [(r["feature"], r["w"]) for r in found]
+    learned = rows.mapInArrow(as_features, "d string, f binary, y double").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "feature long, weight double")
+    return [(r["feature"], r["weight"]) for r in learned.orderBy("feature").collect()]  # 2 ** BITS at most
 
 
 def score(docs: DataFrame, model: list[tuple[int, float]], text: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability of label 1 for each whole text; null and empty texts have the bias alone.
 
-    A column of that name is replaced, all others stay. Rows are independent, so there is no shuffle.
+    A column of that name is replaced, all others stay, whatever their names and nulls. Rows are independent, so repeated
+    rows are scored alike, an empty table gives an empty one, and there is no shuffle.
     """
     spark = docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
@@ -140,7 +136,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Co
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out).groupBy(doc_id).agg(F.max(label).alias("label"))
     n = chosen.count()
     if n > most:
-        chosen = chosen.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+        chosen = chosen.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")), F.lit(1 << 60)) < int(most / n * (1 << 60)))
     return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).dropDuplicates([doc_id, text])
 
 
