@@ -111,12 +111,13 @@ def brute_components(docs, k, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small,few,levels", [(256, 64, 6), (4, 2, 6), (4, 2, 1)])
+@pytest.mark.parametrize("small,few,levels", [(1024, 64, 4), (4, 2, 4), (4, 2, 1)])
 def test_near_duplicates(spark, make, monkeypatch, small, few, levels):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "MAX_LEVELS", levels)
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000 if small == 4 else 32 << 20)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
     passage = prose(rng, 60, vocab)
@@ -135,10 +136,39 @@ def test_near_duplicates(spark, make, monkeypatch, small, few, levels):
     docs += [(400, docs[3][1]), (401, docs[3][1].upper()), (402, None), (403, ""), (404, "two words"), (405, " two\nwords "), (406, "one")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make(docs), 3, 85).collect()}
     assert got == brute_components(docs, 3, 85)
-    if small == 256:
+    if small == 1024:
         assert near_dedup.near_duplicates(make([]), 3, 85).count() == 0
 
 
+def test_near_duplicates_that_share_an_id(spark):
+    rng = random.Random(9)
+    long = prose(rng, 50, [f"w{i}" for i in range(300)])
+    rows = [(1, long), (2, "another text of its own"), (2, long + " x"), (None, long), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(7)).withColumn("id", F.lit("x"))
+    got = near_dedup.near_duplicates(df, 3, 85, carry=("text",)).collect()
+    want = {(1, long, 1, True), (2, "another text of its own", 2, True), (2, long + " x", 1, False), (None, long, None, True), (3, None, 3, True)}
+    assert {(r["doc_id"], r["text"], r["component_id"], r["kept"]) for r in got} == want and len(got) == 5
+
+
+def test_forest_spans():
+    rng = np.random.default_rng(2)
+    for n, m in ((30, 20), (40, 200), (5, 1)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = rng.integers(0, n, n)
+        keep = near_dedup.spanning_forest(a, b, rng.permutation(m), label)
+        
+        def comp(edges):
+            root = label.copy()
+            for _ in range(n):
+                for x, y in edges:
+                    lo, hi = sorted((root[x], root[y]))
+                    root[root == hi] = lo
+            return root.tolist()
+
+        assert comp(list(zip(a, b, strict=True))) == comp(list(zip(a[keep], b[keep], strict=True)))
+        assert len(keep) == len(set(label.tolist())) - len(set(comp(list(zip(a, b, strict=True)))))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(12, 16))

@@ -45,3 +45,30 @@ def test_last_stage_decodes(spark, make, tmp_path):
     texts = {1: "two words é😀", 2: "", 3: None}
     for r in corpus_pipeline.encoded(spark, make(list(texts.items())), str(tmp_path)).collect():
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_stages_without_labels_and_with_repeated_rows(spark, make, tmp_path):
+    rng = random.Random(5)
+    text = " ".join(rng.choice([f"w{i}" for i in range(200)]) for _ in range(60))
+    rows = [(1, text), (1, text), (1, text + " end"), (2, text + " tail"), (3, None), (3, None), (4, ""), (None, text), (5, "a text of its own words")]
+    docs = make(rows)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).count() == len(rows)
+    for given, want in ((docs, {None: 1, 1: 1, 3: 2, 4: 1, 5: 1}), (docs.limit(0), {})):
+        kept = corpus_pipeline.one_of_each(spark, given, str(tmp_path)).collect()
+        assert {i: sum(r["doc_id"] == i for r in kept) for i in {r["doc_id"] for r in kept}} == want
+        for name, stage in corpus_pipeline.STAGES[2:]:
+            assert stage(spark, given, str(tmp_path)).count() == given.count(), name
+
+
+def test_clashing_columns(spark, make, tmp_path):
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "ten words " * 6)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(k, f"text {k} of {'vile' if k % 2 else 'kind'} words") for k in range(20)], "doc_id long, text string")
+    for c in ("score", "spans", "hit_runs", "kept", "label", "id", "node"):
+        docs = docs.withColumn(c, docs["doc_id"] * 3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(r["score"] == r["node"] == 3 * r["doc_id"] for r in out.collect()), name
