@@ -15,16 +15,36 @@ from quillspark.session import Kept
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below a half; the model learns from the labelled ones. Others are kept as they are."""
+    """Documents that the toxicity model doesn't reject: those that score below a half.
+
+    The model learns from the labelled documents; where there are none, nothing is known and all stay.
+    Null and empty texts and null ids are scored as empty texts; repeated rows are scored alike; no rows, no rows.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="__toxicity").where("__toxicity < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not model:
+        return docs
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    found = toxicity.score(docs.toDF(*names), model, text=names[docs.columns.index("text")], out="__toxicity").where("__toxicity < 0.5")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): that of the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+    """One document of each group of near duplicates (five words, similarity 0.8): that of the smallest doc_id.
+
+    Of repeated rows one stays; of rows that share this id but not a text, that of the least hash of the text. Texts without
+    words and rows without doc_id belong to no group and stay. No rows, no rows.
+    """
+    key = lambda d: d.withColumn("__key", F.xxhash64("text"))
+    found = near_dedup.near_duplicates(key(docs.select("doc_id", "text")), k=5, percent=80, carry=("__key",)).where("n_shingles > 0 and doc_id is not null")
+    first = found.where("kept").groupBy("doc_id", "__key").agg(F.count("*").alias("c"))
+    several = first.groupBy("doc_id").agg(F.sum("c").alias("c"), F.min("__key").alias("__best")).where("c > 1").select("doc_id", "__best")
+    drop = found.where("not kept").select("doc_id", "__key").unionByName(first.join(several, "doc_id").select("doc_id", "__key"))
+    drop = drop.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__drop")).distinct()
+    same_id = docs["doc_id"].cast("long") == F.col("__id")
+    alone = docs.join(drop, same_id & (F.xxhash64(docs["text"]) == F.col("__drop")), "left_anti")
+    best = several.select(F.col("doc_id").alias("__id"), "__best")
+    again = docs.join(best, same_id & (F.xxhash64(docs["text"]) == F.col("__best")), "left_semi").dropDuplicates(["doc_id"])
+    return alone.unionByName(again)
 
 
 def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
