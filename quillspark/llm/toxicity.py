@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,23 +77,25 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
                 key = np.unique(row.astype(np.int64) << BITS | idx)
                 at = np.searchsorted(key >> BITS, np.arange(hi - lo + 1))
                 idx = (key & (1 << BITS) - 1).astype("<i4")
-                cells = pa.array([idx[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                cells = pa.array([b"\0\0\0\0" + idx[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), cells, part.column(2)], names=["d", "f", "y"])
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["d", "f", "y"])
-        order = np.random.default_rng(7).permutation(len(group))
-        rows, labels, learner = [np.frombuffer(b"\0\0\0\0" + x, "<i4") for x in group["f"]], group["y"].to_numpy(), Ftrl()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels, learner = [], [], Ftrl()
+        for batch in batches:  # the features stay where Arrow has put them
+            rows += [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(1)]
+            labels += batch.column(2).to_pylist()
+        order = np.random.default_rng(7).permutation(len(rows))
         for _ in range(EPOCHS):
             for i in order:
                 learner.learn(rows[i], labels[i])
         idx = np.flatnonzero(learner.n)
         w = learner.weights(idx)
-        return pd.DataFrame({"feature": idx[w != 0], "weight": w[w != 0]})
+        yield pa.RecordBatch.from_arrays([pa.array(idx[w != 0]), pa.array(w[w != 0])], names=["feature", "weight"])
 
-    learned = rows.mapInArrow(as_features, "d string, f binary, y double").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "feature long, weight double")
-    return [(r["feature"], r["weight"]) for r in learned.orderBy("feature").collect()]  # 2 ** BITS at most
+    sparse = rows.mapInArrow(as_features, "d string, f binary, y double").repartition(1).sortWithinPartitions("d", "f", "y")
+    return [(r["feature"], r["weight"]) for r in sparse.mapInArrow(learn, "feature long, weight double").orderBy("feature").collect()]  # 2 ** BITS at most
 
 
 def score(docs: DataFrame, model: list[tuple[int, float]], text: str = "text", out: str = "score") -> DataFrame:

@@ -32,6 +32,48 @@ def corpus(make, spark):
     return make(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_toxicity_against_a_plain_loop(corpus, spark):
+    docs, labels = corpus
+    train = toxicity.training_rows(docs, labels, "toxic", F.lit(False), 10_000)
+    rows = sorted((str(r["doc_id"]), sorted(plain_features(r["text"])), float(r["label"])) for r in train.collect())
+    got = dict(toxicity.fit(train))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = toxicity.L1 if i else 0.0
+        return 0.0 if abs(z[i]) <= l1 else ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    rows.sort(key=lambda r: (r[0], np.array([0, *r[1]], "<i4").tobytes(), r[2]))
+    for _ in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(7).permutation(len(rows)):
+            _, idx, y = rows[k]
+            w = {i: weight(i) for i in [0, *idx]}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE if y else 1.0)
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in n if weight(i)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, list(got.items())).collect()}
+    for r in docs.collect():
+        p = 1 / (1 + np.exp(-sum(want.get(i, 0.0) for i in {0} | plain_features(r["text"]))))
+        assert abs(scored[r["doc_id"]] - p) < 1e-9
+
+
+def plain_features(text):
+    """Hashes of the words, the pairs and the pairs with a word between."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    import pyarrow as pa
+
+    h = [int(toxicity.W.hashes(*toxicity.W.utf8(pa.array([x])), toxicity.W.ALNUM)[0][0]) for x in w]
+    mask = (1 << toxicity.BITS) - 1
+    mix = lambda x: int(toxicity.W.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    out = {x & mask | 1 for x in h}
+    for gap, seed in ((1, 0x9FB21C651E98DF25), (2, 0xD6E8FEB86659FD93)):
+        out |= {mix(h[i] * 3 + h[i + gap] * seed) & mask | 1 for i in range(len(h) - gap)}
+    return out
+
+
 def check(scored, held_out, labels, label, least):
     assert scored.where("score < 0 or score > 1 or score is null").count() == 0
     rows = scored.where(held_out).join(labels, "doc_id").select("score", label).collect()
