@@ -1,10 +1,11 @@
-"""Personal data by weak supervision, with DataFrame functions alone.
-
-Candidates are what wide patterns find. Labelers vote on each candidate: +1, -1 or 0 (no opinion). They go by the
-strict pattern, by gazetteers, by the words before, and by shape. Expectation-maximisation over how often each row of
-votes occurs (one count for each possible row of votes, so a small table) estimates how reliable every labeler is and
-the probability of each row of votes. A logistic classifier over the votes, the kind and the length is trained on
-these probabilities; it decides on the candidates that no base rule finds. Base spans always stay.
+"""Personal data and secrets by weak supervision, with DataFrame functions alone.
+
+Candidates are what the base patterns and wider ones find, whether they pass the base rules or not. Labelers vote on each
+candidate: +1, -1 or 0 (no opinion). They go by the base rule, by gazetteers, by the words before, by shape and by how
+letters and digits mix. Expectation-maximisation over how often each row of votes occurs (one count for each possible
+row of votes, so a small table) estimates how reliable every labeler is and the probability of each row of votes. The final
+classifier never sees votes: it is a logistic regression from features of the span and of what is next to it to these
+probabilities, and it alone decides on the candidates that no base rule finds. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from quillspark.session import Kept
+
+#: The first four have base rules.
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
+BASE_KINDS = KINDS[:4]
 
 # A run of a pattern's first class is entered at its beginning or where the last match ended (\G), and kept whole
 # (possessive): the matches are those of the plain patterns, and long runs cost one pass.
@@ -27,12 +33,17 @@ BASE = {
 }
 #: Texts that lack this can't hold a match.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: Wider forms: an address with the signs spelt out, and a number without the country's plus.
+#: Wider forms: addresses with the signs spelt out, other separators, numbers without the country's plus, account and
+#: person numbers, and long runs that mix letters and digits.
 WIDE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?+(?:\[at\]|\(at\))\x20?+[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\])){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9A-Za-z._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?:\G|(?<![0-9A-Za-z+.,:/$-]))(?:\([0-9]{2,5}+\)|[0-9]{2,5}+)(?:[\x20.-][0-9]{2,5}+){2,5}+(?![0-9A-Za-z:/])",
+    "id": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
 }
-WIDE_NEEDS = {"email": r"[\[(]at[\])]", "phone": r"[0-9)][\x20.-][0-9]"}
+WIDE_NEEDS = {"email": r"[\[(]at[\])]", "ip": r"[0-9][\[(]\.|[0-9]\[dot\]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/]", "phone": r"[0-9)][\x20.-][0-9]", "id": r"[0-9]-[0-9]{2}-[0-9]|[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z][+/_-]*[0-9]|[0-9][+/_-]*[A-Za-z]"}
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 IP_PARTS = rf"^(?:{_PART}\.){{3}}{_PART}$"
@@ -44,33 +55,35 @@ CUES = {
     "ip": r"(?i)\b(?:ip|host|address|server|adresse|from)\W*(?:\w+\W+){0,2}$",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)\W*(?:\w+\W+){0,2}$",
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|telefon|anrufen|appelez|llame)\W*(?:\w+\W+){0,2}$",
+    "id": r"(?i)\b(?:iban|account|konto|compte|cuenta|ssn|social|passport|security)\W*(?:\w+\W+){0,2}$",
+    "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|bearer|auth|credential)s?\W{0,4}$",
 }
-AGAINST = r"(?i)(?:\b(?:isbn|issn|order|invoice|version|page|figure|table|price|total|year|chapter|id|ref|serial|code)\W*(?:no\W*)?|[$€£#=])$"
-LABELERS = ("rule", "gazetteer", "context", "shape")
-N_VOTES = 3
-
-
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+AGAINST = r"(?i)(?:\b(?:isbn|issn|order|invoice|version|page|figure|table|price|total|year|chapter|ref|serial|commit|sha|doi|url)\W*(?:no\W*)?|[$€£#]|[/\\\\.?&])$"
+KEY_STARTS = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|eyJ)"
+LABELERS = ("rule", "gazetteer", "context", "shape", "mix")
+#: All candidates together weigh so much against the ridge.
+STRENGTH = 10_000.0
+#: Features of a candidate and how many values each has; no vote is among them.
+FEATURES = {"length": 6, "digits": 5, "switches": 3, "letters": 4, "before": 4, "after": 4, "word": 3, "check": 3}
 
 
 def found(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    """Leftmost matches that don't overlap: array of (kind, start, end, value, left), in code points.
+    """Leftmost matches that don't overlap: array of (kind, start, end, value, left, right), in code points.
 
     The lengths of matches and of the pieces between them, added up, are the positions.
     """
     k = F.lit(KINDS.index(kind))
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("value"), F.char_length(p).alias("gap"), F.right(p, F.lit(40)).alias("left")))
-    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string,left:string>>)")
+    steps = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.char_length(F.get(pieces, i)).alias("gap"), F.right(F.get(pieces, i), F.lit(40)).alias("left"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("right")))
+    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>)")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.char_length(x["value"])
-        one = F.struct(k.alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"))
+        one = F.struct(k.alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    listed = F.aggregate(F.filter(steps, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    listed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
     return F.when(text.rlike(needs), listed).otherwise(none)
 
 
@@ -93,58 +106,115 @@ def valid(kind: str, c: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(found(text, kind, BASE[kind], NEEDS[kind]), lambda c: valid(kind, c))
-
-
 def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def switches(value: Column) -> Column:
+    """How often letters and digits change over."""
+    return F.size(F.regexp_extract_all(value, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), F.lit(0)))
+
+
 def votes(c: Column) -> list[Column]:
-    """The labelers' votes, in the order of LABELERS, and the length class (0 to 2), of a candidate (with its field `base`)."""
+    """The labelers' votes on a candidate (with its field `base`), in the order of LABELERS."""
     kind, value, left = c["kind"], c["value"], c["left"]
     digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.char_length(digits)
+    n, size = F.char_length(digits), F.char_length(value)
     is_kind = [kind == k for k in range(len(KINDS))]
-    email, ip, card, phone = is_kind
+    email, ip, card, phone, number, secret = is_kind
     ends = F.regexp_extract(F.lower(value), r"([a-z0-9-]+)$", 1)
     code = r"^(?:" + "|".join(DIAL_CODES) + ")"
-    known = (email & ends.isin(*TOP_DOMAINS)) | (ip & ~value.rlike(r"^(?:0|255)\.")) | (card & digits.rlike("^[3-6]")) | (phone & (F.when(value.startswith("+"), digits.rlike(code)).otherwise(digits.rlike("^0[1-9]"))))
+    known = (email & ends.isin(*TOP_DOMAINS)) | (ip & ~value.rlike(r"^(?:0|255)\.")) | (card & digits.rlike("^[3-6]")) | (phone & (F.when(value.startswith("+"), digits.rlike(code)).otherwise(digits.rlike("^0[1-9]")))) | (secret & value.rlike(KEY_STARTS))
     unknown = (email & ~ends.rlike("^[a-z]{2,}$")) | (card & digits.rlike("^[01789]")) | (phone & ~value.startswith("+") & digits.rlike("^(?:19|20)[0-9]{2}"))
-    cue = reduce(lambda a, b: a | b, [is_kind[i] & left.rlike(CUES[k]) for i, k in enumerate(KINDS)])
-    tidy = (email & (F.char_length(value) <= 64)) | ip | (card & value.rlike(r"^[0-9]{4}([ -]?)(?:[0-9]{4}\1){2}[0-9]{1,7}$")) | (phone & value.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?[ .-][0-9]{3}[ .-]?[0-9]{2,4}"))
-    untidy = phone & (~n.between(9, 15) | value.rlike(r"\.[0-9]{1,2}$|^[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{2,4}$"))
-    size = F.when(F.char_length(value) < 12, 0).when(F.char_length(value) < 24, 1).otherwise(2)
-    return [vote(c["base"], F.lit(False)), vote(known, unknown), vote(cue, left.rlike(AGAINST)), vote(tidy, untidy), size]
+    cue = any_of([is_kind[i] & left.rlike(CUES[k]) for i, k in enumerate(KINDS)])
+    tidy = (email & (size <= 64)) | ip | (card & value.rlike(r"^[0-9]{4}([ ._/-]?)(?:[0-9]{4}\1){2}[0-9]{1,7}$")) | (phone & value.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,5}\)?[ .-][0-9]{3}[ .-]?[0-9]{2,4}")) | number | (secret & value.rlike(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Z0-9]{20,})$"))
+    untidy = (phone & (~n.between(9, 15) | value.rlike(r"\.[0-9]{1,2}$|^[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{2,4}$"))) | (secret & value.rlike(r"[A-Za-z]{7}|(?:[A-Za-z]{3,}[/_-]){2}|[0-9]{12}"))
+    mixed = secret & (switches(value) >= 4)
+    plain = (secret & (switches(value) <= 2)) | ((card | phone) & digits.rlike(r"^(.)\1*$"))
+    # of a kind with a base rule, a match of its pattern that fails the rule counts against it
+    return [vote(c["base"], F.coalesce(c["failed"], F.lit(False))), vote(known, unknown), vote(cue, left.rlike(AGAINST)), vote(tidy, untidy), vote(mixed, plain)]
+
+
+def features(c: Column) -> list[Column]:
+    """The values of FEATURES of a candidate, each from 0."""
+    kind, value, left, right = c["kind"], c["value"], c["left"], c["right"]
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    n, size, turns = F.char_length(digits), F.char_length(value), switches(value)
+    upper, lower = value.rlike("[A-Z]"), value.rlike("[a-z]")
+    share = n / F.greatest(size, F.lit(1))
+
+    def steps(x: Column, *ends: float) -> Column:
+        return reduce(lambda a, b: a + b, [(x >= e).cast("int") for e in ends])
+
+    cue = any_of([(kind == i) & left.rlike(CUES[k]) for i, k in enumerate(KINDS)])
+    beside = lambda x: F.when(x == "", 0).when(x.rlike(r"^\s"), 1).when(x.rlike("""^[=:"'<>(\\[]"""), 2).otherwise(3)
+    numeric = kind.isin(KINDS.index("card"), KINDS.index("ip"), KINDS.index("phone"))
+    check = F.when(kind == KINDS.index("card"), F.when(n.between(12, 19), F.when(luhn(digits), 1).otherwise(2)).otherwise(2)).when(kind == KINDS.index("ip"), F.when(F.regexp_replace(value, r"\[\.\]|\(\.\)|\[dot\]", ".").rlike(IP_PARTS), 1).otherwise(2)).when(kind == KINDS.index("phone"), F.when(n.between(9, 15), 1).otherwise(2))
+    return [
+        steps(size, 8, 12, 16, 20, 40),
+        steps(share, 0.001, 0.3, 0.7, 1.0),
+        steps(turns, 1, 4),
+        upper.cast("int") * 2 + lower.cast("int"),
+        beside(F.right(left, F.lit(1))),
+        beside(right),
+        F.when(cue, 1).when(left.rlike(AGAINST), 2).otherwise(0),
+        F.when(numeric, check).otherwise(0),
+    ]
+
+
+def candidate(c: Column, base: bool, failed: bool = False) -> Column:
+    return F.struct(*[c[f].alias(f) for f in ("kind", "start", "end", "value", "left", "right")], F.lit(base).alias("base"), F.lit(failed).alias("failed"))
+
+
+def meet(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def passed(k: str) -> Column:
+    """Base spans of a kind."""
+    return F.transform(F.filter(F.col(f"_m_{k}"), lambda c: valid(k, c)), lambda c: candidate(c, True))
+
+
+def refused(k: str) -> Column:
+    """Matches of a base pattern that its rule refuses; of the card's pattern those with a card's number of digits."""
+
+    def counts(c: Column) -> Column:
+        return F.char_length(F.regexp_replace(c["value"], "[^0-9]", "")).between(12, 19) if k == "card" else F.lit(True)
+
+    return F.transform(F.filter(F.col(f"_m_{k}"), lambda c: ~valid(k, c) & counts(c)), lambda c: candidate(c, False, True))
 
 
 def with_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _base (one array for each kind, as fields) and _wide (candidates that no base span touches)."""
+    """docs with _every (base spans) and _wide (all other candidates; no base span touches them)."""
     x = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    docs = docs.select("*", F.struct(*[base_spans(x, k).alias(k) for k in KINDS]).alias("_base"), *[found(x, k, WIDE[k], WIDE_NEEDS[k]).alias(f"_w_{k}") for k in WIDE])
-    every = F.concat(*[F.col(f"_base.{k}") for k in KINDS])
-    free = F.filter(F.concat(*[F.col(f"_w_{k}") for k in WIDE]), lambda w: ~F.exists(F.col("_every"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return docs.select("*", every.alias("_every")).select("*", free.alias("_wide")).drop(*[f"_w_{k}" for k in WIDE])
-
+    one = docs.select("*", *[found(x, k, BASE[k], NEEDS[k]).alias(f"_m_{k}") for k in BASE_KINDS], *[found(x, k, WIDE[k], WIDE_NEEDS[k]).alias(f"_w_{k}") for k in WIDE])
+    every = F.concat(*[passed(k) for k in BASE_KINDS])
+    failed = [refused(k) for k in BASE_KINDS]
+    wide = [F.transform(f"_w_{k}", lambda c: candidate(c, False)) for k in WIDE]
+    free = F.filter(F.concat(*failed, *wide), lambda w: ~F.exists(F.col("_every"), lambda b: meet(w, b)))
+    one = one.select(*[F.col(f"`{c}`") for c in docs.columns], every.alias("_every"), *[F.col(f"_m_{k}") for k in BASE_KINDS], *[F.col(f"_w_{k}") for k in WIDE])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns], "_every", free.alias("_wide"))
 
-def candidate(c: Column, base: bool) -> Column:
-    return F.struct(*[c[f].alias(f) for f in ("kind", "start", "end", "value", "left")], F.lit(base).alias("base"))
 
+def candidates(docs: DataFrame, kept: Kept, text: str = "text") -> DataFrame:
+    """Votes and features of every candidate of all whole texts, one row for each that occurs with its count; kept as a table.
 
-def vote_counts(docs: DataFrame, text: str = "text") -> list[tuple[tuple[int, ...], int]]:
-    """How often each (kind, votes, length class) occurs over all candidates of all texts."""
+    There are at most as many rows as combinations of votes and features, whatever the input.
+    """
     one = with_candidates(docs.select(F.col(f"`{text}`").alias("text")), "text")
-    every = F.concat(F.transform("_every", lambda c: candidate(c, True)), F.transform("_wide", lambda c: candidate(c, False)))
     c = F.col("c")
-    keys = [c["kind"].alias("kind"), *[v.alias(n) for v, n in zip(votes(c), (*LABELERS, "size"), strict=True)]]
-    counts = one.select(F.explode(every).alias("c")).select(*keys).groupBy("kind", *LABELERS, "size").count()
-    return sorted((tuple(r[:-1]), r[-1]) for r in counts.collect())  # at most 4 * 3^4 * 3 rows
+    names = [*LABELERS, *FEATURES]
+    rows = one.select(F.explode(F.concat("_every", "_wide")).alias("c")).select(c["kind"].alias("kind"), *[v.alias(n) for v, n in zip([*votes(c), *features(c)], names, strict=True)])
+    return kept.keep(rows.groupBy("kind", *names).agg(F.count("*").alias("n")), "candidates")
 
 
 def fit_votes(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[list[list[float]]], dict[tuple[int, ...], float]]:
-    """Expectation-maximisation for two classes: (prior, P(vote | class) by labeler and class, posterior of each row)."""
-    rows = [(key, n, key[1 : 1 + len(LABELERS)]) for key, n in counts]
+    """Expectation-maximisation for two classes: (prior, P(vote | class) by labeler and class, posterior of each row (kind, votes))."""
+    rows = [(key, n, key[1:]) for key, n in counts]
     total = sum(n for _, n, _ in rows)
     # to begin with, a labeler is right four times in five
     like = [[[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]] for _ in LABELERS]
@@ -164,52 +234,78 @@ def fit_votes(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tu
     return prior, like, post
 
 
-def numbers(key: tuple[int, ...]) -> list[float]:
-    """Features of a row of votes: a constant, each labeler for and against, the kind and the length class."""
-    kind, *v, size = key
-    return [1.0, *[float(x == s) for x in v[1:] for s in (1, -1)], *[float(kind == k) for k in range(1, len(KINDS))], *[float(size == s) for s in (1, 2)]]
-
+def inputs(rows: np.ndarray) -> np.ndarray:
+    """One-hot inputs of rows (kind, features): a constant for each kind, and each value of each feature for each kind and over all."""
+    kind, cols = rows[:, 0], [np.eye(len(KINDS))[rows[:, 0]]]
+    for j, size in enumerate(FEATURES.values()):
+        cols += [np.eye(size)[rows[:, 1 + j]], np.eye(len(KINDS) * size)[kind * size + rows[:, 1 + j]]]
+    return np.concatenate(cols, 1)
 
-def fit(counts: list[tuple[tuple[int, ...], int]], steps: int = 400) -> list[float]:
-    """Weights of the span classifier. It doesn't see the strict rule's vote, so it can go beyond the base rules."""
-    _, _, post = fit_votes(counts)
-    rows = [(numbers(key), n, post[key]) for key, n in counts]
-    w = [0.0] * len(numbers((0,) * (2 + len(LABELERS))))
-    total = sum(n for _, n, _ in rows) or 1
-    for _ in range(steps):
-        g = [0.01 * x for x in w]
-        for x, n, y in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-            for j, a in enumerate(x):
-                g[j] += a * (p - y) * n / total
-        w = [a - 2.0 * b for a, b in zip(w, g, strict=True)]
-    return w
 
+Weights = tuple[list[float], list[list[float]]]
 
-def accepts(c: Column, weights: list[float]) -> Column:
-    """The classifier's decision on a candidate: probability at least a half, and more labelers for than against."""
-    v = votes(c)
-    kind, size = c["kind"], v[-1]
-    x = [F.lit(1), *[(a == s).cast("int") for a in v[1:-1] for s in (1, -1)], *[(kind == k).cast("int") for k in range(1, len(KINDS))], *[(size == s).cast("int") for s in (1, 2)]]
-    z = reduce(lambda a, b: a + b, [F.lit(float(w)) * f for w, f in zip(weights, x, strict=True)])
-    return (z >= 0) & (v[1] + v[2] + v[3] >= 2)
 
+def fit(found: DataFrame, rounds: int = 30, ridge: float = 1.0) -> Weights:
+    """The span classifier from the table of candidates: a weight for each kind, and one for each (kind, value) of each feature.
 
-def find_spans(docs: DataFrame, weights: list[float], text: str = "text") -> DataFrame:
+    Counts weigh by their share of all, so the weights don't drift with the input's size; without candidates all are 0.
+    """
+    keys = ("kind", *LABELERS)
+    counts = [(tuple(r[k] for k in keys), r["n"]) for r in found.groupBy(*keys).agg(F.sum("n").alias("n")).collect()]  # at most 6 * 3^5 rows
+    _, _, post = fit_votes(sorted(counts))
+    spark = found.sparkSession
+    believed = spark.createDataFrame([(*k, p) for k, p in sorted(post.items())], ", ".join(f"{k} int" for k in keys) + ", p double")
+    shape = ("kind", *FEATURES)
+    # a row for each combination of features that occurs: their number has a bound of its own
+    table = found.join(F.broadcast(believed), list(keys)).groupBy(*shape).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("mass")).orderBy(*shape).collect()
+    rows = np.array([[r[k] for k in shape] for r in table], np.int64).reshape(-1, len(shape))
+    x, n, mass = inputs(rows), np.array([r["n"] for r in table], float), np.array([r["mass"] for r in table], float)
+    n, mass = (v * (STRENGTH / max(1.0, n.sum())) for v in (n, mass))
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds if len(rows) else 0):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (n * p - mass) + ridge * w
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-9:
+            break
+    each, at, k = [], len(KINDS), len(KINDS)
+    for size in FEATURES.values():
+        over_all, by_kind = w[at : at + size], w[at + size : at + size + k * size]
+        each.append((np.tile(over_all, k) + by_kind).tolist())
+        at += size + k * size
+    return w[:k].tolist(), each
+
+
+def accepts(c: Column, weights: Weights) -> Column:
+    """The classifier's decision on a candidate: probability above a half."""
+    first, each = weights
+    z = F.get(F.array(*[F.lit(float(w)) for w in first]), c["kind"])
+    for w, value, size in zip(each, features(c), FEATURES.values(), strict=True):
+        z = z + F.get(F.array(*[F.lit(float(v)) for v in w]), c["kind"] * size + value)
+    return z > 0
+
+
+def find_spans(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
     """docs with base (array of (start, kind, end) of each base span) and spans (those and what the method adds), in order.
 
-    Null texts are empty and have none. Columns of these names are replaced. Row by row: no shuffle, whole texts.
+    Null texts are empty and have none. Of added spans that overlap, the one that begins first stays, of these the longest,
+    of these the kind listed first. Columns named base, spans, _every, _wide, _m_* and _w_* are replaced, others stay.
+    Row by row: no shuffle, whole texts, repeated rows alike; an empty table gives an empty one.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("base", "spans", "_base", "_every", "_wide")])
+    ours = {"base", "spans", "_every", "_wide", *[f"_m_{k}" for k in KINDS], *[f"_w_{k}" for k in KINDS]}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ours])
     keep = docs.columns
     docs = with_candidates(docs, text)
 
     def place(c: Column) -> Column:
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
 
-    more = F.filter(F.transform("_wide", lambda c: candidate(c, False)), lambda c: accepts(c, weights))
+    more = F.array_sort(F.transform(F.filter("_wide", lambda c: accepts(c, weights)), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"), c["end"].alias("end"))))
+    apart = F.aggregate(more, F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int>>))"), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(place(s))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
     base = F.array_sort(F.transform("_every", place))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), F.array_sort(F.concat(F.transform("_every", place), F.transform(more, place))).alias("spans"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), F.array_sort(F.concat(F.transform("_every", place), apart)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -238,8 +334,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = find_spans(docs, fit(vote_counts(docs)))
-    n = [count_of(F.col("base"), name).alias(f"n_{name}") for name in KINDS]
+    out = find_spans(docs, fit(candidates(docs, Kept(spark, "pii"))))
+    n = [count_of(F.col("base"), name).alias(f"n_{name}") for name in BASE_KINDS]
     return out.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
