@@ -48,16 +48,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a test item."""
+    """Documents that hold no window of a test item.
+
+    Null and empty texts hold none; without test items all stay; repeated rows stay or go together; no rows, no rows.
+    """
     names = [f"__c{i}" for i in range(len(docs.columns))]  # whatever docs' columns are called, results don't clash with them
     found = decontamination.find_items(docs.toDF(*names), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=names[docs.columns.index("text")])
     return found.where(F.size("hit_runs") == 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind in angle brackets; n_chars follows the text."""
-    narrow = docs.select("text")
-    weights = pii.fit(pii.vote_counts(narrow))
+    """All documents, each span of personal data or secrets replaced by its kind in angle brackets; n_chars follows the text.
+
+    Null texts and ids stay null; repeated rows are masked alike; no rows, no rows.
+    """
+    weights = pii.fit(pii.candidates(docs.select("text"), Kept(spark, "pii")))
     names = [f"__c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     out = pii.find_spans(docs.toDF(*names), weights, text=text).withColumn(text, pii.masked(F.col(text), F.col("spans")))
@@ -66,7 +71,10 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens and the sha256 of the bytes that the ids decode to, of each document."""
+    """doc_id, token_ids, n_tokens and the sha256 of the bytes that the ids decode to, of each document.
+
+    Null texts are empty ones, null ids and repeated rows stay as they are; no rows, no rows.
+    """
     path = public_tokenizers.path(bpe.DEFAULT)
     return bpe.encode_decode(docs.select("doc_id", "text"), path).select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
