@@ -8,6 +8,7 @@ identity normalisation. Then sentencepiece's merges are those of the rank file.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.chunks import Memo
+from quillspark.llm.words import pieces
 
 #: Rank files beyond this are refused: the model is broadcast.
 MAX_MODEL_BYTES = 64 << 20
+#: Bytes of text whose words are numbered together.
+PIECE = 4 << 20
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
-_READY: dict[int, ByteBpe] = {}
+_READY: dict[bytes, ByteBpe] = {}
 
 
 def _varint(n: int) -> bytes:
@@ -80,7 +84,8 @@ class ByteBpe:
         self.rank = {w: i for i, w in enumerate(words)}
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self.tokens: dict[str, bytes] = {}
-        self.memo = Memo(lambda texts: [self._encode(x) for x in texts])
+        # the memo's way of cutting texts is right for one pattern; any other goes over whole texts
+        self.memo = Memo(lambda texts: [self._encode(x) for x in texts]) if pattern == public_tokenizers.PATTERN else None
 
     def _encode(self, text: str) -> bytes:
         known = self.tokens
@@ -97,8 +102,12 @@ class ByteBpe:
             self.tokens[token] = out
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.memo(text)
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin); null is empty."""
+        if self.memo is not None:
+            return self.memo.batch(column)
+        raw = [self._encode(x or "") for x in column.to_pylist()]
+        return np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.words.__getitem__, ids.tolist()))
@@ -106,7 +115,7 @@ class ByteBpe:
 
 def _ready(value: tuple[bytes, list[bytes], str]) -> ByteBpe:
     """One encoder in each Python worker."""
-    key = hash((value[0][-4096:], len(value[0]), value[2]))
+    key = hashlib.blake2b(value[0] + b"\0" + value[2].encode()).digest()
     if key not in _READY:
         _READY[key] = ByteBpe(*value)
     return _READY[key]
@@ -133,14 +142,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _ready(value.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                found = [bpe.encode(x or "") for x in batch.column(at).to_pylist()]
-                offs = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) for x in found], out=offs[1:])
-                cols = [pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))]
+            for lo, hi, _, _ in pieces(whole.column(at), PIECE):
+                batch = whole.slice(lo, hi - lo)
+                flat, begins = bpe.encode(batch.column(at))
+                cols = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded is not None:
-                    cols.append(pa.array([bpe.decode(x) for x in found], pa.binary()))
+                    cols.append(pa.array([bpe.decode(flat[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *new])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A run of white space with the run after it, or the white space that ends a text.
 CHUNK = re.compile(r"\s*\S+|\s+")
@@ -26,13 +28,14 @@ class Memo:
     The memo is emptied when it holds `limit` parts: memory is bounded, and results don't depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1 << 19, long: int = 48):
-        self.encode, self.limit, self.long, self.known = encode, limit, long, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1 << 19, long: int = 48, apart: tuple[str, ...] = ()):
+        """Texts that hold one of `apart` (tokens that the tokenizer takes out first) are encoded whole."""
+        self.encode, self.limit, self.long, self.apart, self.known = encode, limit, long, apart, {}
         self.signs = dict(zip(".,", encode([".", ","]), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids as 32-bit integers."""
-        if any(c in text for c in _ODD):
+        if any(c in text for c in (*_ODD, *self.apart)):
             return np.frombuffer(self.encode([text])[0], "<i4")
         head, *parts = text.split(" ")
         raw = self._of_parts(parts)
@@ -71,3 +74,78 @@ class Memo:
         out = b"".join([found[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
         known.update(x for x in found.items() if len(x[0]) <= self.long)
         return out
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; where each text's begin, one more at the end); null is empty.
+
+        The parts of many texts are numbered at once, so that Python sees each distinct one once.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        lists = pc.split_pattern(column, " ")
+        offs = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.slice(offs[0], offs[-1] - offs[0]).dictionary_encode()
+        offs = offs - offs[0]
+        which, parts = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        raw = list(map(self.known.get, parts))
+        new = [k for k, x in enumerate(raw) if x is None]
+        odd = np.zeros(len(parts), bool)  # what is remembered has no white space around it
+        odd[[k for k in new if not parts[k] or parts[k][0].isspace() or parts[k][-1].isspace()]] = True
+        odd = odd[which]
+        odd[offs[:-1]] = False  # a text's first part is looked at by itself
+        bad = np.add.reduceat(odd, offs[:-1]) > 0 if len(column) else np.zeros(0, bool)
+        for sign in (*_ODD, *self.apart):
+            bad |= np.asarray(pc.match_substring(column, sign).to_numpy(zero_copy_only=False), bool)
+        texts = {i: self(x) for i, x in zip(np.flatnonzero(bad).tolist(), column.filter(pa.array(bad)).to_pylist(), strict=True)}
+        heads = {}
+        for i in np.flatnonzero(~bad).tolist():
+            head = parts[which[offs[i]]]
+            if head[-1:].isspace():
+                texts[i] = self(column[i].as_py())
+            elif head:
+                heads[i] = self.encode(CHUNK.findall(head))
+        # ids of the distinct parts that some plain text has after its first
+        plain = np.ones(len(column), bool)
+        plain[list(texts)] = False
+        body = np.repeat(plain, np.diff(offs))
+        body[offs[:-1]] = False
+        used = np.zeros(len(parts), bool)
+        used[which[body]] = True
+        new = [k for k in new if used[k]]
+        for k, x in zip(new, self._each([parts[k] for k in new]), strict=True):
+            raw[k] = x
+        raw = [x or b"" for x in raw]
+        flat = np.frombuffer(b"".join(raw), "<i4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        start = np.cumsum(size) - size
+        # lengths of texts, then every text's ids are put in place
+        words = np.where(body, size[which], 0)
+        ends = np.concatenate([[0], np.cumsum(words)])
+        first = {i: np.frombuffer(b"".join(h), "<i4") for i, h in heads.items()} | texts
+        length = ends[offs[1:]] - ends[offs[:-1]]
+        ahead = np.zeros(len(column), np.int64)
+        for i, x in first.items():
+            ahead[i] = len(x)
+        begins = np.concatenate([[0], np.cumsum(length + ahead)])
+        out = np.empty(begins[-1], "<i4")
+        for i, x in first.items():
+            out[begins[i] : begins[i] + len(x)] = x
+        run = np.flatnonzero(words)
+        n = words[run]
+        text = np.repeat(np.arange(len(column)), np.diff(offs))[run]
+        to = ends[run] - ends[offs[text]] + begins[text] + ahead[text]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = flat[np.repeat(start[which[run]], n) + step]
+        return out, begins
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of some distinct parts with a blank before."""
+        out: list[bytes] = []
+        for lo in range(0, len(parts), 4096):
+            some = parts[lo : lo + 4096]
+            self._of_parts(some)
+            known = self.known
+            out += [known[p] if p in known else self._long(p) for p in some]
+        return out
+
+    def _long(self, part: str) -> bytes:
+        return b"".join(self.encode(CHUNK.findall(" " + part)))

@@ -11,34 +11,36 @@ executors, and any store that Spark writes to can hold them.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from quillspark.llm.chunks import Memo
-from quillspark.session import Kept, plan_bytes
+from quillspark.llm.words import pieces
+from quillspark.session import Kept
 
 BLOCK = 128
 PERCENTILE = 90
 #: A file row is closed at so many ids, after a whole document.
 ROW_IDS = 1 << 18
-#: Input bytes for each range of doc_id, so for each writing task.
-RANGE_BYTES = 16 << 20
-UNKNOWN_BYTES = 1 << 55
+#: Bytes of text whose words are numbered together.
+PIECE = 8 << 20
 MAX_MODEL_BYTES = 64 << 20
 DEFAULT = "byte_bpe_50k.json"
 END_ID = 2
 _MAGIC = 0x31524650
 
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n_exceptions", "u1"), ("n", "<u2")])
-_READY: dict[int, Memo] = {}
+_READY: dict[bytes, Memo] = {}
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
@@ -117,35 +119,41 @@ def decode_blocks(payload: bytes, lo: int = 0, hi: int | None = None) -> np.ndar
 
 
 class _Encoder:
-    """Ids of chunks. Chunks of one word each are encoded as the lines of one text: a newline before a blank is a token by itself."""
+    """Ids of chunks. A chunk of letters after a blank is one pre-token, so it goes to the tokenizer's model at once."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        line = self._ids(["\n"])[0]
-        self.line = int(np.frombuffer(line, "<i4")[0]) if len(line) == 4 else None
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.tokens = tokenizer, tokenizer.model.tokenize
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+        self.blank = self.alphabet[0x20]
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        plain = self.line is not None and len(chunks) > 1 and all(c[0] == " " and c[1:2].strip() and "\n" not in c for c in chunks)
-        if not plain:
-            return self._ids(chunks)
-        raw = self._ids(["\n".join(chunks)])[0]
-        cuts = (np.flatnonzero(np.frombuffer(raw, "<i4") == self.line) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+        out: list[bytes | None] = []
+        rest = []
+        for c in chunks:
+            word = c[1:]
+            if c[0] == " " and word.isalpha():
+                mapped = self.blank + word if word.isascii() else c.encode().decode("latin-1").translate(self.alphabet)
+                out.append(array("i", [t.id for t in self.tokens(mapped)]).tobytes())
+            else:
+                rest.append(c)
+                out.append(None)
+        if rest:
+            found = iter([array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+            out = [next(found) if x is None else x for x in out]
+        return out
 
 
 def _memo(model: bytes) -> Memo:
     """One encoder in each Python worker."""
-    key = hash(model)
+    key = hashlib.blake2b(model).digest()
     if key not in _READY:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         t = Tokenizer.from_str(model.decode())
-        t.encode_special_tokens = True
-        _READY[key] = Memo(_Encoder(t), limit=1 << 20)
+        _READY[key] = Memo(_Encoder(t), limit=1 << 20, apart=tuple(x.content for x in t.get_added_tokens_decoder().values()))
     return _READY[key]
 
 
@@ -160,12 +168,13 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
-def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> None:
     """Encode every whole text, append end_id, and write the ids in ascending order of doc_id.
 
-    Rows are dealt out in ranges of doc_id, whose number follows the input, and sorted inside;
-    (range, seq) orders the file rows. Null texts are empty: they have the end id alone. Rows of the
-    same doc_id lie side by side; a null doc_id comes first. No rows give an empty table.
+    Ids are the tokenizer's own, special tokens that stand in a text included. Rows are dealt out in ranges of doc_id, by
+    default spark.sql.shuffle.partitions of them, and sorted inside; (range, seq) orders the file rows. Null texts are
+    empty: they have the end id alone. Rows of the same doc_id and repeated rows lie side by side; a null doc_id comes
+    first. Texts of any length are encoded whole. Other columns are not read. No rows give an empty table.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -173,14 +182,12 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int =
     if len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"the tokenizer has {len(model)} bytes, more than MAX_MODEL_BYTES")
     value = spark.sparkContext.broadcast(model)
-    size = plan_bytes(docs)
-    # of rows that come from no files Spark knows no size, and says the largest number
-    ranges = max(-(-size // RANGE_BYTES) if size < UNKNOWN_BYTES else 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seq, ahead = _memo(value.value), TaskContext.get().partitionId(), 0, 0
+        memo, part, seq, ahead = _memo(value.value), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<i4")
         ids: list[np.ndarray] = []
         names: list = []
@@ -193,18 +200,20 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=FILE_SCHEMA.names)
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids += [encode(x or ""), end]
-                n += len(ids[-2]) + 1
-                names.append(d)
-                ends.append(n)
-                if n >= ROW_IDS:
-                    yield row()
-                    ids, names, ends, n, seq, ahead = [], [], [], 0, seq + 1, ahead + n
+            for lo, hi, _, _ in pieces(batch.column(1), PIECE):
+                flat, begins = memo.batch(batch.column(1).slice(lo, hi - lo))
+                for d, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    ids += [flat[a:b], end]
+                    n += b - a + 1
+                    names.append(d)
+                    ends.append(n)
+                    if n >= ROW_IDS:
+                        yield row()
+                        ids, names, ends, n, seq, ahead = [], [], [], 0, seq + 1, ahead + n
         if names:
             yield row()
 
-    dealt = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("x")).repartitionByRange(ranges, "d").sortWithinPartitions("d")
+    dealt = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").alias("x")).repartitionByRange(ranges, "d").sortWithinPartitions("d")
     dealt.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
@@ -214,17 +223,13 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in the files; ids are little-endian unsigned 32-bit.
 
-    start counts the ids of all documents before. Each file row keeps the ids before it in its range;
-    the ids before a range come from one sum for each range, as many as writing tasks.
+    start counts the ids of all documents before: a file row keeps the ids before it in its range, and a running sum over
+    one row for each range, of which there are as many as writing tasks, gives those before the range.
     With digest, (doc_id, start, n_tokens, ids_crc32) instead.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = sorted((r["range"], r["n"]) for r in files.groupBy("range").agg(F.sum("n_tokens").alias("n")).toLocalIterator())
-    before, total = [], 0
-    for r, n in sums:
-        before.append((r, total))
-        total += n
-    base = F.broadcast(spark.createDataFrame(before, "range int, base long"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = files.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rows = files.join(base, "range").select("doc_ids", "doc_ends", (F.col("ahead") + F.col("base")).alias("file_start"), "payload")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" if digest else READ_SCHEMA
 

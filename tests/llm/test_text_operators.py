@@ -92,8 +92,10 @@ def test_blocks_keep_outliers_apart():
 
 def test_token_files(spark, make, tmp_path):
     t = Tokenizer.from_file(P.path(token_files.DEFAULT))
-    t.encode_special_tokens = True
-    texts = ODD + ["two words", None, "two words"]
+    rng = random.Random(11)
+    texts = ODD + ["two words", None, "two words", "a <|endoftext|> b", "x<|endoftext|>", "naïve Ünicode ŉ words, more", "new\nline a\n b"]
+    texts += ["".join(rng.choice(" \n\t.,'sté1é日AB\x1c ʰ") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     ids = list(range(len(texts)))
     random.Random(2).shuffle(ids)
     docs = make([(i, texts[i]) for i in ids] + [(0, texts[0])])
