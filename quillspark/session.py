@@ -63,7 +63,3 @@ class Kept:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's output; for a scan it follows the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
