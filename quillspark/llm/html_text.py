@@ -4,10 +4,12 @@ Every page becomes a skeleton: its DOM tree without texts, where siblings of one
 Pages of a host that have a skeleton in common are counted; each skeleton of the host is aligned with the host's most
 frequent ones of each template (at most 15, found in four rounds) by simple tree matching (Yang, "Identifying Syntactic
 Differences Between Two Programs"), and with the best match nodes in the same role share a number. Over all pages of the
-host a node whose text never differs is template, one whose text varies is a slot. Content is the article's region: what lies in <article> or <main>, else the smallest subtree that holds
-most of the text in varying slots. Menus, page headers, footers, asides, forms, scripts, adverts, notices and reader
-comments, known by element, role or class, are left out, and so are template nodes outside headings and paragraphs
-where other nodes of the region vary.
+host a node whose text never differs is template, one whose text varies is a slot. The region of the content is found by
+going down from the root to the child that holds most of the text in slots, until such a child is a paragraph or has
+headings or paragraphs that vary beside it. Only where a host tells nothing (one page, or no text that varies) <article>,
+<main> or the body stand in. Inside the region template nodes are left out where other nodes vary, and so are menus, page
+headers, footers, asides, forms, scripts, adverts, notices and reader comments, which vary too and are known by element,
+role or class; headings and paragraphs that never differ stay.
 """
 
 from __future__ import annotations
@@ -406,7 +408,7 @@ def content(page: str, template: frozenset[int] = frozenset(), region: int | Non
     slots: dict[int, int] = {}
     if template or region is not None:
         skeleton(root, slots)
-    tops = regions(root, None) or (regions(root, lambda c: slots.get(id(c)) == region) if region is not None else []) or regions(root, lambda c: c.tag == "body")
+    tops = (regions(root, lambda c: slots.get(id(c)) == region) if region is not None else []) or regions(root, None) or regions(root, lambda c: c.tag == "body")
     blocks: list[str] = []
     run: list[str] = []
 
@@ -501,18 +503,17 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                shapes, nodes, mains = [], [], []
+                shapes, nodes = [], []
                 for x in b.column(0).to_pylist():
                     root, slots, texts = parse(x or ""), {}, {}
-                    mains.append(bool(regions(root, None)))
                     s = written(skeleton(root, slots))
                     own_texts(root, slots, texts)
                     shapes.append((digest(s), s))
                     nodes.append([{"node": k, "text": digest("\n".join(v)), "size": sum(map(len, v))} for k, v in sorted(texts.items())])
                 cols = [pa.array([s for s, _ in shapes], pa.int64()), pa.array([s for _, s in shapes]), pa.array(nodes, NODES_ARROW)]
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(mains), *cols], names=["host", "page", "main", "shape", "skeleton", "nodes"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *cols], names=["host", "page", "shape", "skeleton", "nodes"])
 
-    seen = pages.select(F.col(f"`{page}`").alias("x"), page_host(F.col(f"`{url}`")).alias("host"), page_key(F.col(f"`{page}`")).alias("page")).mapInArrow(look, "host string, page long, main boolean, shape long, skeleton string, nodes array<struct<node:int,text:bigint,size:bigint>>")
+    seen = pages.select(F.col(f"`{page}`").alias("x"), page_host(F.col(f"`{url}`")).alias("host"), page_key(F.col(f"`{page}`")).alias("page")).mapInArrow(look, "host string, page long, shape long, skeleton string, nodes array<struct<node:int,text:bigint,size:bigint>>")
     seen = kept.keep(seen, "seen")
     # partial sums by host, shape and node: a host may hold any share of the pages
     flat = seen.select("host", "shape", F.explode("nodes").alias("n"))
@@ -550,7 +551,7 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
     # what a single page of a larger host holds tells no template, so it counts as varying
     varies = F.coalesce(~F.col("same") | (F.col("several") & (F.col("n") == 1)), F.lit(False)) & ~F.col("noise")
     constant = F.coalesce(F.col("same") & (F.col("n") >= 3) & ~F.col("tag").isin(*HEADING), F.lit(False))
-    node = F.struct("own", "up", F.when(varies, F.col("size")).otherwise(0).alias("size"), constant.alias("constant"), F.col("same").isNotNull().alias("texts"))
+    node = F.struct("own", "up", "tag", "noise", F.when(varies, F.col("size")).otherwise(0).alias("size"), constant.alias("constant"), F.col("same").isNotNull().alias("texts"))
     trees = known.groupBy("host", "shape").agg(F.collect_list(node).alias("tree"))  # the nodes of one skeleton
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,8 +560,8 @@ def induce(pages: DataFrame, kept: Kept, url: str, page: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([r for _, r in found], pa.int32())], names=["host", "shape", "template", "region"])
 
     wrappers = trees.mapInArrow(decide, "host string, shape long, template array<int>, region int")
-    # pages whose wrapper tells more than the page by itself: nodes to leave out, or a region where no element marks the article
-    told = seen.select("host", "shape", "page", "main").join(wrappers, ["host", "shape"]).where((F.size("template") > 0) | (~F.col("main") & F.col("region").isNotNull()))
+    # pages whose host tells something of them
+    told = seen.select("host", "shape", "page").join(wrappers, ["host", "shape"]).where((F.size("template") > 0) | F.col("region").isNotNull())
     return told.select("host", "page", "template", "region").dropDuplicates(["host", "page"])
 
 
@@ -569,12 +570,18 @@ ALIGNED_ARROW = pa.list_(pa.struct([("own", pa.int32()), ("ref", pa.int32()), ("
 
 
 def wrapper(nodes: dict[int, dict], share: float = 0.7) -> tuple[list[int], int | None]:
-    """(template nodes, region) of one skeleton, whose numbers are in pre-order.
+    """(template nodes, region) of one skeleton, whose numbers are in pre-order; the region is None where no text varies.
 
     A node is template if its text and that of all nodes below is constant, provided that other text varies. The region is
-    the deepest node below which at least that share of the varying text lies.
+    reached from the root through children that hold at least that share of the varying text outside noise; the way ends
+    above a heading or paragraph, and where one that varies lies beside the next child.
     """
-    total = {k: n["size"] or 0 for k, n in nodes.items()}
+    noise, total, below = {}, {}, defaultdict(list)
+    for k in sorted(nodes):
+        n = nodes[k]
+        noise[k] = bool(n["noise"]) or noise.get(n["up"], False)
+        total[k] = 0 if noise[k] else n["size"] or 0
+        below[n["up"]].append(k)
     fixed = {k: n["constant"] or not n["texts"] for k, n in nodes.items()}
     some = {k: n["constant"] for k, n in nodes.items()}
     for k in sorted(nodes, reverse=True):
@@ -583,17 +590,23 @@ def wrapper(nodes: dict[int, dict], share: float = 0.7) -> tuple[list[int], int
             total[up] += total[k]
             fixed[up] &= fixed[k]
             some[up] |= some[k]
-    whole = total.get(0, 0)
+    whole, at = total.get(0, 0), 0
     if not whole:
         return [], None
-    return [k for k in sorted(nodes) if fixed[k] and some[k]], max(k for k, t in total.items() if t >= share * whole)
+    while True:
+        most = next((k for k in below[at] if total[k] >= share * whole), None)
+        if most is None or nodes[most]["tag"] in HEADING or any(total[k] and nodes[k]["tag"] in HEADING for k in below[at] if k != most):
+            return [k for k in sorted(nodes) if fixed[k] and some[k]], at
+        at = most
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text of each whole page; empty where there is none. Null pages are empty; null urls share a host.
 
-    A column of that name is replaced, all others stay. Wrappers join the pages by host and a hash of the page, so a
-    large host is spread; the pages themselves are shuffled once at most.
+    A column of that name is replaced, all others stay. Pages of any length and depth are read whole; of lead skeletons that
+    are as frequent the one with the smaller digest comes first; repeated rows have the same text; an empty table gives an
+    empty one. Wrappers join the pages by host and a hash of the page, so a large host is spread; the pages themselves are
+    shuffled once at most.
     """
     kept = Kept(pages.sparkSession, "html-text")
     pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != out])

@@ -266,3 +266,25 @@ def test_word_hashes():
     assert np.diff(begins).tolist() == [1, 0, 0, 1, 3, 1]
     assert hashes(data, offs, ALNUM)[1].tolist() == first.tolist()
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_wrapper_decides_without_telling_tags(spark):
+    """No article, main or class: what is the same on all pages of a host goes, the subtree that varies stays."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(30):
+        title, body = words(6), [words(rng.randint(10, 40)) for _ in range(rng.randint(1, 6))]
+        same = "<div><ul><li>Home</li><li>About us</li></ul></div>"
+        paragraphs = "".join(f"<p>{p}</p>" for p in body)
+        if k % 3:
+            page = f"<body>{same}<div><div><div>Best shop in town</div></div><div><h1>{title}</h1><div><b>All rights kept</b></div>{paragraphs}</div></div><div>Since 1999</div></body>"
+        else:
+            page = f"<body>{same}<table><tr><td>Offers of the week</td><td><h1>{title}</h1>{paragraphs}</td></tr></table><div>Since 1999</div></body>"
+        rows.append((k, "http://host.example/x", page))
+        want[k] = "\n".join([title, *body])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == want
+    alone = {r["page_id"]: html_text.content(r["html"]) for r in df.collect()}
+    assert all("Home" in alone[k] and alone[k] != want[k] for k in want)
