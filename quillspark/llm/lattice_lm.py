@@ -2,9 +2,10 @@
 
 The pieces of an existing vocabulary, and single bytes, make a lattice over every word (a blank before it); the
 probability of a word is the sum over all segmentations, by a forward recursion in log space. Pieces don't go over
-white space, so a text's log probability is the sum over its words and its end. The vocabulary's own scores are the
-first weights; expectation-maximisation over the distinct words of all training texts then fits them to the corpus,
-and a word that the corpus holds is one more arc over its whole length, weighted by its discounted frequency.
+white space, so a text's log probability is the sum over its words and its end, which is a piece of its own. The
+vocabulary's scores weight the segmentations; expectation-maximisation over all words of the training texts then moves
+the pieces' weights to the corpus, in every round PRIOR parts of the vocabulary's own weights to 1 - PRIOR of the
+expected uses. Nothing but the pieces' weights is learnt: a word the corpus holds is priced like any other.
 
 Texts are packed into blocks of many documents, with the distinct words of the block and for each document the
 numbers and counts of its words. What is shuffled is one row for each distinct word of a block, not for each of a
@@ -30,12 +31,14 @@ from quillspark.session import Kept
 
 DEFAULT = "piece_bpe_32k.model"
 #: A block is closed at so many distinct words or bytes of text. The larger, the fewer rows are shuffled for the same texts.
-BLOCK_WORDS, BLOCK_BYTES = 1 << 17, 8 << 20
+BLOCK_WORDS, BLOCK_BYTES = 1 << 18, 16 << 20
 #: Words that the lattice takes at a time, so that those of one length are many.
 BATCH_WORDS = 1 << 16
 EM_ROUNDS = 3
-#: Added to each piece's expected count.
-SMOOTH = 0.05
+#: Share of the vocabulary's own weights in the fitted ones.
+PRIOR = 0.1
+#: Bytes of a word whose arcs are in memory at once.
+WINDOW = 4096
 MAX_PIECES = 1 << 20
 
 _U = np.uint64
@@ -125,24 +128,35 @@ class Lattice:
     def _add(total: np.ndarray, j: int, rows: np.ndarray, value: np.ndarray) -> None:
         total[rows, j] = np.logaddexp(total[rows, j], value)
 
-    def forward(self, x: np.ndarray, arcs: list, weights: np.ndarray) -> np.ndarray:
+    def ending(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The arcs by their end, those of WINDOW ends at a time."""
+        for s in range(0, x.shape[1], WINDOW):
+            lo = max(0, s + 1 - self.longest)
+            yield from ((lo + i, lo + j, rows, ids) for i, j, rows, ids in self.arcs(x[:, lo : s + WINDOW]) if lo + j > s)
+
+    def beginning(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The arcs from the last beginning to the first, those of WINDOW beginnings at a time."""
+        for s in reversed(range(0, x.shape[1], WINDOW)):
+            arcs = self.arcs(x[:, s : s + WINDOW + self.longest - 1])
+            yield from ((s + i, s + j, rows, ids) for i, j, rows, ids in sorted(arcs, key=lambda arc: -arc[0]) if i < WINDOW)
+
+    def forward(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
         alpha = np.full((len(x), x.shape[1] + 1), _NEG)
         alpha[:, 0] = 0
-        for i, j, rows, ids in arcs:
+        for i, j, rows, ids in self.ending(x):
             self._add(alpha, j, rows, alpha[rows, i] + weights[ids])
         return alpha
 
     def expected(self, x: np.ndarray, counts: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
         """Add the expected number of uses of each piece."""
-        arcs = self.arcs(x)
-        alpha = self.forward(x, arcs, weights)
+        alpha = self.forward(x, weights)
         beta = np.full(alpha.shape, _NEG)
         beta[:, -1] = 0
-        for i, j, rows, ids in sorted(arcs, key=lambda a: -a[0]):
-            self._add(beta, i, rows, beta[rows, j] + weights[ids])
         whole = alpha[:, -1]
-        for i, j, rows, ids in arcs:
-            total += np.bincount(ids, np.exp(alpha[rows, i] + weights[ids] + beta[rows, j] - whole[rows]) * counts[rows], len(total))
+        for i, j, rows, ids in self.beginning(x):
+            on = weights[ids] + beta[rows, j]
+            self._add(beta, i, rows, on)
+            total += np.bincount(ids, np.exp(alpha[rows, i] + on - whole[rows]) * counts[rows], len(total))
 
     def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, bytes as a matrix) of words of one length, the mark of the beginning before each."""
@@ -159,7 +173,7 @@ class Lattice:
     def log10(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words))
         for at, x in self.groups(words):
-            out[at] = self.forward(x, self.arcs(x), weights)[:, -1] / np.log(10)
+            out[at] = self.forward(x, weights)[:, -1] / np.log(10)
         return out
 
 
@@ -237,14 +251,15 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
 
     held_out is a boolean column; rows where it is true or null are never learnt from. Null and empty texts have one token, their end.
     Repeated rows and ids are rows of their own. No rows give no rows; with no training rows the vocabulary's own weights
-    are used and all counts are 0. Texts of any length are taken whole.
+    are used and all counts are 0. Texts and words of any length are taken whole: of a word the arcs of WINDOW bytes are in
+    memory at once, and two numbers for each byte. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     kept = Kept(spark, "lattice-lm")
     blocks = kept.keep(pack(docs, doc_id, text, F.coalesce(held_out, F.lit(True))), "blocks", compression="zstd")
     seen = blocks.select("block", F.posexplode(F.arrays_zip("words", "train_tf")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.train_tf").alias("tf"))
     counts = kept.keep(seen.groupBy("word").agg(F.sum("tf").alias("c")), "counts")
-    sums = counts.agg(F.sum("c").alias("n"), *[F.sum(x.cast("long")).alias(k) for k, x in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2))]).head()
+    sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).head()
     n_docs = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).head()[0] or 0
     n_words = sums["v"] or 0
     n, v = (sums["n"] or 0) + n_docs, n_words + (n_docs > 0)
@@ -252,6 +267,9 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
     pieces, weights = vocabulary(model_path)
     key = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((key, pieces))
+    own = np.exp(weights)
+    end = 1 / (len(pieces) + 1)  # the vocabulary says nothing of a text's end
+    weights = weights + np.log1p(-end)
     for _ in range(em_rounds if n_words else 0):
         now = spark.sparkContext.broadcast(weights)
 
@@ -259,32 +277,29 @@ def score(docs: DataFrame, model_path: str, held_out, doc_id: str = "doc_id", te
             lattice, _ = _ready(shared.value)
             total = np.zeros(len(now.value))
             for batch in gathered(batches):
+                tf = np.asarray(batch.column(1), np.float64)
                 for at, x in lattice.groups([w.encode() for w in batch.column(0).to_pylist()]):
-                    lattice.expected(x, np.ones(len(at)), now.value, total)
+                    lattice.expected(x, tf[at], now.value, total)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "uses"])
 
-        uses = np.full(len(pieces), SMOOTH)
-        for r in counts.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
-            uses[r["piece"]] += r["uses"]
-        weights = np.log(uses / uses.sum())
-    # A known word is one more arc of the lattice: absolute discounting takes `off` from each count of a word and
-    # gives the mass to the segmentations into pieces, whose weights are fitted to the distinct words.
-    n1, n2 = sums["n1"] or 0, sums["n2"] or 0
-    off = (n1 + 0.5) / (n1 + 2 * n2 + 1)
-    back = np.log(off * max(n_words, 1) / n) if n else np.log(0.5)
-    log_end = np.log(n_docs / n) if n_docs else np.log(0.5)
+        uses = np.zeros(len(pieces))
+        for r in counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
+            uses[r["piece"]] = r["uses"]  # MAX_PIECES rows at most
+        fitted = uses.sum() + n_docs
+        end = PRIOR / (len(pieces) + 1) + (1 - PRIOR) * n_docs / fitted
+        weights = np.log(PRIOR * own * (1 - 1 / (len(pieces) + 1)) + (1 - PRIOR) * uses / fitted)
+    log_end = np.log(end)
     final = spark.sparkContext.broadcast(weights)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, _ = _ready(shared.value)
         for batch in gathered(batches):
-            lp = lattice.log10([w.encode() for w in batch.column(0).to_pylist()], final.value) * np.log(10) + back
-            whole = np.maximum(np.asarray(batch.column(1), np.float64) - off, 0) / max(n, 1)
-            lp = np.logaddexp(lp, np.log(np.maximum(whole, 1e-300))) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp.astype(np.float32))], names=["word", "c", "lp"])
+            lp = lattice.log10([w.encode() for w in batch.column(0).to_pylist()], final.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], names=["word", "c", "lp"])
 
-    priced = kept.keep(counts.mapInArrow(price, "word string, c long, lp float"), "priced")
+    priced = kept.keep(counts.mapInArrow(price, "word string, c long, lp double"), "priced")
+    kept.drop(counts)
     refs = seen.select("word", F.col("block").alias("of"), "pos").join(priced.hint("shuffle_merge"), "word").select("of", "pos", "c", "lp")
     bottom = float(n + v + 1)
     end_base, end_lp = float(np.log10((n_docs + 1) / bottom)), float(log_end / np.log(10))

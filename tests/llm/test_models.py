@@ -121,15 +121,69 @@ def test_lattice_against_brute_force(spark, make, corpus):
     n, v = sum(counts.values()), len(counts)
     want = sorted((r["doc_id"], r["h"], len(tokens(r["text"])), sum(counts[t] > 0 for t in tokens(r["text"])), n, round(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in tokens(r["text"])), 6)) for r in rows)
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    assert all(r["score"] < 0 for r in out) and sum(r["score"] for r in out if r["held_out"] and r["doc_id"] < 400) > sum(r["base_score"] for r in out if r["held_out"] and r["doc_id"] < 400) * 1.2
+    assert all(r["score"] < 0 for r in out)
     assert lattice_lm.score(docs.limit(0), P.path(lattice_lm.DEFAULT), F.lit(False)).count() == 0
 
 
-def test_lattice_weights_take_three_rounds(make, corpus):
-    docs, held = corpus[0].where("doc_id < 60").unionByName(make([(2000, "tanasoko mitilu reperu lumasoti kodunana")])), F.col("doc_id") == 2000
-    unseen = lambda **x: lattice_lm.score(docs, P.path(lattice_lm.DEFAULT), held, **x).where("held_out").head()["score"]
-    usual, three, one = unseen(), unseen(em_rounds=3), unseen(em_rounds=1)
-    assert abs(usual - three) < 1e-3 < 1e-2 < abs(usual - one), (usual, three, one)
+def plain_forward(word, weight):
+    """(forward sums, backward sums) over the segmentations of a word into pieces, as probabilities."""
+    n = len(word)
+    alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for j in range(1, n + 1):
+        alpha[j] = sum(alpha[i] * weight[word[i:j]] for i in range(j) if word[i:j] in weight)
+    for i in range(n - 1, -1, -1):
+        beta[i] = sum(weight[word[i:j]] * beta[j] for j in range(i + 1, n + 1) if word[i:j] in weight)
+    return alpha, beta
+
+
+@pytest.mark.parametrize("rounds,window", [(0, 4096), (1, 4096), (3, 5)])
+def test_document_score_is_a_plain_recursion(spark, make, monkeypatch, rounds, window):
+    monkeypatch.setattr(lattice_lm, "WINDOW", window)
+    texts = {0: "the cat the Dog", 1: "a dog", 2: "", 3: None, 4: "an unseen straße the internationalization", 5: "the the"}
+    docs, held = make(list(texts.items())), F.col("doc_id") >= 4
+    pieces, w = lattice_lm.vocabulary(P.path(lattice_lm.DEFAULT))
+    own = dict(zip(pieces, np.exp(w), strict=True))
+    train = [t.lower().split() for i, t in texts.items() if i < 4 and t] + [[], []]
+    tf = collections.Counter(t for ts in train for t in ts)
+    e0 = 1 / (len(pieces) + 1)
+    end, weight = e0, {p: x * (1 - e0) for p, x in own.items()}
+    for _ in range(rounds):
+        uses = collections.Counter()
+        for t, c in tf.items():
+            word = b" " + t.encode()
+            alpha, beta = plain_forward(word, weight)
+            for i in range(len(word)):
+                for j in range(i + 1, len(word) + 1):
+                    if word[i:j] in weight:
+                        uses[word[i:j]] += c * alpha[i] * weight[word[i:j]] * beta[j] / alpha[-1]
+        total, share = sum(uses.values()) + 4, lattice_lm.PRIOR
+        end = share * e0 + (1 - share) * 4 / total
+        weight = {p: share * own[p] * (1 - e0) + (1 - share) * uses[p] / total for p in own}
+    assert abs(end + sum(weight.values()) - 1) < 1e-9
+    for r in lattice_lm.score(docs, P.path(lattice_lm.DEFAULT), held, em_rounds=rounds).collect():
+        words = (texts[r["doc_id"]] or "").lower().split()
+        want = sum(np.log10(plain_forward(b" " + t.encode(), weight)[0][-1]) for t in words) + np.log10(end)
+        assert abs(r["score"] - want) < 1e-9, r
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    pieces, w = lattice_lm.vocabulary(P.path(lattice_lm.DEFAULT))
+    lattice = lattice_lm.Lattice(pieces)
+    word, total = ("abc" * 50_000).encode(), np.zeros(len(pieces))
+    tracemalloc.start()
+    for _, x in lattice.groups([word]):
+        lattice.expected(x, np.ones(1), w, total)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert abs(sum(total[k] * len(p) for k, p in enumerate(pieces)) - len(word) - 1) < 1
+
+
+def test_fitted_weights_price_held_out_texts_better(corpus):
+    docs, held = corpus[0], toxicity.remainder("doc_id", 7) == 2
+    scores = [sum(r["score"] for r in lattice_lm.score(docs, P.path(lattice_lm.DEFAULT), held, em_rounds=k).where("held_out").collect()) for k in (0, 1, 3)]
+    assert scores == sorted(scores) and scores[2] > 0.8 * scores[0], scores
 
 
 def brute_components(docs, k, percent):
