@@ -170,9 +170,9 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
 
     Columns of docs that bear these names are replaced; all others stay. Null or empty texts have no words and no
     hits; items without words match nothing; repeated items count by their ids; a null id counts as the string
-    'null'. No items: no hits. The test items are searched in blocks of at most about block_bytes, each broadcast
-    by itself; with one block (the usual case) there is no shuffle. With more, every block reads the documents once
-    and the runs of a document are joined again by row, so the benchmark may be of any size.
+    'null'. No items: no hits; no documents, no rows; repeated rows have equal results. Texts of any length are read whole.
+    The test items are searched in blocks of at most about block_bytes, each broadcast by itself, one after another over
+    the same rows: each adds its hits to those of the blocks before, so there is no shuffle and the benchmark may be of any size.
     """
     spark = docs.sparkSession
     new = ["n_words", "hit_runs", "items"]
@@ -185,9 +185,11 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
     run_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_runs", run_type), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *fields])
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
+    runs_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def scan(part: DataFrame) -> DataFrame:
+    def scan(rows: DataFrame, part: DataFrame) -> DataFrame:
+        """rows (docs, and what the blocks before found if any) with the hits of one block."""
         value = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in part.where(F.col(item_text).isNotNull()).select(item, item_text).collect()]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,37 +202,18 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
                 for lo in range(0, whole.num_rows, 256):
                     batch = whole.slice(lo, 256)
                     found = list(searcher.search(batch.column(at).to_pylist()))
-                    cols = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for _, r, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *new])
+                    if batch.num_columns > width:
+                        before = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)
+                        found = [(n, merge([*r, *((x["start"], x["end"]) for x in have)]), i | set(known)) for (n, r, i), (have, known) in zip(found, before, strict=True)]
+                    cols = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for _, r, _ in found], runs_arrow), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=[*batch.schema.names[:width], *new])
 
-        return docs.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
-    if blocks == 1:
-        return scan(parts[0])
-    # rows have no key of their own that is surely unique: equal rows have equal results
-    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("__row")
-    out = None
+    out = docs
     for part in parts:
-        found = scan(part).select(row, *[F.col(f"`{c}`") for c in docs.columns], *new)
-        if out is None:
-            out = found
-            continue
-        more = found.select("__row", F.col("hit_runs").alias("__runs"), F.col("items").alias("__items")).where(F.size("__items") > 0).dropDuplicates(["__row"])
-        out = out.join(more, "__row", "left")
-        out = out.withColumn("hit_runs", F.when(F.col("__runs").isNull(), F.col("hit_runs")).otherwise(merged_runs(F.concat("hit_runs", "__runs"))))
-        out = out.withColumn("items", F.when(F.col("__items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "__items")))).drop("__runs", "__items")
-    return out.drop("__row")
-
-
-def merged_runs(runs: F.Column) -> F.Column:
-    """Union of an array of runs, in order."""
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(runs), F.slice(runs, 1, 0), add)
+        out = scan(out, part)
+    return out
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

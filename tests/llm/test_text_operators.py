@@ -288,3 +288,12 @@ def test_wrapper_decides_without_telling_tags(spark):
     assert got == want
     alone = {r["page_id"]: html_text.content(r["html"]) for r in df.collect()}
     assert all("Home" in alone[k] and alone[k] != want[k] for k in want)
+
+
+def test_blocks_of_items_keep_rows_apart(spark):
+    docs = spark.createDataFrame([("alpha beta", None), (None, "alpha beta"), ("gamma delta alpha beta", "x")], "text string, other string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "delta"), (3, "delta alpha"), (4, None)], "item_id long, text string")
+    got = {}
+    for size in (1 << 20, 20):
+        got[size] = sorted(str(r) for r in decontamination.find_items(docs, items, block_bytes=size).collect())
+    assert got[20] == got[1 << 20] and sum("items=[]" in r for r in got[20]) == 1
