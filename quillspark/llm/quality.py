@@ -8,9 +8,10 @@ difference. A logistic curve, fitted on labelled rows that are in neither dictio
 
 from __future__ import annotations
 
-import struct
+import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,14 @@ from quillspark.llm.toxicity import remainder, training_rows
 
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id.
 MAX_TRAIN_ROWS = 16_000
-#: Bytes of a dictionary, and of the pieces that it is trained on, for each label at most.
+#: Of these, whole texts of at most about so many rows of each label make its dictionary, of at most so many bytes.
+DICT_ROWS = 3_000
 DICT_BYTES = 96 << 10
-DICT_TRAIN_BYTES = 10 << 20
 PIECE = 2048
 LEVEL = 3
 
 Model = tuple[bytes, bytes, tuple[float, ...]]
+SIZES = ["__bad", "__good", "__size"]
 
 
 def cut(text: bytes) -> list[bytes]:
@@ -63,42 +65,39 @@ def inputs(bad: np.ndarray, good: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def dictionary(pieces: list[bytes]) -> bytes:
-    """A zstandard dictionary of pieces; of too few for zstandard's training, the pieces themselves."""
+    """A zstandard dictionary of pieces; where zstandard can't train one of them, what they end with."""
     raw = b"".join(pieces)
-    if len(pieces) >= 32 and len(raw) >= 8 * 1024:
-        try:
-            return zstandard.train_dictionary(min(DICT_BYTES, max(1024, len(raw) // 8)), pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return raw[-DICT_BYTES:] or b"\0" * 8
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, len(raw) // 8)), pieces, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return raw[-DICT_BYTES:] or b"\0" * 8
 
 
 def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> Model | None:
     """(bad dictionary, good dictionary, curve); None where either label is missing.
 
-    Half of the rows, by a hash of doc_id, make the dictionaries, each label in a task of its own and with at most
-    DICT_TRAIN_BYTES; the curve is fitted over the sizes of the other half, which come back as three numbers a row.
+    Half of the rows, by a hash of doc_id, at most about DICT_ROWS of each label, make the dictionaries, each label in a task
+    of its own; the curve is fitted over the sizes of the other half, which come back as three numbers a row. Rows without
+    a label are left out, null texts are empty, repeated rows count each time, ties of the order go by doc_id and text.
     """
     rows = train.where(F.col(label).isNotNull()).select(F.col(doc_id).cast("string").alias("d"), F.coalesce(text, F.lit("")).alias("x"), (F.col(label) > 0).cast("int").alias("y"))
     half = F.pmod(F.xxhash64("d", F.lit("half")), F.lit(2))
+    n = {r["y"]: r["n"] for r in rows.where(half == 0).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = reduce(lambda a, y: F.when(F.col("y") == y, int(min(1.0, DICT_ROWS / n[y]) * (1 << 60))).otherwise(a), sorted(n), F.lit(0))
+    some = rows.where(half == 0).where(F.pmod(F.xxhash64("d", F.lit("dictionary")), F.lit(1 << 60)) < share)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        pieces, total = [], 0
-        for x in group.assign(o=[zlib.crc32(f"o{d}".encode()) for d in group["d"]]).sort_values(["o", "d"])["x"]:
-            for p in cut(x.encode()):
-                if total < DICT_TRAIN_BYTES:
-                    pieces.append(p)
-                    total += len(p)
-        return pd.DataFrame({"y": [int(group["y"].iloc[0])], "b": [dictionary(pieces)]})
-
-    made = {r["y"]: bytes(r["b"]) for r in rows.where(half == 0).groupBy("y").applyInPandas(build, "y int, b binary").collect()}
+        ordered = group.assign(o=[zlib.crc32(f"o{d}".encode()) for d in group["d"]]).sort_values(["o", "d", "x"])["x"]
+        return pd.DataFrame({"y": [int(group["y"].iloc[0])], "b": [dictionary([p for x in ordered for p in cut(x.encode())])]})
+
+    made = {r["y"]: bytes(r["b"]) for r in some.groupBy("y").applyInPandas(build, "y int, b binary").collect()}
     if len(made) < 2:
         return None
     bad, good = made[0], made[1]
-    measured = measure(rows.where(half == 1), bad, good, "x").select("d", "y", "bad", "good", "size").collect()  # MAX_TRAIN_ROWS small rows
+    measured = measure(rows.where(half == 1), bad, good, "x").select("d", "y", *[F.col(c).alias(c[2:]) for c in SIZES]).collect()  # MAX_TRAIN_ROWS small rows
     if not measured:
         return bad, good, (0.0, 1.0, 0.0, 0.0, 0.0)
-    measured.sort(key=lambda r: (r["d"], r["y"]))
+    measured.sort(key=tuple)
     y = np.array([r["y"] for r in measured], float)
     x = inputs(*(np.array([r[c] for r in measured], float) for c in ("bad", "good", "size")))
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) ** 0.5
@@ -115,13 +114,13 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
 
 
 def measure(docs: DataFrame, bad: bytes, good: bytes, text: str = "text") -> DataFrame:
-    """docs with the whole text's compressed sizes (bad, good) and its bytes (size); null is empty."""
+    """docs with the whole text's compressed sizes (__bad, __good) and its bytes (__size); null is empty."""
     spark = docs.sparkSession
-    new = ["bad", "good", "size"]
+    new = SIZES
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     at = docs.columns.index(text)
     value = spark.sparkContext.broadcast((bad, good))
-    key = hash((bad, good))
+    key = hashlib.blake2b(bad + b"\0" + good).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _READY.get(key)
@@ -137,24 +136,27 @@ def measure(docs: DataFrame, bad: bytes, good: bytes, text: str = "text") -> Dat
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType(), False) for c in new]]))
 
 
-_READY: dict[int, Sizes] = {}
+_READY: dict[bytes, Sizes] = {}
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability of good quality for each whole text.
 
-    Empty and null texts compress to nothing and get the curve's value at 0; without a model all get 0.5.
-    Columns bad, good, size and `out` are replaced, others stay. No shuffle.
+    Empty and null texts compress to nothing and get the curve's value at 0; without a model all get 0.5. Texts of any
+    length are compressed whole; repeated rows are scored alike; an empty table gives an empty one. Columns __bad, __good,
+    __size and `out` are replaced, others stay. No shuffle.
     """
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*SIZES, out)]
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.lit(0.5).alias(out))
-    bad, good, (a, b, c, d, e) = model
-    found = measure(docs, bad, good, text)
-    diff = 20 * (F.col("bad") - F.col("good")) / F.greatest(F.col("bad") + F.col("good"), F.lit(1))
-    sure = F.col("size") / (F.col("size") + 64.0)
-    ratio = F.log(F.greatest(F.col("bad") + F.col("good"), F.lit(1)) / F.greatest(2 * F.col("size"), F.lit(1)))
+        return docs.select(*keep, F.lit(0.5).alias(out))
+    one, two, (a, b, c, d, e) = model
+    found = measure(docs.select(*keep), one, two, text)
+    bad, good, size = (F.col(c) for c in SIZES)
+    diff = 20 * (bad - good) / F.greatest(bad + good, F.lit(1))
+    sure = size / (size + 64.0)
+    ratio = F.log(F.greatest(bad + good, F.lit(1)) / F.greatest(2 * size, F.lit(1)))
     z = F.lit(a) + F.lit(b) * diff * sure + F.lit(c) * diff + F.lit(d) * sure + F.lit(e) * ratio * sure
-    return found.select("*", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))).alias(out)).drop("bad", "good", "size")
+    return found.select(*keep, (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))).alias(out))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

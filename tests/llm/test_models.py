@@ -74,6 +74,26 @@ def plain_features(text):
     return out
 
 
+def test_quality_against_a_plain_loop(corpus):
+    import zstandard
+
+    docs, labels = corpus
+    bad, good, w = quality.train(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    named = docs.withColumn("size", F.lit(5)).withColumn("good", F.lit("g")).withColumn("bad", F.lit(None))
+    out = quality.score(named, (bad, good, w))
+    assert out.columns == [*named.columns, "score"] == quality.score(named, None).columns
+    for r in out.collect():
+        x, sums = texts[r["doc_id"]], []
+        for raw in (bad, good):
+            d = zstandard.ZstdCompressionDict(raw)
+            c = zstandard.ZstdCompressor(dict_data=d, level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sums.append(sum(len(c.compress(x[i : i + quality.PIECE])) for i in range(0, len(x), quality.PIECE)))
+        diff, sure = 20 * (sums[0] - sums[1]) / max(sum(sums), 1), len(x) / (len(x) + 64)
+        z = w[0] + w[1] * diff * sure + w[2] * diff + w[3] * sure + w[4] * np.log(max(sum(sums), 1) / max(2 * len(x), 1)) * sure
+        assert abs(r["score"] - 1 / (1 + np.exp(-min(35, max(-35, z))))) < 0.02 and (r["size"], r["good"], r["bad"]) == (5, "g", None)
+
+
 def check(scored, held_out, labels, label, least):
     assert scored.where("score < 0 or score > 1 or score is null").count() == 0
     rows = scored.where(held_out).join(labels, "doc_id").select("score", label).collect()
