@@ -74,7 +74,6 @@ def found(text: Column, kind: str, pattern: str, needs: str) -> Column:
     """
     k = F.lit(KINDS.index(kind))
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.char_length(F.get(pieces, i)).alias("gap"), F.right(F.get(pieces, i), F.lit(40)).alias("left"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("right")))
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>)")
 
     def add(acc: Column, x: Column) -> Column:
@@ -83,8 +82,15 @@ def found(text: Column, kind: str, pattern: str, needs: str) -> Column:
         one = F.struct(k.alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    listed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(needs), listed).otherwise(none)
+    def listed(s: Column) -> Column:
+        # each match with the piece before it, and with the one after; there is one piece more
+        before = F.zip_with(s["m"], s["p"], lambda m, p: F.struct(m.alias("value"), F.char_length(p).alias("gap"), F.right(p, F.lit(40)).alias("left")))
+        steps = F.zip_with(before, F.slice(s["p"], F.lit(2), F.size(s["m"])), lambda x, q: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), x["left"].alias("left"), F.left(q, F.lit(1)).alias("right")))
+        return F.aggregate(F.filter(steps, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    # an array of one binds matches and pieces, which are worked out once
+    bound = F.transform(F.array(F.struct(matches.alias("m"), pieces.alias("p"))), listed)
+    return F.when(text.rlike(needs), F.get(bound, 0)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
