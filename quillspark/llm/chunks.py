@@ -53,6 +53,12 @@ class Memo:
         new = {p for p, i in zip(parts, ids, strict=True) if i is None}
         if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
             return None
+        found = self._learn(new)
+        return b"".join([found[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
+
+    def _learn(self, new) -> dict[str, bytes]:
+        """Ids of distinct parts that aren't remembered, with a blank before each; what isn't long is remembered."""
+        known = self.known
         if len(known) > self.limit:
             known.clear()
         stems: dict[str, None] = {}
@@ -70,10 +76,9 @@ class Memo:
         for p in new:
             if p not in found:
                 q = p[:-1]
-                found[p] = (found.get(q) or known[q]) + self.signs[p[-1]]
-        out = b"".join([found[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
+                found[p] = known[p] if p in known else (found.get(q) or known[q]) + self.signs[p[-1]]
         known.update(x for x in found.items() if len(x[0]) <= self.long)
-        return out
+        return found
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; where each text's begin, one more at the end); null is empty.
@@ -141,11 +146,6 @@ class Memo:
         """Ids of each of some distinct parts with a blank before."""
         out: list[bytes] = []
         for lo in range(0, len(parts), 4096):
-            some = parts[lo : lo + 4096]
-            self._of_parts(some)
-            known = self.known
-            out += [known[p] if p in known else self._long(p) for p in some]
+            found = self._learn(parts[lo : lo + 4096])
+            out += [found[p] for p in parts[lo : lo + 4096]]
         return out
-
-    def _long(self, part: str) -> bytes:
-        return b"".join(self.encode(CHUNK.findall(" " + part)))

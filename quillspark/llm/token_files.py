@@ -32,6 +32,8 @@ BLOCK = 128
 PERCENTILE = 90
 #: A file row is closed at so many ids, after a whole document.
 ROW_IDS = 1 << 18
+#: Ranges whose beginnings are broadcast; beyond, they are joined by a shuffle.
+MAX_RANGES = 1 << 20
 #: Bytes of text whose words are numbered together.
 PIECE = 8 << 20
 MAX_MODEL_BYTES = 64 << 20
@@ -43,6 +45,34 @@ _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n_exceptions", "u1"), ("n
 _READY: dict[bytes, Memo] = {}
 
 
+def packed_rows(x: np.ndarray, w: int) -> bytes:
+    """The low w bits of each number of rows of BLOCK, one after another, little end first."""
+    if w > 16:
+        return np.packbits(((x[:, :, None] >> np.arange(w, dtype="<u4")) & 1).astype(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").tobytes()
+    # eight numbers are w bytes of two words
+    v = (x & np.uint32((1 << w) - 1)).astype("<u8").reshape(-1, 8)
+    half = [v[:, k] | v[:, k + 1] << np.uint64(w) | v[:, k + 2] << np.uint64(2 * w) | v[:, k + 3] << np.uint64(3 * w) for k in (0, 4)]
+    low, high = half if w == 16 else (half[0] | half[1] << np.uint64(4 * w), half[1] >> np.uint64(64 - 4 * w))
+    return np.ascontiguousarray(np.stack([low, high], 1).view(np.uint8)[:, :w]).tobytes()
+
+
+def unpacked_rows(x: np.ndarray, w: int) -> np.ndarray:
+    """Rows of BLOCK numbers from rows of their packed bytes."""
+    if w > 16:
+        bits = np.unpackbits(x, axis=1, bitorder="little").reshape(len(x), BLOCK, w)
+        value = np.zeros((len(x), BLOCK), "<u4")
+        for k in range(w):
+            value |= bits[:, :, k].astype("<u4") << np.uint32(k)
+        return value
+    wide = np.zeros((x.size // w, 16), np.uint8)
+    wide[:, :w] = x.reshape(-1, w)
+    low, high = wide.view("<u8").T
+    if w < 16:
+        low, high = low & np.uint64((1 << 4 * w) - 1), low >> np.uint64(4 * w) | high << np.uint64(64 - 4 * w)
+    mask = np.uint64((1 << w) - 1)
+    return np.stack([part >> np.uint64(k * w) & mask for part in (low, high) for k in range(4)], 1).astype("<u4").reshape(len(x), BLOCK)
+
+
 def encode_blocks(ids: np.ndarray) -> bytes:
     """The payload for ids (unsigned 32-bit).
 
@@ -71,8 +101,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = ((rest[rows][:, :, None] >> np.arange(w, dtype="<u4")) & 1).astype(np.uint8).reshape(len(rows), -1)
-            raw, size = np.packbits(bits, axis=1, bitorder="little").tobytes(), BLOCK * int(w) // 8
+            raw, size = packed_rows(rest[rows], int(w)), BLOCK * int(w) // 8
             for j, r in enumerate(rows.tolist()):
                 packed[r] = raw[j * size : (j + 1) * size]
     where, which = np.nonzero(over)[1].astype(np.uint8).tobytes(), rest[over].astype("<u4").tobytes()
@@ -104,12 +133,7 @@ def decode_blocks(payload: bytes, lo: int = 0, hi: int | None = None) -> np.ndar
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            part = raw[starts[rows][:, None] + 8 + np.arange(BLOCK * w // 8)]
-            bits = np.unpackbits(part, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value = np.zeros((len(rows), BLOCK), "<u4")
-            for k in range(w):
-                value |= bits[:, :, k].astype("<u4") << np.uint32(k)
-            out[rows] = value
+            out[rows] = unpacked_rows(raw[starts[rows][:, None] + 8 + np.arange(BLOCK * w // 8)], int(w))
     count = head["n_exceptions"].astype(np.int64)
     for r in np.flatnonzero(count).tolist():
         at, c = int(starts[r] + 8 + BLOCK * width[r] // 8), int(count[r])
@@ -230,6 +254,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = files.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if (files.agg(F.max("range")).head()[0] or 0) < MAX_RANGES else base
     rows = files.join(base, "range").select("doc_ids", "doc_ends", (F.col("ahead") + F.col("base")).alias("file_start"), "payload")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" if digest else READ_SCHEMA
 
