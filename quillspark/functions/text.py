@@ -86,13 +86,13 @@ def source_ref(url: Column, id_params: dict[str, str] | None = None) -> Column:
 
 
 def money(x: Column) -> Column:
-    """'$1,234.50', '(12)' as -12, a lone dash as 0; an error for anything else but null."""
+    """'$1,234.50', '(12)' as -12, a lone dash and a blank cell as 0; an error for anything else but null."""
     bare = F.regexp_replace(F.trim(x), r"[$,\s]", "")
     sign = F.when(bare.rlike(r"^\(.*\)$"), -1).otherwise(1)
     digits = F.regexp_replace(bare, r"[()]", "")
     good = digits.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
     value = F.when(good, digits.cast("decimal(18,2)") * sign)
-    return F.when(x.isNull(), F.lit(None)).when(bare.rlike("^[-–—]$"), F.lit(0).cast("decimal(18,2)")).when(good, value).otherwise(F.raise_error(F.concat(F.lit("no amount: "), x)).cast("decimal(18,2)"))
+    return F.when(x.isNull(), F.lit(None)).when(bare.rlike("^[-–—]?$"), F.lit(0).cast("decimal(18,2)")).when(good, value).otherwise(F.raise_error(F.concat(F.lit("no amount: "), x)).cast("decimal(18,2)"))
 
 
 def rate(x: Column) -> Column:
@@ -108,8 +108,9 @@ def fiscal_year(query: Column) -> Column:
 
 
 def name_key(x: Column, titles: tuple[str, ...] = ("mr", "mrs", "ms", "dr", "hon", "mayor", "alderman", "alderwoman", "councilmember", "director", "president", "chair")) -> Column:
-    """A person's name to compare by: dashes alike, no dots or commas, leading titles off, however many."""
-    plain = squeeze(F.lower(F.regexp_replace(F.regexp_replace(x, "[‐-―−]", "-"), "[.,]", " ")))
+    """A person's name to compare by: case folded, dashes alike and without blanks around, no dots or commas, leading
+    titles off, however many."""
+    plain = citation_form(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[‐-―−]", "-"), r"\s*-\s*", "-"), "[.,]", " "))
     return F.regexp_replace(plain, r"^(?:(?:" + "|".join(titles) + r")\s+)+", "")
 
 

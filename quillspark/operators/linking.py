@@ -136,55 +136,33 @@ def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, thresh
 
 
 def farthest_points(rows: DataFrame, group: str, item: str, vector: str, n: int) -> DataFrame:
-    """(group, item, place): n items of each group, each the farthest from those before; the first is the smallest item."""
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, {item} {rows.schema[item].dataType.simpleString()}, place int"
+    """(group, item, place): n items of each group, each the farthest from those before; the first is the smallest item.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > 20 * MAX_GROUP:
-            raise ValueError("the group is too large")
-        pdf = pdf.sort_values(item, kind="stable")
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        near, chosen = np.full(len(x), -np.inf), [0]
-        while len(chosen) < min(n, len(x)):
-            near = np.maximum(near, x @ x[chosen[-1]])
-            near[chosen] = np.inf
-            chosen.append(int(near.argmin()))
-        return pd.DataFrame({group: pdf[group].to_numpy()[chosen], item: pdf[item].to_numpy()[chosen], "place": np.arange(len(chosen), dtype=np.int32)})
-
-    return rows.select(group, item, vector).groupBy(group).applyInPandas(pick, schema)
-
-
-def align_calls(rows: DataFrame, group: str, kind: str, position: str, token: str, skip: float = -0.6) -> DataFrame:
-    """(group, call, answer): monotone alignment of the calls (kind 'call') of a group with its answers, by dynamic programming.
-
-    A pair scores 1 for equal tokens, else 0.1; each side may skip at a cost. Ties prefer a pair, then skipping a call.
+    Farthest is the one whose highest cosine (9 places) with those chosen is least; ties by item. Every step is one
+    aggregate over all rows, whose state for a group is one item, so groups of any size do; the items chosen ride along.
     """
-    p = rows.schema[position].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP:
-            raise ValueError(f"a group of {len(pdf)} rows; at most {MAX_GROUP}")
-        pdf = pdf.sort_values(position)
-        a, b = (pdf[pdf[kind] == k] for k in ("call", "answer"))
-        x, y = a[token].to_list(), b[token].to_list()
-        best = np.zeros((len(x) + 1, len(y) + 1))
-        best[:, 0], best[0, :] = skip * np.arange(len(x) + 1), skip * np.arange(len(y) + 1)
-        for i in range(1, len(x) + 1):
-            for j in range(1, len(y) + 1):
-                best[i, j] = max(best[i - 1, j - 1] + (1.0 if x[i - 1] == y[j - 1] else 0.1), best[i - 1, j] + skip, best[i, j - 1] + skip)
-        out, i, j = [], len(x), len(y)
-        while i and j:
-            if np.isclose(best[i, j], best[i - 1, j - 1] + (1.0 if x[i - 1] == y[j - 1] else 0.1)):
-                out.append((pdf[group].iloc[0], a[position].iloc[i - 1], b[position].iloc[j - 1]))
-                i, j = i - 1, j - 1
-            elif np.isclose(best[i, j], best[i - 1, j] + skip):
-                i -= 1
-            else:
-                j -= 1
-        return pd.DataFrame(out[::-1], columns=[group, "call", "answer"])
-
-    return rows.select(group, kind, position, token).groupBy(group).applyInPandas(run, f"{group} {rows.schema[group].dataType.simpleString()}, call {p}, answer {p}")
+    unit = rows.select(F.col(group), F.col(item), V.unit(F.col(vector)).alias("__u"))
+    first = unit.groupBy(group).agg(F.min_by(F.struct(item, "__u"), item).alias("c")).select(group, F.array("c").alias("__chosen"))
+    for _ in range(n - 1):
+        near = F.array_max(F.transform("__chosen", lambda c: F.round(V.dot(F.col("__u"), c["__u"]), 9)))
+        new = ~F.exists("__chosen", lambda c: c[item] == F.col(item))
+        scored = unit.join(first, group).where(new).select(group, near.alias("__near"), F.struct(item, "__u").alias("c"))
+        step = scored.groupBy(group).agg(F.min_by("c", F.struct("__near", F.col(f"c.{item}"))).alias("c"))
+        first = first.join(step, group, "left").select(group, F.when(F.col("c").isNull(), F.col("__chosen")).otherwise(F.concat("__chosen", F.array("c"))).alias("__chosen"))
+    return first.select(group, F.posexplode("__chosen").alias("place", "c")).select(group, F.col(f"c.{item}").alias(item), "place")
+
+
+def align_calls(rows: DataFrame, group: str, kind: str, position: str, token: str) -> DataFrame:
+    """(group, call, answer): each call of a roll with the answer that lies between it and the next call.
+
+    An answer (kind 'answer') binds to the last call before it if no other answer came first; then as many calls as can be
+    are bound, each to one answer. One window over the group's rows in order of position; equal positions put calls first.
+    token is not looked at: it may be null.
+    """
+    w = Window.partitionBy(group).orderBy(position, F.col(kind) != "call")
+    last = F.last(F.when(F.col(kind) == "call", F.col(position)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bound = rows.withColumn("call", last).where((F.col(kind) == "answer") & F.col("call").isNotNull() & (F.col(position) > F.col("call")))
+    return bound.groupBy(group, "call").agg(F.min(position).alias("answer"))
 
 
 def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
@@ -208,6 +186,18 @@ def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
     return jaro + boost * prefix * (1 - jaro)
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of it at a time as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def letters(names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each name: how often characters of each of 64 classes occur, the first four, the length and the number of words."""
     counts, heads = np.zeros((len(names), 64), np.int32), np.zeros((len(names), 4), np.int64)
@@ -221,7 +211,7 @@ def letters(names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: str, floor: float = 0.85) -> DataFrame:
     """(phrase, name, score): the closest name for each phrase, of a token count that differs by one at most, not equal to it.
 
-    Names of several words compare by edit ratio; single words by the higher of that and Jaro-Winkler. Blocks of phrases meet
+    Names of several words compare by the edit ratio 2 * lcs / (a + b); single words by the higher of that and Jaro-Winkler. Blocks of phrases meet
     blocks of names; from common characters and the common beginning both scores are bounded from above, and only pairs whose
     bound is below the floor are left out before they are scored.
     """
@@ -229,15 +219,16 @@ def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: st
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             jw = [jaro_winkler(a, b) if n == 1 else 0.0 for a, b, n in zip(pdf["p"], pdf["v"], pdf["n"], strict=True)]
-            yield pdf.assign(score=np.maximum(pdf["ratio"], jw))[["p", "v", "score"]]
+            ratio = [2 * common_letters(a, b) / (len(a) + len(b)) for a, b in zip(pdf["p"], pdf["v"], strict=True)]
+            yield pdf.assign(score=np.maximum(np.array(ratio), jw))[["p", "v", "score"]]
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a, b in zip(pdf["ps"], pdf["vs"], strict=True):
                 (ca, ha, la, wa), (cb, hb, lb, wb) = letters(a), letters(b)
                 for k, x in enumerate(a):
-                    both, size = np.minimum(ca[k], cb).sum(1), np.maximum(la[k], lb)
-                    n = np.minimum(wa[k], wb)
+                    both, size = np.minimum(ca[k], cb).sum(1), (la[k] + lb) / 2
+                    n = np.maximum(wa[k], wb)  # Jaro-Winkler is for two single words
                     prefix = np.cumprod((ha[k] == hb) & (hb > 0), axis=1).sum(1)
                     jaro = (both / np.maximum(la[k], 1) + both / np.maximum(lb, 1) + 1) / 3 * (both > 0)
                     bound = np.maximum(both / np.maximum(size, 1), np.where(n == 1, jaro + 0.1 * prefix * (1 - jaro), 0))
@@ -252,5 +243,5 @@ def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: st
         return one.groupBy(F.pmod(F.xxhash64("x"), F.lit(count)).alias("k")).agg(F.collect_list("x").alias(name)).select(name)
 
     near = blocks(phrases, phrase, "ps").crossJoin(blocks(vocabulary, name, "vs")).mapInPandas(candidates, "p string, v string, n int")
-    scored = near.withColumn("ratio", 1 - F.levenshtein("p", "v") / F.greatest(F.char_length("p"), F.char_length("v"))).mapInPandas(similar, "p string, v string, score double")
+    scored = near.mapInPandas(similar, "p string, v string, score double")
     return scored.where(F.col("score") >= floor).groupBy(F.col("p").alias(phrase)).agg(F.max_by(F.struct("v", F.round("score", 6).alias("score")), F.struct("score", "v")).alias("b")).select(phrase, F.col("b.v").alias(name), F.col("b.score").alias("score"))

@@ -30,13 +30,13 @@ def date_range(column: Column, start=None, end=None) -> Column:
     return out & (column <= F.lit(end)) if end is not None else out
 
 
-def semantic_search(items: DataFrame, query: DataFrame, item_id: str, vector: str, threshold: float = 0.35, top: int = POOL) -> DataFrame:
-    """(id, similarity) of the items nearest to the one vector of query (column q): exact, over all items.
+def semantic_search(items: DataFrame, query: DataFrame, item_id: str, vector: str, threshold: float = 0.35, top: int = POOL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, similarity, and the columns to carry) of the items nearest to the one vector of query (column q): exact, over all items.
 
     query has one row, so the join with it is a broadcast of one vector. Ties go by id.
     """
     one = F.broadcast(query.select(F.col("q").alias("__q")).limit(1))
-    scored = items.join(one).select(F.col(item_id).alias("id"), V.cosine(F.col(vector), F.col("__q")).alias("similarity"))
+    scored = items.join(one).select(F.col(item_id).alias("id"), V.cosine(F.col(vector), F.col("__q")).alias("similarity"), *carry)
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(top)
 
 
@@ -51,37 +51,40 @@ def _is(term: str, x: Column) -> Column:
     return x == F.lit(term)
 
 
-def keyword_search(items: DataFrame, query: str, item_id: str, text: str, top: int = POOL) -> DataFrame:
-    """(id, score) of the items that hold every term: unstemmed; sum over terms of tf / (1 + log10(words)). Ties go by id.
+def keyword_search(items: DataFrame, query: str, item_id: str, text: str, top: int = POOL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, and the columns to carry) of the items that hold every term: unstemmed; sum over terms of tf / (1 + log10(words)). Ties go by id.
 
     Terms are counted inside each row, so only matches leave the scan and only `top` rows reach the driver's sort.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = items.select(F.col(item_id).alias("id"), words.alias("w"))
+    for t in search_terms(query):  # texts without a term aren't cut into words
+        items = items.where(F.contains(F.lower(F.col(text)), F.lit(t)))
+    rows = items.select(F.col(item_id).alias("id"), words.alias("w"), *carry)
     tf = [F.size(F.filter("w", partial(_is, t))) for t in search_terms(query)]
     if not tf:
-        return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    rows = rows.select("id", F.size("w").alias("n"), *[c.alias(f"t{i}") for i, c in enumerate(tf)])
+        return rows.select("id", F.lit(0.0).alias("score"), *carry).limit(0)
+    rows = rows.select("id", F.size("w").alias("n"), *carry, *[c.alias(f"t{i}") for i, c in enumerate(tf)])
     for i in range(len(tf)):
         rows = rows.where(F.col(f"t{i}") > 0)
     total = sum((F.col(f"t{i}") for i in range(len(tf))), F.lit(0))
-    return rows.select("id", F.round(total / (1 + F.log10(F.col("n"))), 9).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+    return rows.select("id", F.round(total / (1 + F.log10(F.col("n"))), 9).alias("score"), *carry).orderBy(F.desc("score"), "id").limit(top)
 
 
-def ranked(hits: DataFrame, score: str, kind: str, list_no: int) -> DataFrame:
+def ranked(hits: DataFrame, score: str, kind: str, list_no: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(list_no, kind, rank, id) of a list of at most a pool's size."""
-    return hits.select(F.lit(list_no).alias("list_no"), F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(F.desc(score), "id")).alias("rank"), "id")
+    return hits.select(F.lit(list_no).alias("list_no"), F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(F.desc(score), "id")).alias("rank"), "id", *carry)
 
 
-def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
+def fuse(lists: DataFrame, k: int = RRF_K, carry: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion: (id, rrf, best rank by kind, first_list). Ties go by the list first met, then the rank in it."""
     out = lists.groupBy("id").agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"),
         F.min(F.when(F.col("kind") == "semantic", F.col("rank"))).alias("semantic_rank"),
         F.min(F.when(F.col("kind") == "keyword", F.col("rank"))).alias("keyword_rank"),
         F.min(F.struct("list_no", "rank")).alias("first"),
+        *[F.first(c).alias(c) for c in carry],
     )
-    return out.select("id", "rrf", "semantic_rank", "keyword_rank", F.col("first.list_no").alias("first_list"), F.col("first.rank").alias("first_rank"))
+    return out.select("id", "rrf", "semantic_rank", "keyword_rank", F.col("first.list_no").alias("first_list"), F.col("first.rank").alias("first_rank"), *carry)
 
 
 def demote(hits: DataFrame, order: list[Column], demoted: Column, by: int = DEMOTION) -> DataFrame:
@@ -91,15 +94,20 @@ def demote(hits: DataFrame, order: list[Column], demoted: Column, by: int = DEMO
     return moved.withColumn("place", F.row_number().over(Window.orderBy("__to", F.col("demoted").cast("int"), "before"))).drop("__to")
 
 
-def hybrid_search(items: DataFrame, query: DataFrame, words: str, item_id: str, vector: str, text: str, kind: str, demoted_kinds: tuple[str, ...], threshold: float = 0.35, top: int = 20) -> DataFrame:
-    """Semantic and keyword pools, fused, demoted by kind and cut; the text's best sentence is joined after the cut."""
-    lists = ranked(semantic_search(items, query, item_id, vector, threshold), "similarity", "semantic", 0).unionByName(ranked(keyword_search(items, words, item_id, text), "score", "keyword", 1))
-    fused = fuse(lists).join(items.select(F.col(item_id).alias("id"), F.col(kind).alias("kind")), "id")
+def hybrid_search(items: DataFrame, query: DataFrame, words: str, item_id: str, vector: str, text: str, kind: str, demoted_kinds: tuple[str, ...], threshold: float = 0.35, top: int = 20, texts: DataFrame | None = None) -> DataFrame:
+    """Semantic and keyword pools, fused, demoted by kind and cut; the text's best sentence is joined after the cut.
+
+    The pools carry the kind, so items are read once for each pool; texts (item_id, text) may be a narrower table than items.
+    """
+    of = F.col(kind).alias("item_kind")
+    hits = [semantic_search(items.withColumn("item_kind", of), query, item_id, vector, threshold, carry=("item_kind",)), keyword_search(items.withColumn("item_kind", of), words, item_id, text, carry=("item_kind",))]
+    lists = [ranked(h, score, name, k, ("item_kind",)) for k, (h, score, name) in enumerate(zip(hits, ("similarity", "score"), ("semantic", "keyword"), strict=True))]
+    fused = fuse(lists[0].unionByName(lists[1]), carry=("item_kind",)).withColumnRenamed("item_kind", "kind")
     placed = demote(fused, [F.desc("rrf"), F.asc("first_list"), F.asc("first_rank")], F.coalesce(F.col("kind").isin(*demoted_kinds), F.lit(False)))
     cut = placed.where(F.col("place") <= top)
     parts = X.sentences(F.col(text))
     terms = F.array(*[F.lit(t) for t in search_terms(words)])
-    shown = cut.join(items.select(F.col(item_id).alias("id"), F.col(text)), "id")
+    shown = (items if texts is None else texts).select(F.col(item_id).alias("id"), F.col(text)).join(F.broadcast(cut), "id")  # `top` rows
     return shown.select("place", "id", "kind", "rrf", "semantic_rank", "keyword_rank", F.substring(F.get(parts, F.greatest(X.best_sentence(parts, terms), F.lit(0))), 1, 200).alias("snippet"))
 
 

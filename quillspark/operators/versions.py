@@ -10,6 +10,8 @@ from quillspark.operators.components import connected_components
 from quillspark.session import Kept
 
 MAX_HOPS = 16
+#: Most frequent tokens whose order in a prefix goes by their counts; they are broadcast.
+COMMON = 1 << 12
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -21,27 +23,31 @@ def near_duplicate_pairs(docs: DataFrame, doc_id: str, text: str, bucket: list[s
     """(a, b, jaccard) of documents of one bucket whose distinct tokens agree by at least percent; each needs `least` tokens.
 
     Rows lacking a bucket field don't take part. A set join by prefixes: two such sets share one of the first
-    n - ceil(n * percent / 100) + 1 tokens of both in any common order, here rarest first, so that only those are
-    joined, not all pairs of a bucket. Documents with equal token sets are one class, whose copies hang on its least id.
+    n - ceil(n * percent / 100) + 1 tokens of both in any common order, so that only those are joined, not all pairs of a
+    bucket. The order puts the COMMON most frequent tokens last, by their counts, and the others by their hash. Texts are
+    read once: what is kept are sets of 64-bit token hashes. Documents with equal sets are one class, whose copies hang on
+    its least id.
     """
+    kept = Kept(docs.sparkSession, "near-pairs")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
-    rows = docs.dropna(subset=bucket).select(F.col(doc_id).alias("id"), F.xxhash64(*bucket).alias("bucket"), *bucket, F.array_sort(tokens).alias("tokens")).where(F.size("tokens") >= least)
-    classes = rows.groupBy("bucket", *bucket, F.sha2(F.array_join("tokens", " "), 256).alias("h")).agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+    rows = docs.dropna(subset=bucket).select(F.col(doc_id).alias("id"), F.xxhash64(*bucket).alias("bucket"), F.concat_ws("\x1f", *bucket).alias("names"), F.array_sort(tokens).alias("w")).where(F.size("w") >= least)
+    rows = kept.keep(rows.select("id", "bucket", F.sha2(F.concat_ws(" ", "names", F.array_join("w", " ")), 256).alias("h"), "names", F.transform("w", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
+    classes = kept.keep(rows.groupBy("h").agg(F.min("id").alias("id"), F.first("bucket").alias("bucket"), F.first("names").alias("names"), F.first("tokens").alias("tokens")), "classes")
     flat = classes.select("id", "bucket", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = flat.groupBy("token").agg(F.count("*").alias("df"))
+    common = flat.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(COMMON)
     keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    order = flat.join(df, "token").groupBy("id", "bucket", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    placed = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")
+    order = flat.join(F.broadcast(common), "token", "left").groupBy("id", "bucket", "n").agg(F.array_sort(F.collect_list(placed)).alias("t"))
     prefix = order.select("id", "bucket", "n", F.explode(F.transform(F.slice("t", F.lit(1), keep), lambda s: s["token"])).alias("token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     cand = a.join(b, on & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    of = lambda c: classes.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
-    both = cand.join(of("a"), "a").join(of("b"), "b").withColumn("i", F.size(F.array_intersect("ta", "tb"))).withColumn("u", F.size("ta") + F.size("tb") - F.col("i"))
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("names").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    both = cand.join(of("a"), "a").join(of("b"), "b").where("na = nb").withColumn("i", F.size(F.array_intersect("ta", "tb"))).withColumn("u", F.size("ta") + F.size("tb") - F.col("i"))
     pairs = both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
-    head = Window.partitionBy("bucket", *bucket, "h")
-    copies = rows.withColumn("h", F.sha2(F.array_join("tokens", " "), 256)).select("id", F.min("id").over(head).alias("a")).where("id <> a")
-    return pairs.unionByName(copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+    copies = rows.select(F.col("id").alias("b"), "h").join(classes.select("h", F.col("id").alias("a")), "h").where("a <> b")
+    return pairs.unionByName(copies.select("a", "b", F.lit(1.0).alias("jaccard")))
 
 
 def duplicate_clusters(links: DataFrame, ids: DataFrame, kept: Kept, doc_id: str) -> DataFrame:

@@ -42,8 +42,8 @@ def rank_demotion(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: documents with the vector of the same number (the pairing is made up; the tables share no key)."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    items = table(spark, d, "documents").select("doc_id", "text", "lang").join(e, "doc_id")
-    return retrieval.hybrid_search(items, query_vector(spark, d, 0), "the that", "doc_id", "embedding", "text", "lang", ("fr",), 0.05).select("place", "id", "kind", "rrf", "semantic_rank", "keyword_rank")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return retrieval.hybrid_search(docs.join(e, "doc_id"), query_vector(spark, d, 0), "the that", "doc_id", "embedding", "text", "lang", ("fr",), 0.05, texts=docs).select("place", "id", "kind", "rrf", "semantic_rank", "keyword_rank")
 
 
 # --- voices ------------------------------------------------------------------------------------------------------------
@@ -107,14 +107,13 @@ def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def constrained_linkage(spark: SparkSession, d: str) -> DataFrame:
-    """Complete linkage inside a label's vectors of two hundred neighbouring numbers; those of one meeting stay apart."""
-    e = table(spark, d, "embeddings").where("label is not null").withColumn("body", F.concat_ws(":", "label", F.floor(F.col("vec_id") / 200).cast("string"))).withColumn("meeting", F.pmod("vec_id", F.lit(7)))
-    return linking.complete_linkage(e, "body", "vec_id", "embedding", 0.2, "meeting")
+    """Complete linkage inside a label's vectors; those of one meeting stay apart."""
+    e = table(spark, d, "embeddings").where("label is not null").withColumn("meeting", F.pmod("vec_id", F.lit(7)))
+    return linking.complete_linkage(e, "label", "vec_id", "embedding", 0.2, "meeting")
 
 
 def spread_sample(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("body", F.floor(F.col("vec_id") / 200))
-    return linking.farthest_points(e, "body", "vec_id", "embedding", 5)
+    return linking.farthest_points(table(spark, d, "embeddings").where("label is not null"), "label", "vec_id", "embedding", 5)
 
 
 def name_variants(spark: SparkSession, d: str) -> DataFrame:

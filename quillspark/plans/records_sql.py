@@ -156,3 +156,15 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gain DESC, rank)
 s AS (SELECT query, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg, coalesce(sum(gain / log2(best + 1)) FILTER (best <= 5), 0) AS ideal, min(rank) FILTER (grade >= 1) AS first, count(*) FILTER (grade >= 1 AND rank <= 5) AS found, count(*) FILTER (grade >= 1) AS relevant, bool_and(rank > 5 OR grade IS NOT NULL) AS covered FROM b GROUP BY query)
 SELECT query, round(coalesce(dcg / nullif(ideal, 0), 0), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS mrr, round(found / nullif(relevant, 0), 6) AS recall, covered FROM s""",
 }
+
+
+def _spread(n: int) -> str:
+    """Farthest points by unrolled steps: each takes, in a label, the vector whose highest cosine with those before is least."""
+    steps = ["x AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL)", "c0 AS (SELECT label, min(vec_id) AS vec_id, 0 AS place FROM x GROUP BY label)", "s0 AS (SELECT * FROM c0)"]
+    for k in range(1, n):
+        near = f"SELECT x.label, x.vec_id, max(round(list_dot_product(x.e, y.e) / greatest(x.n * y.n, 1e-12), 9)) AS near FROM x JOIN s{k - 1} s ON s.label = x.label JOIN x y ON y.vec_id = s.vec_id WHERE x.vec_id NOT IN (SELECT vec_id FROM s{k - 1}) GROUP BY ALL"
+        steps += [f"c{k} AS (SELECT label, vec_id, {k} AS place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY near, vec_id) AS r FROM ({near})) WHERE r = 1)", f"s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM c{k})"]
+    return f"WITH {_V}, {', '.join(steps)} SELECT label, vec_id, place FROM s{n - 1}"
+
+
+ORACLES["spread_sample"] = _spread(5)

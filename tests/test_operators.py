@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,17 +233,15 @@ def test_readers(spark, tmp_path):
 
 
 def test_fuzzy_names_against_all_pairs(spark):
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     def score(a, b):
-        jw = linking.jaro_winkler(a, b) if min(a.count(" "), b.count(" ")) == 0 else 0
-        return max(1 - edits(a, b) / max(len(a), len(b)), jw)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        jw = linking.jaro_winkler(a, b) if " " not in a + b else 0
+        return max(2 * row[-1] / (len(a) + len(b)), jw)
 
     phrases = ["kalderons", "jon", "abc", "new yrok", "ünal öz", "a b c", "smiht", "lavander", "xyz", "ro"]
     names = ["calderon", "jonathan", "bca", "new york", "york", "unal oz", "a b", "smith", "lavender", "abc", "zyxw", "orr", "smith jones"]
@@ -254,3 +253,46 @@ def test_fuzzy_names_against_all_pairs(spark):
             want[p] = (v, round(s, 6))
     got = linking.fuzzy_names(spark.createDataFrame([(p,) for p in phrases], "p string"), spark.createDataFrame([(v,) for v in names], "v string"), "p", "v", 0.7)
     assert {r["p"]: (r["v"], r["score"]) for r in got.collect()} == want and want["kalderons"][0] == "calderon" and want["jon"][0] == "jonathan"
+
+
+def test_complete_linkage_against_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, k % 3, k % 5, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, _, _, v in items}
+    cos = lambda a, b: sum(x * y for x, y in zip(unit[a], unit[b], strict=True))
+    want = {}
+    for g in range(3):
+        nodes = [{k} for k, h, _, _ in items if h == g]
+        meeting = {k: m for k, _, m, _ in items}
+        while True:
+            best = max(((min(cos(a, b) for a in x for b in y), -min(x), -min(y)) + (x, y) for i, x in enumerate(nodes) for y in nodes[i + 1 :] if not {meeting[a] for a in x} & {meeting[b] for b in y}), default=None, key=lambda t: t[:3])
+            if best is None or best[0] < 0.2:
+                break
+            nodes = [n for n in nodes if n not in best[3:]] + [best[3] | best[4]]
+        want |= {k: min(n) for n in nodes for k in n}
+    df = spark.createDataFrame(items, "id int, g int, meeting int, v array<double>")
+    assert dict(rows(linking.complete_linkage(df, "g", "id", "v", 0.2, "meeting"), "id", "node")) == want
+
+
+def test_display_forms(spark):
+    from quillspark.functions import display as D
+
+    one = lambda c, **k: spark.createDataFrame([tuple(k.values())], list(k)).select(c.alias("r")).head()["r"] if k else spark.range(1).select(c.alias("r")).head()["r"]
+    assert [one(D.usd(F.lit(x))) for x in (1234567.4, -0.4, -12.6)] == ["$1,234,567", "$0", "$-13"] and one(D.usd_m(F.lit(29791234.0))) == "$29.79M"
+    assert [one(D.nice_ceiling(F.lit(x))) for x in (0.0, 0.5, 3.0, 20.0, 21.0, 612.0)] == [1.0, 1.0, 5.0, 20.0, 50.0, 1000.0]
+    assert [one(D.clock(F.lit(x))) for x in (5, 65, 3605, -1)] == ["0:05", "1:05", "1:00:05", ""]
+    assert [one(D.short_year(F.lit(x))) for x in ("2023-2024", "FY24")] == ["23-24", "FY24"]
+    assert one(D.first_sentence(F.lit("Dr. Who spoke to the board. Then it rained."))) == "Dr. Who spoke to the board."
+    assert [one(D.display_id(F.lit(r), F.lit(8140))) for r in ("a3f91c08", "")] == ["#qa3f91c08", "#q1fcc"] and one(D.display_id(F.lit(""))) == "#unknown"
+    assert one(D.snippet("t", "s", 5), t="the quick brown fox", s="brown") == "…uick brown fox" and one(D.snippet("t", "s"), t="abc", s="x") == ""
+    assert one(D.annual_schedule(F.lit("2024-2025 Board of Education Meetings"))) and not one(D.annual_schedule(F.lit("2024-03-02 minutes")))
+    assert [str(one(D.day_in_name(F.lit(x), (1985, 2035)))) for x in ("Apr 12, 2023", "11.16.22", "10-29-25", "06242020", "Feb2025", "2024-2025 plan", "12.10.2025", "none")] == ["2023-04-12", "2022-11-16", "2025-10-29", "2020-06-24", "2025-02-01", "2024-07-01", "2025-12-10", "None"]
+    assert [one(D.confidence(F.lit(a), F.lit(b), F.lit(s), 0.92, 0.8, 0.88)) for a, b, s in (("shah park", "shaw park", 0.85), ("abcd efgh", "ijkl mnop", 0.81), ("yorg", "york", 0.9), ("x y", "p q", 0.5))] == ["high", "review", "review", None]
+    assert one(D.title_of(F.lit("a/b/Board_Minutes-May.pdf"))) == "Board Minutes May"
+
+
+def test_money_and_names_as_the_filings_write_them(spark):
+    got = spark.createDataFrame([("",), (" ",), ("(1,200)",), ("-",), (None,)], "x string").select(X.money(F.col("x")).alias("v"), "x").collect()
+    assert [None if r["v"] is None else float(r["v"]) for r in got] == [0.0, 0.0, -1200.0, 0.0, None]
+    names = spark.createDataFrame([("Mayor Dr. Anne  Smith - Jones",), ("Strauß, Max",)], "x string").select(X.name_key(F.col("x")).alias("k")).collect()
+    assert [r["k"] for r in names] == ["anne smith-jones", "strauss max"]
