@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import archive, documents, records, records_sql
+from quillspark.plans import analysis, archive, documents, records, records_sql
 
-QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES
-ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES
+QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES | analysis.QUERIES
+ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES | analysis.ORACLES
