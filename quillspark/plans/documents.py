@@ -102,7 +102,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proper_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return extract.proper_phrases(table(spark, d, "documents"), "text", 3).where("n >= 5")
+    return extract.proper_phrases(table(spark, d, "documents"), "text")
 
 
 LICENSE = r"(?i)\b(gnu general public license|apache license|mit license|mozilla public license|bsd license)\b"
@@ -116,7 +116,7 @@ def matter_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return retrieval.context_window(rows, "conv_id", "turn", 1, "text").select("conv_id", "turn", "context")
 
 
@@ -125,7 +125,7 @@ def run_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacent_response(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.char_length("text").cast("string").alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     return timeline.responses(rows, "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "next_label", "next_text")
 
 
@@ -140,7 +140,7 @@ def citations_verified(spark: SparkSession, d: str) -> DataFrame:
     """Turns as answers that cite their conversation's first turn; those of conversations without one are unknown."""
     conv = table(spark, d, "conversations")
     cite = F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 8)
-    sentence = F.when(F.col("role") == "assistant", F.concat(F.lit("[#q"), cite, F.lit("]"))).otherwise(F.substring("text", 1, 60))
+    sentence = F.when(F.col("role") == "assistant", F.concat(F.lit("[#q"), cite, F.lit("]"))).otherwise(F.col("text"))
     answers = conv.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("position"), sentence.alias("sentence"))
     known = conv.where("role = 'system' or turn >= 3").select(cite.alias("citation_id"))
     return retrieval.verify_citations(answers, known).select("answer_id", "position")
@@ -208,24 +208,24 @@ SELECT doc_id AS id, round((a + b + c) / (1 + log10(n)), 9) AS score FROM c WHER
     "proper_phrases": """
 WITH r AS (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1)) AS r FROM documents),
 w AS (SELECT string_split(r, ' ') AS w FROM r),
-g AS (SELECT array_to_string(w[i : i + n - 1], ' ') AS phrase FROM w, (VALUES (1), (2), (3)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i))
-SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 5""",
+g AS (SELECT array_to_string(w[i : i + n - 1], ' ') AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i))
+SELECT phrase, count(*) AS n FROM g GROUP BY phrase""",
     "matter_rollup": """
 WITH m AS (SELECT doc_id, source, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(gnu general public license|apache license|mit license|mozilla public license|bsd license)\\b', 1), lambda x: lower(x)))) AS matter FROM documents)
 SELECT matter, count(*) FILTER (source = 'src0') AS actions, count(*) FILTER (source <> 'src0') AS "references", max(doc_id) AS last_day FROM m WHERE source IS NOT NULL GROUP BY matter""",
     "context_window": """
-SELECT conv_id, turn, array_to_string(list(substr(text, 1, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' | ') AS context FROM conversations""",
+SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' | ') AS context FROM conversations""",
     "run_merge": """
 WITH m AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 0 ELSE 1 END AS s FROM conversations),
 r AS (SELECT *, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM m)
 SELECT conv_id, run, min(role) AS role, count(*) AS n FROM r GROUP BY conv_id, run""",
     "adjacent_response": """
-SELECT conv_id, turn, role, lead(role) OVER w AS next_label, lead(CAST(length(text) AS VARCHAR)) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+SELECT conv_id, turn, role, lead(role) OVER w AS next_label, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "unique_phrases": """
 WITH p AS (SELECT array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ' ') AS phrase, role AS subject FROM conversations)
 SELECT phrase, min(subject) AS subject, CASE WHEN contains(phrase, ' ') THEN 'strong' ELSE 'review' END AS strength FROM p WHERE phrase <> '' GROUP BY phrase HAVING count(DISTINCT subject) = 1""",
     "citations_verified": """
 WITH k AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system' OR turn >= 3)
 SELECT conv_id AS answer_id, turn AS position FROM conversations
-WHERE (role = 'assistant' AND conv_id IN (SELECT conv_id FROM k)) OR (role <> 'assistant' AND len(regexp_split_to_array(trim(substr(text, 1, 60)), '\\s+')) <= 8)""",
+WHERE (role = 'assistant' AND conv_id IN (SELECT conv_id FROM k)) OR (role <> 'assistant' AND len(regexp_split_to_array(trim(text), '\\s+')) <= 8)""",
 }
