@@ -296,3 +296,36 @@ def test_money_and_names_as_the_filings_write_them(spark):
     assert [None if r["v"] is None else float(r["v"]) for r in got] == [0.0, 0.0, -1200.0, 0.0, None]
     names = spark.createDataFrame([("Mayor Dr. Anne  Smith - Jones",), ("Strauß, Max",)], "x string").select(X.name_key(F.col("x")).alias("k")).collect()
     assert [r["k"] for r in names] == ["anne smith-jones", "strauss max"]
+
+
+def test_components_on_random_graphs_and_without_end(spark, monkeypatch):
+    from quillspark.operators import components
+
+    monkeypatch.setattr(components, "CONTRACT", 1)  # so that the rounds have something to do
+    rng = random.Random(3)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 200)]
+    rng.shuffle(edges)
+    want = {v: v for e in edges for v in e}
+    for _ in range(len(want)):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    assert dict(rows(connected_components(df, Kept(spark, "cc")), "id", "component")) == want
+    assert connected_components(df.limit(0), Kept(spark, "cc")).count() == 0
+    with pytest.raises(RuntimeError):
+        connected_components(df, Kept(spark, "cc"), max_rounds=1)
+
+
+def test_a_shared_folder_must_be_named():
+    from quillspark.session import shared_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"getConf": lambda self: Conf()})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
