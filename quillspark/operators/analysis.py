@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import display
 from quillspark.functions import vectors as V
 from quillspark.functions.text import fiscal_year, squeeze
+from quillspark.operators import linking
 from quillspark.operators.components import connected_components
 from quillspark.session import Kept
 
@@ -29,14 +30,11 @@ def vet_positives(samples: DataFrame, label: str, item: str, vector: str, floor:
 def quarantine(negatives: DataFrame, centroids: DataFrame, item: str, vector: str, twin: float, near: float) -> DataFrame:
     """(item, label, score, state) of negatives by their closest person: quarantined as a twin, near, or clean.
 
-    centroids: (label, centroid), one for each person. They are put together as one list in blocks, so a sample meets a block,
-    not a row, at a time.
+    centroids: (label, centroid), one for each person.
     """
-    blocks = centroids.groupBy(F.pmod(F.xxhash64("label"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
-    best = F.array_max(F.transform("cs", lambda c: F.struct(F.round(V.cosine(F.col(vector), c["centroid"]), 6).alias("score"), (-c["label"]).alias("neg"))))
-    scored = negatives.join(blocks).select(item, best.alias("b")).groupBy(item).agg(F.max("b").alias("b"))
-    state = F.when(F.col("b.score") >= twin, "quarantined").when(F.col("b.score") >= near, "near").otherwise("clean")
-    return scored.select(item, (-F.col("b.neg")).alias("label"), F.col("b.score").alias("score"), state.alias("state"))
+    best = linking.closest(negatives, centroids, [item], vector, 6)
+    state = F.when(F.col("score") >= twin, "quarantined").when(F.col("score") >= near, "near").otherwise("clean")
+    return best.withColumn("state", state)
 
 
 def pool(ranked: DataFrame, judged: DataFrame, query: str, item: str, rank: str, depth: int = 20) -> DataFrame:

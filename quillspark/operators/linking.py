@@ -14,6 +14,10 @@ from quillspark.functions import vectors as V
 #: Rows of one group that the sequential algorithms take; larger groups are an error, not cut.
 MAX_GROUP = 5_000
 EPS = 1e-8
+#: Vectors of a cohort that are broadcast; a larger one is left to the planner.
+MAX_COHORT = 1 << 14
+#: Centroids meet samples in so many lists.
+CENTROID_BLOCKS = 64
 #: About so many phrases or names meet in one block.
 NAME_BLOCK = 1_024
 
@@ -76,7 +80,8 @@ def asnorm(pairs: DataFrame, vectors: DataFrame, cohort: DataFrame, item: str, v
     The cohort is a bounded, frozen table; a vector of the cohort isn't scored with itself. Deviations are the population's, plus 1e-8.
     """
     c = cohort.select(F.col(item).alias("__c"), F.col(vector).alias("__cv"))
-    scored = vectors.select(F.col(item).alias("__i"), F.col(vector).alias("__v")).join(F.broadcast(c), F.col("__i") != F.col("__c")).select("__i", "__c", V.cosine(F.col("__v"), F.col("__cv")).alias("s"))
+    c = F.broadcast(c) if cohort.count() <= MAX_COHORT else c
+    scored = vectors.select(F.col(item).alias("__i"), F.col(vector).alias("__v")).join(c, F.col("__i") != F.col("__c")).select("__i", "__c", V.cosine(F.col("__v"), F.col("__cv")).alias("s"))
     w = Window.partitionBy("__i").orderBy(F.desc("s"), "__c")
     stats = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).groupBy("__i").agg(F.avg("s").alias("mu"), (F.stddev_pop("s") + EPS).alias("sd"))
     of = lambda k: stats.select(F.col("__i").alias(k), F.col("mu").alias(f"mu_{k}"), F.col("sd").alias(f"sd_{k}"))
@@ -84,6 +89,18 @@ def asnorm(pairs: DataFrame, vectors: DataFrame, cohort: DataFrame, item: str, v
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "score", z.alias("z"))
 
 
+def closest(samples: DataFrame, centroids: DataFrame, item: list[str], vector: str, digits: int = 9) -> DataFrame:
+    """(item, label, score): each sample's closest centroid by cosine, ties by the smaller label.
+
+    centroids: (label, centroid). They are put together as lists in blocks, so that a sample gives a row for each block, not
+    for each label, and the best of a block is found inside the row.
+    """
+    lists = centroids.groupBy(F.pmod(F.xxhash64("label"), F.lit(CENTROID_BLOCKS)).alias("block")).agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
+    best = F.array_max(F.transform("cs", lambda c: F.struct(F.round(V.cosine(F.col(vector), c["centroid"]), digits).alias("score"), (-c["label"]).alias("neg"))))
+    top = samples.join(lists).select(*item, best.alias("b")).groupBy(*item).agg(F.max("b").alias("b"))
+    return top.select(*item, (-F.col("b.neg")).alias("label"), F.col("b.score").alias("score"))
+
+
 def evidence_score(rows: DataFrame, key: list[str], family: str, value: str, rest: float = 0.3) -> DataFrame:
     """Per family the best value and a share of the others, summed over families."""
     each = rows.groupBy(*key, family).agg((F.max(value) + rest * (F.sum(value) - F.max(value))).alias("v"))

@@ -97,9 +97,9 @@ def asnorm_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    c = V.mean_vectors(e.where(F.col("label").isNotNull()), ["label"], "embedding").select(F.col("label").alias("cluster"), "centroid")
-    scored = e.join(F.broadcast(c)).select("vec_id", "label", "cluster", F.round(V.cosine(F.col("embedding"), F.col("centroid")), 9).alias("s"))  # a centroid for each label
-    return scored.groupBy("vec_id", "label").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
+    c = V.mean_vectors(e.where(F.col("label").isNotNull()), ["label"], "embedding").select("label", "centroid")
+    best = linking.closest(e.withColumnRenamed("label", "truth"), c, ["vec_id", "truth"], "embedding")
+    return best.select("vec_id", F.col("truth").alias("label"), F.col("label").alias("cluster"))
 
 
 def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
