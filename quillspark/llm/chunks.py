@@ -121,7 +121,7 @@ class Memo:
         raw = [x or b"" for x in raw]
         flat = np.frombuffer(b"".join(raw), "<i4")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        start = np.cumsum(size) - size
+        start = (np.cumsum(size) - size).astype(np.int32)  # ids of one column are far fewer than 2 ** 31
         # lengths of texts, then every text's ids are put in place
         words = np.where(body, size[which], 0)
         ends = np.concatenate([[0], np.cumsum(words)])
@@ -137,8 +137,8 @@ class Memo:
         run = np.flatnonzero(words)
         n = words[run]
         text = np.repeat(np.arange(len(column)), np.diff(offs))[run]
-        to = ends[run] - ends[offs[text]] + begins[text] + ahead[text]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        to = (ends[run] - ends[offs[text]] + begins[text] + ahead[text]).astype(np.int32)
+        step = np.arange(n.sum(), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         out[np.repeat(to, n) + step] = flat[np.repeat(start[which[run]], n) + step]
         return out, begins
 
