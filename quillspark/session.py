@@ -41,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Kept:
     """Tables of one operator call, written under the shared folder and read back.
 
-    Writing cuts the lineage at a place that survives the loss of executors.
+    Writing cuts the lineage at a place that survives the loss of executors. An operator drops what its result doesn't read;
+    the tables that its lazy result does read belong to the caller, who closes the Kept that was handed in once the result is
+    written. As a context it closes itself.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -63,3 +65,13 @@ class Kept:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Remove all tables of this call; what reads them lazily can't be run again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
