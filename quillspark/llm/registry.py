@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "toxicity", "bpe", "html_text", "token_files", "quality", "near_dedup", "lattice_lm", "pii", "vector_dedup", "conversation_repair", "resampling")
+MODULES = ("decontamination", "toxicity", "bpe", "html_text", "token_files", "quality", "near_dedup", "lattice_lm", "pii", "vector_dedup", "conversation_repair", "mixing", "resampling")
 
 
 def collect() -> tuple[dict, dict]:
