@@ -3,9 +3,12 @@
 Candidates are what the base patterns and wider ones find, whether they pass the base rules or not. Labelers vote on each
 candidate: +1, -1 or 0 (no opinion). They go by the base rule, by gazetteers, by the words before, by shape and by how
 letters and digits mix. Expectation-maximisation over how often each row of votes occurs (one count for each possible
-row of votes, so a small table) estimates how reliable every labeler is and the probability of each row of votes. The final
+row of votes, so a small table) estimates how reliable every labeler is and the probability of each row of votes; half of
+each estimate is the labeler's reliability as it is known beforehand, which ties the two classes to their meaning. The final
 classifier never sees votes: it is a logistic regression from features of the span and of what is next to it to these
-probabilities, and it alone decides on the candidates that no base rule finds. Base spans always stay.
+probabilities, it learns from the candidates that no base rule finds, and it alone decides on them. It starts from stated
+weights and all candidates together weigh as much as STRENGTH examples, whatever the input's size, so a kind that a corpus
+hardly shows is decided by the stated weights and not by chance. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -58,13 +61,28 @@ CUES = {
     "id": r"(?i)\b(?:iban|account|konto|compte|cuenta|ssn|social|passport|security)\W*(?:\w+\W+){0,2}$",
     "secret": r"(?i)(?:password|passwd|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|bearer|auth|credential)s?\W{0,4}$",
 }
-AGAINST = r"(?i)(?:\b(?:isbn|issn|order|invoice|version|page|figure|table|price|total|year|chapter|ref|serial|commit|sha|doi|url)\W*(?:no\W*)?|[$€£#]|[/\\\\.?&])$"
+AGAINST = r"(?i)(?:\b(?:isbn|issn|order|invoice|version|page|figure|table|price|total|year|chapter|ref|serial|commit|sha|doi|url)s?\W*(?:no\W*)?|[$€£#]|[/\\\\.?&])$"
 KEY_STARTS = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|eyJ)"
 LABELERS = ("rule", "gazetteer", "context", "shape", "mix")
-#: All candidates together weigh so much against the ridge.
-STRENGTH = 10_000.0
+#: How often each labeler votes -1, 0 and 1 on what isn't personal and on what is, as known beforehand.
+RELIABILITY = {
+    "rule": ((0.60, 0.35, 0.05), (0.03, 0.37, 0.60)),
+    "gazetteer": ((0.35, 0.50, 0.15), (0.05, 0.50, 0.45)),
+    "context": ((0.35, 0.60, 0.05), (0.02, 0.58, 0.40)),
+    "shape": ((0.30, 0.40, 0.30), (0.10, 0.40, 0.50)),
+    "mix": ((0.30, 0.65, 0.05), (0.05, 0.65, 0.30)),
+}
+#: Share of the known reliability in each estimate.
+ANCHOR = 0.5
+#: All candidates together weigh so much against the weights that the classifier starts from.
+STRENGTH = 10.0
 #: Features of a candidate and how many values each has; no vote is among them.
-FEATURES = {"length": 6, "digits": 5, "switches": 3, "letters": 4, "before": 4, "after": 4, "word": 3, "check": 3}
+FEATURES = {"length": 6, "digits": 5, "switches": 3, "letters": 4, "before": 4, "after": 4, "word": 3, "check": 3, "key": 2}
+#: Weights that the classifier starts from: by kind (a form that is rarely anything else counts for, one that is often
+#: something else against), and by the value of a feature, for all kinds or for one; all others start from 0.
+KIND_START = {"email": 1.0, "ip": 1.0, "card": 0.0, "phone": -1.5, "id": -0.5, "secret": -3.0}
+START = {("word", 1): 4.0, ("word", 2): -4.0, ("check", 1): 1.0, ("check", 2): -5.0, ("key", 1): 5.0}
+START_OF_KIND = {("secret", "switches", 2): 1.0, ("id", "letters", 2): 1.0}
 
 
 def found(text: Column, kind: str, pattern: str, needs: str) -> Column:
@@ -169,6 +187,7 @@ def features(c: Column) -> list[Column]:
         beside(right),
         F.when(cue, 1).when(left.rlike(AGAINST), 2).otherwise(0),
         F.when(numeric, check).otherwise(0),
+        value.rlike(KEY_STARTS).cast("int"),
     ]
 
 
@@ -207,45 +226,55 @@ def with_candidates(docs: DataFrame, text: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, kept: Kept, text: str = "text") -> DataFrame:
-    """Votes and features of every candidate of all whole texts, one row for each that occurs with its count; kept as a table.
+    """Votes and features of every candidate of all whole texts, one row for each that occurs with its count; kept as a table."""
+    return kept.keep(tally(with_candidates(docs.select(F.col(f"`{text}`").alias("text")), "text")), "candidates")
+
+
+def tally(one: DataFrame) -> DataFrame:
+    """How often each row of votes and features occurs among the candidates of `with_candidates`, base spans marked.
 
     There are at most as many rows as combinations of votes and features, whatever the input.
     """
-    one = with_candidates(docs.select(F.col(f"`{text}`").alias("text")), "text")
     c = F.col("c")
     names = [*LABELERS, *FEATURES]
-    rows = one.select(F.explode(F.concat("_every", "_wide")).alias("c")).select(c["kind"].alias("kind"), *[v.alias(n) for v, n in zip([*votes(c), *features(c)], names, strict=True)])
-    return kept.keep(rows.groupBy("kind", *names).agg(F.count("*").alias("n")), "candidates")
+    rows = one.select(F.explode(F.concat("_every", "_wide")).alias("c")).select(c["kind"].alias("kind"), c["base"].alias("base"), *[v.alias(n) for v, n in zip([*votes(c), *features(c)], names, strict=True)])
+    return rows.groupBy("kind", "base", *names).agg(F.count("*").alias("n"))
 
 
 def fit_votes(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[list[list[float]]], dict[tuple[int, ...], float]]:
-    """Expectation-maximisation for two classes: (prior, P(vote | class) by labeler and class, posterior of each row (kind, votes))."""
+    """Expectation-maximisation for two classes: (prior, P(vote | class) by labeler and class, posterior of each row (kind, votes)).
+
+    Each P(vote | class) is ANCHOR parts RELIABILITY and the rest what the rows show; so is the prior, known as a half.
+    """
     rows = [(key, n, key[1:]) for key, n in counts]
-    total = sum(n for _, n, _ in rows)
-    # to begin with, a labeler is right four times in five
-    like = [[[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]] for _ in LABELERS]
+    total = sum(n for _, n, _ in rows) or 1
+    known = [RELIABILITY[name] for name in LABELERS]
+    like = [[list(k[0]), list(k[1])] for k in known]
     prior, post = 0.5, {}
     for _ in range(rounds):
         for key, _, v in rows:
             logs = [math.log(p) + sum(math.log(like[j][c][x + 1]) for j, x in enumerate(v)) for c, p in ((0, 1 - prior), (1, prior))]
             post[key] = 1 / (1 + math.exp(max(-500.0, min(500.0, logs[0] - logs[1]))))
-        mass = sum(n * post[key] for key, n, _ in rows)
-        prior = min(0.99, max(0.01, (mass + 1) / (total + 2)))
+        prior = ANCHOR * 0.5 + (1 - ANCHOR) * sum(n * post[key] for key, n, _ in rows) / total
         for j in range(len(LABELERS)):
             for c in (0, 1):
-                seen = [1.0, 1.0, 1.0]
+                seen = [0.0, 0.0, 0.0]
                 for key, n, v in rows:
                     seen[v[j] + 1] += n * (post[key] if c else 1 - post[key])
-                like[j][c] = [x / sum(seen) for x in seen]
+                mass = sum(seen)
+                like[j][c] = [ANCHOR * k + (1 - ANCHOR) * x / mass for k, x in zip(known[j][c], seen, strict=True)] if mass > 0 else list(known[j][c])
     return prior, like, post
 
 
-def inputs(rows: np.ndarray) -> np.ndarray:
-    """One-hot inputs of rows (kind, features): a constant for each kind, and each value of each feature for each kind and over all."""
-    kind, cols = rows[:, 0], [np.eye(len(KINDS))[rows[:, 0]]]
-    for j, size in enumerate(FEATURES.values()):
-        cols += [np.eye(size)[rows[:, 1 + j]], np.eye(len(KINDS) * size)[kind * size + rows[:, 1 + j]]]
-    return np.concatenate(cols, 1)
+#: Where each feature's values begin among the inputs, after a constant for each kind.
+_OFFSET = dict(zip(FEATURES, np.cumsum([len(KINDS), *FEATURES.values()]).tolist(), strict=False))
+_OWN = sum(FEATURES.values()) + len(KINDS)
+
+
+def active(rows: np.ndarray) -> np.ndarray:
+    """Indexes of the inputs that are 1 for rows (kind, features): the kind's constant and each feature's value; then those of one kind."""
+    of_kind = [np.where((rows[:, 0] == KINDS.index(k)) & (rows[:, 1 + list(FEATURES).index(f)] == v), _OWN + i, -1) for i, (k, f, v) in enumerate(START_OF_KIND)]
+    return np.stack([rows[:, 0], *[rows[:, 1 + j] + _OFFSET[f] for j, f in enumerate(FEATURES)], *of_kind], 1)
 
 
 Weights = tuple[list[float], list[list[float]]]
@@ -254,64 +283,89 @@ Weights = tuple[list[float], list[list[float]]]
 def fit(found: DataFrame, rounds: int = 30, ridge: float = 1.0) -> Weights:
     """The span classifier from the table of candidates: a weight for each kind, and one for each (kind, value) of each feature.
 
-    Counts weigh by their share of all, so the weights don't drift with the input's size; without candidates all are 0.
+    Counts weigh by their share of all candidates, so a multiple of a table gives the same weights. Without candidates all
+    weights are 0 and nothing is accepted; without any that no base rule finds, they are those it starts from.
     """
     keys = ("kind", *LABELERS)
     counts = [(tuple(r[k] for k in keys), r["n"]) for r in found.groupBy(*keys).agg(F.sum("n").alias("n")).collect()]  # at most 6 * 3^5 rows
+    if not counts:
+        return [0.0] * len(KINDS), [[0.0] * (len(KINDS) * size) for size in FEATURES.values()]
     _, _, post = fit_votes(sorted(counts))
     spark = found.sparkSession
     believed = spark.createDataFrame([(*k, p) for k, p in sorted(post.items())], ", ".join(f"{k} int" for k in keys) + ", p double")
     shape = ("kind", *FEATURES)
     # a row for each combination of features that occurs: their number has a bound of its own
-    table = found.join(F.broadcast(believed), list(keys)).groupBy(*shape).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("mass")).orderBy(*shape).collect()
-    rows = np.array([[r[k] for k in shape] for r in table], np.int64).reshape(-1, len(shape))
-    x, n, mass = inputs(rows), np.array([r["n"] for r in table], float), np.array([r["mass"] for r in table], float)
+    table = found.where("not base").join(F.broadcast(believed), list(keys)).groupBy(*shape).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("mass")).orderBy(*shape).collect()
+    start = np.array([KIND_START[k] for k in KINDS] + [START.get((f, v), 0.0) for f, size in FEATURES.items() for v in range(size)] + list(START_OF_KIND.values()))
+    w = start.copy()
+    at = active(np.array([[r[k] for k in shape] for r in table], np.int64).reshape(-1, len(shape)))
+    on, at = at >= 0, np.maximum(at, 0)
+    n, mass = np.array([r["n"] for r in table], float), np.array([r["mass"] for r in table], float)
     n, mass = (v * (STRENGTH / max(1.0, n.sum())) for v in (n, mass))
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds if len(rows) else 0):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (n * p - mass) + ridge * w
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+    for _ in range(rounds if len(table) else 0):  # Newton's method over index sums
+        p = 1 / (1 + np.exp(-np.clip((w[at] * on).sum(1), -30, 30)))
+        g, h = ridge * (w - start), ridge * np.eye(len(w))
+        np.add.at(g, at, (n * p - mass)[:, None] * on)
+        for j in range(at.shape[1]):
+            for k in range(at.shape[1]):
+                np.add.at(h, (at[:, j], at[:, k]), n * p * (1 - p) * on[:, j] * on[:, k])
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    each, at, k = [], len(KINDS), len(KINDS)
-    for size in FEATURES.values():
-        over_all, by_kind = w[at : at + size], w[at + size : at + size + k * size]
-        each.append((np.tile(over_all, k) + by_kind).tolist())
-        at += size + k * size
-    return w[:k].tolist(), each
-
-
-def accepts(c: Column, weights: Weights) -> Column:
-    """The classifier's decision on a candidate: probability above a half."""
+    each = []
+    for f, size in FEATURES.items():
+        values = np.tile(w[_OFFSET[f] : _OFFSET[f] + size], (len(KINDS), 1))
+        for i, (kind, name, v) in enumerate(START_OF_KIND):
+            if name == f:
+                values[KINDS.index(kind), v] += w[_OWN + i]
+        each.append(values.ravel().tolist())
+    return w[: len(KINDS)].tolist(), each
+
+
+def score(c: Column, weights: Weights) -> Column:
+    """The classifier's log odds of a candidate."""
     first, each = weights
     z = F.get(F.array(*[F.lit(float(w)) for w in first]), c["kind"])
     for w, value, size in zip(each, features(c), FEATURES.values(), strict=True):
         z = z + F.get(F.array(*[F.lit(float(v)) for v in w]), c["kind"] * size + value)
-    return z > 0
+    return z
+
+
+_OURS = {"base", "spans", "_every", "_wide", *[f"_m_{k}" for k in KINDS], *[f"_w_{k}" for k in KINDS]}
+
+
+def searched(docs: DataFrame, kept: Kept, text: str = "text", drop_text: bool = False) -> DataFrame:
+    """docs with all candidates of their texts, written once: the classifier learns from them and decides on them.
+
+    Columns named base, spans, _every, _wide, _m_* and _w_* are replaced; the text stays unless it is dropped.
+    """
+    found = with_candidates(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OURS]), text)
+    return kept.keep(found.drop(text) if drop_text else found, "searched", "zstd")
 
 
 def find_spans(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
     """docs with base (array of (start, kind, end) of each base span) and spans (those and what the method adds), in order.
 
     Null texts are empty and have none. Of added spans that overlap, the one that begins first stays, of these the longest,
-    of these the kind listed first. Columns named base, spans, _every, _wide, _m_* and _w_* are replaced, others stay.
+    of these the likeliest. Columns named base, spans, _every, _wide, _m_* and _w_* are replaced, others stay.
     Row by row: no shuffle, whole texts, repeated rows alike; an empty table gives an empty one.
     """
-    ours = {"base", "spans", "_every", "_wide", *[f"_m_{k}" for k in KINDS], *[f"_w_{k}" for k in KINDS]}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ours])
-    keep = docs.columns
-    docs = with_candidates(docs, text)
+    return decided(with_candidates(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OURS]), text), weights)
+
+
+def decided(found: DataFrame, weights: Weights) -> DataFrame:
+    """base and spans, as in find_spans, from the candidates."""
+    keep = [c for c in found.columns if c not in ("_every", "_wide")]
 
     def place(c: Column) -> Column:
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
 
-    more = F.array_sort(F.transform(F.filter("_wide", lambda c: accepts(c, weights)), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"), c["end"].alias("end"))))
+    scored = F.transform("_wide", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), (-score(c, weights)).alias("less"), c["kind"].alias("kind"), c["end"].alias("end")))
+    more = F.array_sort(F.filter(scored, lambda c: c["less"] < 0))
     apart = F.aggregate(more, F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int>>))"), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(place(s))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
     base = F.array_sort(F.transform("_every", place))
-    return docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), F.array_sort(F.concat(F.transform("_every", place), apart)).alias("spans"))
+    return found.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), F.array_sort(F.concat(F.transform("_every", place), apart)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -340,7 +394,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = find_spans(docs, fit(candidates(docs, Kept(spark, "pii"))))
+    found = searched(docs, Kept(spark, "pii"), drop_text=True)
+    out = decided(found, fit(tally(found)))
     n = [count_of(F.col("base"), name).alias(f"n_{name}") for name in BASE_KINDS]
     return out.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
