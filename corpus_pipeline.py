@@ -31,20 +31,23 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): that of the smallest doc_id.
 
-    Of repeated rows one stays; of rows that share this id but not a text, that of the least hash of the text. Texts without
-    words and rows without doc_id belong to no group and stay. No rows, no rows.
+    Groups are of texts, not of ids: rows that share an id but no group all stay. Where rows of one group share the smallest
+    id, that of the least hash of the text stays, and of repeated rows one. Texts without words and rows without doc_id
+    belong to no group and stay. No rows, no rows.
     """
-    key = lambda d: d.withColumn("__key", F.xxhash64("text"))
-    found = near_dedup.near_duplicates(key(docs.select("doc_id", "text")), k=5, percent=80, carry=("__key",)).where("n_shingles > 0 and doc_id is not null")
-    first = found.where("kept").groupBy("doc_id", "__key").agg(F.count("*").alias("c"))
-    several = first.groupBy("doc_id").agg(F.sum("c").alias("c"), F.min("__key").alias("__best")).where("c > 1").select("doc_id", "__best")
-    drop = found.where("not kept").select("doc_id", "__key").unionByName(first.join(several, "doc_id").select("doc_id", "__key"))
-    drop = drop.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__drop")).distinct()
-    same_id = docs["doc_id"].cast("long") == F.col("__id")
-    alone = docs.join(drop, same_id & (F.xxhash64(docs["text"]) == F.col("__drop")), "left_anti")
-    best = several.select(F.col("doc_id").alias("__id"), "__best")
-    again = docs.join(best, same_id & (F.xxhash64(docs["text"]) == F.col("__best")), "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(again)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    rows = docs.toDF(*names)
+    keyed = rows.select(F.col(own).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("__key"))
+    found = near_dedup.near_duplicates(keyed, k=5, percent=80, carry=("__key",), group="__group").where("n_shingles > 0 and doc_id is not null")
+    pairs = found.groupBy("__group", "doc_id", "__key").agg(F.count("*").alias("c"))
+    best = pairs.groupBy("__group").agg(F.min(F.struct("doc_id", "__key", "c")).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.__key").alias("__best"), F.col("b.c").alias("c"))
+    alone = pairs.join(best.where("c = 1"), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__best")), "left_anti").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__drop")).distinct()
+    several = best.where("c > 1").select("__id", "__best")
+    same_id = rows[own].cast("long") == F.col("__id")
+    kept = rows.join(alone, same_id & (F.xxhash64(rows[text]) == F.col("__drop")), "left_anti")
+    again = rows.join(several, same_id & (F.xxhash64(rows[text]) == F.col("__best")), "left_semi").dropDuplicates([own, text])
+    return kept.unionByName(again).toDF(*docs.columns)
 
 
 def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +65,10 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and ids stay null; repeated rows are masked alike; no rows, no rows.
     """
-    weights = pii.fit(pii.candidates(docs.select("text"), Kept(spark, "pii")))
     names = [f"__c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
-    out = pii.find_spans(docs.toDF(*names), weights, text=text).withColumn(text, pii.masked(F.col(text), F.col("spans")))
+    found = pii.searched(docs.toDF(*names), Kept(spark, "pii"), text=text)
+    out = pii.decided(found, pii.fit(pii.tally(found))).withColumn(text, pii.masked(F.col(text), F.col("spans")))
     out = out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else out
 
