@@ -410,14 +410,14 @@ class Join:
         kept.drop(rows, self.sets)
 
     def components(self) -> DataFrame:
-        """(id, n_shingles, component_id) of each row of the documents."""
+        """(id, n_shingles, component_id, label) of each row of the documents; label is the component's own number."""
         of = self.classes.select("cls", "rep", "id").join(self.labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         least = of.groupBy("label").agg(F.min("id").alias("component"))
-        out = self.rows.select("id", "n", "cls", *self.carry).join(of.join(least, "label").select("cls", "component"), "cls", "left")
-        return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"), *self.carry)
+        out = self.rows.select("id", "n", "cls", *self.carry).join(of.join(least, "label").select("cls", "component", "label"), "cls", "left")
+        return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"), "label", *self.carry)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", inside: np.ndarray = W.NONSPACE, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", inside: np.ndarray = W.NONSPACE, carry: tuple[str, ...] = (), group: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) and the columns to carry for each row of docs.
 
     A document's set: its distinct k-word shingles, A-Z lowered; of fewer words, the whole sequence as one. Documents are
@@ -425,12 +425,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     reachable; kept where it is the document's own. Null and empty texts have no shingles and link with nothing; a null
     doc_id links with nothing and is kept. Copies of a text, repeated rows and ties share a component; rows that share an id
     but not a text are compared by their texts. Texts of any length are read whole. No rows, no rows. Other columns of docs
-    are not read unless carried, whatever their names.
+    are not read unless carried, whatever their names. Where ids repeat, two components can have one component_id: with
+    `group`, a column of that name numbers components apart (null for rows without shingles).
     """
     join = Join(docs, Kept(docs.sparkSession, "near-dedup"), k, percent, doc_id, text, inside, carry)
     join.run()
     out = join.components()
     names = [F.col(n).alias(c) for c, n in zip(carry, join.carry, strict=True)]
+    names += [F.col("label").alias(group)] * (group is not None)
     return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *names)
 
 

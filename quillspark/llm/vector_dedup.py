@@ -63,27 +63,33 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id
 
     Vectors are compared when their labels are equal and not null and they have as many components. Null or zero vectors
     and those with null or non-finite components link with nothing, nor do rows without an id; such a row is its own
-    component and kept. Repeated rows are vectors of their own. Columns that bear a result's name are replaced.
+    component and kept. Repeated rows, and rows that share an id, are vectors of their own; of those that share the smallest
+    id of a component all are kept. A cosine that ties with the threshold links. Columns that bear a result's name are
+    replaced, all others stay, whatever their names. No rows, no rows.
     """
     spark = vectors.sparkSession
     kept = Kept(spark, "vector-dedup")
     new = ["n_links", "component_id", "kept"]
-    vectors = vectors.select(*[F.col(f"`{c}`") for c in vectors.columns if c not in new])
+    given = [c for c in vectors.columns if c not in new]
+    names = dict(zip(given, [f"given{i}" for i in range(len(given))], strict=True))
+    vectors = vectors.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    vec_id, embedding, label = names[vec_id], names[embedding], names[label]
+    back = [F.col(n).alias(c) for c, n in names.items()]
     v = F.col(f"`{embedding}`").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
     ok = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True))
     marked = vectors.withColumn("__v", F.when(ok, v))
-    classes = kept.keep(
-        marked.where(F.col("__v").isNotNull()).groupBy(F.col(label).alias("label"), F.col("__v").alias("v")).agg(F.min(vec_id).cast("long").alias("rep"), F.count("*").alias("m")).withColumn("dim", F.size("v")),
-        "classes",
-    )
+    # classes have numbers of their own, written once: ids may repeat
+    distinct = marked.where(F.col("__v").isNotNull()).groupBy(F.col(label).alias("label"), F.col("__v").alias("v")).agg(F.min(vec_id).cast("long").alias("least"), F.count("*").alias("m"))
+    numbered = kept.keep(distinct.withColumn("dim", F.size("v")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = numbered.select("label", "v", "rep", "m", "dim")
     n = classes.count()
     if not n:
-        return vectors.select("*", F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+        return vectors.select(*back, F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"), F.lit(True).alias("kept"))
 
     dim = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").head()["dim"]
-    order = F.xxhash64("rep", F.lit("sample"))
-    sample = classes.where(F.col("dim") == dim).orderBy(order, "rep").limit(SAMPLE).select("v").toPandas()["v"]
+    order = F.xxhash64("least", F.lit("sample"))
+    sample = numbered.where(F.col("dim") == dim).orderBy(order, "least", "rep").limit(SAMPLE).select("v").toPandas()["v"]
     x = unit(np.stack(sample.to_list()).astype(np.float64))
     k = max(1, min(MAX_CELLS, len(x) // 4, -(-n // cell_rows)))
     value = spark.sparkContext.broadcast(spherical_kmeans(x, k))
@@ -157,11 +163,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id
     found = kept.keep(units.groupBy(*key, "i", "j", "far").applyInArrow(compare, "id long, links long, root long"), "links")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), kept)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per = classes.join(links, classes["rep"] == links["id"], "left").drop("id").join(parts.withColumnRenamed("id", "pid"), F.col("rep") == F.col("pid"), "left")
-    per = per.where("m > 1 or links > 0").select(F.col("label").alias("__l"), F.col("v").alias("__w"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("__n"), F.coalesce("component", "rep").alias("__c"))
+    of = numbered.select("rep", "least").join(parts.withColumnRenamed("id", "rep"), "rep").select("rep", "component", "least")
+    parts = of.select("rep", "component").join(of.groupBy("component").agg(F.min("least").alias("smallest")), "component").select(F.col("rep").alias("pid"), "smallest")
+    per = numbered.join(links, numbered["rep"] == links["id"], "left").drop("id").join(parts, F.col("rep") == F.col("pid"), "left")
+    per = per.where("m > 1 or links > 0").select(F.col("label").alias("__l"), F.col("v").alias("__w"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("__n"), F.coalesce("smallest", "least").alias("__c"))
     out = marked.join(per, (F.col("__v") == F.col("__w")) & (F.col(label) == F.col("__l")), "left")
     part = F.coalesce("__c", F.col(vec_id).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in vectors.columns], F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col(vec_id) == part, F.lit(True)).alias("kept"))
+    return out.select(*back, F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col(vec_id) == part, F.lit(True)).alias("kept"))
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,12 @@ def test_clashing_columns(spark, make, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         assert all(r["score"] == r["node"] == 3 * r["doc_id"] for r in out.collect()), name
+
+
+def test_unrelated_documents_of_one_id_stay(spark, make, tmp_path):
+    rng = random.Random(11)
+    words = lambda p: " ".join(f"{p}{rng.randrange(500)}" for _ in range(50))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(2, a), (2, b), (3, a), (3, c), (4, c), (4, c), (5, b + " tail"), (2, a)]
+    kept = corpus_pipeline.one_of_each(spark, make(rows), str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(2, a), (2, b), (3, c)])
