@@ -16,14 +16,19 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.ordering import fresh
+from quillspark.session import Kept
+
 WINDOW = 10
 #: Test items are searched in blocks of so many UTF-8 bytes of text; each block is broadcast by itself.
 BLOCK_BYTES = 16 << 20
@@ -171,8 +176,10 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
     Columns of docs that bear these names are replaced; all others stay. Null or empty texts have no words and no
     hits; items without words match nothing; repeated items count by their ids; a null id counts as the string
     'null'. No items: no hits; no documents, no rows; repeated rows have equal results. Texts of any length are read whole.
-    The test items are searched in blocks of at most about block_bytes, each broadcast by itself, one after another over
-    the same rows: each adds its hits to those of the blocks before, so there is no shuffle and the benchmark may be of any size.
+    The test items are searched in blocks of at most about block_bytes. One block is searched in a map over the rows alone.
+    Of several, the first writes the rows under the shared folder with numbers of their own, each further one passes over
+    their texts and writes its hits, and a join adds these up: one broadcast and one searcher are alive at a time, however
+    many blocks there are.
     """
     spark = docs.sparkSession
     new = ["n_words", "hit_runs", "items"]
@@ -180,40 +187,59 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: st
     total = items.agg(F.sum(F.octet_length(item_text) + 16)).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     item = F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i")
-    # the windows of one item stay in one block
-    parts = [items.where(F.pmod(F.xxhash64(F.col(item_id).cast("string"), item_text), F.lit(blocks)) == k) if blocks > 1 else items for k in range(blocks)]
+
+    def block(k: int) -> list[tuple[str, str]]:
+        # the windows of one item stay in one block
+        part = items.where(F.pmod(F.xxhash64(F.col(item_id).cast("string"), item_text), F.lit(blocks)) == k) if blocks > 1 else items
+        return [(r[0], r[1]) for r in part.where(F.col(item_text).isNotNull()).select(item, item_text).collect()]
+
+    if blocks == 1:
+        return searched(docs, text, block(0), window)[0]
+    row, kept = fresh(docs, "row"), Kept(spark, "decontamination")
+    first, value = searched(docs.withColumn(row, F.monotonically_increasing_id()), text, block(0), window)
+    rows = kept.keep(first, "rows", "zstd")
+    value.destroy()
+    hits: list[DataFrame] = []
+    for k in range(1, blocks):
+        found, value = searched(rows.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text")), "text", block(k), window)
+        hits.append(kept.keep(found.where(F.size("items") > 0).select("row", "hit_runs", "items"), f"hits{k}"))
+        value.destroy()
+    every = reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.flatten(F.collect_list("hit_runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("more"))
+    out = rows.join(every, rows[row] == every["row"], "left")
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    runs = F.array_sort(F.concat("hit_runs", F.coalesce("runs", none)))
+
+    def joined(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), longer).otherwise(F.concat(acc, F.array(x)))
+
+    ids = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more", F.expr("cast(array() as array<string>)")))))
+    merged = F.when(F.col("runs").isNull(), F.col("hit_runs")).otherwise(F.aggregate(runs, none, joined))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", merged.alias("hit_runs"), ids.alias("items"))
+
+
+def searched(rows: DataFrame, text: str, listed: list[tuple[str, str]], window: int) -> tuple[DataFrame, Broadcast]:
+    """rows with n_words, hit_runs and items of one block of test items, and the block's broadcast."""
     run_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_runs", run_type), T.StructField("items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*docs.schema.fields, *fields])
-    at, width = docs.columns.index(text), len(docs.columns)
-    runs_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def scan(rows: DataFrame, part: DataFrame) -> DataFrame:
-        """rows (docs, and what the blocks before found if any) with the hits of one block."""
-        value = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in part.where(F.col(item_text).isNotNull()).select(item, item_text).collect()]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, listed = value.value
-            searcher = _READY.get(key)
-            if searcher is None:
-                _READY.clear()
-                searcher = _READY[key] = Searcher(listed, window)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 256):
-                    batch = whole.slice(lo, 256)
-                    found = list(searcher.search(batch.column(at).to_pylist()))
-                    if batch.num_columns > width:
-                        before = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)
-                        found = [(n, merge([*r, *((x["start"], x["end"]) for x in have)]), i | set(known)) for (n, r, i), (have, known) in zip(found, before, strict=True)]
-                    cols = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for _, r, _ in found], runs_arrow), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=[*batch.schema.names[:width], *new])
-
-        return rows.mapInArrow(run, schema)
-
-    out = docs
-    for part in parts:
-        out = scan(out, part)
-    return out
+    at, runs_arrow = rows.columns.index(text), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    value = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, listed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = value.value
+        searcher = _READY.get(key)
+        if searcher is None:
+            _READY.clear()
+            searcher = _READY[key] = Searcher(own, window)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                found = list(searcher.search(batch.column(at).to_pylist()))
+                cols = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r] for _, r, _ in found], runs_arrow), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_words", "hit_runs", "items"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *fields])), value
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,3 +307,14 @@ def test_vectors(spark):
         got = vector_dedup.link(df, block_rows=blocks, cell_rows=cells)
         assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
     assert vector_dedup.link(df.limit(0)).count() == 0
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.001]), (3, None), (4, [1.0, 0.0]), (4, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 5, 6, 7) for i, v in rows], "vec_id long, embedding array<double>, label int, __n int, v int")
+    got = vector_dedup.link(df)
+    assert got.columns == [*df.columns, "n_links", "component_id", "kept"]
+    assert sorted((r["vec_id"], r["embedding"] or [], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == [
+        (1, [0.0, 1.0], 1, 1, True), (1, [1.0, 0.0], 2, 1, True), (2, [0.0, 1.001], 1, 1, False), (3, [], 0, 3, True), (4, [1.0, 0.0], 2, 1, False), (4, [1.0, 0.0], 2, 1, False),
+    ]
+    assert {(r["__n"], r["v"]) for r in got.collect()} == {(6, 7)}

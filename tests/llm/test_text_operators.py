@@ -48,6 +48,10 @@ def test_windows_against_brute_force(spark, make):
         got = decontamination.find_items(make(docs), bench, block_bytes=size).collect()
         have = sorted((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_runs"]), list(r["items"])) for r in got)
         assert have == sorted((i, *brute_hits(x, items)) for i, x in docs)
+    many = [(k, text(12)) for k in range(60)]
+    out = decontamination.find_items(make(docs), spark.createDataFrame(many, "item_id long, text string"), block_bytes=20)
+    assert sorted((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["hit_runs"]), list(r["items"])) for r in out.collect()) == sorted((i, *brute_hits(x, many)) for i, x in docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # all passes are over; what is left is a join
     none = decontamination.find_items(make(docs), bench.limit(0)).where("size(items) > 0")
     assert none.count() == 0 and decontamination.find_items(make([]), bench).count() == 0
 
