@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import analysis, archive, documents, records, records_sql, search
+from quillspark.plans import analysis, archive, documents, pairs, records, records_sql, search
 
-QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES | analysis.QUERIES | search.QUERIES
-ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES | analysis.ORACLES | search.ORACLES
+QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES | analysis.QUERIES | search.QUERIES | pairs.QUERIES
+ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES | analysis.ORACLES | search.ORACLES | pairs.ORACLES
