@@ -89,19 +89,35 @@ def confidence(a: Column, b: Column, score: Column, high: float, floor: float, s
     return F.when(several, many).otherwise(F.when(score >= single, "review"))
 
 
+#: Words of a title that tell its state and not its subject.
+STATE_WORDS = ("signed", "final", "draft", "approved")
+#: Words of a title that a key keeps.
+KEY_WORDS = 12
+#: Words one of which a schedule bears in its name.
+SCHEDULE_WORDS = ("calendar", "meetings", "schedule")
+
+
+def name_words(x: Column) -> Column:
+    """Runs of letters and digits of a name, in lower case; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def cluster_key(entity: Column, day: Column, kind: Column, title: Column) -> Column:
-    """entity|day|kind|stem of the title, for documents that may be twins."""
-    stem = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)\.(pdf|html?|txt|md|docx?)$", "")
-    stem = F.regexp_replace(stem, r"(?i)\b(signed|final|draft|approved|v\d+|rev\d+)\b", "")
-    stem = F.regexp_replace(F.trim(F.lower(F.regexp_replace(stem, r"\s+", " "))), "[^a-z0-9 ]", "")
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return F.concat_ws("|", blank(entity), F.substring(blank(day), 1, 10), F.trim(F.lower(blank(kind))), F.trim(F.substring(stem, 1, 60)))
+    """entity|day|kind|subject, for documents that may be twins; the parts of a stored key, in this order.
+
+    The subject is the first KEY_WORDS words of the title, without its extension, words of state and numbered versions.
+    """
+    told = F.filter(name_words(title_of(title)), lambda w: ~w.isin(*STATE_WORDS) & ~w.rlike("^(?:v|rev)[0-9]+$"))
+    parts = [F.coalesce(entity.cast("string"), F.lit("")), F.coalesce(F.left(day.cast("string"), F.lit(10)), F.lit("")), F.coalesce(F.trim(F.lower(kind)), F.lit(""))]
+    return F.concat_ws("|", *parts, F.array_join(F.slice(told, 1, KEY_WORDS), " "))
 
 
 def annual_schedule(x: Column) -> Column:
-    """Whether a name is that of a schedule over a span of years, not of one meeting."""
-    s = F.lower(F.replace(F.coalesce(x, F.lit("")), F.lit("-"), F.lit(" ")))
-    return s.rlike(r"20[0-9]{2}\s*[ _-]\s*20[0-9]{2}") & s.rlike("board of education meeting|meetings|calendar")
+    """Whether a name is that of a schedule over a year and the next: both years side by side, and a word of schedules."""
+    w = name_words(x)
+    year = lambda v: F.when(v.rlike("^20[0-9]{2}$"), v.cast("int"))
+    steps = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: year(b) - year(a) == 1)
+    return F.exists(steps, lambda t: F.coalesce(t, F.lit(False))) & F.arrays_overlap(w, F.array(*[F.lit(v) for v in SCHEDULE_WORDS]))
 
 
 def title_of(name: Column) -> Column:
@@ -118,20 +134,26 @@ def first_rule(x: Column, rules: list[tuple[str, str]], otherwise: str) -> Colum
     return out
 
 
-def day_in_name(x: Column, years: tuple[int, int]) -> Column:
-    """A date in a name: ISO, month day year, m.d.yyyy, m/d/yyyy, yyyymmdd, m.d.yy, mm-dd-yy, mm dd yy, mmddyyyy, month year,
-    the first of July of a span of years; the first form that gives a possible date within the years."""
+#: Places of the two forms without signs among those of day_in_name.
+_YMD, _MDY = 5, 9
+
+
+def day_in_name(x: Column, years: tuple[int, int], today: Column | None = None) -> Column:
+    """A date in a name: ISO, month day year, m.d.yyyy, m/d/yyyy, m_d_yyyy, yyyymmdd, m.d.yy, mm-dd-yy, mm dd yy, mmddyyyy,
+    month year, the first of July of a span of years; the first form that gives a possible date within the years. A date
+    without signs between its parts may be any number: with `today`, it counts only up to that day."""
     month = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
     forms = [
         (r"(?<![0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])", 1, 2, 3), (rf"(?i)\b{month}\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})", 3, 1, 2),
         (r"(?<![0-9])([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})(?![0-9])", 3, 1, 2), (r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])", 3, 1, 2),
+        (r"(?<![0-9])([0-9]{1,2})_([0-9]{1,2})_([0-9]{4})(?![0-9])", 3, 1, 2),
         (r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])", 1, 2, 3), (r"(?<![0-9])([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{2})(?![0-9])", 3, 1, 2),
         (r"(?<![0-9])([0-9]{1,2})-([0-9]{1,2})-([0-9]{2})(?![0-9])", 3, 1, 2), (r"(?<![0-9])([0-9]{1,2}) ([0-9]{1,2}) ([0-9]{2})(?![0-9])", 3, 1, 2),
         (r"(?<![0-9])([0-9]{2})([0-9]{2})([0-9]{4})(?![0-9])", 3, 1, 2), (rf"(?i){month}[ _-]?([0-9]{{4}})(?![0-9])", 2, 1, 0),
         (r"(?<![0-9])([0-9]{4})-([0-9]{4})(?![0-9])", 1, 0, 0),
     ]
     names = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    parts = [F.struct(*[(F.regexp_extract(x, p, k) if k else F.lit(stand)).alias(n) for n, k, stand in (("y", y, ""), ("m", m, "7"), ("d", d, "1"))]) for p, y, m, d in forms]
+    parts = [F.struct(*[(F.regexp_extract(x, p, k) if k else F.lit(stand)).alias(n) for n, k, stand in (("y", y, ""), ("m", m, "7"), ("d", d, "1"))], F.lit(p in (forms[_YMD][0], forms[_MDY][0])).alias("run")) for p, y, m, d in forms]
 
     def day(part: Column) -> Column:
         year = F.try_to_number(part["y"], F.lit("9999")).cast("int")
@@ -139,7 +161,8 @@ def day_in_name(x: Column, years: tuple[int, int]) -> Column:
         named = F.array_position(names, F.lower(F.substring(part["m"], 1, 3))).cast("int")
         month = F.when(named > 0, named).otherwise(F.try_to_number(part["m"], F.lit("99")).cast("int"))
         written = F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part["d"], 2, "0"))
-        return F.when(year.between(*years) & month.between(1, 12), F.try_to_date(written, "yyyy-MM-dd"))
+        found = F.when(year.between(*years) & month.between(1, 12), F.try_to_date(written, "yyyy-MM-dd"))
+        return found if today is None else F.when(~part["run"] | (found <= today), found)
 
     return F.get(F.filter(F.transform(F.filter(F.array(*parts), lambda p: p["y"] != ""), day), lambda v: v.isNotNull()), 0)
 

@@ -10,13 +10,22 @@ from quillspark.functions import vectors as V
 from quillspark.functions.text import fiscal_year, squeeze
 from quillspark.operators import linking
 from quillspark.operators.components import connected_components
+from quillspark.operators.ordering import ranked
 from quillspark.session import Kept
 
 
-def thresholds(rows: DataFrame, score: str, points: int = 80) -> DataFrame:
-    """(threshold): distinct exact percentiles at evenly spaced points, the least and the largest score among them."""
-    at = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    return rows.agg(F.percentile(F.col(score), at).alias("p")).select(F.explode("p").alias("p")).select(F.round("p", 6).alias("threshold")).distinct()
+def thresholds(rows: DataFrame, score: str, kept: Kept, points: int = 80) -> DataFrame:
+    """(threshold): distinct exact percentiles at evenly spaced points, the least and the largest score among them.
+
+    Scores get their place in ranges; two places for each point, between which the percentile lies, reach the driver.
+    """
+    placed = ranked(rows.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("x")), [F.col("x")], kept)
+    n = placed.agg(F.max("rank")).head()[0] or 0
+    at = [i / (points - 1) * (n - 1) for i in range(points)] if n else []
+    wanted = sorted({int(a) + k for a in at for k in (1, 2)})
+    value = {r["rank"]: r["x"] for r in placed.where(F.col("rank").isin(wanted)).collect()} if at else {}  # 2 * points at most
+    found = {round(value[int(a) + 1] + (value.get(int(a) + 2, value[int(a) + 1]) - value[int(a) + 1]) * (a - int(a)), 6) for a in at}
+    return rows.sparkSession.createDataFrame([(x,) for x in sorted(found)], "threshold double")
 
 
 def vet_positives(samples: DataFrame, label: str, item: str, vector: str, floor: float = 0.40) -> DataFrame:
@@ -120,12 +129,13 @@ def stale(stored: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(now.select(*keys), keys, "left_anti")
 
 
-def spread(rows: DataFrame, subject: str, item: str, seed: str) -> DataFrame:
+def spread(rows: DataFrame, subject: str, item: str, seed: str, kept: Kept) -> DataFrame:
     """rows with place: a fixed shuffle by a hash; a subject's rows lie a whole round apart, so that none follow each other
-    while another subject is left."""
+    while another subject is left. Both orders are told in ranges, so neither all rows nor a subject's are one task's."""
     mixed = F.md5(F.concat_ws(":", F.lit(seed), F.col(item).cast("string")))
-    rounds = rows.withColumn("r", F.row_number().over(Window.partitionBy(subject).orderBy(mixed, item)))
-    return rounds.withColumn("place", F.row_number().over(Window.orderBy("r", F.md5(F.concat_ws(":", F.lit(seed), F.col(subject).cast("string"))), subject))).drop("r")
+    rounds = ranked(rows.select("*", mixed.alias("__mixed")), [F.col("__mixed"), F.col(item)], kept, out="__round", by=[subject])
+    order = [F.col("__round"), F.md5(F.concat_ws(":", F.lit(seed), F.col(subject).cast("string"))), F.col(subject)]
+    return ranked(rounds, order, kept, out="place").drop("__round", "__mixed")
 
 
 def valid_chapters(rows: DataFrame, chapters: str, length: str) -> DataFrame:

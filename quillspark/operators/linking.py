@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
+from quillspark.session import Kept
 
 #: Rows of one group that the sequential algorithms take; larger groups are an error, not cut.
 MAX_GROUP = 5_000
@@ -152,20 +153,22 @@ def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, thresh
     return rows.select(*cols).groupBy(group).applyInPandas(link, f"{group} {group_type}, {item} {item_type}, node {item_type}")
 
 
-def farthest_points(rows: DataFrame, group: str, item: str, vector: str, n: int) -> DataFrame:
+def farthest_points(rows: DataFrame, group: str, item: str, vector: str, n: int, kept: Kept | None = None) -> DataFrame:
     """(group, item, place): n items of each group, each the farthest from those before; the first is the smallest item.
 
     Farthest is the one whose highest cosine (9 places) with those chosen is least; ties by item. Every step is one
     aggregate over all rows, whose state for a group is one item, so groups of any size do; the items chosen ride along.
+    What each step chose is written, so that n points take n passes.
     """
-    unit = rows.select(F.col(group), F.col(item), V.unit(F.col(vector)).alias("__u"))
-    first = unit.groupBy(group).agg(F.min_by(F.struct(item, "__u"), item).alias("c")).select(group, F.array("c").alias("__chosen"))
+    kept = kept or Kept(rows.sparkSession, "spread")
+    unit = kept.keep(rows.select(F.col(group), F.col(item), V.unit(F.col(vector)).alias("__u")), "units")
+    first = kept.keep(unit.groupBy(group).agg(F.min_by(F.struct(item, "__u"), item).alias("c")).select(group, F.array("c").alias("__chosen")), "chosen")
     for _ in range(n - 1):
         near = F.array_max(F.transform("__chosen", lambda c: F.round(V.dot(F.col("__u"), c["__u"]), 9)))
         new = ~F.exists("__chosen", lambda c: c[item] == F.col(item))
         scored = unit.join(first, group).where(new).select(group, near.alias("__near"), F.struct(item, "__u").alias("c"))
         step = scored.groupBy(group).agg(F.min_by("c", F.struct("__near", F.col(f"c.{item}"))).alias("c"))
-        first = first.join(step, group, "left").select(group, F.when(F.col("c").isNull(), F.col("__chosen")).otherwise(F.concat("__chosen", F.array("c"))).alias("__chosen"))
+        first = kept.keep(first.join(step, group, "left").select(group, F.when(F.col("c").isNull(), F.col("__chosen")).otherwise(F.concat("__chosen", F.array("c"))).alias("__chosen")), "chosen")
     return first.select(group, F.posexplode("__chosen").alias("place", "c")).select(group, F.col(f"c.{item}").alias(item), "place")
 
 

@@ -29,7 +29,7 @@ def json_fields(spark, d):
 
 @query("SELECT DISTINCT round(p, 6) AS threshold FROM (SELECT unnest(quantile_cont(value, [i / 79.0 FOR i IN range(80)])) AS p FROM events)")
 def candidate_thresholds(spark, d):
-    return analysis.thresholds(table(spark, d, "events"), "value", 80)
+    return analysis.thresholds(table(spark, d, "events"), "value", Kept(spark, "thresholds"), 80)
 
 
 _UNIT = "w AS (SELECT vec_id, label, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS e FROM v WHERE list_dot_product(e, e) > 0), " + _CENTROIDS.replace("FROM v", "FROM w")
@@ -147,7 +147,7 @@ def stale_rows(spark, d):
 
 @query("WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7:' || p_partkey), p_partkey) AS r FROM part) SELECT p_partkey, row_number() OVER (ORDER BY r, md5('7:' || p_brand), p_brand) AS place FROM r")
 def spread_order(spark, d):
-    return analysis.spread(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", "7").select("p_partkey", F.col("place").cast("long").alias("place"))
+    return analysis.spread(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", "7", Kept(spark, "spread")).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 100 AND 2 * p_size < 60 THEN CASE WHEN p_size > 0 THEN '0:start|' || p_size || ':middle|' || 2 * p_size || ':end' ELSE '0:end' END WHEN p_size < 60 THEN '0:start|' || p_size || ':middle' ELSE '0:start' END AS chapters FROM part")

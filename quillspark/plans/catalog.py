@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import analysis, archive, documents, pairs, records, records_sql, search, voices
+from quillspark.plans import analysis, archive, documents, pairs, records, records_sql, search, voices, wording
 
-QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES | analysis.QUERIES | search.QUERIES | pairs.QUERIES | voices.QUERIES
-ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES | analysis.ORACLES | search.ORACLES | pairs.ORACLES | voices.ORACLES
+QUERIES: dict = records.QUERIES | documents.QUERIES | archive.QUERIES | analysis.QUERIES | search.QUERIES | pairs.QUERIES | voices.QUERIES | wording.QUERIES
+ORACLES: dict[str, str] = records_sql.ORACLES | documents.ORACLES | archive.ORACLES | analysis.ORACLES | search.ORACLES | pairs.ORACLES | voices.ORACLES | wording.ORACLES

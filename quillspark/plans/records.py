@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.operators import evaluation, finance, graph, identity, linking, retrieval, timeline, versions
+from quillspark.session import Kept
 from quillspark.sources.tables import table
 from quillspark.streaming import limits
 
@@ -113,7 +114,7 @@ def constrained_linkage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spread_sample(spark: SparkSession, d: str) -> DataFrame:
-    return linking.farthest_points(table(spark, d, "embeddings").where("label is not null"), "label", "vec_id", "embedding", 5)
+    return linking.farthest_points(table(spark, d, "embeddings").where("label is not null"), "label", "vec_id", "embedding", 5, Kept(spark, "spread"))
 
 
 def name_variants(spark: SparkSession, d: str) -> DataFrame:
