@@ -6,10 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import vectors as V
+from quillspark.operators.pairs import usable
+from quillspark.operators.voices import sum_vectors
 from quillspark.session import Kept
 
 #: Rows of one group that the sequential algorithms take; larger groups are an error, not cut.
@@ -19,6 +24,8 @@ EPS = 1e-8
 MAX_COHORT = 1 << 14
 #: Centroids meet samples in so many lists.
 CENTROID_BLOCKS = 64
+#: Persons and samples that meet in one task.
+PERSON_BLOCK, SAMPLE_BLOCK = 256, 4_096
 #: About so many phrases or names meet in one block.
 NAME_BLOCK = 1_024
 
@@ -43,6 +50,59 @@ def person_scores(samples: DataFrame, person: str, meeting: str, vector: str, sa
     return both.where(n > 0).select(F.col("sid").alias(sample_id), "person", F.round(total / n, 9).alias("score"))
 
 
+def best_people(samples: DataFrame, person: str, meeting: str, vector: str, sample_id: str, kept: Kept, person_block: int = PERSON_BLOCK, sample_block: int = SAMPLE_BLOCK) -> DataFrame:
+    """(sample_id, person, score, margin): best_with_margin of person_scores, by blocks of samples times blocks of persons.
+
+    What moves are the samples once for each block of persons, the persons' sums once for each block of samples, and the
+    two best of each block for a sample, not a row for each sample and person. Samples without an id or a usable vector, and
+    those that no other sample can be compared with, have no row.
+    """
+    ok = samples.where(F.col(sample_id).isNotNull() & usable(F.col(vector)))
+    u = kept.keep(ok.select(F.col(sample_id).alias("sid"), F.col(person).alias("person"), F.col(meeting).alias("meeting"), V.unit(F.col(vector)).alias("u")), "units")
+    known = u.where("person is not null")
+    part = kept.keep(sum_vectors(known, ["person", "meeting"], "u").withColumnRenamed("total", "v"), "sums")
+    whole = sum_vectors(part.select("person", "v"), ["person"], "v").select("person", F.col("total").alias("v")).join(known.groupBy("person").agg(F.count("*").alias("n")), "person")
+    none = F.lit(None).cast(part.schema["meeting"].dataType)
+    rows = whole.select("person", none.alias("meeting"), "v", "n", F.lit(True).alias("whole")).unionByName(part.where("meeting is not null").select("person", "meeting", "v", "n", F.lit(False).alias("whole")))
+    right = kept.keep(rows, "people")
+    bs, bp = max(1, -(-u.count() // sample_block)), max(1, -(-right.where("whole").count() // person_block))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = u.select("sid", "meeting", "u", block("sid", bs).alias("bs"), F.explode(F.sequence(F.lit(0), F.lit(bp - 1))).alias("bp"))
+    right = right.select("*", block("person", bp).alias("bp"), F.explode(F.sequence(F.lit(0), F.lit(bs - 1))).alias("bs"))
+    schema = T.StructType([T.StructField("sid", u.schema["sid"].dataType), T.StructField("person", u.schema["person"].dataType), T.StructField("score", T.DoubleType())])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        full = b.filter(b.column("whole")).sort_by("person")
+        if not a.num_rows or not full.num_rows:
+            return pa.table({"sid": a.column("sid").slice(0, 0), "person": b.column("person").slice(0, 0), "score": pa.array([], pa.float64())})
+        x, v = (as_rows(t.column(c)) for t, c in ((a, "u"), (full, "v")))
+        s, n = x @ v.T, np.repeat(np.asarray(full.column("n"), float)[None, :], a.num_rows, 0)
+        at = {p: j for j, p in enumerate(full.column("person").to_pylist())}
+        own: dict = {}
+        for r, m in enumerate(a.column("meeting").to_pylist()):
+            own.setdefault(m, []).append(r)
+        same = b.filter(pa.compute.invert(b.column("whole")))
+        if same.num_rows:
+            for p, m, w, k in zip(same.column("person").to_pylist(), same.column("meeting").to_pylist(), as_rows(same.column("v")), same.column("n").to_pylist(), strict=True):
+                if m in own:
+                    s[own[m], at[p]] -= x[own[m]] @ w
+                    n[own[m], at[p]] -= k
+        s = np.where(n > 0, np.round(s / np.maximum(n, 1), 9), -np.inf)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :2]
+        score = np.take_along_axis(s, order, 1)
+        r, k = np.nonzero(score > -np.inf)
+        return pa.table({"sid": a.column("sid").take(pa.array(r)), "person": full.column("person").take(pa.array(order[r, k])), "score": pa.array(score[r, k])})
+
+    found = left.groupBy("bs", "bp").cogroup(right.groupBy("bs", "bp")).applyInArrow(compare, schema)
+    top = found.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "person"))), 1, 2).alias("b"))
+    first, second = F.get("b", 0), F.get("b", 1)
+    return top.select(F.col("sid").alias(sample_id), first["person"].alias("person"), (-first["less"]).alias("score"), F.round(-first["less"] - F.coalesce(-second["less"], F.lit(0.0)), 9).alias("margin"))
+
+
+def as_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), float).reshape(len(column), -1)
+
+
 def best_with_margin(scores: DataFrame, key: str, label: str, score: str) -> DataFrame:
     """(key, label, score, margin) of the best label; a missing runner-up counts as 0. Ties go by label."""
     w = Window.partitionBy(key).orderBy(F.desc(score), label)

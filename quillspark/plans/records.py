@@ -50,14 +50,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 # --- voices ------------------------------------------------------------------------------------------------------------
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("meeting", F.pmod("vec_id", F.lit(7)))
-    return linking.person_scores(e, "label", "meeting", "embedding", "vec_id")
-
-
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    best = linking.best_with_margin(_scores(spark, d), "vec_id", "person", "score")
-    return best.join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("truth")), "vec_id")
+    e = table(spark, d, "embeddings").withColumn("meeting", F.pmod("vec_id", F.lit(7)))
+    best = linking.best_people(e, "label", "meeting", "embedding", "vec_id", Kept(spark, "people"))
+    return best.join(e.select("vec_id", F.col("label").alias("truth")), "vec_id")
 
 
 def label_match(spark: SparkSession, d: str) -> DataFrame:

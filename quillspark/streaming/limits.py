@@ -6,9 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -34,29 +38,48 @@ def _walk(times: list[float], start: float | None, count: int, seconds: float, l
     return out, start, count
 
 
+def _places(times: np.ndarray, start: int | None, count: int, length: int) -> tuple[np.ndarray, int, int]:
+    """Places of the sorted times of one key, from a window that is open with so many events or none: a step for each window."""
+    place, i = np.empty(len(times), np.int64), 0
+    while i < len(times):
+        if start is None or times[i] - start >= length:
+            start, count = int(times[i]), 0
+        j = max(i + 1, int(np.searchsorted(times, start + length, "left")))
+        place[i:j] = np.arange(count + 1, count + 1 + j - i)
+        count, i = count + j - i, j
+    return place, start, count
+
+
 def window_limit(events: DataFrame, key: str, event_id: str, ts: str, seconds: float, limit: int) -> DataFrame:
     """(event_id, place, allowed): place of each event in its key's window, which begins at the first event after the last window.
 
-    The windows of a key depend on each other, so a key's events are walked in order; they stream through the task in sorted
-    batches with three numbers of state, so a key of any size fits.
+    The windows of a key depend on each other, so a key's events are gone through in order, a window at a time; they stream
+    through the task in sorted batches with three numbers of state, so a key of any size fits. Times count in microseconds.
+    Events without a time are in no window: place and allowed are null. A null key is a key.
     """
-    schema = f"{event_id} {events.schema[event_id].dataType.simpleString()}, place long, allowed boolean"
-    rows = events.select(F.col(key).alias("k"), F.col(event_id).alias("e"), F.col(ts).cast("timestamp").cast("double").alias("t"))
+    kind = events.schema[event_id].dataType
+    schema = T.StructType([T.StructField(event_id, kind), T.StructField("place", T.LongType()), T.StructField("allowed", T.BooleanType())])
+    length = round(seconds * 1_000_000)
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = events.select(text.alias("k"), F.col(event_id).alias("e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, count = object(), None, 0
-        for pdf in batches:
-            place, allowed = [], []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, count = None, None, 0
+        for b in batches:
+            t = np.asarray(b.column(2))
+            runs = pa.compute.run_end_encode(b.column(0)) if b.num_rows else None
+            ends, keys = (runs.run_ends.to_pylist(), runs.values.to_pylist()) if b.num_rows else ([], [])
+            place, lo = np.empty(b.num_rows, np.int64), 0
+            for hi, k in zip(ends, keys, strict=True):
                 if k != now:
                     now, start, count = k, None, 0
-                got, start, count = _walk([t], start, count, seconds, limit)
-                place.append(got[0][1])
-                allowed.append(got[0][2])
-            yield pd.DataFrame({event_id: pdf["e"], "place": place, "allowed": allowed})
+                place[lo:hi], start, count = _places(t[lo:hi], start, count, length)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(place), pa.array(place <= limit)], names=[event_id, "place", "allowed"])
 
-    return rows.repartition(parts, "k").sortWithinPartitions("k", "t", "e").mapInPandas(run, schema)
+    timed = rows.where("t is not null").repartition(parts, "k").sortWithinPartitions("k", "t", "e").mapInArrow(run, schema)
+    return timed.unionByName(rows.where("t is null").select(F.col("e").alias(event_id), F.lit(None).cast("long").alias("place"), F.lit(None).cast("boolean").alias("allowed")))
 
 
 def stream_window_limit(events: DataFrame, key: str, ts: str, seconds: float, limit: int) -> DataFrame:

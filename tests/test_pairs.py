@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from quillspark.operators import pairs
+from quillspark.operators import linking, pairs
 from quillspark.session import Kept
 
 SCHEMA = "vec_id long, label string, meeting int, condition string, seconds double, v array<double>"
@@ -114,3 +114,17 @@ def test_calibrator_against_a_plain_loop(spark, block_rows):
             pairs.with_cohort(frame, "v", spark.createDataFrame([(v,) for v in cohort], "c array<double>"), "c", 5)
         finally:
             pairs.MAX_COHORT = before
+
+
+def test_best_people_in_blocks(spark):
+    rows = [(i, label, meeting, v) for i, label, meeting, _, _, v in made() if i is None or i != 203]
+    df = spark.createDataFrame([*rows, (300, "zed", 1, [1.0] * 6), (301, "a", None, [0.5] * 6)], "vec_id long, label string, meeting int, v array<double>")
+    scores = linking.person_scores(df.where("v is not null and vec_id is not null and size(v) = 6"), "label", "meeting", "v", "vec_id")
+    want = {r["vec_id"]: (r["label"], r["score"], r["margin"]) for r in linking.best_with_margin(scores.withColumnRenamed("person", "label"), "vec_id", "label", "score").collect()}
+    for persons, block in ((256, 4096), (2, 10)):
+        with Kept(spark, "t") as kept:
+            got = {r["vec_id"]: tuple(r)[1:] for r in linking.best_people(df, "label", "meeting", "v", "vec_id", kept, persons, block).collect()}
+        assert set(got) == set(want) and len(got) > 80
+        for i, (label, score, margin) in want.items():
+            assert got[i][1:] == pytest.approx((score, margin), abs=2e-9), i
+            assert got[i][0] == label or margin < 1e-8
