@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import vectors as V
-from quillspark.operators.pairs import usable
+from quillspark.operators.components import connected_components, roots_of
+from quillspark.operators.pairs import BLOCK_ROWS, block_pairs, block_units, usable
 from quillspark.operators.voices import sum_vectors
 from quillspark.session import Kept
 
@@ -176,14 +177,39 @@ def gate(rows: DataFrame, rules: list[tuple[Column, str]], passed: str = "accept
     return rows.withColumn("decision", out)
 
 
-def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, threshold: float, cannot: str | None = None) -> DataFrame:
-    """(group, item, node): greedy complete linkage inside each group; items of one `cannot` value never share a node.
+def threshold_parts(rows: DataFrame, group: str, item: str, vector: str, threshold: float, kept: Kept, cannot: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(item, part): items (long) that a chain of pairs of one group at or above the threshold joins; single ones have no row.
 
-    The next merge is always that of the highest least similarity, ties by the smaller items. It is sequential by nature, so each
-    group is one task and groups beyond MAX_GROUP are refused.
+    Pairs are compared block by block; a task joins its own and sends one row for an item, so no pair leaves it.
+    """
+    carry = {"grp": group} | ({"cannot": cannot} if cannot else {})
+    units = block_units(rows.where(F.col(group).isNotNull()), item, vector, carry, kept, block_rows)
+
+    def join(t: pa.Table) -> pa.Table:
+        p, q, _ = block_pairs(t, threshold - 1e-9)
+        codes = lambda c: np.unique(np.array([str(x) for x in t.column(c).to_pylist()]), return_inverse=True)[1]
+        g = codes("grp") if t.num_rows else np.zeros(0, int)
+        keep = g[p] == g[q]
+        if cannot and t.num_rows:
+            c = codes("cannot")
+            keep &= c[p] != c[q]
+        ids = np.asarray(t.column("id"), np.int64)
+        at, root = roots_of(ids[p[keep]], ids[q[keep]])
+        return pa.table({"a": pa.array(at, pa.int64()), "b": pa.array(root, pa.int64())})
+
+    edges = units.groupBy("i", "j").applyInArrow(join, "a long, b long")
+    return connected_components(edges, kept).select(F.col("id").alias(item), F.col("component").alias("part"))
+
+
+def linkage_sweep(rows: DataFrame, group: str, item: str, vector: str, thresholds: list[float], cannot: str | None = None, kept: Kept | None = None) -> DataFrame:
+    """(group, item, threshold, node): complete_linkage at each of several thresholds, by one course of merges a group.
+
+    The merges of a higher threshold are the first ones of a lower: nodes are noted as the least similarity falls below each.
+    With kept, groups are split beforehand at the lowest threshold: items of two parts that no pair joins never share a node.
     """
     item_type = rows.schema[item].dataType.simpleString()
     group_type = rows.schema[group].dataType.simpleString()
+    steps = sorted(set(thresholds), reverse=True)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_GROUP:
@@ -196,10 +222,12 @@ def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, thresh
             v = pdf[cannot].to_numpy()
             s[v[:, None] == v[None, :]] = -np.inf
         np.fill_diagonal(s, -np.inf)
-        node = np.arange(len(pdf))
-        while len(s) > 1:
+        node, noted, todo = np.arange(len(pdf)), [], list(steps)
+        while todo:
             i, j = divmod(int(s.argmax()), len(s))
-            if s[i, j] < threshold:
+            while todo and (len(s) < 2 or s[i, j] < todo[0]):
+                noted.append((todo.pop(0), node.copy()))
+            if not todo:
                 break
             i, j = min(i, j), max(i, j)
             least = np.minimum(s[i], s[j])
@@ -207,10 +235,53 @@ def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, thresh
             s[i], s[:, i] = least, least
             s[j], s[:, j] = -np.inf, -np.inf
             node[node == j] = i
-        return pd.DataFrame({group: pdf[group].to_numpy(), item: pdf[item].to_numpy(), "node": pdf[item].to_numpy()[node]})
+        ids = pdf[item].to_numpy()
+        return pd.concat([pd.DataFrame({group: pdf[group].to_numpy(), item: ids, "threshold": t, "node": ids[n]}) for t, n in noted])
+
+    cols = list(dict.fromkeys([group, item, vector, *([cannot] if cannot else [])]))
+    schema = f"{group} {group_type}, {item} {item_type}, threshold double, node {item_type}"
+    if kept is None:
+        return rows.select(*cols).groupBy(group).applyInPandas(link, schema)
+    parts = threshold_parts(rows, group, item, vector, steps[-1], kept, cannot).withColumnRenamed(item, "__item")
+    marked = kept.keep(rows.select(*cols).join(parts, rows[item].cast("long") == F.col("__item"), "left").drop("__item"), "parts")
+    joined = marked.where("part is not null").groupBy(group, "part").applyInPandas(link, schema)
+    alone = marked.where("part is null").select(group, item, F.explode(F.array(*[F.lit(float(t)) for t in steps])).alias("threshold"), F.col(item).alias("node"))
+    return joined.unionByName(alone)
+
+
+def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, threshold: float, cannot: str | None = None, kept: Kept | None = None) -> DataFrame:
+    """(group, item, node): greedy complete linkage inside each group; items of one `cannot` value never share a node.
+
+    The next merge is always that of the highest least similarity, ties by the smaller items. It is sequential by nature, so each
+    group is one task. With kept, a group (of items that are long and unique) is first split where no pair reaches the threshold,
+    which changes no node; MAX_GROUP then bounds a part and not a group. Beyond it the operator refuses.
+    """
+    return linkage_sweep(rows, group, item, vector, [threshold], cannot, kept).drop("threshold")
+
+
+def sweep_metrics(nodes: DataFrame, node: str, label: str, condition: str) -> DataFrame:
+    """(threshold, nodes, purity, precision, recall, f1, across_f1) of clusterings (threshold, node, label, condition).
+
+    Pairs are counted from groups: same node, same label, both; across_f1 is of the pairs of different conditions. Items
+    without a label take no part. Without pairs of a kind, precision and recall are 1.
+    """
+    known = nodes.where(F.col(label).isNotNull()).select("threshold", F.col(node).alias("node"), F.col(label).alias("label"), F.col(condition).alias("cond"))
+    n = F.col("n")
+
+    def pairs(keys: list[str], name: str) -> DataFrame:
+        return known.groupBy("threshold", *keys).agg(F.count("*").alias("n")).groupBy("threshold").agg(F.sum(n * (n - 1) / 2).alias(name))
+
+    out = known.groupBy("threshold", "node", "label").agg(F.count("*").alias("n")).groupBy("threshold", "node").agg(F.sum("n").alias("n"), F.max("n").alias("m")).groupBy("threshold").agg(F.count("*").alias("nodes"), (F.sum("m") / F.sum("n")).alias("purity"))
+    for keys, name in ((["node"], "a"), (["label"], "b"), (["node", "label"], "c")):
+        out = out.join(pairs(keys, name), "threshold").join(pairs([*keys, "cond"], f"{name}w"), "threshold")
+
+    def rates(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+        p, r = F.coalesce(c / F.nullif(a, F.lit(0.0)), F.lit(1.0)), F.coalesce(c / F.nullif(b, F.lit(0.0)), F.lit(1.0))
+        return p, r, F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
 
-    cols = dict.fromkeys([group, item, vector, *([cannot] if cannot else [])])
-    return rows.select(*cols).groupBy(group).applyInPandas(link, f"{group} {group_type}, {item} {item_type}, node {item_type}")
+    p, r, f = rates(F.col("a"), F.col("b"), F.col("c"))
+    across = rates(F.col("a") - F.col("aw"), F.col("b") - F.col("bw"), F.col("c") - F.col("cw"))[2]
+    return out.select("threshold", "nodes", *[F.round(v, 6).alias(k) for k, v in (("purity", F.col("purity")), ("precision", p), ("recall", r), ("f1", f), ("across_f1", across))])
 
 
 def farthest_points(rows: DataFrame, group: str, item: str, vector: str, n: int, kept: Kept | None = None) -> DataFrame:

@@ -106,7 +106,15 @@ def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
 def constrained_linkage(spark: SparkSession, d: str) -> DataFrame:
     """Complete linkage inside a label's vectors; those of one meeting stay apart."""
     e = table(spark, d, "embeddings").where("label is not null").withColumn("meeting", F.pmod("vec_id", F.lit(7)))
-    return linking.complete_linkage(e, "label", "vec_id", "embedding", 0.2, "meeting")
+    return linking.complete_linkage(e, "label", "vec_id", "embedding", 0.2, "meeting", Kept(spark, "linkage"))
+
+
+def linkage_points(spark: SparkSession, d: str) -> DataFrame:
+    """Linkage of all vectors in ten groups at several thresholds, judged by their labels within and across conditions."""
+    e = table(spark, d, "embeddings").withColumn("grp", F.pmod("vec_id", F.lit(10))).withColumn("meeting", F.pmod("vec_id", F.lit(70)))
+    nodes = linking.linkage_sweep(e, "grp", "vec_id", "embedding", [0.1, 0.2, 0.3, 0.4, 0.6, 0.9], "meeting", Kept(spark, "linkage"))
+    judged = nodes.join(e.select("vec_id", "label", (F.col("vec_id") % 20 < 10).alias("condition")), "vec_id")
+    return linking.sweep_metrics(judged, "node", "label", "condition")
 
 
 def spread_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +336,7 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     knn_top50, rrf_two_lists, rank_demotion, hybrid_search, label_match, match_sweep, match_frontier, match_quality, gate_decisions, asnorm_scores,
-    clustering_metrics, constrained_linkage, spread_sample, name_variants, yearly_totals, status_share, cited_share, stack_matrix, budget_vs_actual,
+    clustering_metrics, constrained_linkage, linkage_points, spread_sample, name_variants, yearly_totals, status_share, cited_share, stack_matrix, budget_vs_actual,
     component_trend, fund_roll_up, reconcile_orders, planned_and_actual, scope_semi_join, coverage_gap, validity_resolve, member_vote_edges,
     version_chains, draft_final_pairs, three_way_reconcile, upsert_guarded, restored_origins, expectations, identity_merge, roster_proposals,
     interval_max_overlap, nearest_turn, gap_islands, evidence_scores, keep_best_event, quota_month, daily_cap, window_limiter, ranking_metrics,

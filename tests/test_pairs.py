@@ -128,3 +128,39 @@ def test_best_people_in_blocks(spark):
         for i, (label, score, margin) in want.items():
             assert got[i][1:] == pytest.approx((score, margin), abs=2e-9), i
             assert got[i][0] == label or margin < 1e-8
+
+
+def test_linkage_by_parts_and_at_thresholds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(120):
+        centre = np.zeros(8)
+        centre[k % 6] = 4
+        rows.append((k, k % 2, k % 9, [float(x) for x in centre + rng.normal(size=8)]))
+    df = spark.createDataFrame(rows, "id long, g int, meeting int, v array<double>")
+    steps = [0.3, 0.6, 0.8]
+    whole = {t: {(r["id"], r["node"]) for r in linking.complete_linkage(df, "g", "id", "v", t, "meeting").collect()} for t in steps}
+    with Kept(spark, "t") as kept:
+        for given in (None, kept):
+            got = linking.linkage_sweep(df, "g", "id", "v", steps, "meeting", given).collect()
+            assert {t: {(r["id"], r["node"]) for r in got if r["threshold"] == t} for t in steps} == whole
+        parts = {r["id"]: r["part"] for r in linking.threshold_parts(df, "g", "id", "v", 0.6, kept, "meeting", block_rows=17).collect()}
+        near = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and a[2] != b[2] and cos(a[3], b[3]) >= 0.6}
+        reach = {k: k for k in range(120)}
+        for _ in range(120):
+            for a, b in near:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+        assert parts == {k: r for k, r in reach.items() if any(k in e for e in near)}
+        # labels as clusters of the sweep
+        truth = spark.createDataFrame([(k, k % 6 if k % 13 else None, k % 4 < 2) for k in range(120)], "id long, label int, cond boolean")
+        points = {r["threshold"]: r for r in linking.sweep_metrics(linking.linkage_sweep(df, "g", "id", "v", steps, "meeting").join(truth, "id"), "node", "label", "cond").collect()}
+        for t in steps:
+            node = dict(whole[t])
+            pairs_of = [(node[a] == node[b], a % 6 == b % 6, (a % 4 < 2) != (b % 4 < 2)) for a, b in itertools.combinations([k for k in range(120) if k % 13], 2)]
+            for name, every in (("f1", pairs_of), ("across_f1", [x for x in pairs_of if x[2]])):
+                a, b, c = sum(x[0] for x in every), sum(x[1] for x in every), sum(x[0] and x[1] for x in every)
+                p, r = (c / a if a else 1.0), (c / b if b else 1.0)
+                assert points[t][name] == pytest.approx(2 * p * r / (p + r) if p + r else 0.0, abs=1e-6)
+    monkeypatch.setattr(linking, "MAX_GROUP", 5)
+    with pytest.raises(Exception, match="at most"):
+        linking.complete_linkage(df, "g", "id", "v", 0.3).collect()
