@@ -432,7 +432,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     join.run()
     out = join.components()
     names = [F.col(n).alias(c) for c, n in zip(carry, join.carry, strict=True)]
-    names += [F.col("label").alias(group)] * (group is not None)
+    if group is not None:
+        names.append(F.col("label").alias(group))
     return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *names)
 
 
