@@ -344,3 +344,13 @@ def test_blocks_of_items_keep_rows_apart(spark):
     for size in (1 << 20, 20):
         got[size] = sorted(str(r) for r in decontamination.find_items(docs, items, block_bytes=size).collect())
     assert got[20] == got[1 << 20] and sum("items=[]" in r for r in got[20]) == 1
+
+
+def test_pages_without_telling_tags(spark):
+    """The same pages with every telling tag a div, and without classes, ids and roles: what varies on a host tells the text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    blind = F.regexp_replace("html", r"(?i)<(/?)(?:article|main|nav|aside|header|footer|form)\b", "<$1div")
+    blind = F.regexp_replace(blind, r"""(?i)\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    want = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages.withColumn("html", blind)).collect()}
+    assert set(got) == set(want) and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
