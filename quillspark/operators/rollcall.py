@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.search import words_of
+
 #: Words that a member answers with; a parameter of who transcribes.
 ANSWERS = ("aye", "yes", "yea", "yay", "no", "nay", "here", "present", "abstain", "i", "yep", "yup")
 #: Turns between two calls of one region at most; turns after the last call that may still answer; it can't be more.
@@ -69,3 +71,43 @@ def accepted(found: DataFrame, meeting: str, index: str, cluster: str, subject:
         limit = F.coalesce("n_members", "called")
     good = (F.col("bound") >= least) & (F.col("links") == F.col("voices")) & (F.col("links") == F.col("named")) & (F.col("heard") <= limit + slack)
     return pairs.join(per.where(good).select(meeting, "region"), [meeting, "region"]).groupBy(meeting, "region", cluster, subject).agg(F.count("*").alias("bound"))
+
+
+def match_motions(spoken: DataFrame, votes: DataFrame, meeting: str, turn: str, text: str, vote: str, motion: str, floor: float = 0.7) -> DataFrame:
+    """(meeting, turn, vote, similarity): the vote whose motion is worded most like what was said, if one alone is.
+
+    The similarity is twice the distinct words in both by the distinct words of each (Dice). Texts meet on their rarest words
+    in the meeting: of n words, so many that two texts above the floor share one of them at least; then whole sets are
+    compared. A turn whose best vote ties with another, or stays below the floor, is matched with nothing. Repeated turns and
+    votes (same id) count once; nulls match nothing.
+    """
+    words = lambda df, key, column: df.where(F.col(meeting).isNotNull() & F.col(key).isNotNull()).select(F.col(meeting).alias("m"), F.col(key).alias("k"), F.array_distinct(words_of(F.col(column))).alias("w")).where(F.size("w") > 0).dropDuplicates(["m", "k"])
+    a, b = words(spoken, turn, text), words(votes, vote, motion)
+    each = lambda df: df.select("m", "k", F.size("w").alias("n"), F.explode("w").alias("x"))
+    often = each(a).select("m", "x").unionByName(each(b).select("m", "x")).groupBy("m", "x").agg(F.count("*").alias("c"))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        """(m, name, x): the rarest words of each text."""
+        lists = each(df).join(often, ["m", "x"]).groupBy("m", "k").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("l"))
+        n = F.size("l") - F.ceil(F.size("l") * F.lit(floor / (2 - floor)) - 1e-9) + 1
+        return lists.select("m", F.col("k").alias(name), F.explode(F.slice("l", F.lit(1), n.cast("int"))).alias("e")).select("m", name, F.col("e.x").alias("x"))
+
+    met = rare(a, "a").join(rare(b, "b"), ["m", "x"]).select("m", "a", "b").distinct()
+    both = met.join(a.select("m", F.col("k").alias("a"), F.col("w").alias("wa")), ["m", "a"]).join(b.select("m", F.col("k").alias("b"), F.col("w").alias("wb")), ["m", "b"])
+    dice = 2 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb"))
+    alike = both.select("m", "a", "b", F.round(dice, 9).alias("s")).where(F.col("s") >= floor)
+    best = alike.groupBy("m", "a").agg(F.max(F.struct("s", "b")).alias("x"), F.max("s").alias("top"))
+    ties = alike.join(best, ["m", "a"]).where("s = top").groupBy("m", "a").agg(F.count("*").alias("n")).where("n = 1").select("m", "a")
+    return best.join(ties, ["m", "a"]).select(F.col("m").alias(meeting), F.col("a").alias(turn), F.col("x.b").alias(vote), F.col("top").alias("similarity"))
+
+
+def attributed(matches: DataFrame, movers: DataFrame, meeting: str, vote: str, cluster: str, subject: str) -> DataFrame:
+    """(meeting, cluster, subject, n): clusters that spoke the motions of one mover alone; n motions.
+
+    matches: (meeting, vote, cluster) of spoken motions; movers: (meeting, vote, subject). A cluster whose motions were moved
+    by several subjects, or a subject whose motions several clusters spoke, is attributed nothing.
+    """
+    both = matches.join(movers.where(F.col(subject).isNotNull()), [meeting, vote])
+    pairs = both.groupBy(meeting, cluster, subject).agg(F.countDistinct(vote).alias("n"))
+    one = lambda key, other: pairs.groupBy(meeting, key).agg(F.countDistinct(other).alias("__others")).where("__others = 1").select(meeting, key)
+    return pairs.join(one(cluster, subject), [meeting, cluster]).join(one(subject, cluster), [meeting, subject]).select(meeting, cluster, subject, "n")

@@ -56,6 +56,40 @@ def nearest_span(points: DataFrame, spans: DataFrame, group: str, point_id: str,
     return line.where(F.col("pid").isNotNull()).select(F.col("pid").alias(point_id), F.array_min(scored)["label"].alias("label"))
 
 
+def nearest_of_any(points: DataFrame, spans: DataFrame, group: str, point_id: str, label: str, width: float = 3600.0) -> DataFrame:
+    """nearest_span for spans that may overlap each other: (point_id, label) of most overlap, else of the least gap.
+
+    Ties go by start, end and label; without spans in the group the label is null. Overlaps are found in bins of `width`; of the
+    spans that end before a point the last to end, and of those that begin after it the first, are the nearest on either side,
+    and are told by two running values over the merged time line. Nulls in a group, start or end are near nothing.
+    """
+    ok = lambda df: df.where(F.col(group).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    p = ok(points).select(F.col(group).alias("g"), F.col(point_id).alias("pid"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    q = ok(spans).select(F.col(group).alias("g"), F.col(label).alias("label"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    # a point without length lies in the spans that hold it, at no gap: for the bins it is the least bit longer
+    bit = F.greatest(F.lit(1e-9), F.abs("start") * 4.5e-16)
+    longer = p.withColumn("end", F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(F.col("start") + bit))
+    whole = q.select("g", F.struct("start", "end", "label").alias("label"), "start", "end")
+    inside = max_overlap(longer, whole, "g", "pid", "label", width).where("label is not null").join(p.select("pid", (F.col("end") > F.col("start")).alias("long")), "pid")
+    inside = inside.select("pid", F.when(F.col("long"), -1.0).otherwise(0.0).alias("gap"), F.col("label.start").alias("a"), F.col("label.end").alias("b"), F.col("label.label").alias("label"))
+
+    def side(at: str, edge: str, order: list[Column], forward: bool) -> DataFrame:
+        """(pid, gap, a, b, label) of the nearest span on one side."""
+        one = F.struct("start", "end", "label")
+        left = p.select("g", F.col(at).alias("t"), "pid", F.col(at).alias("x"), F.lit(None).cast(q.select(one.alias("s")).schema["s"].dataType).alias("s"))
+        right = q.select("g", F.col(edge).alias("t"), F.lit(None).cast(p.schema["pid"].dataType).alias("pid"), F.lit(None).cast("double").alias("x"), one.alias("s"))
+        w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = left.unionByName(right).withColumn("s", F.last("s", True).over(w)).where("pid is not null and s is not null")
+        return found.select("pid", (F.col("s.start") - F.col("x") if forward else F.col("x") - F.col("s.end")).alias("gap"), F.col("s.start").alias("a"), F.col("s.end").alias("b"), F.col("s.label").alias("label"))
+
+    point_last = F.col("pid").isNotNull()
+    before = side("start", "end", [F.asc("t"), point_last, F.desc("s.start"), F.desc("s.label")], False)
+    after = side("end", "start", [F.desc("t"), point_last, F.desc("s.end"), F.desc("s.label")], True)
+    best = inside.unionByName(before).unionByName(after).groupBy("pid").agg(F.min_by("label", F.struct("gap", "a", "b", "label")).alias("label"))
+    ids = points.select(F.col(point_id)).distinct()
+    return ids.join(best, ids[point_id] == best["pid"], "left").select(point_id, "label")
+
+
 def runs(rows: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
     """(group, run, label, n): neighbours of one label are one run."""
     w = Window.partitionBy(group).orderBy(*order)

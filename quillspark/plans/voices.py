@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import quotes, rollcall, voices
+from quillspark.operators import quotes, rollcall, timeline, voices
 from quillspark.sources.tables import table
 
 
@@ -56,7 +56,28 @@ def quotes_cited(spark: SparkSession, d: str) -> DataFrame:
     return quotes.cite(given.select("document_id", (F.col("document_id") * 2 + F.col("q.k")).alias("quote_id"), F.col("q.t").alias("text")), rows)
 
 
-QUERIES = {f.__name__: f for f in (coherent_cores, left_out_points, merge_harm, rollcall_regions, rollcall_accepted, quotes_cited)}
+def motions_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as motions (their comment's stand-in: priority, clerk's number, status), spoken with a word changed."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("meeting"), "o_orderkey", F.concat_ws(" ", F.lit("pay"), "o_orderpriority", F.year("o_orderdate").cast("string"), F.lit("for customer"), F.col("o_custkey").cast("string"), F.lit("in status"), "o_orderstatus").alias("motion"))
+    spoken = o.where("o_orderkey % 3 = 0").select("meeting", F.col("o_orderkey").alias("turn"), F.concat(F.lit("well "), F.regexp_replace("motion", "for customer", "to")).alias("said"))
+    return rollcall.match_motions(spoken, o, "meeting", "turn", "said", "o_orderkey", "motion", 0.7)
+
+
+def motions_attributed(spark: SparkSession, d: str) -> DataFrame:
+    got = motions_matched(spark, d).select("meeting", "o_orderkey", (F.col("turn") % 11).alias("cluster"))
+    movers = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("meeting"), "o_orderkey", (F.col("o_orderkey") % 11 + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("subject"))
+    return rollcall.attributed(got, movers, "meeting", "o_orderkey", "cluster", "subject")
+
+
+def nearest_of_any(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases and the session, of up to two days and overlapping others, that they lie in or nearest to."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("start"))
+    points = e.where("event_type = 'purchase'").withColumn("end", F.col("start") + 1)
+    spans = e.where("event_type = 'signup'").withColumn("end", F.col("start") + F.pmod("event_id", F.lit(48)) * 3.6e9).withColumnRenamed("event_id", "signup")
+    return timeline.nearest_of_any(points, spans, "user_id", "event_id", "signup", 8.64e10).select("event_id", F.col("label").alias("signup"))
+
+
+QUERIES = {f.__name__: f for f in (coherent_cores, left_out_points, merge_harm, rollcall_regions, rollcall_accepted, quotes_cited, motions_matched, motions_attributed, nearest_of_any)}
 
 _TURNS = """
 o AS (SELECT conv_id // 10 AS meeting, (conv_id % 10) * 1000 + turn AS pos, length(text) AS n, role FROM conversations),
@@ -113,4 +134,20 @@ e AS (SELECT document_id, quote_id, [w, {_ANCHORS}] AS a FROM q WHERE len(w) > 0
 s AS (SELECT document_id, quote_id, i - 1 AS step, ' ' || array_to_string(a[i], ' ') || ' ' AS anchor FROM e, unnest(range(1, len(a) + 1)) AS u(i) WHERE a[i] IS NOT NULL),
 h AS (SELECT document_id, quote_id, step, count(*) AS n, min(chunk_index) AS at0 FROM s JOIN c USING (document_id) WHERE contains(content, anchor) GROUP BY ALL)
 SELECT quote_id, document_id, CAST(step AS INTEGER) AS step, document_id * 100000 + at0 AS chunk_id FROM h WHERE step = 0 OR n = 1 QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY step) = 1""",
+    "nearest_of_any": """
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s FROM events), p AS (SELECT user_id, event_id, s, s + 1 AS e FROM e WHERE event_type = 'purchase'),
+q AS (SELECT user_id, event_id AS signup, s, s + event_id % 48 * 3600000000 AS e FROM e WHERE event_type = 'signup'),
+b AS (SELECT p.event_id, signup, row_number() OVER (PARTITION BY p.event_id ORDER BY greatest(least(p.e, q.e) - greatest(p.s, q.s), 0) DESC, greatest(q.s - p.e, p.s - q.e, 0), q.s, q.e, signup) AS n FROM p JOIN q ON q.user_id = p.user_id)
+SELECT p.event_id, signup FROM p LEFT JOIN b ON b.event_id = p.event_id AND n = 1""",
 }
+
+_SPOKEN = """
+o AS (SELECT o_custkey % 50 AS meeting, o_orderkey, list_distinct(regexp_extract_all(lower(concat_ws(' ', 'pay', o_orderpriority, year(o_orderdate), 'for customer', o_custkey, 'in status', o_orderstatus)), '[\\p{L}\\p{N}]+')) AS w FROM orders),
+s AS (SELECT o_custkey % 50 AS meeting, o_orderkey AS turn, list_distinct(regexp_extract_all(lower(concat_ws(' ', 'well pay', o_orderpriority, year(o_orderdate), 'to', o_custkey, 'in status', o_orderstatus)), '[\\p{L}\\p{N}]+')) AS w FROM orders WHERE o_orderkey % 3 = 0),
+p AS (SELECT s.meeting, turn, o_orderkey, round(2 * len(list_intersect(s.w, o.w)) / (len(s.w) + len(o.w)), 9) AS similarity FROM s JOIN o USING (meeting)),
+k AS (SELECT *, rank() OVER (PARTITION BY meeting, turn ORDER BY similarity DESC) AS k FROM p WHERE similarity >= 0.7),
+f AS (SELECT meeting, turn, o_orderkey, similarity FROM k WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY meeting, turn) = 1)"""
+ORACLES["motions_matched"] = f"WITH {_SPOKEN} SELECT * FROM f"
+ORACLES["motions_attributed"] = f"""
+WITH {_SPOKEN}, x AS (SELECT meeting, turn % 11 AS cluster, o_orderkey % 11 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS subject, count(DISTINCT o_orderkey) AS n FROM f GROUP BY ALL)
+SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY meeting, cluster) = 1 AND count(*) OVER (PARTITION BY meeting, subject) = 1"""

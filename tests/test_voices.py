@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quillspark.operators import quotes, rollcall, voices
+from quillspark.operators import quotes, rollcall, timeline, voices
 
 
 def test_cores_against_a_plain_loop(spark):
@@ -136,3 +136,42 @@ def test_citations(spark):
     got = {r["quote_id"]: (r["step"], r["chunk_id"]) for r in quotes.cite(df, chunks).collect()}
     assert got == {q: x for q, (_, _, x) in given.items() if x}
     assert quotes.cite(df.limit(0), chunks).count() == 0 and quotes.cite(df, chunks.limit(0)).count() == 0
+
+
+def test_motions_against_all_pairs(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(25)]
+    spoken = [(rng.randrange(3), k, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 4, 8, 15])))) for k in range(80)]
+    votes = [(rng.randrange(3), k, " ".join(rng.sample(vocab, rng.choice([1, 4, 8, 12])))) for k in range(60)]
+    votes += [(m, 100 + k, t + " extra") for m, k, t in spoken[:20]] + [(0, 300, None), (None, 301, "w1"), (0, 302, "")]
+    spoken += [(0, None, "w1"), (0, 400, None)]
+    want = {}
+    for m, k, t in spoken:
+        if m is None or k is None or not t:
+            continue
+        a, scores = set(t.split()), []
+        for n, v, x in votes:
+            if n == m and x:
+                b = set(x.split())
+                scores.append((round(2 * len(a & b) / (len(a) + len(b)), 9), v))
+        good = [s for s in scores if s[0] >= 0.6]
+        if good and sum(s[0] == max(good)[0] for s in good) == 1:
+            want[k] = (max(good)[1], max(good)[0])
+    got = rollcall.match_motions(spark.createDataFrame(spoken, "m int, k int, t string"), spark.createDataFrame(votes, "m int, v int, x string"), "m", "k", "t", "v", "x", 0.6)
+    assert {r["k"]: (r["v"], r["similarity"]) for r in got.collect()} == want and len(want) > 15
+    pairs = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "c"), (1, 5, "c"), (2, 1, "a"), (2, 9, "z")], "m int, v int, c string")
+    movers = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 3, 11), (1, 4, 12), (1, 5, 13), (2, 1, 14), (2, 9, None)], "m int, v int, s int")
+    assert sorted(tuple(r) for r in rollcall.attributed(pairs, movers, "m", "v", "c", "s").collect()) == [(1, "a", 10, 2), (1, "b", 11, 1), (2, "a", 14, 1)]
+
+
+def test_nearest_of_overlapping_spans(spark):
+    rng = random.Random(13)
+    at = lambda: float(rng.randrange(40))
+    points = [(rng.randrange(3), k, s, s + rng.choice([0.0, 1.0, 5.0])) for k in range(70) for s in [at()]] + [(9, 900, 1.0, 2.0), (None, 901, 1.0, 2.0), (0, 902, None, 2.0)]
+    spans = [(rng.randrange(3), f"s{k}", s, s + rng.choice([1.0, 3.0, 30.0])) for k in range(25) for s in [at()]] + [(0, "null", None, 3.0)]
+    want = {}
+    for g, k, s, e in points:
+        mine = [(-max(min(e, b) - max(s, a), 0.0), max(a - e, s - b, 0.0), a, b, x) for h, x, a, b in spans if h == g and None not in (g, a, b, s, e)]
+        want[k] = min(mine)[-1] if mine else None
+    got = timeline.nearest_of_any(spark.createDataFrame(points, "g int, k int, start double, end double"), spark.createDataFrame(spans, "g int, label string, start double, end double"), "g", "k", "label", 4.0)
+    assert {r["k"]: r["label"] for r in got.collect()} == want
