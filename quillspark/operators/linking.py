@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import vectors as V
 from quillspark.operators.components import connected_components, roots_of
+from quillspark.operators.names import close_pairs, common_letters, jaro_winkler  # noqa: F401
 from quillspark.operators.pairs import BLOCK_ROWS, block_pairs, block_units, usable
 from quillspark.operators.voices import sum_vectors
 from quillspark.session import Kept
@@ -27,8 +26,6 @@ MAX_COHORT = 1 << 14
 CENTROID_BLOCKS = 64
 #: Persons and samples that meet in one task.
 PERSON_BLOCK, SAMPLE_BLOCK = 256, 4_096
-#: About so many phrases or names meet in one block.
-NAME_BLOCK = 1_024
 
 
 def person_scores(samples: DataFrame, person: str, meeting: str, vector: str, sample_id: str) -> DataFrame:
@@ -316,83 +313,7 @@ def align_calls(rows: DataFrame, group: str, kind: str, position: str, token: st
     return bound.groupBy(group, "call").agg(F.min(position).alias("answer"))
 
 
-def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
-    """Jaro-Winkler similarity of two strings."""
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, hits = [False] * len(b), []
-    for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if not used[j] and b[j] == c), None)
-        if j is not None:
-            used[j] = True
-            hits.append(c)
-    if not hits:
-        return 0.0
-    other = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
-    m = len(hits)
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + boost * prefix * (1 - jaro)
-
-
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of it at a time as the bits of one number."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = row = (1 << len(a)) - 1
-    for c in b:
-        hit = row & at.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def letters(names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each name: how often characters of each of 64 classes occur, the first four, the length and the number of words."""
-    counts, heads = np.zeros((len(names), 64), np.int32), np.zeros((len(names), 4), np.int64)
-    for k, x in enumerate(names):
-        codes = np.array([ord(c) for c in x], np.int64)
-        counts[k] = np.bincount(codes % 64, minlength=64)
-        heads[k, : len(codes[:4])] = codes[:4]
-    return counts, heads, counts.sum(1), np.array([x.count(" ") + 1 for x in names])
-
-
 def fuzzy_names(phrases: DataFrame, vocabulary: DataFrame, phrase: str, name: str, floor: float = 0.85) -> DataFrame:
-    """(phrase, name, score): the closest name for each phrase, of a token count that differs by one at most, not equal to it.
-
-    Names of several words compare by the edit ratio 2 * lcs / (a + b); single words by the higher of that and Jaro-Winkler. Blocks of phrases meet
-    blocks of names; from common characters and the common beginning both scores are bounded from above, and only pairs whose
-    bound is below the floor are left out before they are scored.
-    """
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            jw = [jaro_winkler(a, b) if n == 1 else 0.0 for a, b, n in zip(pdf["p"], pdf["v"], pdf["n"], strict=True)]
-            ratio = [2 * common_letters(a, b) / (len(a) + len(b)) for a, b in zip(pdf["p"], pdf["v"], strict=True)]
-            yield pdf.assign(score=np.maximum(np.array(ratio), jw))[["p", "v", "score"]]
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["ps"], pdf["vs"], strict=True):
-                (ca, ha, la, wa), (cb, hb, lb, wb) = letters(a), letters(b)
-                for k, x in enumerate(a):
-                    both, size = np.minimum(ca[k], cb).sum(1), (la[k] + lb) / 2
-                    n = np.maximum(wa[k], wb)  # Jaro-Winkler is for two single words
-                    prefix = np.cumprod((ha[k] == hb) & (hb > 0), axis=1).sum(1)
-                    jaro = (both / np.maximum(la[k], 1) + both / np.maximum(lb, 1) + 1) / 3 * (both > 0)
-                    bound = np.maximum(both / np.maximum(size, 1), np.where(n == 1, jaro + 0.1 * prefix * (1 - jaro), 0))
-                    at = np.flatnonzero((bound >= floor - 1e-9) & (np.abs(wa[k] - wb) <= 1))
-                    at = [t for t in at.tolist() if b[t] != x]
-                    if at:
-                        yield pd.DataFrame({"p": x, "v": [b[t] for t in at], "n": n[at].astype(np.int32)})
-
-    def blocks(df: DataFrame, column: str, name: str) -> DataFrame:
-        one = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull()).distinct()
-        count = one.count() // NAME_BLOCK + 1
-        return one.groupBy(F.pmod(F.xxhash64("x"), F.lit(count)).alias("k")).agg(F.collect_list("x").alias(name)).select(name)
-
-    near = blocks(phrases, phrase, "ps").crossJoin(blocks(vocabulary, name, "vs")).mapInPandas(candidates, "p string, v string, n int")
-    scored = near.mapInPandas(similar, "p string, v string, score double")
-    return scored.where(F.col("score") >= floor).groupBy(F.col("p").alias(phrase)).agg(F.max_by(F.struct("v", F.round("score", 6).alias("score")), F.struct("score", "v")).alias("b")).select(phrase, F.col("b.v").alias(name), F.col("b.score").alias("score"))
+    """(phrase, name, score): the closest name for each phrase (names.close_pairs), ties to the greater name."""
+    scored = close_pairs(phrases, vocabulary, phrase, name, floor)
+    return scored.groupBy(F.col("p").alias(phrase)).agg(F.max_by(F.struct("v", F.round("score", 6).alias("score")), F.struct("score", "v")).alias("b")).select(phrase, F.col("b.v").alias(name), F.col("b.score").alias("score"))
