@@ -95,6 +95,12 @@ def money(x: Column) -> Column:
     return F.when(x.isNull(), F.lit(None)).when(bare.rlike("^[-–—]?$"), F.lit(0).cast("decimal(18,2)")).when(good, value).otherwise(F.raise_error(F.concat(F.lit("no amount: "), x)).cast("decimal(18,2)"))
 
 
+def money_or_null(x: Column) -> Column:
+    """money, and null instead of an error."""
+    bare = F.regexp_replace(F.trim(x), r"[$,\s]", "")
+    return F.when(bare.rlike(r"^(-?[0-9]+(\.[0-9]+)?|\(-?[0-9]+(\.[0-9]+)?\)|[-–—]?)$"), money(x))
+
+
 def rate(x: Column) -> Column:
     """'25.98%' as 0.2598."""
     return F.when(x.rlike(r"^\s*[0-9.]+\s*%\s*$"), F.regexp_extract(x, r"([0-9.]+)", 1).cast("double") / 100)
