@@ -20,14 +20,20 @@ RANKED = 4_096
 #: A word has at most about so many keys for each length of its partner.
 COMBINATIONS = 64
 EPS = 1e-9
-#: Words that make no name by themselves: articles, titles, bodies, motions and the calendar.
-COMMON_WORDS = (
-    "the a an and or of to in on for with by at from as we i he she they it this that "
-    "board council commission city district school meeting minutes agenda motion approved carried present absent "
-    "mr mrs ms dr member members chair mayor president ordinance resolution bill item public hearing "
-    "monday tuesday wednesday thursday friday saturday sunday "
-    "january february march april may june july august september october november december"
-).split()
+# Results depend on these words and bounds. Procedure, honorifics and the calendar make no name by themselves.
+COMMON_WORDS = """
+the a an and or of to in on for with by at from as we i he she they it this that
+board council commission city district school schools meeting minutes agenda
+motion second seconded carried approved approve ayes nays yeas present absent
+mr mrs ms mx dr member members chair chairman chairwoman mayor alderman alderwoman
+commissioner president vice resolution ordinance bill item items public hearing
+monday tuesday wednesday thursday friday saturday sunday
+january february march april may june july august september october november december
+""".split()
+# A name of several words is sure from HIGH, for review from FLOOR; a single word is for review from SINGLE; a rival within NEAR leaves none sure.
+HIGH, FLOOR, SINGLE, NEAR = 0.92, 0.80, 0.88, 0.05
+# Letters of the shortest name that is corrected to.
+LEAST = 5
 
 
 def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
@@ -183,7 +189,7 @@ def surfaces(docs: DataFrame, meeting: str, text: str, longest: int = 4) -> Data
     return counts.groupBy("meeting", "norm").agg(best.alias("surface"), F.sum("n").alias("n"))
 
 
-def vocabulary(lexicon: DataFrame, written: DataFrame, name: str, meeting: str, text: str, least: int = 5, words: list[str] = COMMON_WORDS) -> DataFrame:
+def vocabulary(lexicon: DataFrame, written: DataFrame, name: str, meeting: str, text: str, least: int = LEAST, words: list[str] = COMMON_WORDS) -> DataFrame:
     """(meeting, norm, canonical, source, target): the names that are right, of the lexicon (in all meetings: meeting is null) and of what was written of each.
 
     All are known to be right; target tells those that a misheard name may be corrected to: of `least` letters or more, not of
@@ -196,7 +202,7 @@ def vocabulary(lexicon: DataFrame, written: DataFrame, name: str, meeting: str,
     return people.select(F.lit(None).cast(own.schema["meeting"].dataType).alias("meeting"), "norm", "canonical", F.lit("lexicon").alias("source"), fit().alias("target")).unionByName(out)
 
 
-def misheard(spoken: DataFrame, names: DataFrame, meeting: str, text: str, corrected: DataFrame | None = None, high: float = 0.92, floor: float = 0.8, single: float = 0.88, near: float = 0.05, words: list[str] = COMMON_WORDS, kept: Kept | None = None) -> DataFrame:
+def misheard(spoken: DataFrame, names: DataFrame, meeting: str, text: str, corrected: DataFrame | None = None, high: float = HIGH, floor: float = FLOOR, single: float = SINGLE, near: float = NEAR, words: list[str] = COMMON_WORDS, kept: Kept | None = None) -> DataFrame:
     """(meeting, mangled, surface, canonical, source, score, n, confidence): phrases of a meeting's transcript that are close to a name of it and right nowhere in it.
 
     names comes from `vocabulary`, corrected holds the forms that have a correction already (column mangled). No spelling is
