@@ -161,7 +161,7 @@ def close_pairs(phrases: DataFrame, names: DataFrame, phrase: str, name: str, fl
 
     a, b = keyed(each[0], sizes[1], True, "p"), keyed(each[1], sizes[0], False, "v")
     long_enough = (F.col("pk") != "r") | (2 * F.least("pn", "vn") >= floor * (F.col("pn") + F.col("vn")) - EPS)
-    met = a.join(b, ["k", "g"]).where((F.col("p") != F.col("v")) & (F.abs(F.col("pw") - F.col("vw")) <= 1) & long_enough)
+    met = a.join(b.hint("merge"), ["k", "g"]).where((F.col("p") != F.col("v")) & (F.abs(F.col("pw") - F.col("vw")) <= 1) & long_enough)
     out = met.select("g", "p", "v").distinct().mapInPandas(similar, f"{of_group}, p string, v string, score double").where(F.col("score") >= floor)
     return out.withColumnRenamed("g", within) if within else out.drop("g")
 
@@ -209,23 +209,24 @@ def misheard(spoken: DataFrame, names: DataFrame, meeting: str, text: str, corre
     made up: both sides stand in the record. Phrases of common words, single words that are a part of a right name, and variants
     in spacing or a plural s are left out. Of several names the closest wins, ties by name; where another is within `near`, the
 A phrase that is a run of words of a longer one of the meeting is left out.
-    Names, phrases and hits are written once each; kept belongs to the caller.
+    Names, phrases and hits are written once each; kept belongs to the caller. What grows with the corpus is merged, never broadcast:
+    the written files are small beside the rows they hold.
     """
     kept = kept or Kept(spoken.sparkSession, "misheard")
     names, said = kept.keep(names, "names"), surfaces(spoken, meeting, text)
     everywhere, own = names.where("meeting IS NULL"), names.where("meeting IS NOT NULL")
-    said = said.where(~common(F.col("norm"), words)).join(everywhere.select("norm"), "norm", "left_anti").join(own.select("meeting", "norm").distinct(), ["meeting", "norm"], "left_anti")
+    said = said.where(~common(F.col("norm"), words)).join(everywhere.select("norm"), "norm", "left_anti").join(own.select("meeting", "norm").distinct().hint("merge"), ["meeting", "norm"], "left_anti")
     if corrected is not None:
         said = said.join(corrected.select(norm(F.col("mangled")).alias("norm")), "norm", "left_anti")
     part = F.explode(F.split("norm", " ")).alias("norm")  # single words alone can meet these
-    said = said.join(everywhere.select(part).distinct(), "norm", "left_anti").join(own.select("meeting", part).distinct(), ["meeting", "norm"], "left_anti")
+    said = said.join(everywhere.select(part).distinct(), "norm", "left_anti").join(own.select("meeting", part).distinct().hint("merge"), ["meeting", "norm"], "left_anti")
     said, targets = kept.keep(said, "said"), names.where("target")
     t = targets.withColumnRenamed("norm", "v")
     lexicon, written = t.where("meeting IS NULL").drop("meeting"), t.where("meeting IS NOT NULL")
     spoken_of = said.withColumnRenamed("norm", "p")
     columns = ["meeting", "p", "v", "surface", "canonical", "source", "score", "n"]
-    hits = close_pairs(said, lexicon, "norm", "v", floor).join(lexicon, "v").join(spoken_of, "p").select(columns)
-    hits = hits.unionByName(close_pairs(said, written.withColumnRenamed("v", "norm"), "norm", "norm", floor, "meeting").join(written, ["meeting", "v"]).join(spoken_of, ["meeting", "p"]).select(columns))
+    hits = close_pairs(said, lexicon, "norm", "v", floor).join(lexicon, "v").join(spoken_of.hint("merge"), "p").select(columns)
+    hits = hits.unionByName(close_pairs(said, written.withColumnRenamed("v", "norm"), "norm", "norm", floor, "meeting").join(written.hint("merge"), ["meeting", "v"]).join(spoken_of.hint("merge"), ["meeting", "p"]).select(columns))
     hits = hits.where(~D.trivial_variant(F.col("p"), F.col("v"))).withColumn("confidence", D.confidence(F.col("p"), F.col("v"), F.col("score"), high, floor, single)).where("confidence IS NOT NULL")
     w = Window.partitionBy("meeting", "p").orderBy(F.desc("score"), "canonical")  # the names close to one phrase
     best = hits.withColumn("k", F.row_number().over(w)).withColumn("rival", F.lead("score").over(w)).where("k = 1")
@@ -233,7 +234,7 @@ A phrase that is a run of words of a longer one of the meeting is left out.
     out = best.select("meeting", F.col("p").alias("mangled"), "surface", "canonical", "source", F.round("score", 6).alias("score"), "n", sure.alias("confidence"))
     out = kept.keep(out, "hits")
     shorter = out.select("meeting", F.col("mangled").alias("whole"), F.explode(ngrams(F.split("mangled", " "))).alias("mangled")).where("mangled <> whole").select("meeting", "mangled").distinct()
-    return out.join(shorter, ["meeting", "mangled"], "left_anti")
+    return out.join(shorter.hint("merge"), ["meeting", "mangled"], "left_anti")
 
 
 def proposals(found: DataFrame, shown: int = 3) -> DataFrame:
