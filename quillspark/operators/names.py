@@ -19,6 +19,8 @@ from quillspark.session import Kept
 RANKED = 4_096
 #: A word has at most about so many keys for each length of its partner.
 COMBINATIONS = 64
+#: A task hands on its keys about so many at a time.
+KEY_ROWS = 8_192
 EPS = 1e-9
 # Results depend on these words and bounds. Procedure, honorifics and the calendar make no name by themselves.
 COMMON_WORDS = """
@@ -148,8 +150,14 @@ def close_pairs(phrases: DataFrame, names: DataFrame, phrase: str, name: str, fl
     def keyed(df: DataFrame, others: list[int], first: bool, alias: str) -> DataFrame:
         def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(k, x, g) for x, g in zip(pdf["x"], pdf["g"], strict=True) for k in dict.fromkeys(ratio_keys(x, floor, rank) + ([] if " " in x else word_keys(x, floor, rank, others, first)))]
-                yield pd.DataFrame(rows, columns=["key", "x", "g"])
+                rows = []
+                for x, g in zip(pdf["x"], pdf["g"], strict=True):
+                    rows += [(k, x, g) for k in dict.fromkeys(ratio_keys(x, floor, rank) + ([] if " " in x else word_keys(x, floor, rank, others, first)))]
+                    if len(rows) >= KEY_ROWS:
+                        yield pd.DataFrame(rows, columns=["key", "x", "g"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["key", "x", "g"])
 
         words = F.size(F.split("x", " "))
         return df.mapInPandas(keys, f"key string, x string, {of_group}").select(F.xxhash64("key").alias("k"), "g", F.substring("key", 1, 1).alias(f"{alias}k"), F.col("x").alias(alias), words.alias(f"{alias}w"), F.length("x").alias(f"{alias}n"))
