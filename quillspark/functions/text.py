@@ -37,7 +37,7 @@ def vote_ref(citation: Column, ordinal: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Split after . ! or ? before white space; blank pieces are dropped."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")  # a bare F.trim would be handed the index as what to trim
 
 
 def query_terms(x: Column, stop: tuple[str, ...] = ()) -> Column:

@@ -33,6 +33,7 @@ def test_text_functions(spark):
     assert one(spark, X.speech_form(F.col("t")), t="Don't  STOP!") == "dont stop"
     assert one(spark, X.slug(F.col("t")), t=" A b/C ") == "a-b-c"
     assert one(spark, X.sentences(F.col("t")), t="One. Two!  Three? x") == ["One.", "Two!", "Three?", "x"]
+    assert one(spark, X.sentences(F.col("t")), t="  0 none. 10 one 1 ") == ["0 none.", "10 one 1"]  # blanks go, not the digits of a sentence's number
     assert one(spark, X.query_terms(F.col("t"), ("the",)), t="The cat, the hat; at cat") == ["cat", "hat"]
     assert one(spark, X.fiscal_year(F.col("t")), t="spending in 2021") == "2020-2021"
     assert one(spark, X.fiscal_year(F.col("t")), t="trend since 2021") is None
