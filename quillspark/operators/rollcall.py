@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.search import words_of
+from quillspark.session import Kept
 
 #: Words that a member answers with; a parameter of who transcribes.
 ANSWERS = ("aye", "yes", "yea", "yay", "no", "nay", "here", "present", "abstain", "i", "yep", "yup")
@@ -15,6 +18,9 @@ MAX_GAP, TAIL = 8, 3
 CLERK_CALLS, REGION_MEMBERS, BINDINGS = 2, 3, 3
 #: Voices that answer may be so many more than members.
 SLACK = 1
+#: Similarities from which motions are looked for before lower ones; sizes of texts in a band differ by this factor at most.
+FLOORS, BAND = (0.9, 0.8), 1.1
+EPS = 1e-6
 
 
 def regions(turns: DataFrame, meeting: str, index: str, cluster: str, subject: str, answer: str, max_gap: int = MAX_GAP, tail: int = TAIL, clerk_calls: int = CLERK_CALLS, members: int = REGION_MEMBERS) -> DataFrame:
@@ -73,32 +79,48 @@ def accepted(found: DataFrame, meeting: str, index: str, cluster: str, subject:
     return pairs.join(per.where(good).select(meeting, "region"), [meeting, "region"]).groupBy(meeting, "region", cluster, subject).agg(F.count("*").alias("bound"))
 
 
-def match_motions(spoken: DataFrame, votes: DataFrame, meeting: str, turn: str, text: str, vote: str, motion: str, floor: float = 0.7) -> DataFrame:
+def match_motions(spoken: DataFrame, votes: DataFrame, meeting: str, turn: str, text: str, vote: str, motion: str, floor: float = 0.7, kept: Kept | None = None) -> DataFrame:
     """(meeting, turn, vote, similarity): the vote whose motion is worded most like what was said, if one alone is.
 
-    The similarity is twice the distinct words in both by the distinct words of each (Dice). Texts meet on their rarest words
-    in the meeting: of n words, so many that two texts above the floor share one of them at least; then whole sets are
-    compared. A turn whose best vote ties with another, or stays below the floor, is matched with nothing. Repeated turns and
-    votes (same id) count once; nulls match nothing.
+    The similarity is twice the distinct words in both by the distinct words of each (Dice). A turn whose best vote ties with
+    another, or stays below the floor, is matched with nothing. Repeated turns and votes (same id) count once; nulls match
+    nothing.
+
+    Two sets of a and b words at or above a floor have o = floor * (a + b) / 2 words in common, so they share one of the first
+    a - o + 1 of the one and b - o + 1 of the other in any order common to both. The order puts words first by which fewest
+    turns and votes of the meeting meet, those of one side alone before all others. Turns look for votes of each band of
+    sizes apart, so that only as many words are tried as that size needs; and from high floors to low ones, each for the turns
+    that found nothing above it, since a vote found at a floor is better than all below. A pair counts where the word it met by
+    is the first that both have, so that it counts once and nothing is kept to tell repeats. Kept belongs to the caller.
     """
+    kept = kept or Kept(spoken.sparkSession, "motions")
     words = lambda df, key, column: df.where(F.col(meeting).isNotNull() & F.col(key).isNotNull()).select(F.col(meeting).alias("m"), F.col(key).alias("k"), F.array_distinct(words_of(F.col(column))).alias("w")).where(F.size("w") > 0).dropDuplicates(["m", "k"])
-    a, b = words(spoken, turn, text), words(votes, vote, motion)
-    each = lambda df: df.select("m", "k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    often = each(a).select("m", "x").unionByName(each(b).select("m", "x")).groupBy("m", "x").agg(F.count("*").alias("c"))
-
-    def rare(df: DataFrame, name: str) -> DataFrame:
-        """(m, name, x): the rarest words of each text."""
-        lists = each(df).join(often, ["m", "x"]).groupBy("m", "k").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("l"))
-        n = F.size("l") - F.ceil(F.size("l") * F.lit(floor / (2 - floor)) - 1e-9) + 1
-        return lists.select("m", F.col("k").alias(name), F.explode(F.slice("l", F.lit(1), n.cast("int"))).alias("e")).select("m", name, F.col("e.x").alias("x"))
-
-    met = rare(a, "a").join(rare(b, "b"), ["m", "x"]).select("m", "a", "b").distinct()
-    both = met.join(a.select("m", F.col("k").alias("a"), F.col("w").alias("wa")), ["m", "a"]).join(b.select("m", F.col("k").alias("b"), F.col("w").alias("wb")), ["m", "b"])
-    dice = 2 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb"))
-    alike = both.select("m", "a", "b", F.round(dice, 9).alias("s")).where(F.col("s") >= floor)
-    best = alike.groupBy("m", "a").agg(F.max(F.struct("s", "b")).alias("x"), F.max("s").alias("top"))
-    ties = alike.join(best, ["m", "a"]).where("s = top").groupBy("m", "a").agg(F.count("*").alias("n")).where("n = 1").select("m", "a")
-    return best.join(ties, ["m", "a"]).select(F.col("m").alias(meeting), F.col("a").alias(turn), F.col("x.b").alias(vote), F.col("top").alias("similarity"))
+    a, b = kept.keep(words(spoken, turn, text), "spoken"), kept.keep(words(votes, vote, motion), "motions")
+    each = lambda df: df.select("m", "k", F.explode("w").alias("x"))
+    often = each(a).select("m", "x", F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(each(b).select("m", "x", F.lit(0).alias("p"), F.lit(1).alias("q"))).groupBy("m", "x").agg((F.sum("p") * F.sum("q")).alias("c"))
+    often = kept.keep(often, "often")
+
+    def in_order(df: DataFrame, name: str) -> DataFrame:
+        lists = each(df).join(often.hint("merge"), ["m", "x"]).groupBy("m", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("l"))
+        return kept.keep(lists.select("m", "k", "l", F.size("l").alias("n"), F.floor(F.log(F.size("l")) / math.log(BAND) + EPS).cast("int").alias("band")), name)
+
+    a, b = in_order(a, "spoken-order"), in_order(b, "motions-order")
+    bands = b.groupBy("m", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    found = None
+    for least in [f for f in FLOORS if f > floor] + [floor]:
+        left = a.drop("band") if found is None else a.drop("band").join(found.select("m", F.col("a").alias("k")).hint("merge"), ["m", "k"], "left_anti")
+        both = lambda x, y, least=least: F.ceil((x + y) * least / 2 - EPS)
+        head = lambda n, o: F.explode(F.slice("l", F.lit(1), (n - o + 1).cast("int"))).alias("x")
+        sized = left.join(bands, "m").withColumn("o", both(F.col("n"), F.col("least"))).where((F.col("o") <= F.col("n")) & (F.col("o") <= F.col("most")))
+        seek = sized.select("m", "band", F.col("k").alias("a"), F.col("l").alias("la"), head(F.col("n"), F.col("o")))
+        own = F.ceil(F.col("n") * (least / (2 - least)) - EPS)  # the fewest words in common with a set of any size
+        held = b.select("m", "band", F.col("k").alias("b"), F.col("l").alias("lb"), head(F.col("n"), own))
+        met = seek.hint("merge").join(held, ["m", "band", "x"]).withColumn("i", F.array_intersect("la", "lb")).where(F.col("i")[0] == F.col("x"))
+        alike = met.select("m", "a", "b", F.round(2 * F.size("i") / (F.size("la") + F.size("lb")), 9).alias("s")).where(F.col("s") >= least)
+        top = alike.groupBy("m", "a", "s").agg(F.count("*").alias("n"), F.max("b").alias("b")).groupBy("m", "a").agg(F.max(F.struct("s", "n", "b")).alias("t"))
+        now = kept.keep(top.select("m", "a", F.col("t.s").alias("s"), F.col("t.n").alias("n"), F.col("t.b").alias("b")), "best")
+        found = now if found is None else found.unionByName(now)
+    return found.where("n = 1").select(F.col("m").alias(meeting), F.col("a").alias(turn), F.col("b").alias(vote), F.col("s").alias("similarity"))
 
 
 def attributed(matches: DataFrame, movers: DataFrame, meeting: str, vote: str, cluster: str, subject: str) -> DataFrame:
@@ -107,7 +129,7 @@ def attributed(matches: DataFrame, movers: DataFrame, meeting: str, vote: str, c
     matches: (meeting, vote, cluster) of spoken motions; movers: (meeting, vote, subject). A cluster whose motions were moved
     by several subjects, or a subject whose motions several clusters spoke, is attributed nothing.
     """
-    both = matches.join(movers.where(F.col(subject).isNotNull()), [meeting, vote])
+    both = matches.hint("merge").join(movers.where(F.col(subject).isNotNull()), [meeting, vote])
     pairs = both.groupBy(meeting, cluster, subject).agg(F.countDistinct(vote).alias("n"))
     one = lambda key, other: pairs.groupBy(meeting, key).agg(F.countDistinct(other).alias("__others")).where("__others = 1").select(meeting, key)
     return pairs.join(one(cluster, subject), [meeting, cluster]).join(one(subject, cluster), [meeting, subject]).select(meeting, cluster, subject, "n")

@@ -164,6 +164,27 @@ def test_motions_against_all_pairs(spark):
     assert sorted(tuple(r) for r in rollcall.attributed(pairs, movers, "m", "v", "c", "s").collect()) == [(1, "a", 10, 2), (1, "b", 11, 1), (2, "a", 14, 1)]
 
 
+def test_motions_meet_on_words_of_both_sides(spark, monkeypatch):
+    """Texts of one wording that differ in a number meet on the number alone, not on words that one side has or all have."""
+    n = 150
+    spoken = [(1, k, f"well pay 1995 to {k} in status") for k in range(n)]
+    votes = [(1, k, f"pay 1995 for customer {k} in status") for k in range(n)]
+    intersect = rollcall.F.array_intersect
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        def note(x):
+            seen.add(1)
+            return x
+
+        return intersect(rollcall.F.udf(note, "array<string>")(a), b)
+
+    monkeypatch.setattr(rollcall.F, "array_intersect", counted)
+    got = rollcall.match_motions(spark.createDataFrame(spoken, "m int, k int, t string"), spark.createDataFrame(votes, "m int, v int, x string"), "m", "k", "t", "v", "x", 0.7)
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [(k, k) for k in range(n)]
+    assert n <= seen.value <= 8 * n  # all pairs are n * n
+
+
 def test_nearest_of_overlapping_spans(spark):
     rng = random.Random(13)
     at = lambda: float(rng.randrange(40))
