@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +14,10 @@ from quillspark.operators.components import connected_components
 from quillspark.session import Kept
 
 MAX_HOPS = 16
-#: Most frequent tokens whose order in a prefix goes by their counts; they are broadcast.
-COMMON = 1 << 12
+#: Places whose counts put the tokens of a prefix in order (a power of two); they are broadcast.
+COUNTS = 1 << 18
+#: Cells of a set's sketch, a byte each (a power of two).
+SKETCH = 128
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -19,30 +25,93 @@ def exact_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.groupBy(X.content_hash(F.col(text)).alias("content_hash")).agg(F.count("*").alias("n"), F.min(doc_id).alias("first_id")).where("n > 1")
 
 
+def _flat(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a column of arrays, the row of each, and each row's number of them."""
+    flat, n = np.asarray(tokens.flatten(), np.int64), np.diff(np.asarray(tokens.offsets))
+    return flat, np.repeat(np.arange(len(n)), n), n
+
+
+def token_counts(classes: DataFrame) -> np.ndarray:
+    """How many sets hold the tokens that fall into each of COUNTS places: tokens share one, so that it stays bounded."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch.column(0))[0] & COUNTS - 1, minlength=COUNTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    got = classes.select("tokens").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTS, np.int64)
+    out[np.asarray(got.column("k"))] = np.asarray(got.column("n"))
+    return out
+
+
+def prefixes(classes: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(id, bucket, n, prefix, sketch): the rarest n - ceil(n * percent / 100) + 1 tokens of each set, rarest first, and how many
+    of all its tokens fall into each of SKETCH cells, a byte each; empty where a cell holds more than a byte can tell."""
+    value = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                flat, row, n = _flat(batch.column(2))
+                flat = flat[np.lexsort((flat, value.value[flat & COUNTS - 1], row))]
+                at = np.concatenate([[0], np.cumsum(n)])
+                keep = n + (-n * percent) // 100 + 1
+                inside = np.arange(len(flat)) - at[row] < keep[row]
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(flat[inside]))
+                cells = np.bincount(row * SKETCH + (flat >> 40 & SKETCH - 1), minlength=len(n) * SKETCH).reshape(-1, SKETCH)
+                sketch = pa.array([c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in cells], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), prefix, sketch], names=["id", "bucket", "n", "prefix", "sketch"])
+
+    rows = classes.select("id", "bucket", "tokens")
+    return rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, bucket long, n int, prefix array<long>, sketch binary")
+
+
+def may_agree(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb, sa, sb) that their sketches leave possible: two sets have at most the sum of the lesser
+    cells in common, so that no pair that agrees by percent is lost."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(k), np.int64) for k in ("na", "nb"))
+            sa, sb = (batch.column(k).to_pylist() for k in ("sa", "sb"))
+            told = np.array([bool(x and y) for x, y in zip(sa, sb, strict=True)], bool)
+            most = np.minimum(na, nb)
+            cells = lambda x: np.frombuffer(b"".join(v for v, t in zip(x, told, strict=True) if t), np.uint8).reshape(-1, SKETCH)
+            most[told] = np.minimum(cells(sa), cells(sb)).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.mapInArrow(bound, f"a {kind}, b {kind}")
+
+
 def near_duplicate_pairs(docs: DataFrame, doc_id: str, text: str, bucket: list[str], percent: int = 85, least: int = 30) -> DataFrame:
     """(a, b, jaccard) of documents of one bucket whose distinct tokens agree by at least percent; each needs `least` tokens.
 
     Rows lacking a bucket field don't take part. A set join by prefixes: two such sets share one of the first
     n - ceil(n * percent / 100) + 1 tokens of both in any common order, so that only those are joined, not all pairs of a
-    bucket. The order puts the COMMON most frequent tokens last, by their counts, and the others by their hash. Texts are
-    read once: what is kept are sets of 64-bit token hashes. Documents with equal sets are one class, whose copies hang on
-    its least id.
+    bucket. The order puts frequent tokens last, by counts of places that tokens share by their hash. At the first token that
+    two sets share, enough must be left of both; then sketches of fixed size meet, and only the pairs that these leave fetch
+    their whole sets, so that what is moved for a pair that doesn't agree is small. Texts are read once: what is kept are sets
+    of 64-bit token hashes. Documents with equal sets are one class, whose copies hang on its least id.
     """
     kept = Kept(docs.sparkSession, "near-pairs")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
     rows = docs.dropna(subset=bucket).select(F.col(doc_id).alias("id"), F.xxhash64(*bucket).alias("bucket"), F.concat_ws("\x1f", *bucket).alias("names"), F.array_sort(tokens).alias("w")).where(F.size("w") >= least)
     rows = kept.keep(rows.select("id", "bucket", F.sha2(F.concat_ws(" ", "names", F.array_join("w", " ")), 256).alias("h"), "names", F.transform("w", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
     classes = kept.keep(rows.groupBy("h").agg(F.min("id").alias("id"), F.first("bucket").alias("bucket"), F.first("names").alias("names"), F.first("tokens").alias("tokens")), "classes")
-    flat = classes.select("id", "bucket", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    common = flat.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(COMMON)
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    placed = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")
-    order = flat.join(F.broadcast(common), "token", "left").groupBy("id", "bucket", "n").agg(F.array_sort(F.collect_list(placed)).alias("t"))
-    prefix = order.select("id", "bucket", "n", F.explode(F.transform(F.slice("t", F.lit(1), keep), lambda s: s["token"])).alias("token"))
+    cut = kept.keep(prefixes(classes, token_counts(classes), percent), "prefixes")
+    prefix = cut.select("id", "bucket", "n", F.posexplode("prefix").alias("p", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
-    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    cand = a.join(b, on & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    fits = (100 + percent) * left >= percent * (F.col("a.n") + F.col("b.n"))
+    cand = a.hint("merge").join(b, on & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda c: cut.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    cand = kept.keep(may_agree(cand.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b"), percent), "candidates")
     of = lambda c: classes.select(F.col("id").alias(c), F.col("names").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
     both = cand.join(of("a"), "a").join(of("b"), "b").where("na = nb").withColumn("i", F.size(F.array_intersect("ta", "tb"))).withColumn("u", F.size("ta") + F.size("tb") - F.col("i"))
     pairs = both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))

@@ -330,3 +330,23 @@ def test_a_shared_folder_must_be_named():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_pairs_that_sketches_rule_out_fetch_no_sets(spark):
+    rng = random.Random(8)
+    often, rows = [f"often{k}" for k in range(60)], []
+    for k in range(60):  # all share rare tokens of their first ones, few agree
+        own = [f"x{k}y{j}" for j in range(80)]
+        rows.append((k, " ".join(["rare1", "rare2", *rng.sample(often, 20), *own]), "b"))
+    rows += [(100 + k, rows[k][1] + " more", "b") for k in range(5)] + [(200, "same " * 300 + " ".join(f"w{j}" for j in range(40)), "b")]
+    sets = {k: set(t.split()) for k, t, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "id int, t string, g string")
+    assert {(r["a"], r["b"]) for r in versions.near_duplicate_pairs(df, "id", "t", ["g"]).collect()} == want and len(want) == 5
+    hashed = df.select("id", F.lit(1).cast("long").alias("bucket"), F.transform(F.array_distinct(F.split("t", " ")), lambda t: F.xxhash64(t)).alias("tokens"))
+    cut = versions.prefixes(hashed, versions.token_counts(hashed), 85)
+    side = lambda c: cut.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    left = {(r["a"], r["b"]) for r in versions.may_agree(side("a").crossJoin(side("b")).where("a < b"), 85).collect()}
+    assert want <= left and len(left) < 50
+    for r in cut.collect():
+        assert len(r["prefix"]) == r["n"] - -(-r["n"] * 85 // 100) + 1 and sum(r["sketch"]) == r["n"]
