@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quillspark.functions import vectors as V
 from quillspark.operators.components import connected_components, roots_of
 from quillspark.operators.names import close_pairs, common_letters, jaro_winkler  # noqa: F401
-from quillspark.operators.pairs import BLOCK_ROWS, block_pairs, block_units, usable
+from quillspark.operators.pairs import BLOCK_ROWS, block_units, tiles, usable
 from quillspark.operators.voices import sum_vectors
 from quillspark.session import Kept
 
@@ -183,15 +183,13 @@ def threshold_parts(rows: DataFrame, group: str, item: str, vector: str, thresho
     units = block_units(rows.where(F.col(group).isNotNull()), item, vector, carry, kept, block_rows)
 
     def join(t: pa.Table) -> pa.Table:
-        p, q, _ = block_pairs(t, threshold - 1e-9)
         codes = lambda c: np.unique(np.array([str(x) for x in t.column(c).to_pylist()]), return_inverse=True)[1]
-        g = codes("grp") if t.num_rows else np.zeros(0, int)
-        keep = g[p] == g[q]
-        if cannot and t.num_rows:
-            c = codes("cannot")
-            keep &= c[p] != c[q]
+        g, c = (codes(x) if x and t.num_rows else None for x in ("grp", "cannot" if cannot else None))
         ids = np.asarray(t.column("id"), np.int64)
-        at, root = roots_of(ids[p[keep]], ids[q[keep]])
+        at = root = np.zeros(0, np.int64)
+        for p, q, _ in tiles(t, threshold - 1e-9):  # joined a tile at a time: pairs may be most of all
+            keep = g[p] == g[q] if c is None else (g[p] == g[q]) & (c[p] != c[q])
+            at, root = roots_of(np.concatenate([at, ids[p[keep]]]), np.concatenate([root, ids[q[keep]]]))
         return pa.table({"a": pa.array(at, pa.int64()), "b": pa.array(root, pa.int64())})
 
     edges = units.groupBy("i", "j").applyInArrow(join, "a long, b long")

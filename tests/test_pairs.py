@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import linking, pairs
@@ -164,3 +165,22 @@ def test_linkage_by_parts_and_at_thresholds(spark, monkeypatch):
     monkeypatch.setattr(linking, "MAX_GROUP", 5)
     with pytest.raises(Exception, match="at most"):
         linking.complete_linkage(df, "g", "id", "v", 0.3).collect()
+
+
+def test_blocks_and_tiles_are_bounded(spark, monkeypatch):
+    assert pairs.block_count(0) == 1 and pairs.block_count(2048) == 2 and pairs.block_count(10_256) == pairs.BLOCKS - 5
+    for n in (1 << 15, 1 << 19):  # rows move BLOCKS times at most, until a block is full
+        assert pairs.block_count(n) == pairs.BLOCKS
+    assert pairs.block_count(1 << 20) == (1 << 20) // pairs.MAX_BLOCK_ROWS
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    x[40:60] = x[:20]  # ties go by id
+    table = lambda i, j: pa.table({"i": [i] * 90, "j": [j] * 90, "block": [k % 2 for k in range(90)] if i != j else [0] * 90, "id": list(range(90)), "v": x.tolist()})
+    for i, j in ((0, 0), (0, 1)):
+        want = [sorted(zip(*(z.tolist() for z in pairs.block_pairs(table(i, j), 0.3)[:2]), strict=True))]
+        monkeypatch.setattr(pairs, "TILE", 7)
+        sizes = [len(s) for _, _, s in pairs.tiles(table(i, j), -1.0)]
+        assert max(sizes) <= 49 and sum(sizes) == (90 * 89 // 2 if i == j else 45 * 45)
+        want.append(sorted(zip(*(z.tolist() for z in pairs.block_pairs(table(i, j), 0.3)[:2]), strict=True)))
+        assert want[0] == want[1]
+        monkeypatch.undo()
