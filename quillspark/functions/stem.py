@@ -6,6 +6,8 @@ written for any engine: `{m}(x, p)` stands for its test of a regular expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ STEPS = [
 ]
 
 
+def _plain(step: str) -> str:
+    """A step with tests of suffixes in place of LIKE, which Spark compiles to regular expressions where it begins with '_'."""
+    return re.sub(r"w LIKE '_%(\w+)'", lambda m: f"(endswith(w, '{m[1]}') AND length(w) > {len(m[1])})", step)
+
+
 def with_stem(words: DataFrame, word: str, out: str = "stem") -> DataFrame:
     """words with the stem of a lower-case word; words of one or two letters, or with anything but a to z, are their own.
 
@@ -65,7 +72,7 @@ def with_stem(words: DataFrame, word: str, out: str = "stem") -> DataFrame:
     rows = words.toDF(*names).withColumn("w", F.col(names[words.columns.index(word)])).withColumn("__word", F.col("w").rlike("^[a-z]{3,}$"))
     own = F.col(names[words.columns.index(word)])
     for step in STEPS:
-        rows = rows.withColumn("w", F.expr(step.format(m="rlike")))
+        rows = rows.withColumn("w", F.expr(_plain(step).format(m="rlike")))
     keep = [(n, c) for n, c in zip(names, words.columns, strict=True) if c != out]
     return rows.select(*[F.col(n).alias(c) for n, c in keep], F.when(F.col("__word"), F.col("w")).otherwise(own).alias(out))
 

@@ -7,15 +7,19 @@ inside phrases and nowhere else. A query reads the partitions that its stems fal
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.stem import with_stem
 from quillspark.operators.retrieval import fuse, ranked
+from quillspark.session import Kept
 
 WORD = r"[\p{L}\p{N}]+"
 #: Words that no query looks for. A parameter: other languages have others.
@@ -25,6 +29,8 @@ BUCKETS = 256
 #: Files of a partition at most: the documents of a frequent stem are dealt to so many tasks.
 SPREAD = 8
 TOP = 50
+#: Words that a task groups at once, unless one text has more.
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -55,14 +61,59 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _words(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, w): the words of each document that has any."""
+    return docs.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), words_of(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    """(id, word, positions) of rows (id, w): a row for each distinct word of a row, a bounded number of words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offs = np.asarray(batch.column(1).offsets).astype(np.int64)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + PIECE, "right")) - 1)
+                begins = offs[lo : hi + 1] - offs[lo]
+                flat = batch.column(1).values.slice(offs[lo], begins[-1]).dictionary_encode()
+                row = np.repeat(np.arange(hi - lo), np.diff(begins))
+                key = row * len(flat.dictionary) + np.asarray(flat.indices)
+                order = np.argsort(key, kind="stable")
+                cut = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                first = order[cut]
+                at = pa.array((order - begins[row[order]]).astype(np.int32))
+                positions = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)), pa.int32()), at)
+                words = flat.dictionary.take(flat.indices.take(pa.array(first)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row[first])), words, positions], names=["id", "word", "positions"])
+                lo = hi
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("word", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, stem, positions): where each stem stands in each document, words counted from 0; one row for each word form.
 
-    Forms are put together inside the task that reads a text, so what moves is one row for a document and form.
+    Forms are put together inside the task that reads a text, without a shuffle; they meet the stems of the distinct words in
+    one join, so that a word which many documents hold is stemmed once. It is merged: neither side is as small as its files.
+    """
+    rows = _words(docs, ident, text)
+    stems = with_stem(rows.select(F.explode(F.array_distinct("w")).alias("word")).distinct(), "word")
+    return _forms(rows).join(stems.hint("merge"), "word").select("id", "stem", "positions")
+
+
+def stem_counts(docs: DataFrame, ident: str, text: str, kept: Kept) -> DataFrame:
+    """(stem, documents, places, last): how many documents (distinct ids) and places each stem has, and the last place of all.
+
+    Places are counted by word before anything moves, and each distinct word is stemmed once; the words are kept, and belong to
+    the caller. What moves for the documents is one row for a document and form.
     """
-    each = docs.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), F.posexplode(words_of(F.col(f"`{text}`"))).alias("at", "word"))
-    forms = each.groupBy("id", "word").agg(F.collect_list("at").alias("positions"))
-    return with_stem(forms, "word").select("id", "stem", F.array_sort("positions").alias("positions"))
+    rows = _words(docs, ident, text)
+    counts = rows.select(F.posexplode("w").alias("at", "word")).groupBy("word").agg(F.count("*").alias("places"), F.max("at").cast("long").alias("last"))
+    words = kept.keep(with_stem(counts, "word"), "words")
+    forms = rows.select("id", F.explode(F.array_distinct("w")).alias("word")).join(words.select("word", "stem").hint("merge"), "word")
+    documents = forms.select("stem", "id").distinct().groupBy("stem").agg(F.count("*").alias("documents"))
+    return documents.join(words.groupBy("stem").agg(F.sum("places").alias("places"), F.max("last").alias("last")), "stem").select("stem", "documents", "places", "last")
 
 
 def write_index(docs: DataFrame, path: str, ident: str, text: str, buckets: int = BUCKETS, spread: int = SPREAD) -> None:

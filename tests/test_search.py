@@ -7,6 +7,7 @@ import pytest
 
 from quillspark.functions.stem import with_stem
 from quillspark.operators import search
+from quillspark.session import Kept
 
 # Words and stems that the algorithm's description gives.
 STEMS = dict(zip(*[iter("""caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
@@ -74,3 +75,15 @@ def test_empty_index(spark, tmp_path):
     search.write_index(spark.createDataFrame([], "doc_id long, text string"), path, "doc_id", "text", buckets=2, spread=1)
     index = search.read_index(spark, path, buckets=2)
     assert search.search(index, "fox").count() == search.search(index, "-fox").count() == 0
+
+
+def test_words_are_stemmed_once_for_all_documents(spark):
+    """The stems' expressions stand after the distinct words, not on each document's words; rows that share an id are one document."""
+    docs = spark.createDataFrame([(1, "dogs dog"), (1, "a dog"), (2, "Dogs, dogs; cats"), (3, ""), (4, None), (None, "dog")], "doc_id long, text string")
+    rows = search.postings(docs, "doc_id", "text")
+    assert sorted((r["id"], r["stem"], r["positions"]) for r in rows.collect()) == [(1, "a", [0]), (1, "dog", [0]), (1, "dog", [1]), (1, "dog", [1]), (2, "cat", [2]), (2, "dog", [0, 1])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [word" in plan[plan.index("endswith" if "endswith" in plan else "EndsWith") :] and "LIKE _%" not in plan
+    with Kept(spark, "stems") as kept:
+        got = sorted(tuple(r) for r in search.stem_counts(docs, "doc_id", "text", kept).collect())
+    assert got == [("a", 1, 1, 0), ("cat", 1, 1, 2), ("dog", 2, 5, 1)]
