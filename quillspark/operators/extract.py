@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TARGET, FLUSH, LONG, CARRY = 200, 1.3, 1.5, 2
+#: Characters of passages that a task gathers before it hands them on, and texts that it has in Python at once.
+HELD, ROWS = 1 << 21, 256
 _HEAD = re.compile(r"^(?:#{1,6}\s+(.+)|([0-9]{1,2}(?:\.[0-9]+)*\.?\s+[A-Z].{0,80})|([A-Z][A-Z &/-]{4,60}))$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -54,21 +56,35 @@ def passages(body: str, target: int = TARGET) -> list[str]:
     return [*out, " ".join(now)] if now else out
 
 
-def chunk(docs: DataFrame, doc_id: str, text: str, target: int = TARGET) -> DataFrame:
-    """(doc_id, chunk_index, section, content) of whole texts; null texts have none. Row by row, without a shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, x in zip(pdf[doc_id], pdf[text], strict=True):
+def passage_batches(batches: Iterator[pa.RecordBatch], target: int = TARGET) -> Iterator[pa.RecordBatch]:
+    """Passages of rows (id, text), handed on about HELD characters at a time, however many texts come in at once."""
+    for batch in batches:
+        out, held = [], 0
+        kind = pa.schema([pa.field("id", batch.schema.types[0]), ("chunk_index", pa.int32()), ("section", pa.string()), ("content", pa.string())])
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
+            for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 k = 0
                 for title, body in sections(x or ""):
                     for p in passages(body, target):
-                        rows.append((d, k, title, p))
-                        k += 1
-            yield pd.DataFrame(rows, columns=[doc_id, "chunk_index", "section", "content"])
+                        out.append((d, k, title, p))
+                        held, k = held + len(p), k + 1
+                        if held >= HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                            out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+
+
+def chunk(docs: DataFrame, doc_id: str, text: str, target: int = TARGET) -> DataFrame:
+    """(doc_id, chunk_index, section, content) of whole texts; null texts have none. Row by row, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return passage_batches(batches, target)
 
-    return docs.select(doc_id, text).mapInPandas(run, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, chunk_index int, section string, content string")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, chunk_index int, section string, content string")
+    return found.withColumnRenamed("id", doc_id)
 
 
 def vote_result(stated: Column, yes: Column, no: Column) -> Column:

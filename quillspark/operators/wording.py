@@ -13,6 +13,8 @@ from quillspark.session import Kept
 
 #: Persons whose profiles meet a block of samples at once, and samples of such a block.
 PERSON_BLOCK, SAMPLE_BLOCK = 512, 2_048
+#: Words that a task counts at once, unless one text has more, and rows.
+PIECE, ROWS = 1 << 18, 1_024
 #: Where in a passage a probe begins, one after another; words of a probe; a passage has so many words at least.
 PROBES, PROBE_WORDS, LEAST_WORDS = (0.0, 0.25, 0.5), 6, 8
 
@@ -35,18 +37,23 @@ def delta_ranks(samples: DataFrame, sample: str, person: str, text: str, top: in
     kinds = rows.schema
 
     def count(batches):
-        for b in batches:
-            lists = b.column(2)
-            out = np.zeros((b.num_rows, k))
-            flat = lists.flatten().dictionary_encode()
-            place = np.array([at.get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            np.add.at(out, (row[place >= 0], place[place >= 0]), 1)
-            total = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * k, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), cells], names=["s", "p", "n", "c"])
-
-    counted = kept.keep(rows.mapInArrow(count, T.StructType([kinds["s"], kinds["p"], T.StructField("n", T.LongType()), T.StructField("c", T.ArrayType(T.DoubleType()))])), "counts")
+        for whole in batches:
+            offs, lo = np.asarray(whole.column(3).offsets).astype(np.int64), 0
+            while lo < whole.num_rows:
+                hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + PIECE, "right")) - 1), lo + ROWS)
+                b = whole.slice(lo, hi - lo)
+                begins = offs[lo : hi + 1] - offs[lo]
+                out = np.zeros((b.num_rows, k))
+                flat = whole.column(3).values.slice(offs[lo], begins[-1]).dictionary_encode()
+                place = np.array([at[w] for w in flat.dictionary.to_pylist()], np.int64)[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
+                np.add.at(out, (np.repeat(np.arange(b.num_rows), np.diff(begins)), place), 1)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * k, pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), cells], names=["s", "p", "n", "c"])
+                lo = hi
+
+    # only the vocabulary's words go to Python, a bounded number at a time
+    found = rows.select("s", "p", F.size("w").cast("long").alias("n"), F.filter("w", lambda x: x.isin(words)).alias("w"))
+    counted = kept.keep(found.mapInArrow(count, T.StructType([kinds["s"], kinds["p"], T.StructField("n", T.LongType()), T.StructField("c", T.ArrayType(T.DoubleType()))])), "counts")
     rate = counted.select(F.posexplode(F.transform("c", lambda x: x / F.col("n"))).alias("i", "x"))
     spread = {r["i"]: r["sd"] for r in rate.groupBy("i").agg(F.stddev_pop("x").alias("sd")).collect()}  # `top` numbers
     sd = np.array([spread.get(i) or 1.0 for i in range(k)])

@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import display
-from quillspark.operators import analysis, ordering, wording
+from quillspark.operators import analysis, extract, ordering, wording
 from quillspark.session import Kept
 
 
@@ -104,3 +105,26 @@ def test_times_of_passages(spark):
     passages = [(1, 10, "Three four FIVE six seven eight"), (1, 11, "lost lost lost eight nine ten one"), (1, 12, "no such words here at all"), (1, 13, "too short"), (2, 14, "three four five six seven eight"), (1, 15, "one two three four five six"), (1, 16, None)]
     got = wording.spoken_at(spark.createDataFrame(passages, "document_id long, chunk_id long, content string"), spark.createDataFrame(segments, "document_id long, start_ms long, text string"), probe=3, least=6)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 10, 0, 0), (1, 11, 2, 9000), (1, 15, 0, 0)]
+
+
+def test_distances_by_small_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, "abc"[k % 3], " ".join(rng.choice(["of", "the", "and", "to", "rare" + str(k)]) for _ in range(rng.choice([1, 9, 40])))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, who string, said string").repartition(2)
+    got = []
+    for piece, least in ((1 << 18, 1_024), (16, 2)):
+        monkeypatch.setattr(wording, "PIECE", piece)
+        monkeypatch.setattr(wording, "ROWS", least)
+        with Kept(spark, "t") as kept:
+            got.append(sorted(tuple(r) for r in wording.delta_ranks(df, "id", "who", "said", 4, kept).collect()))
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_passages_are_handed_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(extract, "HELD", 100)
+    texts = ["One two three. " * k for k in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([*range(41), None]), "text": texts})
+    got = list(extract.passage_batches(iter([batch]), 10))
+    rows = [r for b in got for r in zip(*b.to_pydict().values(), strict=True)]
+    assert rows == [(d, k, "", p) for d, x in enumerate(texts) for k, p in enumerate(extract.passages(x or "", 10))]
+    assert len(got) > 10 and max(sum(map(len, b.to_pydict()["content"][:-1])) for b in got) < 100
