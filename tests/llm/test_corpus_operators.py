@@ -12,12 +12,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import conversation_repair, mixing, resampling
+from quillspark.llm import words as W
 from quillspark.session import Kept
 
 SF = "/root/testdata/sf0.001"
@@ -274,3 +276,12 @@ def test_bracket_widens(spark):
     for k in (1, 13, 714, 715, 2500, 4999, 5000):
         low, high, above = resampling.bracket(rows, "score", k, 5000)
         assert low <= scores[k - 1] <= high and above == sum(s > high for s in scores) < k
+
+
+def test_pieces_are_small_and_whole():
+    """What a task works on at once is half a megabyte of text, unless one text has more; no row is lost."""
+    texts = pa.array(["ab c " * (k % 700) for k in range(2000)] + ["x" * (1 << 20), None])
+    parts = list(W.pieces(texts))
+    assert [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == len(texts)
+    assert all(len(data) <= 1 << 19 or hi - lo == 1 for lo, hi, data, _ in parts)
+    assert b"".join(data.tobytes() for _, _, data, _ in parts).decode() == "".join(x or "" for x in texts.to_pylist())
