@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import filings
 from quillspark.operators.filings import Balance, Block, CrossFoot, PartOf, Quotient
+from quillspark.session import Kept
 from quillspark.sources.tables import table
 
 SUMMARY = Block("summary", ("Summary", "Group", "Line"), "code", {"urgent": "u", "other": "o"}, "sum")
@@ -62,7 +63,9 @@ def filing_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filing_items(spark: SparkSession, d: str) -> DataFrame:
-    cells, checked = _checked(spark, d)
+    docs = written(spark, d)
+    cells = Kept(spark, "filings").keep(filings.figures(docs, "custkey", "xml", BLOCKS), "cells")  # both the checks and the items read them
+    checked = filings.reconcile(docs, cells, "custkey", CHECKS)
     return filings.line_items(filings.accepted(cells, checked.where("check <> 'rate'"), "custkey"), "custkey", ["summary"])
 
 

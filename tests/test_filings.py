@@ -74,3 +74,11 @@ def test_no_filings(spark):
     none = spark.createDataFrame([], "id int, xml string")
     cells = figures(none, "id", "xml", BLOCKS)
     assert cells.count() == 0 and reconcile(none, cells, "id", CHECKS).count() == 0
+
+
+def test_items_parse_no_filing_twice(spark):
+    """The cells are written once, by the parsing; the checks and the items read them."""
+    from quillspark.plans import filings as plans
+
+    plan = plans.filing_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_xml" not in plan and "XmlToStructs" not in plan
