@@ -138,6 +138,20 @@ def test_citations(spark):
     assert quotes.cite(df.limit(0), chunks).count() == 0 and quotes.cite(df, chunks.limit(0)).count() == 0
 
 
+def test_citations_by_document_and_by_seeds_agree(spark):
+    w = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    chunks = spark.createDataFrame([(d, 10 * d + i, i, t) for d in (1, 2, 3) for i, t in enumerate([w(0, 30), w(20, 60), "Same words " + w(5, 14), "same words", None])], "document_id long, chunk_id long, chunk_index int, content string")
+    given = [(1, 1, w(22, 50)), (2, 1, w(3, 9)), (3, 1, w(90, 99) + " " + w(40, 50)), (4, 1, "same words"), (4, 1, "Same, words"), (5, 2, w(25, 29)), (6, 2, w(21, 80)), (7, 3, "nothing"), (None, 1, "w1"), (8, None, "w1")]
+    df = spark.createDataFrame(given, "quote_id long, document_id long, text string")
+    by_document = quotes.cite(df, chunks)
+    plan = by_document._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan  # the runs of words of passages are not dealt out
+    want = sorted(tuple(r) for r in by_document.collect())
+    assert len(want) == 6
+    for few in (0, 2):
+        assert sorted(tuple(r) for r in quotes.cite(df, chunks, few=few).collect()) == want
+
+
 def test_motions_against_all_pairs(spark):
     rng = random.Random(12)
     vocab = [f"w{k}" for k in range(25)]
