@@ -34,7 +34,13 @@ def _map(words: dict[str, str], value: Column) -> Column:
 
 def _part(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match; null if there is none or it is empty."""
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
+    return F.get(F.filter(F.array(F.trim(F.regexp_extract(text, pattern, group))), lambda v: v != ""), 0)  # nullif would match twice
+
+
+def _once(rows: DataFrame, *columns: str | Column, **values: Column) -> DataFrame:
+    """rows with these columns and values, each computed once a row: filters on them aren't moved below, nor expressions copied."""
+    made = rows.select(*columns, *[v.alias(k) for k, v in values.items()])
+    return made.select(F.explode(F.array(F.struct(*made.columns))).alias("o")).select("o.*")
 
 
 def decide(stated: Column, given: list[Column], counted: list[Column], rolled: Column) -> dict[str, Column]:
@@ -54,8 +60,8 @@ def line_votes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     motion of three words or without a result are left out. Null texts have none; rows of one doc are one document.
     """
     line = F.regexp_replace(F.trim(F.regexp_replace(F.col("raw"), r"\s+", " ")), "[​﻿]", "")
-    rows = docs.select(F.col(doc).alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "raw")).select("d", "n", line.alias("x"))
-    rows = rows.where(F.col("x") != "").where(~F.col("x").rlike(r"(?i)^page \d+ of \d+$")).repartition("d")
+    rows = docs.select(F.col(doc).alias("d"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "raw"))
+    rows = _once(rows, "d", "n", x=line).where(F.col("x") != "").where(~F.col("x").rlike(r"(?i)^page \d+ of \d+$")).repartition("d")
     x = F.col("x")
     kind = (
         F.when(x.rlike(r"(?i)^moved by: ?\S"), "mover")
@@ -66,47 +72,56 @@ def line_votes(docs: DataFrame, doc: str, text: str) -> DataFrame:
         .when(x.rlike(r"^[0-9]+(?:\.[0-9]+)*\.?$") | x.rlike(rf"(?i)^(?:{'|'.join(LABELS)}) ?:"), "stop")
         .otherwise("text")
     )
-    order = Window.partitionBy("d").orderBy("n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     at = lambda k: F.when(F.col("kind") == k, F.col("n"))
+    so_far = Window.partitionBy("d").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("kind", kind).withColumn("block", F.count(at("mover")).over(so_far)).withColumn("mover", F.last(at("mover"), ignorenulls=True).over(so_far))
-    rows = rows.withColumn("ends", F.min(F.when(F.col("n") <= F.col("mover") + RESULT_LINES, at("result"))).over(Window.partitionBy("d", "block")))
+    # blocks follow each other in order of lines, so that all windows from here on share one order
+    in_block = Window.partitionBy("d", "block").orderBy("n")
+    order = Window.partitionBy("d").orderBy("block", "n")
+    rows = rows.withColumn("ends", F.min(F.when(F.col("n") <= F.col("mover") + RESULT_LINES, at("result"))).over(in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     near = (F.col("block") > 0) & (F.col("n") > F.col("mover")) & (F.col("n") <= F.col("mover") + RESULT_LINES) & (F.col("ends").isNull() | (F.col("n") < F.col("ends")))
     rows = rows.withColumn("near", F.coalesce(near, F.lit(False)))
-    rows = rows.withColumn("head", F.count(F.when(F.col("near"), at("header"))).over(Window.partitionBy("d", "block").orderBy("n")))
+    rows = rows.withColumn("head", F.count(F.when(F.col("near"), at("header"))).over(in_block))
     names = F.col("near") & F.col("ends").isNotNull() & (F.col("head") > 0) & (F.col("kind") == "text")
     stop = F.col("kind").isin("mover", "second", "result", "stop") | (F.col("near") & F.col("kind").isin("header", "roll")) | names
-    rows = rows.withColumn("names", names).withColumn("run", F.count(F.when(stop, 1)).over(so_far))
-    rows = rows.withColumn("next", F.first(at("mover"), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    # the motion: text between the last stop and the mover
-    above = rows.where((F.col("kind") == "text") & ~F.col("names") & (F.col("next") - F.col("n") <= MOTION_LINES)).groupBy("d", "run").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("l"))
-    lines = F.transform("l", lambda s: s["x"])
-    cue = F.array_position(F.transform(lines, lambda s: s.rlike(rf"(?i)^(?:{'|'.join(CUES)})\b")), True)
-    motion = F.array_join(F.when(cue > 0, F.slice(lines, cue.cast("int"), F.size("l"))).otherwise(lines), " ")
-    motions = above.select("d", (F.col("run") + 1).alias("run"), motion.alias("motion")).where(F.col("motion").rlike(r"^[A-Za-z]\S*(?: \S+){2,}") & ~F.col("motion").rlike(r"(?i)^the meeting (?:was )?adjourned\b"))
-    # votes: rolls in one line, and names under vote words
-    pair = rf"(?i)^(?:votes: ?)?(.+)- ?({_VOTE})\.?$"
-    roll = rows.where(F.col("near") & (F.col("kind") == "roll")).select("d", "block", F.explode(F.split("x", " ?, ?")).alias("p")).select("d", "block", _part(F.col("p"), pair, 2).alias("v"))
-    said = rows.where(F.col("near") & (F.col("head") > 0) & ((F.col("kind") == "header") | F.col("names"))).groupBy("d", "block", "head").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("l"))
-    whole = F.array_join(F.transform("l", lambda s: s["x"]), " ")
-    said = said.select("d", "block", _part(whole, rf"(?i)^({_VOTE})\b").alias("v"), F.regexp_replace(whole, rf"(?i)^(?:{_VOTE})\b ?:? ?", "").alias("who"))
-    said = said.select("d", "block", "v", F.explode(F.filter(F.split("who", r" ?, ?(?:and )?| and "), lambda w: w != "")).alias("w")).drop("w")
-    vote = _map(VOTES, F.col("v"))
-    tally = roll.unionByName(said).groupBy("d", "block").agg(*[F.count_if(vote == k).alias(f"c_{k}") for k in ("aye", "no", "abstain")])
-    heads = rows.where(F.col("block") > 0).groupBy("d", "block").agg(
-        F.min(at("mover")).alias("mover"),
+    rows = rows.withColumn("names", names).withColumn("run", F.count(F.when(stop, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.first(at("mover"), ignorenulls=True).over(order.rowsBetween(0, MOTION_LINES)))
+    # a line is text above the next mover, or stands in the block of the last one
+    above = (F.col("kind") == "text") & ~F.col("names") & (F.col("next") - F.col("n") <= MOTION_LINES)
+    listed = lambda when, *c: F.array_sort(F.collect_list(F.when(when, F.struct("n", *c))))
+    rows = rows.withColumn("above", F.coalesce(above, F.lit(False))).withColumn("of", F.when(F.col("above"), F.col("next")).otherwise(F.col("mover")))
+    said = F.col("near") & (F.col("head") > 0) & ((F.col("kind") == "header") | F.col("names"))
+    rows = rows.where("of is not null").groupBy("d", "of").agg(
+        F.max(F.when(F.col("kind") == "mover", F.col("block"))).alias("block"),
         F.min_by("x", at("mover")).alias("m"),
-        F.min_by(F.when(F.col("kind") == "mover", F.col("run")), at("mover")).alias("run"),
+        F.min_by("run", at("mover")).alias("run"),
         F.min_by("x", F.when(F.col("near"), at("second"))).alias("s"),
         F.min_by("x", F.when(F.col("n") == F.col("ends"), F.col("n"))).alias("r"),
+        listed(F.col("above"), "run", "x").alias("above"),
+        listed(F.col("near") & (F.col("kind") == "roll"), "x").alias("rolls"),
+        listed(said, "head", F.col("kind").alias("kind"), "x").alias("said"),
     )
-    out = heads.join(motions, ["d", "run"]).join(tally, ["d", "block"], "left")
+    # the motion: text between the last stop and the mover
+    lines = F.transform(F.filter("above", lambda s: s["run"] + 1 == F.col("run")), lambda s: s["x"])
+    rows = rows.withColumn("l", lines).where(F.size("l") > 0)
+    cue = F.array_position(F.transform("l", lambda s: s.rlike(rf"(?i)^(?:{'|'.join(CUES)})\b")), True)
+    motion = F.array_join(F.when(cue > 0, F.slice("l", cue.cast("int"), F.size("l"))).otherwise(F.col("l")), " ")
+    # votes: rolls in one line, and names under vote words
+    pair = rf"(?i)^(?:votes: ?)?(.+)- ?({_VOTE})\.?$"
+    rolled = F.flatten(F.transform("rolls", lambda s: F.transform(F.split(s["x"], " ?, ?"), lambda p: _map(VOTES, _part(p, pair, 2)))))
+    under = lambda h: F.array_join(F.transform(F.filter("said", lambda s: s["head"] == h["head"]), lambda s: s["x"]), " ")
+    whole = F.transform(F.filter("said", lambda s: s["kind"] == "header"), under)
+    named = lambda w: F.filter(F.split(F.regexp_replace(w, rf"(?i)^(?:{_VOTE})\b ?:? ?", ""), r" ?, ?(?:and )?| and "), lambda x: x != "")
+    spoken = F.flatten(F.transform(whole, lambda w: F.transform(named(w), lambda _: _map(VOTES, _part(w, rf"(?i)^({_VOTE})\b")))))
+    out = _once(rows, "d", "block", "m", "s", "r", motion=motion, votes=F.concat(rolled, spoken))
+    out = out.where(F.col("motion").rlike(r"^[A-Za-z]\S*(?: \S+){2,}") & ~F.col("motion").rlike(r"(?i)^the meeting (?:was )?adjourned\b"))
+    out = _once(out, "d", "block", "motion", "m", "s", "r", **{f"c_{k}": _count("votes", k).cast("long") for k in ("aye", "no", "abstain")})
     mover = r"(?i)^moved by: ?(.+?)(?: ?; ?seconded by: ?(.+))?$"
     stated = F.when(F.col("r").rlike("(?i)all aye"), "passed").otherwise(_map(RESULTS, _part(F.col("r"), rf"(?i)({_RESULT})")))
     number = lambda k: _part(F.col("r"), _TALLY, k).cast("int")
-    counted = [F.coalesce(f"c_{k}", F.lit(0)) for k in ("aye", "no", "abstain")]
-    told = decide(stated, [number(k) for k in (1, 2, 3)], counted, F.coalesce(F.col("c_aye") + F.col("c_no") + F.col("c_abstain") > 0, F.lit(False)))
-    out = out.select(F.col("d").alias(doc), F.col("block").alias("motion_no"), "motion", _part(F.col("m"), mover).alias("moved_by"), F.coalesce(_part(F.col("m"), mover, 2), _part(F.col("s"), r"(?i)^seconded by: ?(.+)$")).alias("seconded_by"), *[c.alias(k) for k, c in told.items()])
+    counted = [F.col(f"c_{k}") for k in ("aye", "no", "abstain")]
+    told = decide(stated, [number(k) for k in (1, 2, 3)], counted, F.col("c_aye") + F.col("c_no") + F.col("c_abstain") > 0)
+    out = _once(out, F.col("d").alias(doc), F.col("block").alias("motion_no"), "motion", _part(F.col("m"), mover).alias("moved_by"), F.coalesce(_part(F.col("m"), mover, 2), _part(F.col("s"), r"(?i)^seconded by: ?(.+)$")).alias("seconded_by"), **told)
     return out.where("result is not null")
 
 
@@ -129,10 +144,10 @@ def prose_votes(docs: DataFrame, doc: str, text: str, lead: str = _COUNCIL, who:
     second = rf"({who}) seconded\b|\bseconded by ({who})"
     body = F.coalesce(_part(p, rf"^(.*?)\.? (?:{who} seconded\b|The motion was seconded by)"), _part(p, r"^(.+?(?<! No))\.(?: [A-Z]|$)"), p)
     rest = F.expr("substring(p, length(motion) + 1)")
-    rows = rows.select("d", "k", "p", F.regexp_replace(body, r"\.$", "").alias("motion")).withColumn("rest", rest)
+    rows = _once(rows, "d", "k", "p", motion=F.regexp_replace(body, r"\.$", "")).where(F.col("motion").rlike(r"^\S+(?: \S+){2,}")).withColumn("rest", rest)
     clause = _part(F.col("rest"), r"((?:[Tt]he )?[Mm]otion\b[^.]{0,80}?\b(?:passed|failed|carried|defeated|did not pass|approved)\b.*?(?:\.(?: [A-Z]|$)|$))")
     rolled = F.regexp_extract_all("rest", F.lit(rf"{who} ?[–—-] ?((?i:{_VOTE}))\b"), F.lit(1))
-    rows = rows.withColumn("clause", clause).withColumn("votes", F.transform(rolled, lambda v: _map(VOTES, v)))
+    rows = _once(rows, "d", "k", "p", "motion", "rest", clause=clause, votes=F.transform(rolled, lambda v: _map(VOTES, v)))
     spoken = _part(F.col("clause"), r"(?i)\b(passed|failed|carried|defeated|did not pass|approved)\b")
     after = F.when(F.col("rest").rlike(r"(?i)\b(?:was adopted|became Ordinance)\b"), "passed").when(F.col("rest").rlike(r"(?i)\b(?:was defeated|did not pass)\b"), "failed")
     stated = F.coalesce(_map(RESULTS, spoken), F.when(F.size("votes") > 0, after))
@@ -146,8 +161,8 @@ def prose_votes(docs: DataFrame, doc: str, text: str, lead: str = _COUNCIL, who:
     given[1] = F.coalesce(given[1], F.when(given[0].isNotNull(), F.lit(0)))
     counted = [_count("votes", k) for k in ("aye", "no", "abstain")]
     told = decide(stated, given, counted, F.size("votes") > 0)
-    out = rows.select(F.col("d").alias(doc), (F.col("k") + 1).cast("long").alias("motion_no"), "motion", _part(F.col("p"), f"({who})").alias("moved_by"), F.coalesce(_part(F.col("rest"), second), _part(F.col("rest"), second, 2)).alias("seconded_by"), *[c.alias(k) for k, c in told.items()])
-    return out.where(F.col("result").isNotNull() & F.col("motion").rlike(r"^\S+(?: \S+){2,}"))
+    out = _once(rows, F.col("d").alias(doc), (F.col("k") + 1).cast("long").alias("motion_no"), "motion", _part(F.col("p"), f"({who})").alias("moved_by"), F.coalesce(_part(F.col("rest"), second), _part(F.col("rest"), second, 2)).alias("seconded_by"), **told)
+    return out.where("result is not null")
 
 
 def _count(column: str, value: str) -> Column:
@@ -157,12 +172,14 @@ def _count(column: str, value: str) -> Column:
 def form_of(text: Column) -> Column:
     """lines, council, board or none: which way of recording votes a text keeps, by what opens its motions."""
     flat = F.regexp_replace(text, r"\s+", " ")
-    return F.when(text.rlike(r"(?im)^\s*moved by:"), "lines").when(flat.rlike(_COUNCIL), "council").when(flat.rlike(_BOARD), "board").otherwise("none")
+    council = F.contains(flat, F.lit(" made by ")) | F.contains(flat, F.lit(" moved t")) | F.contains(flat, F.lit(" introduced Bill No"))  # words that every match has
+    board = F.contains(flat, F.lit(" made a motion t"))
+    return F.when(text.rlike(r"(?im)^\s*moved by:"), "lines").when(council & flat.rlike(_COUNCIL), "council").when(board & flat.rlike(_BOARD), "board").otherwise("none")
 
 
 def extract_votes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """The votes of all documents, each read by its own form, with the form."""
-    marked = docs.select(F.col(doc), F.col(text), form_of(F.col(text)).alias("form"))
+    marked = _once(docs, F.col(doc), F.col(text), form=form_of(F.col(text)))
     lines = line_votes(marked.where("form = 'lines'"), doc, text).withColumn("form", F.lit("lines"))
     council = prose_votes(marked.where("form = 'council'"), doc, text).withColumn("form", F.lit("council"))
     board = prose_votes(marked.where("form = 'board'"), doc, text, _BOARD, _BOARD_WHO).withColumn("form", F.lit("board"))

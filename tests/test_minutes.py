@@ -78,3 +78,16 @@ def test_forms(spark):
     told = {r["form"]: tuple(r)[1:] for r in minutes.audit(docs, votes, "doc", "text").collect()}
     assert told == {"lines": (1, 8, 6), "council": (1, 4, 3), "board": (1, 2, 2), "none": (3, 0, 0)}
     assert minutes.extract_votes(docs.limit(0), "doc", "text").count() == 0
+
+
+def test_lines_are_dealt_and_read_once(spark):
+    text = "\n".join(f"Motion to pay bill {k} now\nMoved by: Ann\nSeconded by: Bo\nVotes: Ann-aye, Bo-aye\nAyes: Cy and Di\nEd\nNays:\nFay\n{'Motion carries 5-1' if k % 2 else ''}\n{k}." for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "Moved by: Ann\nAll ayes")], "id long, text string")
+    got = minutes.line_votes(df, "id", "text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan  # all parts of a block come from one sorted pass
+    rows = sorted(tuple(r) for r in got.collect())
+    assert [r[1] for r in rows] == list(range(1, 41)) and {r[0] for r in rows} == {1}
+    for k, r in enumerate(rows):
+        assert r[2:5] == (f"Motion to pay bill {k} now", "Ann", "Bo")
+        assert r[5] == "passed" and r[6] == ("stated" if k % 2 else "derived")
