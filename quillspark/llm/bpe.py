@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm.chunks import Memo
 from quillspark.llm.words import pieces
+from quillspark.llm.workers import own
 
 #: Rank files beyond this are refused: the model is broadcast.
 MAX_MODEL_BYTES = 64 << 20
@@ -30,8 +31,6 @@ MAX_MODEL_BYTES = 64 << 20
 PIECE = 4 << 20
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
-_READY: dict[bytes, ByteBpe] = {}
-
 
 def _varint(n: int) -> bytes:
     out = b""
@@ -116,9 +115,10 @@ class ByteBpe:
 def _ready(value: tuple[bytes, list[bytes], str]) -> ByteBpe:
     """One encoder in each Python worker."""
     key = hashlib.blake2b(value[0] + b"\0" + value[2].encode()).digest()
-    if key not in _READY:
-        _READY[key] = ByteBpe(*value)
-    return _READY[key]
+    ready = own("bpe")
+    if key not in ready:
+        ready[key] = ByteBpe(*value)
+    return ready[key]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded") -> DataFrame:

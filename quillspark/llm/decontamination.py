@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm import workers
 from quillspark.operators.ordering import fresh
 from quillspark.session import Kept
 
@@ -167,9 +168,6 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_READY: dict[str, Searcher] = {}
-
-
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_runs (array of (start, end), word positions), items (ids of test items as strings, sorted).
 
@@ -228,10 +226,11 @@ def searched(rows: DataFrame, text: str, listed: list[tuple[str, str]], window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = value.value
-        searcher = _READY.get(key)
+        ready = workers.own("decontamination")
+        searcher = ready.get(key)
         if searcher is None:
-            _READY.clear()
-            searcher = _READY[key] = Searcher(own, window)
+            ready.clear()
+            searcher = ready[key] = Searcher(own, window)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words as W
+from quillspark.llm.workers import own
 from quillspark.operators.components import connected_components
 from quillspark.session import Kept
 
@@ -89,6 +90,7 @@ def sketch_batches(k: int, inside: np.ndarray, cells: bool) -> object:
     """Arrow function of (id, text, others): id, n, cls, the signature or the shingles themselves, others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("near_dedup")
         for batch in batches:
             for lo, hi, data, offs in W.pieces(batch.column(1)):
                 sets, begins = W.shingles(*W.hashes(data, offs, inside), k)
@@ -162,6 +164,7 @@ def by_block(rows: DataFrame, work: object, schema: str) -> DataFrame:
     """work(table) over the rows of whole blocks; rows are sorted by block, and the run at the end of a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("near_dedup")
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -313,6 +316,7 @@ class Join:
         second = self.rule.second
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own("near_dedup")
             for b in batches:
                 sig, rep = sig_matrix(b.column("sig")), np.asarray(b.column("rep"))
                 for t, root in enumerate(_ROOTS):
@@ -326,6 +330,7 @@ class Join:
         second = self.rule.second
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own("near_dedup")
             for b in batches:
                 rep, sig = np.asarray(b.column("rep")), sig_matrix(b.column("sig"))
                 at, child = branch(np.asarray(b.column("node")).view(np.uint64), sig, np.arange(len(rep)), second, JUMP)

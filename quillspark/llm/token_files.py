@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm.chunks import Memo
 from quillspark.llm.words import pieces
+from quillspark.llm.workers import own
 from quillspark.session import Kept
 
 BLOCK = 128
@@ -42,7 +43,6 @@ END_ID = 2
 _MAGIC = 0x31524650
 
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n_exceptions", "u1"), ("n", "<u2")])
-_READY: dict[bytes, Memo] = {}
 
 
 def packed_rows(x: np.ndarray, w: int) -> bytes:
@@ -172,13 +172,14 @@ class _Encoder:
 def _memo(model: bytes) -> Memo:
     """One encoder in each Python worker."""
     key = hashlib.blake2b(model).digest()
-    if key not in _READY:
+    ready = own("token_files")
+    if key not in ready:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         t = Tokenizer.from_str(model.decode())
-        _READY[key] = Memo(_Encoder(t), limit=1 << 20, apart=tuple(x.content for x in t.get_added_tokens_decoder().values()))
-    return _READY[key]
+        ready[key] = Memo(_Encoder(t), limit=1 << 20, apart=tuple(x.content for x in t.get_added_tokens_decoder().values()))
+    return ready[key]
 
 
 FILE_SCHEMA = T.StructType([

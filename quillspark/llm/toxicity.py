@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words as W
+from quillspark.llm.workers import own
 
 BITS = 20
 #: The model is fitted on at most about so many labelled rows, chosen by a hash of doc_id.
@@ -70,6 +71,7 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     rows = train.where(F.col(label).isNotNull()).select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("x"), F.col(label).cast("double").alias("y"))
 
     def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("toxicity")
         for batch in batches:
             for lo, hi, data, offs in W.pieces(batch.column(1)):
                 parts = list(features(data, offs))
@@ -82,6 +84,7 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
                 yield pa.RecordBatch.from_arrays([part.column(0), cells, part.column(2)], names=["d", "f", "y"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("toxicity")
         rows, labels, learner = [], [], Ftrl()
         for batch in batches:  # the features stay where Arrow has put them
             rows += [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(1)]
@@ -110,6 +113,7 @@ def score(docs: DataFrame, model: list[tuple[int, float]], text: str = "text", o
     value = spark.sparkContext.broadcast((np.array([i for i, _ in model], np.int32), np.array([w for _, w in model], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("toxicity")
         idx, w = value.value
         dense = np.zeros(1 << BITS)
         dense[idx] = w

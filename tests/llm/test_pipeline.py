@@ -81,3 +81,12 @@ def test_unrelated_documents_of_one_id_stay(spark, make, tmp_path):
     rows = [(2, a), (2, b), (3, a), (3, c), (4, c), (4, c), (5, b + " tail"), (2, a)]
     kept = corpus_pipeline.one_of_each(spark, make(rows), str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(2, a), (2, b), (3, c)])
+
+
+def test_workers_keep_one_operators_tables():
+    from quillspark.llm import bpe, workers
+
+    bpe._ready((bpe.model_proto({bytes([b]): b for b in range(256)}), [bytes([b]) for b in range(256)], "."))
+    assert len(workers.own("bpe")) == 1
+    assert workers.own("near_dedup") == {} and set(workers._HELD) == {"near_dedup"}
+    assert workers.own("bpe") == {}
