@@ -145,14 +145,19 @@ def close_pairs(phrases: DataFrame, names: DataFrame, phrase: str, name: str, fl
     of_group = f"g {each[0].schema['g'].dataType.simpleString()}"
     rank = _order(each[1])
     single = ~F.contains(F.col("x"), F.lit(" "))
-    sizes = [sorted(r["n"] for r in df.where(single).select(F.length("x").alias("n")).distinct().collect()) for df in each]  # a number for each length
-
-    def keyed(df: DataFrame, others: list[int], first: bool, alias: str) -> DataFrame:
+    if within:  # a name has keys for the lengths of single words that its own group has on the other side, and none where that side is empty
+        sizes = [df.groupBy("g").agg(F.array_sort(F.collect_set(F.when(single, F.length("x")))).alias("others")) for df in each]
+        each = [df.join(n.hint("merge"), "g") for df, n in zip(each, sizes[::-1], strict=True)]
+    else:
+        sizes = [sorted(r["n"] for r in df.where(single).select(F.length("x").alias("n")).distinct().collect()) for df in each]  # a number for each length
+        each = [df.withColumn("others", F.lit(n).cast("array<int>")) for df, n in zip(each, sizes[::-1], strict=True)]
+
+    def keyed(df: DataFrame, first: bool, alias: str) -> DataFrame:
         def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
-                for x, g in zip(pdf["x"], pdf["g"], strict=True):
-                    rows += [(k, x, g) for k in dict.fromkeys(ratio_keys(x, floor, rank) + ([] if " " in x else word_keys(x, floor, rank, others, first)))]
+                for x, g, others in zip(pdf["x"], pdf["g"], pdf["others"], strict=True):
+                    rows += [(k, x, g) for k in dict.fromkeys(ratio_keys(x, floor, rank) + ([] if " " in x else word_keys(x, floor, rank, others.tolist(), first)))]
                     if len(rows) >= KEY_ROWS:
                         yield pd.DataFrame(rows, columns=["key", "x", "g"])
                         rows = []
@@ -167,7 +172,7 @@ def close_pairs(phrases: DataFrame, names: DataFrame, phrase: str, name: str, fl
             scores = [max(2 * common_letters(a, b) / (len(a) + len(b)), jaro_winkler(a, b) if " " not in a + b else 0.0) for a, b in zip(pdf["p"], pdf["v"], strict=True)]
             yield pdf.assign(score=pd.Series(scores, dtype="float64", index=pdf.index))
 
-    a, b = keyed(each[0], sizes[1], True, "p"), keyed(each[1], sizes[0], False, "v")
+    a, b = keyed(each[0], True, "p"), keyed(each[1], False, "v")
     long_enough = (F.col("pk") != "r") | (2 * F.least("pn", "vn") >= floor * (F.col("pn") + F.col("vn")) - EPS)
     met = a.join(b.hint("merge"), ["k", "g"]).where((F.col("p") != F.col("v")) & (F.abs(F.col("pw") - F.col("vw")) <= 1) & long_enough)
     out = met.select("g", "p", "v").distinct().mapInPandas(similar, f"{of_group}, p string, v string, score double").where(F.col("score") >= floor)

@@ -99,3 +99,14 @@ def test_two_names_for_one_form_are_for_review(spark):
     rows = spark.createDataFrame([(1, "x", "A", "lexicon", 0.9, 1, "high"), (2, "x", "B", "lexicon", 0.95, 2, "high")], "meeting int, mangled string, canonical string, source string, score double, n long, confidence string")
     r = N.proposals(rows).collect()[0]
     assert (r["canonical"], r["confidence"], r["rivals"], r["occurrences"], r["evidence"]) == ("B", "review", 1, 3, "2,1")
+
+
+def test_pairs_of_groups_use_their_own_lengths(spark):
+    said = [(1, "ramirez"), (1, "ramires jones"), (2, "ramirez"), (2, "oakwood"), (3, "oakwood"), (None, "oakwood")]
+    own = [(1, "ramires"), (1, "ramirez jones"), (2, "oakwod"), (2, "ann lee"), (4, "oakwod"), (None, "oakwod")]
+    a, b = (spark.createDataFrame(x, "meeting long, norm string") for x in (said, own))
+    got = N.close_pairs(a, b, "norm", "norm", 0.8, "meeting")
+    assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString()  # lengths of a group, not of all
+    score = lambda p, v: max(2 * N.common_letters(p, v) / len(p + v), N.jaro_winkler(p, v) if " " not in p + v else 0.0)
+    want = {(g, p, v) for g, p in said for h, v in own if g is not None and g == h and p != v and abs(p.count(" ") - v.count(" ")) <= 1 and score(p, v) >= 0.8}
+    assert {(r["meeting"], r["p"], r["v"]) for r in got.collect()} == want and len(want) >= 3
