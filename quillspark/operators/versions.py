@@ -18,6 +18,8 @@ MAX_HOPS = 16
 COUNTS = 1 << 18
 #: Cells of a set's sketch, a byte each (a power of two).
 SKETCH = 128
+#: Documents with equal sets that are one list.
+COPIES = 1_024
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -88,22 +90,25 @@ def may_agree(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(bound, f"a {kind}, b {kind}")
 
 
-def near_duplicate_pairs(docs: DataFrame, doc_id: str, text: str, bucket: list[str], percent: int = 85, least: int = 30) -> DataFrame:
-    """(a, b, jaccard) of documents of one bucket whose distinct tokens agree by at least percent; each needs `least` tokens.
+def near_duplicate_classes(docs: DataFrame, doc_id: str, text: str, bucket: list[str], percent: int, least: int, kept: Kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of one bucket with equal sets of tokens as classes: (id, h) of the documents, (h, k, id, n) of the classes with
+    their least id and number of documents, and (ka, kb, jaccard) of the classes that agree by at least percent.
 
     Rows lacking a bucket field don't take part. A set join by prefixes: two such sets share one of the first
     n - ceil(n * percent / 100) + 1 tokens of both in any common order, so that only those are joined, not all pairs of a
     bucket. The order puts frequent tokens last, by counts of places that tokens share by their hash. At the first token that
     two sets share, enough must be left of both; then sketches of fixed size meet, and only the pairs that these leave fetch
     their whole sets, so that what is moved for a pair that doesn't agree is small. Texts are read once: what is kept are sets
-    of 64-bit token hashes. Documents with equal sets are one class, whose copies hang on its least id.
+    of 64-bit token hashes.
     """
-    kept = Kept(docs.sparkSession, "near-pairs")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
     rows = docs.dropna(subset=bucket).select(F.col(doc_id).alias("id"), F.xxhash64(*bucket).alias("bucket"), F.concat_ws("\x1f", *bucket).alias("names"), F.array_sort(tokens).alias("w")).where(F.size("w") >= least)
     rows = kept.keep(rows.select("id", "bucket", F.sha2(F.concat_ws(" ", "names", F.array_join("w", " ")), 256).alias("h"), "names", F.transform("w", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
-    classes = kept.keep(rows.groupBy("h").agg(F.min("id").alias("id"), F.first("bucket").alias("bucket"), F.first("names").alias("names"), F.first("tokens").alias("tokens")), "classes")
-    cut = kept.keep(prefixes(classes, token_counts(classes), percent), "prefixes")
+    first = [F.first(c).alias(c) for c in ("bucket", "names", "tokens")]
+    classes = rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n"), *first).withColumn("k", F.monotonically_increasing_id())  # written, so that numbers stay
+    classes = kept.keep(classes, "classes")
+    sets = classes.select(F.col("k").alias("id"), "bucket", "tokens")
+    cut = kept.keep(prefixes(sets, token_counts(sets), percent), "prefixes")
     prefix = cut.select("id", "bucket", "n", F.posexplode("prefix").alias("p", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
@@ -112,11 +117,41 @@ def near_duplicate_pairs(docs: DataFrame, doc_id: str, text: str, bucket: list[s
     cand = a.hint("merge").join(b, on & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda c: cut.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     cand = kept.keep(may_agree(cand.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b"), percent), "candidates")
-    of = lambda c: classes.select(F.col("id").alias(c), F.col("names").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    of = lambda c: classes.select(F.col("k").alias(c), F.col("names").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
     both = cand.join(of("a"), "a").join(of("b"), "b").where("na = nb").withColumn("i", F.size(F.array_intersect("ta", "tb"))).withColumn("u", F.size("ta") + F.size("tb") - F.col("i"))
-    pairs = both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
-    copies = rows.select(F.col("id").alias("b"), "h").join(classes.select("h", F.col("id").alias("a")), "h").where("a <> b")
-    return pairs.unionByName(copies.select("a", "b", F.lit(1.0).alias("jaccard")))
+    agree = both.where(100 * F.col("i") >= percent * F.col("u")).select(F.col("a").alias("ka"), F.col("b").alias("kb"), F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
+    return rows.select("id", "h"), classes.select("h", "k", "id", "n"), agree
+
+
+def near_duplicate_pairs(docs: DataFrame, doc_id: str, text: str, bucket: list[str], percent: int = 85, least: int = 30, copies: int = COPIES) -> DataFrame:
+    """(a, b, jaccard), a < b, of all documents of one bucket whose distinct tokens agree by at least percent; each needs `least` tokens.
+
+    Classes of equal sets are compared (near_duplicate_classes); their documents are then put together, those of one class
+    with each other and with those of every class that agrees. Pairs of n copies are n squared; lists of about `copies` of
+    them meet, two lists in a row, so that no task holds a class and the lists of a large one are spread over the tasks.
+    """
+    kept = Kept(docs.sparkSession, "near-pairs")
+    rows, classes, agree = near_duplicate_classes(docs, doc_id, text, bucket, percent, least, kept)
+    lists = F.ceil(F.col("n") / copies).cast("int")
+    members = rows.join(classes.select("h", "k", lists.alias("m")), "h").groupBy("k", F.pmod(F.xxhash64("id"), "m").cast("int").alias("list")).agg(F.collect_list("id").alias("ids"))
+    members = kept.keep(members, "members")
+    m = lambda c: classes.select(F.col("k").alias(f"k{c}"), lists.alias(f"m{c}"))
+    met = agree.join(m("a"), "ka").join(m("b"), "kb").unionByName(classes.where("n > 1").select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("jaccard"), lists.alias("ma"), lists.alias("mb")))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    met = met.select("*", each("ma").alias("i")).select("*", each("mb").alias("j")).where("ka <> kb or i <= j")
+    of = lambda k, at, ids: members.select(F.col("k").alias(k), F.col("list").alias(at), F.col("ids").alias(ids))
+    met = met.join(of("ka", "i", "xs"), ["ka", "i"]).join(of("kb", "j", "ys"), ["kb", "j"])
+    one = (F.col("ka") == F.col("kb")) & (F.col("i") == F.col("j"))
+    pairs = met.select("jaccard", one.alias("one"), F.explode("xs").alias("x"), "ys").select("jaccard", "one", "x", F.explode("ys").alias("y")).where("x < y or (x > y and not one)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, bucket: list[str], percent: int = 85, least: int = 30) -> DataFrame:
+    """(a, b): links that join the same documents as near_duplicate_pairs does; copies hang on the least id of their class."""
+    rows, classes, agree = near_duplicate_classes(docs, doc_id, text, bucket, percent, least, Kept(docs.sparkSession, "near-links"))
+    of = lambda c: classes.select(F.col("k").alias(f"k{c}"), F.col("id").alias(c))
+    copies = rows.select(F.col("id").alias("b"), "h").join(classes.where("n > 1").select("h", F.col("id").alias("a")), "h").where("a <> b")
+    return agree.join(of("a"), "ka").join(of("b"), "kb").select("a", "b").unionByName(copies.select("a", "b"))
 
 
 def duplicate_clusters(links: DataFrame, ids: DataFrame, kept: Kept, doc_id: str) -> DataFrame:

@@ -37,7 +37,7 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     kept = Kept(spark, "components")
-    links = near_duplicate_pairs(spark, d).select("a", "b")
+    links = versions.near_duplicate_links(docs, "doc_id", "text", ["lang", "source"])
     return versions.duplicate_clusters(links, docs.select("doc_id"), kept, "doc_id")
 
 
@@ -165,7 +165,12 @@ n AS (SELECT *, replace(lower({SQUEEZE.format('content')}), 'ß', 'ss') AS form
 o AS (SELECT *, row_number() OVER (PARTITION BY document_id, form ORDER BY chunk_index) - 1 AS ordinal FROM n)
 SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(ordinal AS INTEGER) AS ordinal,
        substr(sha256('doc:' || document_id || chr(10) || form || CASE WHEN ordinal > 0 THEN chr(10) || '#' || ordinal ELSE '' END), 1, 8) AS citation_id FROM o""",
-    "near_duplicate_pairs": f"WITH {_PAIRS} SELECT a, b, CAST(jaccard AS DOUBLE) AS jaccard FROM pairs",
+    "near_duplicate_pairs": """
+WITH t AS (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
+ok AS (SELECT * FROM t WHERE len(t) >= 30),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS u
+      FROM ok a JOIN ok b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id)
+SELECT a, b, round(i / u, 6) AS jaccard FROM p WHERE 100 * i >= 85 * u""",
     "duplicate_components": f"""
 WITH RECURSIVE {_PAIRS},
 e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),

@@ -350,3 +350,21 @@ def test_pairs_that_sketches_rule_out_fetch_no_sets(spark):
     assert want <= left and len(left) < 50
     for r in cut.collect():
         assert len(r["prefix"]) == r["n"] - -(-r["n"] * 85 // 100) + 1 and sum(r["sketch"]) == r["n"]
+
+
+def test_near_pairs_of_copies_are_all_listed(spark):
+    words = [f"w{k}" for k in range(60)]
+    text = lambda drop: " ".join(w for w in words if w not in drop)
+    rows = [(k, text(()), "b") for k in range(12)] + [(20 + k, text(("w1",)), "b") for k in range(5)] + [(30, text([f"w{j}" for j in range(9)]), "b"), (31, text(()), "c"), (32, text(()), None), (33, text(("w1",)) + " W2", "b")]
+    rows += [(3, " ".join(f"v{k}" for k in range(40)), "b"), (40, " ".join(f"v{k}" for k in range(40)), "b"), (5, text(()), "b")]  # ids that occur twice
+    sets = [(k, set(t.lower().split()), g) for k, t, g in rows]
+    want = sorted((x[0], y[0], round(len(x[1] & y[1]) / len(x[1] | y[1]), 6)) for x in sets for y in sets if x[0] < y[0] and x[2] == y[2] is not None and 100 * len(x[1] & y[1]) >= 85 * len(x[1] | y[1]))
+    df = spark.createDataFrame(rows, "id int, t string, g string")
+    for copies in (1024, 3):
+        assert sorted(tuple(r) for r in versions.near_duplicate_pairs(df, "id", "t", ["g"], copies=copies).collect()) == want
+    from quillspark.operators.components import connected_components
+    from quillspark.session import Kept
+
+    with Kept(spark, "t") as kept:
+        parts = [{r["id"]: r["component"] for r in connected_components(e, kept).collect()} for e in (versions.near_duplicate_links(df, "id", "t", ["g"]), spark.createDataFrame(want, "a int, b int, j double"))]
+    assert parts[0] == parts[1] and versions.near_duplicate_links(df, "id", "t", ["g"]).count() < len(want) / 3
