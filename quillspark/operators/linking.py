@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
@@ -12,13 +11,16 @@ from pyspark.sql import types as T
 
 from quillspark.functions import vectors as V
 from quillspark.operators.components import connected_components, roots_of
+from quillspark.operators.merging import merged
 from quillspark.operators.names import close_pairs, common_letters, jaro_winkler  # noqa: F401
-from quillspark.operators.pairs import BLOCK_ROWS, block_units, tiles, usable
+from quillspark.operators.pairs import BLOCK_ROWS, block_units, matrix, tiles, usable
 from quillspark.operators.voices import sum_vectors
 from quillspark.session import Kept
 
-#: Rows of one group that the sequential algorithms take; larger groups are an error, not cut.
+#: Rows of one group that are linked without a shared folder; larger groups are an error, not cut.
 MAX_GROUP = 5_000
+#: Rows of one group, or of a part of it, that a task links: it holds their vectors.
+MAX_PART = 1 << 17
 EPS = 1e-8
 #: Vectors of a cohort that are broadcast; a larger one is left to the planner.
 MAX_COHORT = 1 << 14
@@ -199,57 +201,54 @@ def threshold_parts(rows: DataFrame, group: str, item: str, vector: str, thresho
 def linkage_sweep(rows: DataFrame, group: str, item: str, vector: str, thresholds: list[float], cannot: str | None = None, kept: Kept | None = None) -> DataFrame:
     """(group, item, threshold, node): complete_linkage at each of several thresholds, by one course of merges a group.
 
-    The merges of a higher threshold are the first ones of a lower: nodes are noted as the least similarity falls below each.
-    With kept, groups are split beforehand at the lowest threshold: items of two parts that no pair joins never share a node.
+    A node of a threshold is what the merges at or above it have joined. A task holds the vectors of a group, not its pairs
+    (merging.merged). With kept, groups of more than MAX_PART rows are split beforehand at the lowest threshold: items of two
+    parts that no pair joins never share a node. Items lacking a group or a usable vector then are nodes of their own.
     """
     item_type = rows.schema[item].dataType.simpleString()
     group_type = rows.schema[group].dataType.simpleString()
-    steps = sorted(set(thresholds), reverse=True)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP:
-            raise ValueError(f"a group of {len(pdf)} rows; at most {MAX_GROUP}")
-        pdf = pdf.sort_values(item, kind="stable")
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        s = x @ x.T
-        if cannot:
-            v = pdf[cannot].to_numpy()
-            s[v[:, None] == v[None, :]] = -np.inf
-        np.fill_diagonal(s, -np.inf)
-        node, noted, todo = np.arange(len(pdf)), [], list(steps)
-        while todo:
-            i, j = divmod(int(s.argmax()), len(s))
-            while todo and (len(s) < 2 or s[i, j] < todo[0]):
-                noted.append((todo.pop(0), node.copy()))
-            if not todo:
-                break
-            i, j = min(i, j), max(i, j)
-            least = np.minimum(s[i], s[j])
-            least[[i, j]] = -np.inf
-            s[i], s[:, i] = least, least
-            s[j], s[:, j] = -np.inf, -np.inf
-            node[node == j] = i
-        ids = pdf[item].to_numpy()
-        return pd.concat([pd.DataFrame({group: pdf[group].to_numpy(), item: ids, "threshold": t, "node": ids[n]}) for t, n in noted])
+    steps = sorted({float(t) for t in thresholds}, reverse=True)
+    most = MAX_GROUP if kept is None else MAX_PART
+
+    def link(t: pa.Table) -> pa.Table:
+        if t.num_rows > most:
+            raise ValueError(f"a group of {t.num_rows} rows; at most {most}")
+        t = t.sort_by(item)
+        if len(pa.compute.unique(pa.compute.list_value_length(t.column(vector)))) > 1:
+            raise ValueError("vectors of several lengths")
+        codes = np.asarray(t.column(cannot).combine_chunks().dictionary_encode(null_encoding="encode").indices) if cannot else None
+        node = merged(matrix(t.column(vector)), codes, steps)
+        ids, same = t.column(item).combine_chunks(), t.column(group).combine_chunks()
+        out = [pa.table({group: same, item: ids, "threshold": pa.array(np.full(len(ids), s)), "node": ids.take(pa.array(node[:, k]))}) for k, s in enumerate(steps)]
+        return pa.concat_tables(out).cast(pa.schema([(group, same.type), (item, ids.type), ("threshold", pa.float64()), ("node", ids.type)]))
 
     cols = list(dict.fromkeys([group, item, vector, *([cannot] if cannot else [])]))
     schema = f"{group} {group_type}, {item} {item_type}, threshold double, node {item_type}"
     if kept is None:
-        return rows.select(*cols).groupBy(group).applyInPandas(link, schema)
-    parts = threshold_parts(rows, group, item, vector, steps[-1], kept, cannot).withColumnRenamed(item, "__item")
-    marked = kept.keep(rows.select(*cols).join(parts, rows[item].cast("long") == F.col("__item"), "left").drop("__item"), "parts")
-    joined = marked.where("part is not null").groupBy(group, "part").applyInPandas(link, schema)
-    alone = marked.where("part is null").select(group, item, F.explode(F.array(*[F.lit(float(t)) for t in steps])).alias("threshold"), F.col(item).alias("node"))
-    return joined.unionByName(alone)
+        return rows.select(*cols).groupBy(group).applyInArrow(link, schema)
+    ok = F.col(group).isNotNull() & F.col(item).isNotNull() & usable(F.col(vector))
+    marked = kept.keep(rows.select(*cols, F.when(ok, F.size(vector)).alias("__dim")), "rows")
+    dim = marked.where("__dim is not null").groupBy("__dim").count().orderBy(F.desc("count"), "__dim").head()
+    fits = F.coalesce(F.col("__dim") == (dim[0] if dim else 0), F.lit(False))
+    sizes = marked.where(fits).groupBy(group).agg(F.count("*").alias("__n"))
+    marked = marked.join(sizes, group, "left").withColumn("__large", fits & (F.col("__n") > MAX_PART))
+    small, alone = marked.where(fits & ~F.col("__large")).select(*cols), marked.where(~fits).select(group, item)
+    joined = small.groupBy(group).applyInArrow(link, schema)
+    if not sizes.where(F.col("__n") > MAX_PART).isEmpty():
+        large = marked.where("__large").select(*cols)
+        parts = threshold_parts(large, group, item, vector, steps[-1], kept, cannot).withColumnRenamed(item, "__item")
+        split = kept.keep(large.join(parts, F.col(item).cast("long") == F.col("__item"), "left").drop("__item"), "parts")
+        joined = joined.unionByName(split.where("part is not null").groupBy(group, "part").applyInArrow(link, schema))
+        alone = alone.unionByName(split.where("part is null").select(group, item))
+    return joined.unionByName(alone.select(group, item, F.explode(F.array(*[F.lit(t) for t in steps])).alias("threshold"), F.col(item).alias("node")))
 
 
 def complete_linkage(rows: DataFrame, group: str, item: str, vector: str, threshold: float, cannot: str | None = None, kept: Kept | None = None) -> DataFrame:
     """(group, item, node): greedy complete linkage inside each group; items of one `cannot` value never share a node.
 
-    The next merge is always that of the highest least similarity, ties by the smaller items. It is sequential by nature, so each
-    group is one task. With kept, a group (of items that are long and unique) is first split where no pair reaches the threshold,
-    which changes no node; MAX_GROUP then bounds a part and not a group. Beyond it the operator refuses.
+    The next merge is always that of the highest least similarity, ties by the smaller items. Without kept, groups are limited to
+    MAX_GROUP rows. With kept (and items that are long and unique) a task takes MAX_PART rows; a larger group is first split
+    where no pair reaches the threshold, which changes no node, and a part beyond it is refused.
     """
     return linkage_sweep(rows, group, item, vector, [threshold], cannot, kept).drop("threshold")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.operators import linking, pairs
+from quillspark.operators import linking, merging, pairs
 from quillspark.session import Kept
 
 SCHEMA = "vec_id long, label string, meeting int, condition string, seconds double, v array<double>"
@@ -184,3 +184,53 @@ def test_blocks_and_tiles_are_bounded(spark, monkeypatch):
         want.append(sorted(zip(*(z.tolist() for z in pairs.block_pairs(table(i, j), 0.3)[:2]), strict=True)))
         assert want[0] == want[1]
         monkeypatch.undo()
+
+
+def greedy_nodes(x, codes, steps):
+    """The next merge is the best of all pairs; nodes as they are when the best falls below each step."""
+    s = np.round(x @ x.T, 12)
+    if codes is not None:
+        s[codes[:, None] == codes[None, :]] = -np.inf
+    np.fill_diagonal(s, -np.inf)
+    node, out, todo = np.arange(len(x)), [], list(steps)
+    while todo:
+        i, j = divmod(int(s.argmax()), len(x))
+        while todo and s[i, j] < todo[0] - 1e-13:
+            out.append(node.copy())
+            todo.pop(0)
+        i, j = min(i, j), max(i, j)
+        least = np.minimum(s[i], s[j])
+        least[[i, j]] = -np.inf
+        s[i] = s[:, i] = least
+        s[j] = s[:, j] = -np.inf
+        node[node == j] = i
+    return np.stack(out, 1)
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_merging_by_rounds_is_the_greedy_course(monkeypatch, tile):
+    rng = np.random.default_rng(tile)
+    monkeypatch.setattr(merging, "TILE", tile)
+    for k in range(60):
+        n = int(rng.integers(1, 70))
+        x = rng.normal(size=(n, int(rng.integers(2, 7))))
+        x = x[rng.integers(0, 1 + n // 5, n)] if k % 3 == 0 else np.rint(x) if k % 3 == 1 else x  # equal pairs tie
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        codes = None if k % 4 == 0 else rng.integers(0, 1 + k % 8, n)
+        monkeypatch.setattr(merging, "LEAST_NODES", 1 + k % 16)
+        assert (merging.merged(x, codes, [0.8, 0.5, 0.2]) == greedy_nodes(x, codes, [0.8, 0.5, 0.2])).all()
+
+
+def test_linkage_of_groups_beyond_the_old_limit(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5200, 8))
+    rows = [(k, 0, k % 9, v) for k, v in enumerate(x.tolist())] + [(9000, None, 1, [1.0] * 8), (9001, 0, 1, None), (9002, 0, 1, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, g int, meeting int, v array<double>").cache()
+    with Kept(spark, "t") as kept:
+        got = {(r["id"], r["threshold"]): r["node"] for r in linking.linkage_sweep(df, "g", "id", "v", [0.9, 0.6], "meeting", kept).collect()}
+        want = merging.merged(x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(5200) % 9, [0.9, 0.6])
+        assert got == {(k, t): int(want[k, s]) for k in range(5200) for s, t in enumerate([0.9, 0.6])} | {(k, t): k for k in (9000, 9001, 9002) for t in (0.9, 0.6)}
+        few = df.where("id < 60 or id >= 9000")
+        whole = {tuple(r) for r in linking.linkage_sweep(few, "g", "id", "v", [0.9, 0.6], "meeting", kept).collect()}
+        monkeypatch.setattr(linking, "MAX_PART", 58)  # the group is split, its parts are no larger
+        assert {tuple(r) for r in linking.linkage_sweep(few, "g", "id", "v", [0.9, 0.6], "meeting", kept).collect()} == whole
