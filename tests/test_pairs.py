@@ -234,3 +234,27 @@ def test_linkage_of_groups_beyond_the_old_limit(spark, monkeypatch):
         whole = {tuple(r) for r in linking.linkage_sweep(few, "g", "id", "v", [0.9, 0.6], "meeting", kept).collect()}
         monkeypatch.setattr(linking, "MAX_PART", 58)  # the group is split, its parts are no larger
         assert {tuple(r) for r in linking.linkage_sweep(few, "g", "id", "v", [0.9, 0.6], "meeting", kept).collect()} == whole
+
+
+def test_the_calibrator_takes_few_passes_over_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(5, 6))
+    rows = [(k, "abcde"[k % 5], k % 4, "xy"[k % 2], float(1 + k % 30), (centres[k % 5] + rng.normal(size=6) * 1.5).astype(np.float32).tolist()) for k in range(300)]
+    cohort = rng.normal(size=(12, 6)).tolist()
+    passes, slopes = [], pairs._slopes
+
+    def counted(units, *rest):
+        passes.append(units.where("i <> j").isEmpty())
+        return slopes(units, *rest)
+
+    monkeypatch.setattr(pairs, "_slopes", counted)
+    monkeypatch.setattr(pairs, "PAIR_TILE", 11)
+    with Kept(spark, "t") as kept:
+        scored = pairs.with_cohort(spark.createDataFrame(rows, SCHEMA.replace("v array<double>", "v array<float>")), "v", spark.createDataFrame([(v,) for v in cohort], "c array<double>"), "c", 5)
+        units = pairs.calibration_units(scored, "vec_id", "label", "meeting", "condition", "seconds", "v", kept, 100)
+        assert units.schema["v"].dataType.simpleString() == "array<float>"
+        for f in pairs.fit_calibrator(units, leave_out=["a", "nobody"]):
+            w, mean, std, n, same, _ = plain_fit(rows, cohort, 5, 1.0, f["label"] or "-")
+            assert (f["pairs"], f["same"]) == (n, same) and [f["bias"], *f["weights"]] == pytest.approx(w.tolist(), abs=1e-9)
+            assert f["mean"] == pytest.approx(mean.tolist(), abs=1e-9) and f["std"] == pytest.approx(std.tolist(), abs=1e-9)
+    assert passes.count(False) <= 4 and passes.count(True) > 0
