@@ -258,3 +258,14 @@ def test_the_calibrator_takes_few_passes_over_all_pairs(spark, monkeypatch):
             assert (f["pairs"], f["same"]) == (n, same) and [f["bias"], *f["weights"]] == pytest.approx(w.tolist(), abs=1e-9)
             assert f["mean"] == pytest.approx(mean.tolist(), abs=1e-9) and f["std"] == pytest.approx(std.tolist(), abs=1e-9)
     assert passes.count(False) <= 4 and passes.count(True) > 0
+
+
+def test_odds_of_near_fits_lose_no_bit():
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(5, 400)) * 3
+    for apart in (0.0, 1e-9, 1e-4, 1e-2, 0.1, 3.0, 400.0):
+        w = rng.normal(size=(1, 5)) + np.vstack([np.zeros((1, 5)), rng.normal(size=(4, 5)) * apart])
+        with np.errstate(over="ignore"):
+            want = np.exp(-w @ z)
+        assert np.allclose(pairs.odds(w, z), want, rtol=1e-13, atol=0)
+        assert np.allclose(pairs.odds(w[:1], z), want[:1], rtol=1e-13, atol=0)
