@@ -21,6 +21,8 @@ from quillspark.session import Kept
 MAX_GROUP = 5_000
 #: Rows of one group, or of a part of it, that a task links: it holds their vectors.
 MAX_PART = 1 << 17
+#: Tasks that groups are dealt to.
+LINK_TASKS = 128
 EPS = 1e-8
 #: Vectors of a cohort that are broadcast; a larger one is left to the planner.
 MAX_COHORT = 1 << 14
@@ -233,12 +235,12 @@ def linkage_sweep(rows: DataFrame, group: str, item: str, vector: str, threshold
     sizes = marked.where(fits).groupBy(group).agg(F.count("*").alias("__n"))
     marked = marked.join(sizes, group, "left").withColumn("__large", fits & (F.col("__n") > MAX_PART))
     small, alone = marked.where(fits & ~F.col("__large")).select(*cols), marked.where(~fits).select(group, item)
-    joined = small.groupBy(group).applyInArrow(link, schema)
+    joined = small.repartition(LINK_TASKS, group).groupBy(group).applyInArrow(link, schema)  # by number: groups are small and take long
     if not sizes.where(F.col("__n") > MAX_PART).isEmpty():
         large = marked.where("__large").select(*cols)
         parts = threshold_parts(large, group, item, vector, steps[-1], kept, cannot).withColumnRenamed(item, "__item")
         split = kept.keep(large.join(parts, F.col(item).cast("long") == F.col("__item"), "left").drop("__item"), "parts")
-        joined = joined.unionByName(split.where("part is not null").groupBy(group, "part").applyInArrow(link, schema))
+        joined = joined.unionByName(split.where("part is not null").repartition(LINK_TASKS, group, "part").groupBy(group, "part").applyInArrow(link, schema))
         alone = alone.unionByName(split.where("part is null").select(group, item))
     return joined.unionByName(alone.select(group, item, F.explode(F.array(*[F.lit(t) for t in steps])).alias("threshold"), F.col(item).alias("node")))
 
